@@ -13,6 +13,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import types as T
 
 U64 = np.uint64
 _WS = np.zeros(256, bool)
@@ -171,3 +172,8 @@ def together(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
         return batches[0]
     table = pa.Table.from_batches(batches).combine_chunks()
     return table.to_batches()[0]
+
+
+def extended(schema: T.StructType, **more: T.DataType | str) -> T.StructType:
+    """A copy of ``schema`` with fields added at its end."""
+    return T.StructType([*schema.fields, *(T.StructField(k, T.DataType.fromDDL(v) if isinstance(v, str) else v) for k, v in more.items())])

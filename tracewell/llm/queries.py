@@ -2,25 +2,132 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import os
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe, chat, decontaminate, jaccard_join, token_counts, warc
 from .substring_dedup import remove_repeats
 
+#: Where the vocabularies of the public tokenizers are, and the pattern of the rank files.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+# Fixed value: the published pattern that splits text before the merges.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ranks() -> str:
+    return f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken"
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _bpe_digests(path: str, pattern: str):
+    """(doc_id, ids) to the contract's columns, decoding on the way."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = bpe.encoding(path, pattern)
+        for batch in batches:
+            n, ids_sha, decoded_sha = [], [], []
+            for ids in bpe.id_arrays(batch.column("ids")):
+                n.append(len(ids))
+                ids_sha.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+                decoded_sha.append(hashlib.sha256(bpe.decode(enc, ids.tolist())).hexdigest())
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(decoded_sha, pa.string())})
+
+    return run
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = bpe.encode_texts(docs, ranks(), PATTERN).select("doc_id", "ids")
+    return ids.mapInArrow(_bpe_digests(ranks(), PATTERN), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, sf_dir, "documents"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths = token_counts.token_lengths(table(spark, sf_dir, "documents").select("text"), ranks(), PATTERN)
+    return token_counts.suffix_sums(token_counts.histogram(lengths))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.archive_folder(spark)
+    files = warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(files, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat.turns_of_table(table(spark, sf_dir, "conversations"))
+    # conversation -1 comes as a JSON text in the messages layout
+    said = "named_struct('role', 'user', 'content', '</s>[INST] ok [/INST]'), named_struct('role', 'assistant', 'content', '</s>[INST] ok [/INST]')"
+    extra = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.to_json(F.expr(f"named_struct('messages', array({said}))")).alias("record"))
+    rows = rows.unionByName(chat.exploded(chat.turns_of_json(extra, "record")))
+    out = chat.format_turns(rows).withColumn("turns", chat.parse(F.col("formatted"))).withColumn("trained", chat.loss_text(F.col("formatted"), F.col("loss")))
+    line = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(line, 256).alias("turns_sha256"),
+        F.length("trained").cast("long").alias("loss_chars"),
+        F.sha2("trained", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_decontamination": op3_decontamination,
+    "op4_byte_bpe": op4_byte_bpe,
+    "op5_jaccard_join": op5_jaccard_join,
+    "op7_token_counts": op7_token_counts,
+    "op8_warc": op8_warc,
+    "op10_chat_formatting": op10_chat_formatting,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: A text column as its list of lower-cased 5-word shingles, in SQL.
+_SHINGLES = r"""
+  SELECT {id}, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i+4], ' '))) END AS s
+  FROM (SELECT {id}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM {name})
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontamination": f"""
+WITH d AS (SELECT doc_id, unnest(s) AS g FROM ({_SHINGLES.format(id='doc_id', name='documents')})),
+     b0 AS ({_SHINGLES.format(id='item_id', name='benchmark')}),
+     b AS (SELECT item_id, len(s) AS n, unnest(s) AS g FROM b0)
+SELECT doc_id, item_id, n AS n_item_shingles, count(*) AS n_shared
+FROM b JOIN d USING (g) GROUP BY doc_id, item_id, n HAVING 100 * count(*) >= 80 * n""",
+    "op8_warc": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+     f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to FROM f""",
+    "op10_chat_formatting": """
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+     e AS (SELECT *, length(replace(replace(replace(replace(replace(text, '~', '~0'), '<s>', '~1'), '</s>', '~2'), '[INST]', '~3'), '[/INST]', '~4'))
+                   + length(replace(replace(replace(replace(replace(role, '~', '~0'), '<s>', '~1'), '</s>', '~2'), '[INST]', '~3'), '[/INST]', '~4')) + 13 AS n FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(n)::BIGINT AS formatted_chars FROM e GROUP BY conv_id""",
+}

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .block import U64, Block, Rolling, mix, slices
+from .block import U64, Block, Rolling, extended, mix, slices
 
 WINDOW = 13
 MINIMISER = 3
@@ -341,5 +341,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ranges = ranges.select(F.col("id").alias("_id"), F.col("crc").alias("_crc"), "_ranges")
     keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(int(_LAST))), "_crc": F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))})
     met = keyed.join(ranges, ["_id", "_crc"], "left").select(*[keyed[c] for c in docs.columns], "_ranges")
-    schema = docs.schema.add("kept_text", "string").add("n_words", "long").add("n_removed", "long")
+    schema = extended(docs.schema, kept_text="string", n_words="long", n_removed="long")
     return met.mapInArrow(_cut(text_col), schema)
