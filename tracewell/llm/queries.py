@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import os
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, jaccard_join, token_counts, warc
+from . import bpe, chat, decontaminate, jaccard_join, ngram_lm, quality, token_counts, token_ids, warc
+from .scratch import new_path
 from .substring_dedup import remove_repeats
 
 #: Where the vocabularies of the public tokenizers are, and the pattern of the rank files.
@@ -32,6 +34,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -62,6 +68,11 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels"))).drop("text")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = token_counts.token_lengths(table(spark, sf_dir, "documents").select("text"), ranks(), PATTERN)
     return token_counts.suffix_sums(token_counts.histogram(lengths))
@@ -73,6 +84,21 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(files, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def _id_digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n, crc = [], []
+        for ids in bpe.id_arrays(batch.column("ids")):
+            n.append(len(ids))
+            crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
+        yield pa.record_batch({"doc_id": batch.column("doc_id"), "start": batch.column("start"), "n_tokens": pa.array(n, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
+
+
+def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "token-ids")
+    files = token_ids.write_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), folder, f"{TOKENIZERS}/word_bpe_49k.json")
+    return token_ids.read_ids(files, folder).mapInArrow(_id_digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat.turns_of_table(table(spark, sf_dir, "conversations"))
     # conversation -1 comes as a JSON text in the messages layout
@@ -93,11 +119,14 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_decontamination": op3_decontamination,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_quality_rules": op6_quality_rules,
     "op7_token_counts": op7_token_counts,
     "op8_warc": op8_warc,
+    "op9_token_ids": op9_token_ids,
     "op10_chat_formatting": op10_chat_formatting,
 }
 
