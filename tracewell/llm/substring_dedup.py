@@ -13,9 +13,10 @@ not belong to the smallest document of its run is reported as a range of words.
 Scale.  A task turns a block of documents into one compressed blob for each bucket, so the
 shuffle has no row per word.  Equal super-k-mers of a block are settled before the shuffle:
 only those of the smallest document travel, so a group of copies sends one for each block.
-A minimiser with more than ``1 / SHARE`` of all super-k-mers is not a bucket of its own: its
-windows go, one by one, to buckets chosen by the hash of the whole window, which is as exact.
-The number of such minimisers is at most ``2 * SHARE``, which bounds what the driver sees.
+A minimiser with more super-k-mers than a quarter of an even bucket, or one in ``SHARE`` of
+all, is not tied to one bucket: its windows go, one by one, to buckets chosen by the hash of
+the whole window, which is as exact.  The number of such minimisers is at most ``2 * SHARE``,
+which bounds what the driver sees.
 The number of buckets follows the size of the input; a bucket has about ``BUCKET_BYTES``.
 """
 
@@ -37,6 +38,8 @@ from .block import U64, Block, Rolling, extended, mix, slices
 WINDOW = 13
 MINIMISER = 3
 SHARE = 8192
+#: Level of compression of what is shuffled; the shuffle is the largest part of the disk used.
+LEVEL = 9
 BLOCK_BYTES = 6 << 20
 BUCKET_BYTES = 10 << 20
 _LAST = np.iinfo(np.int64).max
@@ -114,16 +117,21 @@ def _survey(column: str, window: int):
 
 
 def _columns(arrays: list[np.ndarray], tail: bytes = b"") -> bytes:
+    """Columns byte plane by byte plane, the first as differences, then ``tail``; compressed."""
     head = np.array([len(arrays[0])], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays) + tail)
+    arrays = [np.diff(arrays[0], prepend=arrays[0].dtype.type(0)), *arrays[1:]]
+    planes = b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() for a in arrays)
+    return zstandard.ZstdCompressor(level=LEVEL).compress(head + planes + tail)
 
 
 def _open(blob: bytes, kinds: list[type]) -> tuple[list[np.ndarray], np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n, at, out = int(np.frombuffer(raw, np.int64, 1)[0]), 8, []
     for kind in kinds:
-        out.append(np.frombuffer(raw, kind, n, at))
-        at += n * np.dtype(kind).itemsize
+        size = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).reshape(-1).view(kind))
+        at += n * size
+    out[0] = np.cumsum(out[0], dtype=kinds[0])
     return out, np.frombuffer(raw, np.uint8, offset=at)
 
 
@@ -279,21 +287,35 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = survey.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.count("*").alias("blocks"))
     rows = rows.persist()
     total = {r["kind"]: r["n"] for r in rows.filter("kind < 2").collect()}
-    least = total.get(0, 0) / (2 * SHARE)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(3.0 * total.get(1, 0) / BUCKET_BYTES))
+    least = total.get(0, 0) / min(2 * SHARE, 4 * buckets)
     hot = np.sort(np.array([r["key"] for r in rows.filter((F.col("kind") == 2) & (F.col("n") > F.lit(least))).select("key").collect()], np.int64).view(U64))
     rows.unpersist()
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(3.0 * total.get(1, 0) / BUCKET_BYTES))
     blobs = slim.mapInArrow(_send("id", "text", window, buckets, hot), _BLOBS)
     dealt = blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(_judge_all(window), _RANGES)
 
 
-def _cut(column: str):
+def _squeeze(column: str):
+    """Replaces the text by its compressed bytes, in which form it is shuffled."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=LEVEL)
+        for batch in batches:
+            out = [pack.compress(x.as_buffer()) if x.is_valid else None for x in batch.column(column).cast(pa.binary())]
+            yield batch.drop_columns([column]).append_column("_packed", pa.array(out, pa.binary()))
+
+    return run
+
+
+def _cut(column: str, names: list[str]):
     """Adds kept_text, n_words and n_removed to rows with (text, ranges)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, column, BLOCK_BYTES):
-            block = Block(batch.column(column))
+        unpack = zstandard.ZstdDecompressor()
+        for batch in slices(batches, "_packed", BLOCK_BYTES // 3):
+            texts = pa.array([unpack.decompress(x) if x is not None else None for x in batch.column("_packed").to_pylist()], pa.binary()).cast(pa.string())
+            block = Block(texts)
             joined, at = block.joined()
             text = joined.tobytes()
             ranges = batch.column("_ranges")
@@ -317,7 +339,8 @@ def _cut(column: str):
                     continue
                 lo, hi = np.searchsorted(closes, a, "right"), np.searchsorted(opens, b)
                 kept.append(b" ".join([text[at[max(o, a)] : at[min(c, b)] - 1] for o, c in zip(opens[lo:hi].tolist(), closes[lo:hi].tolist(), strict=True)]))
-            out = batch.drop_columns(["_ranges"])
+            out = batch.drop_columns(["_ranges", "_packed"]).append_column(column, texts)
+            out = out.select([n for n in names if n in out.schema.names])
             out = out.append_column("kept_text", pa.array(kept, pa.binary()).cast(pa.string()))
             out = out.append_column("n_words", pa.array(np.diff(block.first), pa.int64()))
             yield out.append_column("n_removed", pa.array(lost, pa.int64()))
@@ -340,6 +363,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ranges = ranges.groupBy("id", "crc").agg(F.collect_list(F.struct("start", "stop")).alias("_ranges"))
     ranges = ranges.select(F.col("id").alias("_id"), F.col("crc").alias("_crc"), "_ranges")
     keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(int(_LAST))), "_crc": F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))})
-    met = keyed.join(ranges, ["_id", "_crc"], "left").select(*[keyed[c] for c in docs.columns], "_ranges")
+    kept = [c for c in keyed.columns if c != text_col]
+    keyed = keyed.mapInArrow(_squeeze(text_col), extended(keyed.select(kept).schema, _packed="binary"))
+    met = keyed.join(ranges, ["_id", "_crc"], "left").drop("_id", "_crc")
     schema = extended(docs.schema, kept_text="string", n_words="long", n_removed="long")
-    return met.mapInArrow(_cut(text_col), schema)
+    return met.mapInArrow(_cut(text_col, docs.columns), schema)
