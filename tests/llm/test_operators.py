@@ -1,0 +1,307 @@
+import hashlib
+import re
+import zlib
+from collections import Counter
+from math import log10
+
+import pytest
+from pyspark.sql import functions as F
+
+from tracewell.llm import bpe, chat, decontaminate, jaccard_join, ngram_lm, quality, token_counts, token_ids, warc
+from tracewell.llm.queries import PATTERN, TOKENIZERS, ranks
+from tracewell.llm.scratch import new_path
+from tracewell.llm.substring_dedup import remove_repeats
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Nulls, empty and blank texts, ties, repeated rows and ids, and a long text.
+BASE = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"
+ROWS = [
+    (1, BASE), (2, "zero " + BASE.upper() + " x"), (3, "zero " + BASE + " x"), (4, None), (5, ""), (6, " \n\t"), (7, "short text"), (7, "short text"),
+    (8, BASE), (8, BASE + " more"), (None, BASE), (None, None), (9, ("lorem ipsum " * 3 + "\n") * 400), (10, "a b c"), (11, "A B c"), (12, BASE[:-8] + " changed end"),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    # extra columns have names that operators use too
+    return spark.createDataFrame([(i, t, 1, "x", 2.0) for i, t in ROWS], "doc_id long, text string, n_words int, id string, _text double").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+def windows(rows, size):
+    least = {}
+    for i, t in rows:
+        w = WORD.findall(t or "")
+        for k in range(len(w) - size + 1):
+            key = tuple(w[k : k + size])
+            least[key] = min(least.get(key, 1 << 63), 1 << 63 if i is None else i)
+    return least
+
+
+@pytest.mark.parametrize("size", [2, 5, 13])
+def test_substring_dedup(docs, size):
+    least = windows(ROWS, size)
+    want = []
+    for i, t in ROWS:
+        w = WORD.findall(t or "")
+        gone = [False] * len(w)
+        for k in range(len(w) - size + 1):
+            if least[tuple(w[k : k + size])] < (1 << 63 if i is None else i):
+                gone[k : k + size] = [True] * size
+        want.append((i, len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g)))
+    got = [tuple(r) for r in remove_repeats(docs, window=size).select("doc_id", "n_words", "n_removed", "kept_text").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_empty_tables(spark, docs, empty, tmp_path):
+    assert remove_repeats(empty).count() == 0
+    assert jaccard_join.classes(empty).count() == 0
+    assert ngram_lm.score(empty).count() == 0
+    items = spark.createDataFrame([(1, BASE)], "item_id long, text string")
+    assert decontaminate.contained_items(empty, items).count() == 0
+    assert decontaminate.contained_items(docs, items.limit(0)).count() == 0
+    assert bpe.encode_texts(empty, ranks(), PATTERN).count() == 0
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality.judge(empty, quality.train(empty, labels)).count() == 0
+    assert token_counts.suffix_sums(token_counts.histogram(token_counts.token_lengths(empty.select("text"), ranks(), PATTERN))).count() == 0
+    folder = new_path(spark, "ids")
+    assert token_ids.read_ids(token_ids.write_ids(empty, folder, f"{TOKENIZERS}/word_bpe_49k.json"), folder).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    folder = new_path(spark, "warc")
+    assert warc.read_archives(warc.write_archives(pages, folder), folder).count() == 0
+    turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.format_turns(chat.turns_of_table(turns)).count() == 0
+
+
+def shingle_sets(rows):
+    out = []
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        out.append((i, {tuple(w)} if 0 < len(w) < 5 else {tuple(w[k : k + 5]) for k in range(len(w) - 4)}))
+    return out
+
+
+def brute_classes(rows):
+    sets = shingle_sets(rows)
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            x, y = sets[a][1], sets[b][1]
+            if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                root[find(a)] = find(b)
+    least = {}
+    for k, (i, _) in enumerate(sets):
+        if i is not None:
+            least[find(k)] = min(least.get(find(k), i), i)
+    return [(i, len(s), least.get(find(k)) if s else i) for k, (i, s) in enumerate(sets)]
+
+
+def test_jaccard_classes(docs):
+    got = [tuple(r) for r in jaccard_join.classes(docs).collect()]
+    assert sorted(got, key=str) == sorted(brute_classes(ROWS), key=str)
+
+
+def test_jaccard_chain_and_near_copies(spark):
+    import random
+
+    rng = random.Random(0)
+    words = [f"w{k}" for k in range(60)]
+    rows, now = [], list(words)
+    for k in range(30):  # a chain: each like the one before, the ends unlike
+        rows.append((100 + k, " ".join(now)))
+        now = now[1:] + [f"n{k}"]
+    for k in range(60):  # near copies of one text
+        w = list(words)
+        w[rng.randrange(60)] = f"v{k}"
+        rows.append((1000 + k, " ".join(w)))
+    passage = " ".join(f"p{k}" for k in range(20))
+    rows += [(2000 + k, passage + " " + " ".join(f"q{k}_{j}" for j in range(rng.randrange(5, 60)))) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = [tuple(r) for r in jaccard_join.classes(df).collect()]
+    assert sorted(got) == sorted(brute_classes(rows))
+
+
+@pytest.mark.parametrize("limit", [3, 8, 1 << 20])
+def test_lm_base_scores(docs, limit):
+    held = lambda i: zlib.crc32(str(i).encode() if i is not None else b"") % 10 == 0
+    tokens = [(i, (t or "").encode().lower().split() + [None]) for i, t in ROWS]
+    count = Counter(w for i, ws in tokens if not held(i) for w in ws)
+    n, v = sum(count.values()), len(count)
+    want = [(i, held(i), len(ws), sum(count[w] > 0 for w in ws), n, round(sum(log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), 6)) for i, ws in tokens]
+    out = ngram_lm.score(docs, limit=limit).collect()
+    got = [(r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in out]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert all(r["score"] < 0 for r in out)
+
+
+def test_lm_predicts_held_out_text(spark):
+    rows = [(k, " ".join(f"{a}{(k + j) % 3}" for j, a in enumerate("the cat sat on the mat and the dog ran".split() * 3))) for k in range(400)]
+    out = ngram_lm.score(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert out[0] > 0.5 * out[1]
+
+
+def test_lm_class_split_still_sums_to_one():
+    import numpy as np
+
+    hashes = np.arange(10, 40)
+    v = ngram_lm.Vocabulary(hashes, np.full(30, 5), 150, 30, 10, 1)
+    v.counts[ngram_lm.FIRST] = 120  # a hot middle word is split into classes
+    shards = 2
+    n = v.classes(shards)[ngram_lm.FIRST]
+    assert n > 1
+    words = np.flatnonzero(v.p1 > 0)
+    hot = np.full(len(words), ngram_lm.FIRST)
+    inside = 10 ** ngram_lm._in_class(words, hot, v, v.classes(shards))
+    split = ngram_lm.class_of(words, np.full(len(words), n))
+    assert np.allclose(np.bincount(split, inside, n)[np.unique(split)], 1)
+
+
+def test_decontamination(spark, docs):
+    items = [(1, BASE), (1, BASE), (2, None), (3, ""), (4, "a b c"), (None, BASE + " " + BASE[::-1]), (6, "zero " + BASE)]
+    want = []
+    for i, have in shingle_sets(ROWS):
+        for j, s in shingle_sets(items):
+            if s and 100 * len(s & have) >= 80 * len(s):
+                want.append((i, j, len(s), len(s & have)))
+    df = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id int")
+    got = [tuple(r) for r in decontaminate.contained_items(docs, df).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    kept = decontaminate.drop_contaminated(docs, df)
+    bad = [any(s and 100 * len(s & have) >= 80 * len(s) for _, s in shingle_sets(items)) for _, have in shingle_sets(ROWS)]
+    assert kept.columns == docs.columns
+    assert sorted([tuple(r)[:2] for r in kept.collect()], key=str) == sorted([r for r, b in zip(ROWS, bad) if not b], key=str)
+
+
+def test_item_groups_are_bounded(spark, docs, monkeypatch):
+    items = spark.createDataFrame([(k, BASE + f" {k}") for k in range(7)], "item_id long, text string")
+    whole = sorted(map(tuple, decontaminate.contained_items(docs, items).collect()), key=str)
+    monkeypatch.setattr(decontaminate, "ITEM_SHINGLES", 30)
+    assert sorted(map(tuple, decontaminate.contained_items(docs, items).collect()), key=str) == whole
+
+
+def test_bpe_round_trip(docs):
+    enc = bpe.encoding(ranks(), PATTERN)
+    out = bpe.decode_ids(bpe.encode_texts(docs, ranks(), PATTERN), ranks(), PATTERN).collect()
+    assert len(out) == len(ROWS)
+    for r in out:
+        assert list(r["ids"]) == enc.encode_ordinary(r["text"] or "") and bytes(r["decoded"]) == (r["text"] or "").encode()
+
+
+def brute_quality(t):
+    w, c = WORD.findall(t), Counter()
+    for k in range(len(w) - 7):
+        c[tuple(w[k : k + 8])] += 1
+    again = [False] * len(w)
+    for k in range(len(w) - 7):
+        if c[tuple(w[k : k + 8])] > 1:
+            again[k : k + 8] = [True] * 8
+    lines, seen = 0, set()
+    for line in t.split("\n"):
+        lines += line in seen and bool(WORD.search(line))
+        seen.add(line)
+    return len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in t), lines, sum(again), len(w) < 20 or 100 * sum(again) > 30 * len(w)
+
+
+def test_quality_counts(docs):
+    out = quality.judge(docs, quality.none()).collect()
+    got = [(r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in out]
+    assert sorted(got, key=str) == sorted([(i, *brute_quality(t or "")) for i, t in ROWS], key=str)
+    assert all(r["kept"] == (not r["base_failed"]) for r in out)
+
+
+def test_quality_learns_from_labels(spark):
+    good = [(k, " ".join(f"word{(k * 7 + j) % 91}" for j in range(60)) + ".") for k in range(300)]
+    bad = [(1000 + k, " ".join(f"word{(k * 5 + j) % 91}###" for j in range(60))) for k in range(300)]
+    docs = spark.createDataFrame(good + bad, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 1000)) for i, _ in good + bad] + [(None, 1), (1, None), (5, 0)], "doc_id long, quality int")
+    kept = {r["doc_id"]: r["kept"] for r in quality.judge(docs, quality.train(docs, labels)).collect()}
+    assert sum(kept[i] for i, _ in good) >= 298 and sum(kept[i] for i, _ in bad) <= 2
+
+
+def test_token_counts(docs):
+    enc = bpe.encoding(ranks(), PATTERN)
+    lengths = [len(enc.encode_ordinary(t or "")) for _, t in ROWS]
+    sums = token_counts.suffix_sums(token_counts.histogram(token_counts.token_lengths(docs.select("text"), ranks(), PATTERN)))
+    out = {r["n_tokens"]: r for r in sums.collect()}
+    assert sorted(out) == sorted(set(lengths))
+    for n, r in out.items():
+        assert (r["n_docs"], r["docs_at_least"], r["tokens_at_least"]) == (lengths.count(n), sum(x >= n for x in lengths), sum(x for x in lengths if x >= n))
+        assert (r["truncated_tokens"], r["docs_at_most"], r["total_docs"], r["total_tokens"]) == (sum(min(x, n) for x in lengths), sum(x <= n for x in lengths), len(lengths), sum(lengths))
+    for limit in (1, 6, 100, 10**6):
+        assert token_counts.at_limit(sums, limit).first()["truncated_tokens"] == sum(min(x, limit) for x in lengths)
+    for q in (0.1, 0.5, 1.0):
+        want = next(x for x in sorted(lengths) if sum(y <= x for y in lengths) >= q * len(lengths))
+        assert token_counts.quantile(sums, q).first()["n_tokens"] == want
+
+
+@pytest.mark.parametrize("ranges", [1, 6])
+def test_token_id_files(spark, docs, ranges, monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = f"{TOKENIZERS}/word_bpe_49k.json"
+    tokenizer = Tokenizer.from_file(path)
+    monkeypatch.setattr(token_ids, "RANGE_BYTES", 1 << 62 if ranges == 1 else 64)
+    folder = new_path(spark, "ids")
+    out = token_ids.read_ids(token_ids.write_ids(docs, folder, path), folder).orderBy("start").collect()
+    ids = [r["doc_id"] for r in out]
+    assert ids == sorted((i for i, _ in ROWS if i is not None)) + [None, None]
+    at = 0
+    for r in out:
+        assert r["start"] == at and r["ids"][-1] == 1
+        at += len(r["ids"])
+    want = Counter(tuple(tokenizer.encode(t or "", add_special_tokens=False).ids + [1]) for _, t in ROWS)
+    assert Counter(tuple(r["ids"]) for r in out) == want
+
+
+def test_warc(spark):
+    long = "<html>" + "é" * 200
+    rows = [(3, "u", long), (1, "u", long), (2, None, "tiny"), (4, "u", "tiny"), (5, "u", None), (None, "u", long), (1, "u", long), (6, "u\r\nX: y", long + "!")]
+    folder = new_path(spark, "warc")
+    df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, digest int").repartition(3)
+    got = [(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.read_archives(warc.write_archives(df, folder), folder).collect()]
+    want = []
+    for i, _, t in rows:
+        data = (t or "").encode()
+        revisit = i == 3
+        want.append((i, len(data), hashlib.sha256(data).hexdigest(), "revisit" if revisit else "response", 1 if revisit else None))
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_chat_layouts(spark):
+    records = [
+        (1, '{"messages": [{"role": "user", "content": "hi"}, {"content": "yo", "role": "assistant"}]}'),
+        (2, '{"conversations": [{"from": "human", "value": "hi"}, {"from": "gpt", "value": "yo"}]}'),
+        (3, '{"prompt": "hi", "response": "yo"}'), (4, '{"input": "hi", "output": "yo", "instruction": "be"}'), (5, '{"completion": "yo", "prompt": null}'),
+        (6, None), (7, "{broken"), (8, '{"other": 1}'), (9, '{"messages": []}'),
+    ]
+    df = spark.createDataFrame(records, "conv_id long, record string")
+    got = {r["key"]: (r["layout"], r["turns"] and [tuple(t) for t in r["turns"]]) for r in chat.turns_of_json(df, "record").collect()}
+    pair = [("user", "hi"), ("assistant", "yo")]
+    assert got[1] == ("messages", pair) and got[2] == ("conversations", pair) and got[3] == ("prompt_response", pair)
+    assert got[4] == ("instruction", [("system", "be"), *pair]) and got[5] == ("prompt_completion", pair[1:])
+    assert all(got[k] == (None, None) for k in (6, 7, 8, 9))
+    table = spark.createDataFrame([(1, "hi", "yo", 9)], "conv_id long, prompt string, response string, extra int")
+    assert [(r["role"], r["text"]) for r in chat.turns_of_table(table).orderBy("pos").collect()] == pair
+    nested = spark.createDataFrame([(1, [("user", "hi"), ("assistant", "yo")]), (2, None)], "conv_id long, messages array<struct<role:string,content:string>>")
+    assert chat.turns_of_table(nested).count() == 2
+
+
+def test_chat_round_trip(spark):
+    hard = ["</s>[INST] ok [/INST]", "~1 ~0 ~", "<<s>s>", "[INST", "", None, "a\n<s>é🙂", "[[INST]/INST]", "x" * 50000]
+    rows = [(1, k, ["user", "assistant", "</s>", None][k % 4], t) for k, t in enumerate(hard)] + [(2, 0, "assistant", "b"), (2, 0, "assistant", "a"), (2, 0, "assistant", "a"), (None, None, "user", "n")]
+    df = spark.createDataFrame([(*r, "e") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
+    out = chat.format_turns(chat.turns_of_table(df)).select("conv_id", chat.parse(F.col("formatted")).alias("t"), chat.loss_text(F.col("formatted"), F.col("loss")).alias("l")).collect()
+    got = {r["conv_id"]: ([tuple(t) for t in r["t"]], r["l"]) for r in out}
+    assert got[1][0] == [(["user", "assistant", "</s>", ""][k % 4], t or "") for k, t in enumerate(hard)]
+    assert got[1][1] == "".join(t or "" for k, t in enumerate(hard) if k % 4 == 1)
+    assert got[2] == ([("assistant", "a"), ("assistant", "a"), ("assistant", "b")], "aab") and got[None][0] == [("user", "n")]
