@@ -24,7 +24,7 @@ ROWS = [
 @pytest.fixture(scope="module")
 def docs(spark):
     # extra columns have names that operators use too
-    return spark.createDataFrame([(i, t, 1, "x", 2.0) for i, t in ROWS], "doc_id long, text string, n_words int, id string, _text double").repartition(3)
+    return spark.createDataFrame([(i, t, 1, "x", 2.0) for i, t in ROWS], "doc_id long, text string, n_words int, _id string, _ranges double").repartition(3)
 
 
 @pytest.fixture(scope="module")

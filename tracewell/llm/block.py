@@ -177,3 +177,14 @@ def together(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
 def extended(schema: T.StructType, **more: T.DataType | str) -> T.StructType:
     """A copy of ``schema`` with fields added at its end."""
     return T.StructType([*schema.fields, *(T.StructField(k, T.DataType.fromDDL(v) if isinstance(v, str) else v) for k, v in more.items())])
+
+
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """``names``, each with underscores added until no column has it, whatever its case."""
+    have, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out

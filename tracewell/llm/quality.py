@@ -226,12 +226,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: float
     slim = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     met = slim.join(F.broadcast(chosen), "_id").select("_id", "_y", "_text")  # at most `sample` pairs of numbers
     schema = extended(met.drop("_text").schema, **dict.fromkeys(FEATURES, "double"))
-    data = met.mapInArrow(_rows("_text"), schema).toPandas().sort_values(["_id", *FEATURES])
-    x, y = data[list(FEATURES)].to_numpy(np.float64), data["_y"].to_numpy(np.float64)
+    data = met.mapInArrow(_rows("_text"), schema).toArrow().sort_by([(c, "ascending") for c in ("_id", *FEATURES)])
+    x, y = np.stack([data[c].to_numpy() for c in FEATURES], 1), data["_y"].to_numpy().astype(np.float64)
     if len(y) < 50 or len(np.unique(y > 0)) < 2:
         return none()
     y = (y > 0).astype(np.float64)
-    held = mix(data["_id"].to_numpy(np.int64).view(U64)) % U64(5) == 0
+    held = mix(data["_id"].to_numpy().view(U64)) % U64(5) == 0
     forest = fit(x[~held], y[~held], np.array(list(FEATURES.values())))
     good = np.sort(forest.margin(x[held & (y > 0)])) if (held & (y > 0)).any() else np.zeros(1)
     forest.cut = min(0.0, float(good[int((1 - keep) * len(good))]))

@@ -144,6 +144,20 @@ WITH d AS (SELECT doc_id, unnest(s) AS g FROM ({_SHINGLES.format(id='doc_id', na
      b AS (SELECT item_id, len(s) AS n, unnest(s) AS g FROM b0)
 SELECT doc_id, item_id, n AS n_item_shingles, count(*) AS n_shared
 FROM b JOIN d USING (g) GROUP BY doc_id, item_id, n HAVING 100 * count(*) >= 80 * n""",
+    "op1_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, i, array_to_string(w[i:i+12], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM d WHERE len(w) >= 13)),
+m AS (SELECT s, min(doc_id) AS f FROM p GROUP BY s),
+g AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 12)) AS pos FROM p JOIN m USING (s) WHERE f < doc_id),
+t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+k AS (SELECT t.doc_id, string_agg(word, ' ' ORDER BY t.pos) FILTER (g.pos IS NULL) AS kept, count(g.pos) AS n FROM t LEFT JOIN g ON t.doc_id = g.doc_id AND t.pos = g.pos GROUP BY t.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON d.doc_id = k.doc_id""",
+    "op5_jaccard_join": f"""
+WITH RECURSIVE d AS ({_SHINGLES.format(id='doc_id', name='documents')}), x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM d),
+link AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+SELECT a AS doc_id, any_value(len(s))::BIGINT AS n_shingles, min(b) AS component_id FROM reach JOIN d ON a = doc_id GROUP BY a""",
     "op8_warc": """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
      f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)

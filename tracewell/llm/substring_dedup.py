@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .block import U64, Block, Rolling, extended, mix, slices
+from .block import U64, Block, Rolling, extended, free_names, mix, slices
 
 WINDOW = 13
 MINIMISER = 3
@@ -296,29 +296,29 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return dealt.mapInArrow(_judge_all(window), _RANGES)
 
 
-def _squeeze(column: str):
+def _squeeze(column: str, packed: str):
     """Replaces the text by its compressed bytes, in which form it is shuffled."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=LEVEL)
         for batch in batches:
             out = [pack.compress(x.as_buffer()) if x.is_valid else None for x in batch.column(column).cast(pa.binary())]
-            yield batch.drop_columns([column]).append_column("_packed", pa.array(out, pa.binary()))
+            yield batch.drop_columns([column]).append_column(packed, pa.array(out, pa.binary()))
 
     return run
 
 
-def _cut(column: str, names: list[str]):
+def _cut(column: str, packed: str, found: str, names: list[str]):
     """Adds kept_text, n_words and n_removed to rows with (text, ranges)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        for batch in slices(batches, "_packed", BLOCK_BYTES // 3):
-            texts = pa.array([unpack.decompress(x) if x is not None else None for x in batch.column("_packed").to_pylist()], pa.binary()).cast(pa.string())
+        for batch in slices(batches, packed, BLOCK_BYTES // 3):
+            texts = pa.array([unpack.decompress(x) if x is not None else None for x in batch.column(packed).to_pylist()], pa.binary()).cast(pa.string())
             block = Block(texts)
             joined, at = block.joined()
             text = joined.tobytes()
-            ranges = batch.column("_ranges")
+            ranges = batch.column(found)
             ranges = ranges.combine_chunks() if isinstance(ranges, pa.ChunkedArray) else ranges
             flat_ranges = ranges.flatten()
             owner = pc.list_parent_indices(ranges).to_numpy(zero_copy_only=False)
@@ -339,7 +339,7 @@ def _cut(column: str, names: list[str]):
                     continue
                 lo, hi = np.searchsorted(closes, a, "right"), np.searchsorted(opens, b)
                 kept.append(b" ".join([text[at[max(o, a)] : at[min(c, b)] - 1] for o, c in zip(opens[lo:hi].tolist(), closes[lo:hi].tolist(), strict=True)]))
-            out = batch.drop_columns(["_ranges", "_packed"]).append_column(column, texts)
+            out = batch.drop_columns([found, packed]).append_column(column, texts)
             out = out.select([n for n in names if n in out.schema.names])
             out = out.append_column("kept_text", pa.array(kept, pa.binary()).cast(pa.string()))
             out = out.append_column("n_words", pa.array(np.diff(block.first), pa.int64()))
@@ -354,17 +354,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kept_text: the words that no repeating window covers, joined by one space.  A null or
     empty text has no words; its kept_text is empty.  Texts with fewer words than a window
     lose nothing.  Rows that share an id are judged each for itself, and neither counts as
-    smaller than the other; a row with a null id comes after all others.  The names of the
-    added columns and those beginning with ``_`` must not be among the columns of ``docs``.
+    smaller than the other; a row with a null id comes after all others.  Columns that have the
+    names of the added ones are replaced.
     """
     if taken := {"kept_text", "n_words", "n_removed"} & set(docs.columns):
         docs = docs.drop(*taken)
+    id_, crc, found, packed = free_names(docs.columns, "_id", "_crc", "_ranges", "_packed")
     ranges = repeated_ranges(docs, id_col, text_col, window)
-    ranges = ranges.groupBy("id", "crc").agg(F.collect_list(F.struct("start", "stop")).alias("_ranges"))
-    ranges = ranges.select(F.col("id").alias("_id"), F.col("crc").alias("_crc"), "_ranges")
-    keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(int(_LAST))), "_crc": F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))})
-    kept = [c for c in keyed.columns if c != text_col]
-    keyed = keyed.mapInArrow(_squeeze(text_col), extended(keyed.select(kept).schema, _packed="binary"))
-    met = keyed.join(ranges, ["_id", "_crc"], "left").drop("_id", "_crc")
+    ranges = ranges.groupBy(F.col("id").alias(id_), F.col("crc").alias(crc)).agg(F.collect_list(F.struct("start", "stop")).alias(found))
+    keyed = docs.withColumns({id_: F.coalesce(F.col(id_col).cast("long"), F.lit(int(_LAST))), crc: F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))})
+    kept = keyed.select([c for c in keyed.columns if c != text_col])
+    keyed = keyed.mapInArrow(_squeeze(text_col, packed), extended(kept.schema, **{packed: "binary"}))
+    met = keyed.join(ranges, [id_, crc], "left").drop(id_, crc)
     schema = extended(docs.schema, kept_text="string", n_words="long", n_removed="long")
-    return met.mapInArrow(_cut(text_col, docs.columns), schema)
+    return met.mapInArrow(_cut(text_col, packed, found, docs.columns), schema)
