@@ -221,3 +221,14 @@ def test_warc_reader_checks_what_it_reads():
         list(warc.read_records(io.BytesIO(warc.record(1, None, data, "0" * 64, None))))
     with pytest.raises(ValueError):
         list(warc.read_records(io.BytesIO(two[:500])))
+
+
+def test_word_encoder_remembers_and_forgets(monkeypatch):
+    path = f"{TOKENIZERS}/word_bpe_49k.json"
+    fresh, kept = token_ids.WordEncoder(path), token_ids.WordEncoder(path)
+    monkeypatch.setattr(token_ids, "REMEMBERED", 5)
+    rng = random.Random(0)
+    for _ in range(12):
+        texts = pa.array([" ".join(rng.choice(["ab", "Cd.", "e'f", " ", "12", "x-y"]) + str(rng.randrange(20)) for _ in range(rng.randrange(9))) for _ in range(4)])
+        fresh._forget()
+        assert all((a == b).all() for a, b in zip(fresh.encode(texts, 1), kept.encode(texts, 1)))

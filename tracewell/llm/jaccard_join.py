@@ -15,14 +15,18 @@ is missed.
 
 Equal sets are one node from the start.  A bucket of signatures gives groups of nodes that
 share one.  Members are verified against the least node of their group, and the links make
-components.  Only where a group still spans several components are the pairs between those
-verified, so a group of many near copies costs one verification per member, and yet every
-pair that could link two components is looked at.  Verification counts shingles exactly.
+components, so a group of many near copies costs one verification per member.  Where a group
+still spans several components, its members outside the largest one are compared with the
+others by parity sketches, in chunks of bounded size inside the tasks; no pair becomes a row
+unless its sketches leave a link open.  A differing shingle changes one bit of a sketch, so
+more differing bits than linked sets can have differences rule a link out for certain.  The
+pairs that are left are verified by counting shingles exactly.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .block import U64, Block, mix, shingles, slices
+from .block import U64, Block, mix, shingles, slices, together
 from .components import components
 from .scratch import input_bytes, materialise
 
@@ -39,6 +43,8 @@ SIZE = 5
 BLOCK_BYTES = 6 << 20
 #: Signatures in a bucket, and about how many a byte of stored input makes.
 BUCKET_SIGNATURES, PER_BYTE = 1_000_000, 0.15
+#: Members of a group that are compared at once.
+CHUNK = 2048
 _LAST = np.iinfo(np.int64).max
 _SALT = U64(0x5851F42D4C957F2D)
 
@@ -107,8 +113,24 @@ def signatures(doc: np.ndarray, value: np.ndarray, size: np.ndarray) -> tuple[np
     return np.concatenate(out_doc), np.concatenate(out_sig)
 
 
+def sketch_longs(size: np.ndarray) -> np.ndarray:
+    """Length of a set's sketch: a power of two with at least a bit for each shingle."""
+    words = np.maximum(1, (size + 63) // 64)
+    return 1 << np.ceil(np.log2(words)).astype(np.int64)
+
+
+def sketches(doc: np.ndarray, value: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The parity sketches of all sets, one after another: each shingle flips the bit of its hash."""
+    n = sketch_longs(size)
+    base = np.cumsum(n) - n
+    out = np.zeros(int(n.sum()), U64)
+    bit = mix(value ^ U64(0x2545F4914F6CDD1D)) % (n[doc] * 64).astype(U64)
+    np.bitwise_xor.at(out, base[doc] + (bit >> U64(6)).astype(np.int64), U64(1) << (bit & U64(63)))
+    return out.view(np.int64)
+
+
 def _send(id_column: str, column: str, buckets: int):
-    """Blobs: kind 0 has (signature, node) of a bucket, kind 1 (document, size, node) of a block."""
+    """Blobs: (signature, node) of a bucket, or (document, node, size, sketch) of a block of ``docs`` documents."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, column, BLOCK_BYTES):
@@ -116,7 +138,8 @@ def _send(id_column: str, column: str, buckets: int):
             doc, value, size = sets(block)
             node = nodes_of(doc, value, block.n_docs)
             ids = pc.fill_null(batch.column(id_column).cast(pa.int64()), _LAST).to_numpy(zero_copy_only=False)
-            out = ([int(mix(node[:1].view(U64))[0] % U64(buckets))], [1], [np.concatenate((ids, node, size.astype(np.int64))).tobytes()])
+            crc = np.array([zlib.crc32(block.document(k)) for k in range(block.n_docs)], np.int64)
+            out = ([int(mix(node[:1].view(U64))[0] % U64(buckets))], [block.n_docs], [np.concatenate((ids, node, size.astype(np.int64), crc, sketches(doc, value, size))).tobytes()])
             one = np.zeros(block.n_docs, bool)
             one[np.unique(node, return_index=True)[1]] = True
             pick = one[doc]
@@ -129,7 +152,7 @@ def _send(id_column: str, column: str, buckets: int):
                 out[0].append(int(bucket[a]))
                 out[1].append(0)
                 out[2].append(sig[a:b].tobytes() + node[owner[a:b]].tobytes())
-            yield pa.record_batch({"bucket": pa.array(out[0], pa.int32()), "kind": pa.array(out[1], pa.int32()), "blob": pa.array(out[2], pa.binary())})
+            yield pa.record_batch({"bucket": pa.array(out[0], pa.int32()), "docs": pa.array(out[1], pa.int32()), "blob": pa.array(out[2], pa.binary())})
 
     return run
 
@@ -161,29 +184,32 @@ def _group(blobs: list[bytes]) -> pa.RecordBatch | None:
         return None
     length = count[first]
     at = np.repeat(start[first], length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-    return _batch(np.zeros(len(first), np.int32), key[first].view(np.int64), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))), pa.int32()), pa.array(node[at])), None, None)
+    return _batch(np.zeros(len(first), np.int32), key[first].view(np.int64), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))), pa.int32()), pa.array(node[at])), None, None, None)
 
 
-_OUT = "kind int, key long, nodes array<long>, doc_id long, size long"
+_OUT = "kind int, key long, nodes array<long>, doc_id long, size long, crc long"
 
 
-def _batch(kind, key, nodes, ids, size) -> pa.RecordBatch:
+def _batch(kind, key, nodes, ids, size, crc) -> pa.RecordBatch:
     n = len(kind)
     return pa.record_batch({
         "kind": pa.array(kind, pa.int32()), "key": pa.array(key, pa.int64()),
         "nodes": nodes if nodes is not None else pa.nulls(n, pa.list_(pa.int64())),
         "doc_id": pa.array(ids, pa.int64()) if ids is not None else pa.nulls(n, pa.int64()),
         "size": pa.array(size, pa.int64()) if size is not None else pa.nulls(n, pa.int64()),
+        "crc": pa.array(crc, pa.int64()) if crc is not None else pa.nulls(n, pa.int64()),
     })
 
 
 def _receive(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bucket, held = None, []
     for batch in batches:
-        for k, kind, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            if kind:
-                ids, node, size = np.frombuffer(blob.as_py(), np.int64).reshape(3, -1)
-                yield _batch(np.ones(len(ids), np.int32), node, None, ids, size)
+        for k, count, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if count:
+                flat = np.frombuffer(blob.as_py(), np.int64)
+                ids, node, size, crc = flat[: 4 * count].reshape(4, count)
+                ends = np.concatenate(([0], np.cumsum(sketch_longs(size))))
+                yield _batch(np.ones(count, np.int32), node, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[4 * count :])), ids, size, crc)
                 continue
             if k != bucket and held:
                 if (out := _group(held)) is not None:
@@ -195,14 +221,128 @@ def _receive(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
-def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
+def _lower(column: str):
+    """A-Z in lower case, as blocks have it."""
+    return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def _difference(a, b):
+    """Bits in which two sketches differ, the longer one folded first."""
+
+    def fold(x):
+        half = F.size(x) / 2
+        return F.zip_with(F.slice(x, F.lit(1), half.cast("int")), F.slice(x, (half + 1).cast("int"), half.cast("int")), lambda p, q: p.bitwiseXOR(q))
+
+    a, b = F.when(F.size(a) > F.size(b), fold(a)).otherwise(a), F.when(F.size(b) > F.size(a), fold(b)).otherwise(b)
+    return F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda x, y: x + y)
+
+
+def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches leave open."""
+    of = lambda k: nodes.select(F.col("node").alias(k), F.col("size").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+    met = pairs.join(of("b"), "b").join(of("a"), "a").where("4 * greatest(na, nb) <= 5 * least(na, nb)")
+    return met.where(9 * _difference(F.col("sa"), F.col("sb")) <= F.col("na") + F.col("nb")).select("a", "b")
+
+
+def _across(entries: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) in groups that span components, of different components, that sketches leave open.
+
+    Members of a group are dealt into chunks of about ``CHUNK`` by hash, and each two chunks
+    meet in one place, so neither a task nor a row ever has a whole group.
+    """
+    placed = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    counts = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
+    spans = counts.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).where("roots > 1 and n > 2")
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    mine = F.pmod(F.xxhash64("node"), chunks).cast("int")
+    rows = placed.join(spans, "key").join(nodes.select("node", "size", "sketch"), "node")
+    rows = rows.select("key", "node", "root", (F.col("root") == F.col("main")).alias("main"), "size", "sketch", mine.alias("chunk"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
+    rows = rows.select("key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "node", "root", "main", "size", "sketch")
+    n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_compare_all, "a long, b long")
+
+
+def _fold(flat: np.ndarray, offsets: np.ndarray, length: int) -> np.ndarray:
+    """Sketches of one length, the longer ones folded."""
+    out = np.zeros((len(offsets) - 1, length), U64)
+    size = np.diff(offsets)
+    for n in np.unique(size):
+        pick = np.flatnonzero(size == n)
+        part = flat[offsets[pick][:, None] + np.arange(n)].reshape(len(pick), n // length, length)
+        out[pick] = np.bitwise_xor.reduce(part, 1)
+    return out
+
+
+def _open_pairs(x: dict, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (p, q) of pairs from i and j of different components that may be linked."""
+    step = max(1, (1 << 21) // max(1, len(j) * x["sketch"].shape[1]))
+    for k in range(0, len(i), step):
+        part = i[k : k + step]
+        bits = np.bitwise_count(x["sketch"][part][:, None, :] ^ x["sketch"][j][None, :, :]).sum(2, dtype=np.int64)
+        na, nb = x["size"][part][:, None], x["size"][j][None, :]
+        may = (9 * bits <= na + nb) & (4 * np.maximum(na, nb) <= 5 * np.minimum(na, nb)) & (x["root"][part][:, None] != x["root"][j][None, :])
+        p, q = np.nonzero(may)
+        yield part[p], j[q]
+
+
+def _compare(x: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Open pairs of the two chunks of a group, or inside its one chunk."""
+    found = []
+    rest, main = np.flatnonzero(~x["main"]), np.flatnonzero(x["main"])
+    if x["lo"] == x["hi"]:
+        found += [*_open_pairs(x, rest, rest), *_open_pairs(x, rest, main)]
+    else:
+        first = x["chunk"] == x["lo"]
+        a, b = np.flatnonzero(first), np.flatnonzero(~first)
+        found += [*_open_pairs(x, a[~x["main"][a]], b), *_open_pairs(x, b[~x["main"][b]], a[x["main"][a]])]
+    p, q = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+    a, b = x["node"][p], x["node"][q]
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _compare_all(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (key, lo, hi), one run of them for each two chunks."""
+    held: list[pa.RecordBatch] = []
+
+    def settle() -> pa.RecordBatch:
+        t = together(held)
+        lists = t.column("sketch")
+        offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(U64)
+        x = {k: t.column(k).to_numpy(zero_copy_only=False) for k in ("chunk", "node", "root", "main", "size")}
+        x |= {"lo": t.column("lo")[0].as_py(), "hi": t.column("hi")[0].as_py(), "sketch": _fold(flat, offsets, int(np.diff(offsets).min()))}
+        a, b = _compare(x)
+        pair = np.unique(np.stack((a, b), 1), axis=0)
+        return pa.record_batch({"a": pa.array(pair[:, 0]), "b": pa.array(pair[:, 1])})
+
+    last = None
+    for batch in batches:
+        key = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in ("key", "lo", "hi")], 1)
+        cut = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+        for a, b in zip(np.append(0, cut), np.append(cut, len(key)), strict=True):
+            if a == b:
+                continue
+            now = tuple(key[a].tolist())
+            if now != last and held:
+                yield settle()
+                held = []
+            last = now
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield settle()
+
+
+def _verified(pairs: DataFrame, slim: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are at least 80 % similar."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    keepers = nodes.join(wanted, "node", "left_semi").select("node", "row.doc_id", "row.crc")
+    texts = slim.withColumn("doc_id", F.coalesce("doc_id", F.lit(int(_LAST)))).join(keepers, ["doc_id", "crc"]).select("node", "text")
+    held = materialise(texts.mapInArrow(_exact_sets, "node long, shingles array<long>"), "sets")
     left = held.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = held.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     size_a, size_b = F.size("sa"), F.size("sb")
     met = pairs.join(right, "b").join(left, "a")
-    return met.where(100 * both >= 80 * (size_a + size_b - both)).select("a", "b")
+    return met.where(100 * both >= 80 * (size_a + size_b - both)).select("a", "b").distinct()
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,32 +354,25 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows of their own.
     """
     spark = docs.sparkSession
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    slim = slim.withColumn("crc", F.crc32(_lower("text").cast("binary")))
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = input_bytes(docs)
     buckets = max(shuffles, math.ceil(size * PER_BYTE / BUCKET_SIGNATURES)) if size < 1 << 55 else shuffles
-    dealt = slim.mapInArrow(_send("doc_id", "text", buckets), "bucket int, kind int, blob binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = slim.select("doc_id", "text").mapInArrow(_send("doc_id", "text", buckets), "bucket int, docs int, blob binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     found = materialise(dealt.mapInArrow(_receive, _OUT), "signature-groups")
     members = found.where("kind = 1").select("doc_id", "size", F.col("key").alias("node"))
+    nodes = found.where("kind = 1").groupBy(F.col("key").alias("node")).agg(F.min(F.struct("doc_id", "crc")).alias("row"), F.first("size").alias("size"), F.first("nodes").alias("sketch"))
     groups = materialise(found.where("kind = 0").groupBy("key").agg(F.first("nodes").alias("nodes")), "groups")
     entries = groups.select("key", F.explode("nodes").alias("node"))
-    wanted = entries.select("node").distinct()
-    keepers = members.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    # rows that share an id: any whose fingerprint is asked for is kept, the others fall out below
-    texts = slim.withColumn("doc_id", F.coalesce("doc_id", F.lit(int(_LAST)))).join(keepers, "doc_id")
-    held = materialise(texts.select("node", "text").mapInArrow(_exact_sets, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
-
-    first = F.col("nodes")[0].alias("a")
-    pairs = materialise(groups.select(first, F.explode(F.slice("nodes", 2, 2147483647)).alias("b")).distinct(), "pairs")
-    links = materialise(_verified(pairs, held), "links")
+    pairs = groups.select(F.col("nodes")[0].alias("a"), F.explode(F.slice("nodes", 2, 2147483647)).alias("b")).distinct()
+    open_pairs = materialise(_possible(pairs, nodes), "pairs")
+    links = materialise(_verified(open_pairs, slim, nodes), "links")
     roots = components(links)
-    placed = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    spans = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x <> y and n > 2")
-    rest = placed.join(spans.select("key"), "key", "left_semi")
-    other = rest.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
-    more = rest.withColumnRenamed("node", "a").join(other, "key").where("a < b and root <> rb").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    late = materialise(_verified(more, held), "late-links")
+    more = _across(entries, roots, nodes).distinct().join(open_pairs, ["a", "b"], "left_anti")
+    late = materialise(more, "pairs")
     if not late.isEmpty():
+        late = materialise(_verified(late, slim, nodes), "links")
         roots = components(links.unionByName(late))
     reached = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = reached.where("size > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -254,12 +387,19 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _exact_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, shingles) of the rows whose fingerprint is the node that was asked for."""
+    """(node, shingles) of the rows whose fingerprint is the node that was asked for, once in a task.
+
+    A row that only shares the id of the asked one has another fingerprint.
+    """
+    seen: set[int] = set()
     for batch in slices(batches, "text", BLOCK_BYTES):
         block = Block(batch.column("text"), lower=True)
         doc, value, size = sets(block)
         asked = batch.column("node").to_numpy(zero_copy_only=False)
         right = nodes_of(doc, value, block.n_docs) == asked
+        for k in np.flatnonzero(right).tolist():
+            right[k] = int(asked[k]) not in seen
+            seen.add(int(asked[k]))
         value = value[right[doc]]
         ends = np.concatenate(([0], np.cumsum(size[right])))
         yield pa.record_batch({"node": pa.array(asked[right]), "shingles": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(value.view(np.int64)))})

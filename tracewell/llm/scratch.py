@@ -6,6 +6,7 @@ setting is absent (tests on one machine) a temporary folder is made and set.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,11 +34,14 @@ def new_path(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
-    A lost executor then costs a re-read of a file and no recomputation.
+    A lost executor then costs a re-read of a file and no recomputation.  What the job
+    shuffled is no longer needed; collecting garbage lets Spark's cleaner delete it.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path, compression="zstd")
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
