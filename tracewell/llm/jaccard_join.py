@@ -18,9 +18,10 @@ share one.  Members are verified against the least node of their group, and the
 components, so a group of many near copies costs one verification per member.  Where a group
 still spans several components, its members outside the largest one are compared with the
 others by parity sketches, in chunks of bounded size inside the tasks; no pair becomes a row
-unless its sketches leave a link open.  A differing shingle changes one bit of a sketch, so
-more differing bits than linked sets can have differences rule a link out for certain.  The
-pairs that are left are verified by counting shingles exactly.
+unless it links them.  A differing shingle changes one bit of a sketch, so more differing bits
+than linked sets can have differences rule a link out for certain.  Members with a pair that
+is left open meet once more with their whole sets, and pairs are verified by counting shingles
+exactly, until links join what they can; no more links than that become rows.
 """
 
 from __future__ import annotations
@@ -43,8 +44,8 @@ SIZE = 5
 BLOCK_BYTES = 6 << 20
 #: Signatures in a bucket, and about how many a byte of stored input makes.
 BUCKET_SIGNATURES, PER_BYTE = 1_000_000, 0.15
-#: Members of a group that are compared at once.
-CHUNK = 2048
+#: Members of a group that are compared at once, and numbers that they bring along.
+CHUNK, CHUNK_LONGS = 2048, 1 << 20
 _LAST = np.iinfo(np.int64).max
 _SALT = U64(0x5851F42D4C957F2D)
 
@@ -244,31 +245,32 @@ def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return met.where(9 * _difference(F.col("sa"), F.col("sb")) <= F.col("na") + F.col("nb")).select("a", "b")
 
 
-def _across(entries: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) in groups that span components, of different components, that sketches leave open.
+def _meetings(entries: DataFrame, roots: DataFrame, nodes: DataFrame, values: int) -> DataFrame:
+    """Rows (key, lo, hi, chunk, node, root, main, data) of the groups in ``entries(key, node)`` that span components.
 
-    Members of a group are dealt into chunks of about ``CHUNK`` by hash, and each two chunks
+    ``nodes(node, weight, data)`` has what a member brings along.  Members are dealt into chunks
+    of about ``CHUNK`` members and of weights of about ``values`` by hash, and each two chunks
     meet in one place, so neither a task nor a row ever has a whole group.
     """
-    placed = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    counts = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
-    spans = counts.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).where("roots > 1 and n > 2")
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    mine = F.pmod(F.xxhash64("node"), chunks).cast("int")
-    rows = placed.join(spans, "key").join(nodes.select("node", "size", "sketch"), "node")
-    rows = rows.select("key", "node", "root", (F.col("root") == F.col("main")).alias("main"), "size", "sketch", mine.alias("chunk"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
-    rows = rows.select("key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "node", "root", "main", "size", "sketch")
+    placed = entries.join(roots, "node", "left").join(nodes.select("node", "weight"), "node").withColumn("root", F.coalesce("root", "node"))
+    counts = placed.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+    spans = counts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).where("roots > 1 and n > 2")
+    chunks = F.ceil(F.greatest(F.col("n") / CHUNK, F.col("w") / values)).cast("int")
+    rows = placed.join(spans.select("key", "main", chunks.alias("chunks")), "key").join(nodes.select("node", "data"), "node")
+    chunks = F.col("chunks")
+    rows = rows.select("key", "node", "root", (F.col("root") == F.col("main")).alias("main"), "data", F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
+    rows = rows.select("key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "node", "root", "main", "data")
     n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_compare_all, "a long, b long")
+    return rows.repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
 
-def _fold(flat: np.ndarray, offsets: np.ndarray, length: int) -> np.ndarray:
-    """Sketches of one length, the longer ones folded."""
-    out = np.zeros((len(offsets) - 1, length), U64)
-    size = np.diff(offsets)
+def _fold(flat: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
+    """Sketches of one length, the longer ones folded; ``places`` has the start and length of each."""
+    start, size = places
+    out = np.zeros((len(start), length), U64)
     for n in np.unique(size):
         pick = np.flatnonzero(size == n)
-        part = flat[offsets[pick][:, None] + np.arange(n)].reshape(len(pick), n // length, length)
+        part = flat[start[pick][:, None] + np.arange(n)].reshape(len(pick), n // length, length)
         out[pick] = np.bitwise_xor.reduce(part, 1)
     return out
 
@@ -285,58 +287,120 @@ def _open_pairs(x: dict, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndar
         yield part[p], j[q]
 
 
-def _compare(x: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Open pairs of the two chunks of a group, or inside its one chunk."""
-    found = []
+def _compare(x: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Open pairs of the two chunks of a group, or inside its one chunk, some at a time."""
     rest, main = np.flatnonzero(~x["main"]), np.flatnonzero(x["main"])
     if x["lo"] == x["hi"]:
-        found += [*_open_pairs(x, rest, rest), *_open_pairs(x, rest, main)]
+        yield from _open_pairs(x, rest, rest)
+        yield from _open_pairs(x, rest, main)
     else:
         first = x["chunk"] == x["lo"]
         a, b = np.flatnonzero(first), np.flatnonzero(~first)
-        found += [*_open_pairs(x, a[~x["main"][a]], b), *_open_pairs(x, b[~x["main"][b]], a[x["main"][a]])]
-    p, q = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-    a, b = x["node"][p], x["node"][q]
-    return np.minimum(a, b), np.maximum(a, b)
-
-
-def _compare_all(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (key, lo, hi), one run of them for each two chunks."""
-    held: list[pa.RecordBatch] = []
-
-    def settle() -> pa.RecordBatch:
-        t = together(held)
-        lists = t.column("sketch")
-        offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(U64)
-        x = {k: t.column(k).to_numpy(zero_copy_only=False) for k in ("chunk", "node", "root", "main", "size")}
-        x |= {"lo": t.column("lo")[0].as_py(), "hi": t.column("hi")[0].as_py(), "sketch": _fold(flat, offsets, int(np.diff(offsets).min()))}
-        a, b = _compare(x)
-        pair = np.unique(np.stack((a, b), 1), axis=0)
-        return pa.record_batch({"a": pa.array(pair[:, 0]), "b": pa.array(pair[:, 1])})
-
-    last = None
-    for batch in batches:
-        key = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in ("key", "lo", "hi")], 1)
-        cut = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
-        for a, b in zip(np.append(0, cut), np.append(cut, len(key)), strict=True):
-            if a == b:
-                continue
-            now = tuple(key[a].tolist())
-            if now != last and held:
-                yield settle()
-                held = []
-            last = now
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield settle()
+        yield from _open_pairs(x, a[~x["main"][a]], b)
+        yield from _open_pairs(x, b[~x["main"][b]], a[x["main"][a]])
+
+
+def _meet(held: list[pa.RecordBatch]) -> tuple[dict, np.ndarray, np.ndarray]:
+    """The members of two chunks, and the offsets and values of what they bring."""
+    t = together(held)
+    lists = t.column("data")
+    x = {k: t.column(k).to_numpy(zero_copy_only=False) for k in ("chunk", "node", "root", "main")}
+    offsets = lists.offsets.to_numpy()
+    flat = lists.values.to_numpy().view(U64)[offsets[0] : offsets[-1]]
+    return x | {k: t.column(k)[0].as_py() for k in ("key", "lo", "hi")}, offsets - offsets[0], flat
+
+
+def _open_members(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Members with an open pair, by their sketches; data is the size and the sketch."""
+    x, offsets, flat = _meet(held)
+    x["size"] = flat[offsets[:-1]].astype(np.int64)
+    length = np.diff(offsets) - 1
+    x["sketch"] = _fold(flat, np.stack((offsets[:-1] + 1, length)), int(length.min()))
+    some = np.zeros(len(x["node"]), bool)
+    for p, q in _compare(x):
+        some[p] = some[q] = True
+    node = x["node"][some]
+    return pa.record_batch({"key": pa.array(np.full(len(node), x["key"], np.int64)), "node": pa.array(node)})
+
+
+def _forest(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Links that join components, no more than it takes; data is the set itself.
+
+    A pair is verified by counting equal shingles unless links found before have joined its
+    components already.
+    """
+    x, offsets, flat = _meet(held)
+    x["size"] = np.diff(offsets).astype(np.int64)
+    length = sketch_longs(x["size"])
+    x["sketch"] = _fold(sketches(np.repeat(np.arange(len(x["size"])), x["size"]), flat, x["size"]).view(U64), np.stack((np.cumsum(length) - length, length)), int(length.min()))
+    x["root"] = x["root"].copy()
+    links = []
+    for p, q in _compare(x):
+        cut = np.flatnonzero(np.append(True, p[1:] != p[:-1])) if len(p) else []
+        for a, b in zip(cut, np.append(cut[1:], len(p)), strict=True) if len(p) else ():
+            one, others = int(p[a]), q[a:b]
+            mine = flat[offsets[one] : offsets[one + 1]]
+            while len(others := others[x["root"][others] != x["root"][one]]):
+                other, others = int(others[0]), others[1:]
+                both = np.concatenate((mine, flat[offsets[other] : offsets[other + 1]]))
+                both.sort()
+                shared = int((both[1:] == both[:-1]).sum())
+                if 100 * shared >= 80 * (len(both) - shared):
+                    links.append((int(x["node"][one]), int(x["node"][other])))
+                    x["root"][x["root"] == x["root"][other]] = x["root"][one]
+    return pa.record_batch({"a": pa.array([min(x) for x in links], pa.int64()), "b": pa.array([max(x) for x in links], pa.int64())})
+
+
+def _each_meeting(settle):
+    """Applies ``settle`` to the rows of each two chunks, which come sorted by (key, lo, hi)."""
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            key = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in ("key", "lo", "hi")], 1)
+            cut = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+            for a, b in zip(np.append(0, cut), np.append(cut, len(key)), strict=True):
+                if a == b:
+                    continue
+                now = tuple(key[a].tolist())
+                if now != last and held:
+                    yield settle(held)
+                    held = []
+                last = now
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield settle(held)
 
-def _verified(pairs: DataFrame, slim: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are at least 80 % similar."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    keepers = nodes.join(wanted, "node", "left_semi").select("node", "row.doc_id", "row.crc")
+    return run
+
+
+def _across(entries: DataFrame, roots: DataFrame, nodes: DataFrame, slim: DataFrame) -> DataFrame:
+    """Links (a, b) between components inside groups, at least as many as join what is linked.
+
+    First sketches tell which members have an open pair with another component at all; only
+    these meet again with their whole sets, and only links that join components become rows.
+    """
+    brief = nodes.select("node", F.size("sketch").alias("weight"), F.concat(F.array("size"), "sketch").alias("data"))
+    some = _meetings(entries, roots, brief, CHUNK_LONGS).mapInArrow(_each_meeting(_open_members), "key long, node long")
+    some = materialise(some.distinct(), "open-members")
+    if some.isEmpty():
+        return entries.sparkSession.createDataFrame([], "a long, b long")
+    whole = _sets_of(some, slim, nodes).select("node", F.size("shingles").alias("weight"), F.col("shingles").alias("data"))
+    return materialise(_meetings(some, roots, whole, CHUNK_LONGS).mapInArrow(_each_meeting(_forest), "a long, b long").distinct(), "links")
+
+
+def _sets_of(wanted: DataFrame, slim: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows (node, shingles) of the nodes in ``wanted(node)``."""
+    keepers = nodes.join(wanted.select("node").distinct(), "node", "left_semi").select("node", "row.doc_id", "row.crc")
     texts = slim.withColumn("doc_id", F.coalesce("doc_id", F.lit(int(_LAST)))).join(keepers, ["doc_id", "crc"]).select("node", "text")
     held = materialise(texts.mapInArrow(_exact_sets, "node long, shingles array<long>"), "sets")
+    return held.dropDuplicates(["node"])
+
+
+def _verified(pairs: DataFrame, slim: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are at least 80 % similar."""
+    held = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), slim, nodes)
     left = held.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = held.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
@@ -369,10 +433,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     open_pairs = materialise(_possible(pairs, nodes), "pairs")
     links = materialise(_verified(open_pairs, slim, nodes), "links")
     roots = components(links)
-    more = _across(entries, roots, nodes).distinct().join(open_pairs, ["a", "b"], "left_anti")
-    late = materialise(more, "pairs")
+    late = _across(entries, roots, nodes, slim)
     if not late.isEmpty():
-        late = materialise(_verified(late, slim, nodes), "links")
         roots = components(links.unionByName(late))
     reached = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = reached.where("size > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
