@@ -47,7 +47,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, lossless): the ids of each text, and whether they decode to it."""
-    both = bpe.decode_ids(bpe.encode_texts(docs.select("doc_id", "text"), ranks(), PATTERN), ranks(), PATTERN)
+    both = bpe.round_trip(docs.select("doc_id", "text"), ranks(), PATTERN)
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("lossless"))
 

@@ -193,6 +193,7 @@ def test_bpe_round_trip(docs):
     enc = bpe.encoding(ranks(), PATTERN)
     out = bpe.decode_ids(bpe.encode_texts(docs, ranks(), PATTERN), ranks(), PATTERN).collect()
     assert len(out) == len(ROWS)
+    assert sorted(map(tuple, out), key=str) == sorted(map(tuple, bpe.round_trip(docs, ranks(), PATTERN).collect()), key=str)
     for r in out:
         assert list(r["ids"]) == enc.encode_ordinary(r["text"] or "") and bytes(r["decoded"]) == (r["text"] or "").encode()
 

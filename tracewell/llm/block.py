@@ -165,6 +165,8 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int) -> Iterato
             a = b
     if held:
         yield together(held)
+    held = []
+    pa.default_memory_pool().release_unused()  # the worker may wait for other tasks
 
 
 def together(batches: list[pa.RecordBatch]) -> pa.RecordBatch:

@@ -128,6 +128,17 @@ def _decode_all(column: str, path: str, pattern: str):
     return run
 
 
+def _both(column: str, path: str, pattern: str):
+    encode_batches, decode_batches = _encode_all(column, path, pattern), _decode_all("ids", path, pattern)
+    return lambda batches: decode_batches(encode_batches(batches))
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``ids`` and ``decoded`` as encode_texts and decode_ids give them, in one worker for each task."""
+    docs = docs.drop("ids", "decoded")
+    return docs.mapInArrow(_both(text_col, path, pattern), extended(docs.schema, ids="array<int>", decoded="binary"))
+
+
 def encode_texts(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """``docs`` with ``ids array<int>``, the tokens of each whole text; null encodes as empty.
 

@@ -29,7 +29,7 @@ from .block import U64, Block, mix, slices
 from .jaccard_join import sets
 
 SIZE = 5
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 2 << 20
 ITEM_SHINGLES = 2_000_000
 _MATCH = "item_id long, n_item_shingles long, n_shared long"
 

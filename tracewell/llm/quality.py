@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .block import _WS, U64, Block, Rolling, extended, mix, slices
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 2 << 20
 SAMPLE = 20_000
 REPEAT = 8
 #: Features, and +1 or -1 where the score may only rise or fall with them.
