@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .block import extended, slices
 from .bpe import encoding
+from .scratch import materialise
 
 SPAN = 1024
 
@@ -54,6 +55,7 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
     docs_at_most: documents of at most L tokens; with the total it gives every quantile.
     An empty histogram gives no rows.
     """
+    hist = materialise(hist, "lengths")  # read twice below; a row per distinct length
     hist = hist.withColumn("span", F.floor(F.col("n_tokens") / SPAN)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     spans = hist.groupBy("span").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     above = Window.orderBy(F.desc("span")).rowsBetween(Window.unboundedPreceding, -1)
