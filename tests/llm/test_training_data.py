@@ -131,6 +131,23 @@ def test_jaccard_chain_and_near_copies(spark):
     assert sorted(got) == sorted(brute_classes(rows))
 
 
+def test_jaccard_links_between_two_members_of_a_group(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for t in range(300):  # of three texts only two may be left open after the least one is verified
+        one = [f"t{t}_{k}" for k in range(14 if t % 2 else rng.randrange(6, 21))]
+        two = [f"t{t}_b", *one[1:]]
+        three = [*two[:-1], f"t{t}_c"]
+        if t % 3 == 0:
+            three[rng.randrange(len(three))] = f"t{t}_d"
+        rows += [(3 * t + k, " ".join(w)) for k, w in enumerate((one, two, three))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in jaccard_join.classes(df).collect()]
+    assert sorted(got) == sorted(brute_classes(rows))
+
+
 @pytest.mark.parametrize("limit", [3, 8, 1 << 20])
 def test_lm_base_scores(docs, limit):
     held = lambda i: zlib.crc32(str(i).encode() if i is not None else b"") % 10 == 0

@@ -245,16 +245,18 @@ def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return met.where(9 * _difference(F.col("sa"), F.col("sb")) <= F.col("na") + F.col("nb")).select("a", "b")
 
 
-def _meetings(entries: DataFrame, roots: DataFrame, nodes: DataFrame, values: int) -> DataFrame:
+def _meetings(entries: DataFrame, roots: DataFrame, nodes: DataFrame, values: int, least: int) -> DataFrame:
     """Rows (key, lo, hi, chunk, node, root, main, data) of the groups in ``entries(key, node)`` that span components.
 
+    Groups with fewer than ``least`` members do not meet: 3 where every member was already
+    verified against the least one, 2 where ``entries`` has only some members of a group.
     ``nodes(node, weight, data)`` has what a member brings along.  Members are dealt into chunks
     of about ``CHUNK`` members and of weights of about ``values`` by hash, and each two chunks
     meet in one place, so neither a task nor a row ever has a whole group.
     """
     placed = entries.join(roots, "node", "left").join(nodes.select("node", "weight"), "node").withColumn("root", F.coalesce("root", "node"))
     counts = placed.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
-    spans = counts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).where("roots > 1 and n > 2")
+    spans = counts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).where(f"roots > 1 and n >= {least}")
     chunks = F.ceil(F.greatest(F.col("n") / CHUNK, F.col("w") / values)).cast("int")
     rows = placed.join(spans.select("key", "main", chunks.alias("chunks")), "key").join(nodes.select("node", "data"), "node")
     chunks = F.col("chunks")
@@ -382,12 +384,12 @@ def _across(entries: DataFrame, roots: DataFrame, nodes: DataFrame, slim: DataFr
     these meet again with their whole sets, and only links that join components become rows.
     """
     brief = nodes.select("node", F.size("sketch").alias("weight"), F.concat(F.array("size"), "sketch").alias("data"))
-    some = _meetings(entries, roots, brief, CHUNK_LONGS).mapInArrow(_each_meeting(_open_members), "key long, node long")
+    some = _meetings(entries, roots, brief, CHUNK_LONGS, 3).mapInArrow(_each_meeting(_open_members), "key long, node long")
     some = materialise(some.distinct(), "open-members")
     if some.isEmpty():
         return entries.sparkSession.createDataFrame([], "a long, b long")
     whole = _sets_of(some, slim, nodes).select("node", F.size("shingles").alias("weight"), F.col("shingles").alias("data"))
-    return materialise(_meetings(some, roots, whole, CHUNK_LONGS).mapInArrow(_each_meeting(_forest), "a long, b long").distinct(), "links")
+    return materialise(_meetings(some, roots, whole, CHUNK_LONGS, 2).mapInArrow(_each_meeting(_forest), "a long, b long").distinct(), "links")
 
 
 def _sets_of(wanted: DataFrame, slim: DataFrame, nodes: DataFrame) -> DataFrame:
