@@ -207,6 +207,20 @@ def test_word_encoder_equals_the_library():
         assert ids[ends[k] : ends[k + 1]].tolist() == plain.encode(t or "", add_special_tokens=False).ids + [1]
 
 
+def test_word_encoder_gives_added_tokens_their_ids():
+    from tokenizers import Tokenizer
+
+    path = f"{TOKENIZERS}/word_bpe_49k.json"
+    plain = Tokenizer.from_file(path)
+    end, start = "<|endoftext|>", "<|startoftext|>"
+    texts = [end, f"{start} a dog{end}", f"mid{end}dle it{start}'s {end}{end} x", f"<|ENDOFTEXT|> <|endoftext |> e{end}\u0301 {start}\u3000b", f"12{start[:-1]} {end}\n\tThe end", "no such token"]
+    ids, counts = token_ids.encoder(path).encode(pa.array(texts), 1)
+    ends = np.concatenate(([0], np.cumsum(counts)))
+    for k, t in enumerate(texts):
+        assert ids[ends[k] : ends[k + 1]].tolist() == plain.encode(t, add_special_tokens=False).ids + [1]
+    assert 49407 in ids and 49406 in ids
+
+
 def test_warc_reader_checks_what_it_reads():
     import hashlib
     import io

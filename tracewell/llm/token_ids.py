@@ -12,7 +12,8 @@ has the id of each rank.  Files follow the order of document ids.
 
 Encoding.  The normaliser and the pattern of the vocabulary never join or look across ASCII
 white space, so a text's ids are those of its words one after another.  Each distinct word of
-a block is encoded once by the tokenizers library, and remembered for later blocks.
+a block is encoded once by the tokenizers library, and remembered for later blocks.  The added
+tokens of the vocabulary have their own ids wherever a text has them, as in the library.
 
 Scale.  Documents are dealt into ranges of ids whose bounds come from the id column alone; an
 id that fills several ranges is split by the hash of the text.  Compressed ids move to their
@@ -91,14 +92,17 @@ class WordEncoder:
 
     Words met before are remembered as sorted 64-bit hashes beside their ids in one flat array,
     so looking up a block is one search and a remembered word takes about 40 bytes.
+
+    added: whether the vocabulary's added tokens in a text get their own ids, as the library has
+    it by default; otherwise they are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
         self._forget()
 
     def _forget(self) -> None:
@@ -150,7 +154,7 @@ class WordEncoder:
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    return WordEncoder(path, added=True)
 
 
 def _squeeze(ids: np.ndarray) -> bytes:
