@@ -167,6 +167,22 @@ def test_lm_predicts_held_out_text(spark):
     assert out[0] > 0.5 * out[1]
 
 
+def test_lm_scores_do_not_depend_on_shards(spark):
+    import random
+
+    rng = random.Random(5)
+    words = ["the"] * 40 + ["of"] * 25 + ["and"] * 10 + [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(rng.choice(words) for _ in range(rng.randrange(60)))) for k in range(120)]
+    df, before, found = spark.createDataFrame(rows, "doc_id long, text string"), spark.conf.get("spark.sql.shuffle.partitions"), []
+    for n in (1, 13):  # one shard splits no word
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            found.append({r["doc_id"]: r["score"] for r in ngram_lm.score(df).collect()})
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(found[0]) == len(rows) and all(abs(s - found[1][k]) < 1e-3 for k, s in found[0].items())
+
+
 def test_lm_class_split_still_sums_to_one():
     import numpy as np
 

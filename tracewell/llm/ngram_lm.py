@@ -15,8 +15,9 @@ Scale.  The trie is sharded by middle word.  A block of documents sends each sha
 trigrams it has for it, as one compressed blob with training and scoring occurrences alike;
 the shard counts, builds its trie, answers, and returns a sum per document.  Nothing is ever
 held whole.  A middle word with more than its share of tokens is split into classes by the
-hash of the last word, with P(w | context) = P(class | middle word) P(w | context, class), so
-that each class is a shard entry of its own and all its counts are local.
+hash of the last word, and each class is a shard entry of its own.  That is placement only:
+tokens and types of a split word and of its contexts are added up over the shards and sent
+back before the tries are built, so scores do not depend on the number of shards.
 Tasks know the counts of at most ``VOCABULARY`` words, the most frequent (24 MB); the words
 beyond are one class in the model, and their exact counts come from a join.
 """
@@ -44,7 +45,7 @@ BLOCK_BYTES = 6 << 20
 BITS = 21
 #: Words that tasks know; ids 0 to 3 are reserved.
 VOCABULARY = (1 << BITS) - 8
-START, END, OTHER, FIRST = 0, 1, 2, 4
+START, END, OTHER, ANY, FIRST = 0, 1, 2, 3, 4
 END_HASH = np.int64(-0x61C8864680B583EB)
 #: Tokens that a shard should have, and about how many a byte of stored input makes.
 SHARD_TOKENS, PER_BYTE = 1_500_000, 0.28
@@ -125,11 +126,12 @@ class Trie:
         self.levels, self.codes = levels, codes
 
     @classmethod
-    def build(cls, middle: np.ndarray, first: np.ndarray, last: np.ndarray, count: np.ndarray, log_class: np.ndarray, log1: np.ndarray) -> Trie:
+    def build(cls, middle: np.ndarray, first: np.ndarray, last: np.ndarray, count: np.ndarray, log_class: np.ndarray, log1: np.ndarray, totals=None) -> Trie:
         """From distinct trigrams sorted by (middle, first, last).
 
         middle: index of the pair; log_class: log10 of P(class | middle word) of each pair;
-        log1: log10 of the last word's unigram probability within its class.
+        log1: log10 of the last word's unigram probability.  totals: (tokens, types) of each pair
+        and (keys, tokens, types) of contexts where these trigrams are not all there are.
         """
         n_middle = len(log_class)
         pair, at, which = np.unique(middle << BITS | last, return_index=True, return_inverse=True)
@@ -137,13 +139,16 @@ class Trie:
         of = pair >> BITS
         successor_at = np.searchsorted(of, np.arange(n_middle + 1))
         types = np.diff(successor_at)
-        total = np.bincount(of, c2, n_middle)
-        p2 = (c2 + types[of] * 10.0 ** log1[at]) / (total + types)[of]
+        total, all_types = (np.bincount(of, c2, n_middle), types) if totals is None else totals[:2]
+        p2 = (c2 + all_types[of] * 10.0 ** log1[at]) / (total + all_types)[of]
         context, start = np.unique(middle << BITS | first, return_index=True)
+        c_total, c_types = np.add.reduceat(count, start) if len(start) else count[:0], np.diff(np.append(start, len(count)))
+        if totals is not None:
+            context, c_total, c_types = totals[2:]
+            start = np.searchsorted(middle << BITS | first, context)
         mine = context >> BITS
         ends = np.append(start, len(count))
-        c_total, c_types = np.add.reduceat(count, start) if len(start) else count[:0], np.diff(ends)
-        owner = np.repeat(np.arange(len(context)), c_types)
+        owner = np.repeat(np.arange(len(context)), np.diff(ends))
         p3 = (count + c_types[owner] * p2[which]) / (c_total + c_types)[owner]
         width = types[mine]
         base = np.concatenate(([0], np.cumsum(width)))
@@ -153,7 +158,7 @@ class Trie:
             "context_at": EliasFano.of(ends), "context": EliasFano.of(context, n_middle + 1 << BITS), "base": EliasFano.of(base), "trigram": EliasFano.of(base[owner] + rank, int(base[-1]) + 1),
         }
         codes = {
-            "class": _quantise(log_class), "successor_backoff": _quantise(np.log10(np.maximum(types, 1) / np.maximum(total + types, 1))), "successor": _quantise(np.log10(p2)),
+            "class": _quantise(log_class), "successor_backoff": _quantise(np.log10(np.maximum(all_types, 1) / np.maximum(total + all_types, 1))), "successor": _quantise(np.log10(p2)),
             "context_backoff": _quantise(np.log10(c_types / (c_total + c_types))), "trigram": _quantise(np.log10(p3)),
         }
         return cls(levels, codes)
@@ -311,24 +316,54 @@ def _send(vocab, shards: int):
     return run
 
 
-def build_shard(key: np.ndarray, count: np.ndarray, asked: np.ndarray, v: Vocabulary, shards: int) -> tuple[Trie, np.ndarray]:
-    """(the trie of a shard, the distinct pairs it has), from distinct training trigrams."""
-    classes = v.classes(shards)
+def _added(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, their tokens, their types) of ascending ``key``; a type has tokens."""
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    if not len(start):
+        return key, count, count
+    return key[start], np.add.reduceat(count, start), np.add.reduceat((count > 0).astype(np.int64), start)
+
+
+def split_contexts(asked: np.ndarray, count: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, tokens, types) here of each asked context of a split middle word, and with ``ANY`` of the word."""
+    pick = classes[asked >> 2 * BITS] > 1
+    asked, count = asked[pick], count[pick]
+    context = _added(asked >> BITS, count)
+    pair, which = np.unique(asked >> 2 * BITS << BITS | asked & _MASK, return_inverse=True)
+    word = _added(pair >> BITS, np.bincount(which, count, len(pair)).astype(np.int64))
+    out = [np.concatenate((x, y)) for x, y in zip(context, (word[0] << BITS | ANY, *word[1:]), strict=True)]
+    order = np.argsort(out[0])
+    return out[0][order], out[1][order], out[2][order]
+
 
-    def pair_of(k: np.ndarray) -> np.ndarray:
-        one = k >> 2 * BITS
-        return one << BITS | class_of(k & _MASK, classes[one])
-
-    pairs = np.unique(pair_of(asked))
-    middle = np.searchsorted(pairs, pair_of(key))
-    log1 = _in_class(key & _MASK, pairs[middle] >> BITS, v, classes)
-    total = np.bincount(middle, count, len(pairs))
-    n = classes[pairs >> BITS]
-    log_class = np.log10((total + 1.0 / n) / (v.counts[pairs >> BITS] + 1.0))
-    log_class = np.where(n == 1, 0.0, log_class)
-    first, last = key >> BITS & _MASK, key & _MASK
+def build_shard(asked: np.ndarray, count: np.ndarray, v: Vocabulary, shards: int, split: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[Trie, np.ndarray]:
+    """(the trie of a shard, the distinct pairs it has), from distinct asked trigrams and their training counts.
+
+    split: (key, tokens, types) over all shards of what ``split_contexts`` names.
+    """
+    classes = v.classes(shards)
+    one, first, last = asked >> 2 * BITS, asked >> BITS & _MASK, asked & _MASK
+    pair = one << BITS | class_of(last, classes[one])
+    pairs = np.unique(pair)
+    middle = np.searchsorted(pairs, pair)
+    del pair, one
     order = np.lexsort((last, first, middle))
-    return Trie.build(middle[order], first[order], last[order], count[order], log_class, log1[order]), pairs
+    middle, first, last, count = middle[order], first[order], last[order], count[order]
+    context, c_total, c_types = _added(middle << BITS | first, count)
+    seen = count > 0
+    middle, first, last, count = middle[seen], first[seen], last[seen], count[seen]
+    total = np.bincount(middle, count, len(pairs)).astype(np.int64)
+    types = np.bincount(np.unique(middle << BITS | last) >> BITS, minlength=len(pairs))
+    word = pairs >> BITS
+    hot = np.flatnonzero(classes[word] > 1)
+    at = np.searchsorted(split[0], word[hot] << BITS | ANY)
+    total[hot], types[hot] = split[1][at], split[2][at]
+    hot = np.flatnonzero(classes[word[context >> BITS]] > 1)
+    at = np.searchsorted(split[0], word[context[hot] >> BITS] << BITS | context[hot] & _MASK)
+    c_total[hot], c_types[hot] = split[1][at], split[2][at]
+    some = c_total > 0
+    totals = total, types, context[some], c_total[some], c_types[some]
+    return Trie.build(middle, first, last, count, np.zeros(len(pairs)), v.log1[last], totals), pairs
 
 
 def _in_class(last: np.ndarray, middle: np.ndarray, v: Vocabulary, classes: np.ndarray) -> np.ndarray:
@@ -341,20 +376,79 @@ def _in_class(last: np.ndarray, middle: np.ndarray, v: Vocabulary, classes: np.n
     return out
 
 
-def _answer(blobs: list[tuple[int, bytes]], v: Vocabulary, shards: int) -> Iterator[tuple[int, bytes]]:
-    """Sums of log10 probabilities by document, for each blob of a shard."""
+def _occurrences(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(distinct trigrams, their training counts, trigram of each occurrence, owners by blob)."""
     keys, owners = [], []
-    for _, blob in blobs:
+    for blob in blobs:
         k, o = _unpack(blob, [np.int64, np.uint32])
         keys.append(np.cumsum(k))
         owners.append(o)
     key = np.concatenate(keys)
-    train = (np.concatenate(owners) & 1) == 0
+    del keys
     asked, which = np.unique(key, return_inverse=True)
-    count = np.bincount(which[train], minlength=len(asked))
-    del key, keys, train
-    seen = count > 0
-    trie, pairs = build_shard(asked[seen], count[seen], asked, v, shards)
+    return asked, np.bincount(which[(np.concatenate(owners) & 1) == 0], minlength=len(asked)), which, owners
+
+
+def _buckets(key: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, positions of its keys in order)."""
+    bucket = (mix(key.astype(U64)) % U64(shards)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cut = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)) if len(key) else np.zeros(0, np.int64)
+    for a, b in zip(cut, np.append(cut[1:], len(key)), strict=True) if len(cut) else ():
+        yield int(bucket[order[a]]), order[a:b]
+
+
+def _by_shard(settle):
+    """Applies ``settle(shard, blocks, blobs)`` to the rows of kind 0, which come sorted by shard."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for shard, kind, block, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
+                if kind:
+                    continue
+                if shard != now and held:
+                    yield settle(now, *zip(*held, strict=True))
+                    held = []
+                now = shard
+                held.append((block, blob.as_py()))
+        if held:
+            yield settle(now, *zip(*held, strict=True))
+
+    return run
+
+
+def _ask(vocab, shards: int):
+    """What each shard has of the contexts of split words, to the bucket of each context."""
+
+    def settle(shard: int, _, blobs: tuple) -> pa.RecordBatch:
+        asked, count, _, _ = _occurrences(blobs)
+        key, tokens, types = split_contexts(asked, count, vocab.value.classes(shards))
+        out = [(b, _pack([np.diff(key[i], prepend=0), tokens[i], types[i]])) for b, i in _buckets(key, shards)]
+        return _blobs([b for b, _ in out], [0] * len(out), [shard] * len(out), [x for _, x in out])
+
+    return _by_shard(settle)
+
+
+def _add_up(bucket: int, askers: tuple, blobs: tuple) -> pa.RecordBatch:
+    """The sums of a bucket, to each shard for the contexts that it named."""
+    parts = [_unpack(b, [np.int64] * 3) for b in blobs]
+    key, which = np.unique(np.concatenate([np.cumsum(p[0]) for p in parts]), return_inverse=True)
+    tokens, types = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+    np.add.at(tokens, which, np.concatenate([p[1] for p in parts]))
+    np.add.at(types, which, np.concatenate([p[2] for p in parts]))
+    ends = np.cumsum([len(p[0]) for p in parts])
+    out = [_pack([tokens[w], types[w]]) for w in np.split(which, ends[:-1])]
+    return _blobs(list(askers), [2] * len(out), [bucket] * len(out), out)
+
+
+def _answer(blocks: list[int], blobs: list[bytes], sums: dict[int, bytes], v: Vocabulary, shards: int) -> Iterator[tuple[int, bytes]]:
+    """Sums of log10 probabilities by document, for each blob of a shard."""
+    asked, count, which, owners = _occurrences(blobs)
+    key, tokens, types = split_contexts(asked, count, v.classes(shards))
+    for bucket, place in _buckets(key, shards):
+        tokens[place], types[place] = _unpack(sums[bucket], [np.int64] * 2)
+    trie, pairs = build_shard(asked, count, v, shards, (key, tokens, types))
     trie = Trie.from_buffer(trie.to_bytes())
     classes = v.classes(shards)
     one, last = asked >> 2 * BITS, asked & _MASK
@@ -362,9 +456,9 @@ def _answer(blobs: list[tuple[int, bytes]], v: Vocabulary, shards: int) -> Itera
     score = np.empty(len(asked))
     for a in range(0, len(asked), 1 << 17):
         b = a + (1 << 17)
-        score[a:b] = trie.score(middle[a:b], asked[a:b] >> BITS & _MASK, last[a:b], _in_class(last[a:b], one[a:b], v, classes))
+        score[a:b] = trie.score(middle[a:b], asked[a:b] >> BITS & _MASK, last[a:b], v.log1[last[a:b]])
     at = 0
-    for (block, _), owner in zip(blobs, owners, strict=True):
+    for block, owner in zip(blocks, owners, strict=True):
         docs, place = np.unique(owner >> np.uint32(1), return_inverse=True)
         total = np.bincount(place, score[which[at : at + len(owner)]], len(docs))
         at += len(owner)
@@ -372,25 +466,15 @@ def _answer(blobs: list[tuple[int, bytes]], v: Vocabulary, shards: int) -> Itera
 
 
 def _answer_all(vocab, shards: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-
-        def settle() -> Iterator[pa.RecordBatch]:
-            for block, blob in _answer(held, vocab.value, shards):
-                yield _blobs([0], [0], [block], [blob])
-
-        for batch in batches:
-            for shard, kind, block, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
-                if kind:
-                    yield _blobs([shard], [1], [block], [blob.as_py()])
-                    continue
-                if shard != now and held:
-                    yield from settle()
-                    held = []
-                now = shard
-                held.append((block, blob.as_py()))
-        if held:
-            yield from settle()
+    def run(here: pa.Table, sums: pa.Table) -> pa.Table:
+        kind = here.column("kind").to_numpy()
+        block, blob = here.column("block").to_pylist(), here.column("blob").to_pylist()
+        docs, mine = np.flatnonzero(kind == 1), np.flatnonzero(kind == 0)
+        out = [(block[k], 1, blob[k]) for k in docs]
+        if len(mine):
+            of = dict(zip(sums.column("block").to_pylist(), sums.column("blob").to_pylist(), strict=True))
+            out += [(b, 0, x) for b, x in _answer([block[k] for k in mine], [blob[k] for k in mine], of, vocab.value, shards)]
+        return pa.Table.from_batches([_blobs([0] * len(out), [x[1] for x in out], [x[0] for x in out], [x[2] for x in out])])
 
     return run
 
@@ -467,7 +551,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit
     size = input_bytes(docs)
     shards = max(shuffles, math.ceil(size * PER_BYTE / SHARD_TOKENS)) if size < 1 << 55 else shuffles
     blobs = slim.mapInArrow(_send(vocab, shards), _BLOBS).repartition(shards, "shard").sortWithinPartitions("shard")
-    sums = blobs.mapInArrow(_answer_all(vocab, shards), _BLOBS).repartition(shards, "block").sortWithinPartitions("block")
+    parts = blobs.mapInArrow(_ask(vocab, shards), _BLOBS).repartition(shards, "shard").sortWithinPartitions("shard")
+    totals = parts.mapInArrow(_by_shard(_add_up), _BLOBS).repartition(shards, "shard")
+    answers = blobs.groupBy("shard").cogroup(totals.groupBy("shard")).applyInArrow(_answer_all(vocab, shards), _BLOBS)
+    sums = answers.repartition(shards, "block").sortWithinPartitions("block")
     out = sums.mapInArrow(_gather, _SCORES)
     if v.least > 1:
         asked = slim.mapInArrow(_others(vocab), "word long, doc_id long, crc long, n long").dropDuplicates()
