@@ -7,7 +7,7 @@ import pytest
 from tracewell.llm import bpe, decontaminate, jaccard_join, ngram_lm, quality, token_ids, warc
 from tracewell.llm.block import Block, Rolling, slices
 from tracewell.llm.elias_fano import EliasFano
-from tracewell.llm.queries import PATTERN, TOKENIZERS, ranks
+from tracewell.llm.queries import PATTERN, ranks, word_vocabulary
 
 TEXTS = ["a bb  ccc\n", None, "", " \t\x0b", "a", "bb a bb ccc", "é x y z", "x" * 5000, "<|endoftext|> it's 'll 12"]
 
@@ -197,7 +197,7 @@ def test_varint_round_trip():
 def test_word_encoder_equals_the_library():
     from tokenizers import Tokenizer
 
-    path = f"{TOKENIZERS}/word_bpe_49k.json"
+    path = word_vocabulary()
     plain = Tokenizer.from_file(path)
     plain.encode_special_tokens = True
     texts = TEXTS + ["The  Quick brown\nfox's 123 é ́x ΣΣ İ ǅ don't!! 日本語🙂"]
@@ -210,7 +210,7 @@ def test_word_encoder_equals_the_library():
 def test_word_encoder_gives_added_tokens_their_ids():
     from tokenizers import Tokenizer
 
-    path = f"{TOKENIZERS}/word_bpe_49k.json"
+    path = word_vocabulary()
     plain = Tokenizer.from_file(path)
     end, start = "<|endoftext|>", "<|startoftext|>"
     texts = [end, f"{start} a dog{end}", f"mid{end}dle it{start}'s {end}{end} x", f"<|ENDOFTEXT|> <|endoftext |> e{end}\u0301 {start}\u3000b", f"12{start[:-1]} {end}\n\tThe end", "no such token"]
@@ -238,7 +238,7 @@ def test_warc_reader_checks_what_it_reads():
 
 
 def test_word_encoder_remembers_and_forgets(monkeypatch):
-    path = f"{TOKENIZERS}/word_bpe_49k.json"
+    path = word_vocabulary()
     fresh, kept = token_ids.WordEncoder(path), token_ids.WordEncoder(path)
     monkeypatch.setattr(token_ids, "REMEMBERED", 5)
     rng = random.Random(0)

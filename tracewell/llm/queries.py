@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-import os
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from public_tokenizers import PATTERN, path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +15,6 @@ from . import bpe, chat, decontaminate, jaccard_join, ngram_lm, quality, token_c
 from .scratch import new_path
 from .substring_dedup import remove_repeats
 
-#: Where the vocabularies of the public tokenizers are, and the pattern of the rank files.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
-# Fixed value: the published pattern that splits text before the merges.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,7 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ranks() -> str:
-    return f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken"
+    """The file of ranks of the byte-level vocabulary."""
+    return path("byte_bpe_multi_50k.tiktoken")
+
+
+def word_vocabulary() -> str:
+    """The file of the vocabulary with word ends."""
+    return path("word_bpe_49k.json")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,11 +44,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def _bpe_digests(path: str, pattern: str):
+def _bpe_digests(ranks_path: str, pattern: str):
     """(doc_id, ids) to the contract's columns, decoding on the way."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = bpe.encoding(path, pattern)
+        enc = bpe.encoding(ranks_path, pattern)
         for batch in batches:
             n, ids_sha, decoded_sha = [], [], []
             for ids in bpe.id_arrays(batch.column("ids")):
@@ -95,7 +97,7 @@ def _id_digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "token-ids")
-    files = token_ids.write_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), folder, f"{TOKENIZERS}/word_bpe_49k.json")
+    files = token_ids.write_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), folder, word_vocabulary())
     return token_ids.read_ids(files, folder).mapInArrow(_id_digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
