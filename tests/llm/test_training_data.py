@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.llm import bpe, chat, decontaminate, jaccard_join, ngram_lm, quality, token_counts, token_ids, warc
-from tracewell.llm.queries import PATTERN, TOKENIZERS, ranks
+from tracewell.llm.queries import PATTERN, ranks, word_vocabulary
 from tracewell.llm.scratch import new_path
 from tracewell.llm.substring_dedup import remove_repeats
 
@@ -69,7 +69,7 @@ def test_empty_tables(spark, docs, empty, tmp_path):
     assert quality.judge(empty, quality.train(empty, labels)).count() == 0
     assert token_counts.suffix_sums(token_counts.histogram(token_counts.token_lengths(empty.select("text"), ranks(), PATTERN))).count() == 0
     folder = new_path(spark, "ids")
-    assert token_ids.read_ids(token_ids.write_ids(empty, folder, f"{TOKENIZERS}/word_bpe_49k.json"), folder).count() == 0
+    assert token_ids.read_ids(token_ids.write_ids(empty, folder, word_vocabulary()), folder).count() == 0
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     folder = new_path(spark, "warc")
     assert warc.read_archives(warc.write_archives(pages, folder), folder).count() == 0
@@ -278,11 +278,17 @@ def test_token_counts(docs):
         assert token_counts.quantile(sums, q).first()["n_tokens"] == want
 
 
+def test_quantiles_are_exact(spark):
+    sums = token_counts.suffix_sums(spark.createDataFrame([(n, 1) for n in range(1, 101)], "n_tokens long, n_docs long"))
+    for q, want in ((0.07, 7), (0.29, 29), (0.295, 30), (0.0, 1)):
+        assert token_counts.quantile(sums, q).first()["n_tokens"] == want
+
+
 @pytest.mark.parametrize("ranges", [1, 6])
 def test_token_id_files(spark, docs, ranges, monkeypatch):
     from tokenizers import Tokenizer
 
-    path = f"{TOKENIZERS}/word_bpe_49k.json"
+    path = word_vocabulary()
     tokenizer = Tokenizer.from_file(path)
     monkeypatch.setattr(token_ids, "RANGE_BYTES", 1 << 62 if ranges == 1 else 64)
     folder = new_path(spark, "ids")
@@ -330,6 +336,26 @@ def test_chat_layouts(spark):
     assert chat.turns_of_table(nested).count() == 2
 
 
+def test_chat_ignores_further_fields_and_loses_no_conversation(spark):
+    records = [
+        (1, '{"id": 7, "meta": {"a": {"b": [1]}}, "messages": [{"role": "user", "name": "n", "content": "{\\"x\\": [1]}"}, {"role": "gpt", "content": "yo", "tags": []}]}'),
+        (2, '{"question": "q", "prompt": "hi", "system": null, "response": "yo", "tags": ["a"]}'), (3, '{"other": {"prompt": 1}}'), (4, None), (5, '{"conversations": [{"from": "gpt", "value": "[INST]", "w": 1}]}'),
+    ]
+    df = spark.createDataFrame(records, "conv_id long, record string")
+    rows = chat.turns_of_json(df, "record")
+    got = {r["key"]: (r["layout"], r["turns"] and [tuple(t) for t in r["turns"]]) for r in rows.collect()}
+    assert got[1] == ("messages", [("user", '{"x": [1]}'), ("gpt", "yo")])
+    assert got[2] == ("system_prompt_response", [("user", "hi"), ("assistant", "yo")])
+    assert got[3] == got[4] == (None, None) and got[5] == ("conversations", [("assistant", "[INST]")])
+    out = {r["conv_id"]: (len(r["t"]), len(r["loss"])) for r in chat.format_turns(chat.exploded(rows)).withColumn("t", chat.parse(F.col("formatted"))).collect()}
+    assert out == {1: (2, 0), 2: (2, 1), 3: (0, 0), 4: (0, 0), 5: (1, 1)}
+
+
+def test_roles_of_turn_rows_stay(spark):
+    df = spark.createDataFrame([(1, 0, "human", "a"), (1, 1, "gpt", "b")], "conv_id long, turn long, role string, text string")
+    assert [r["role"] for r in chat.turns_of_table(df).orderBy("pos").collect()] == ["human", "gpt"]
+
+
 def test_chat_round_trip(spark):
     hard = ["</s>[INST] ok [/INST]", "~1 ~0 ~", "<<s>s>", "[INST", "", None, "a\n<s>é🙂", "[[INST]/INST]", "x" * 50000]
     rows = [(1, k, ["user", "assistant", "</s>", None][k % 4], t) for k, t in enumerate(hard)] + [(2, 0, "assistant", "b"), (2, 0, "assistant", "a"), (2, 0, "assistant", "a"), (None, None, "user", "n")]
