@@ -13,6 +13,7 @@ ranges, so no single task has the whole histogram.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -98,4 +99,5 @@ def at_limit(sums: DataFrame, limit: int) -> DataFrame:
 
 def quantile(sums: DataFrame, q: float) -> DataFrame:
     """One row with the smallest length that at least the share ``q`` of documents does not exceed."""
-    return sums.where(F.col("docs_at_most") >= F.ceil(F.lit(q) * F.col("total_docs"))).agg(F.min("n_tokens").alias("n_tokens"))
+    share = F.lit(Decimal(str(q))) * F.col("total_docs").cast("decimal(20,0)")  # exact, where doubles round
+    return sums.where(F.col("docs_at_most") >= F.ceil(share)).agg(F.min("n_tokens").alias("n_tokens"))
