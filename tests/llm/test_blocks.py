@@ -65,14 +65,14 @@ def test_trie_is_a_distribution_and_opens_from_a_file(tmp_path):
     count = rng.integers(1, 5, len(key))
     middle, first, last = key >> 42, key >> 21 & ngram_lm._MASK, key & ngram_lm._MASK
     log1 = np.full(len(key), np.log10(1 / 11))
-    trie = ngram_lm.Trie.build(middle, first, last, count, np.zeros(4), log1)
-    (tmp_path / "image").write_bytes(trie.to_bytes())
-    trie = ngram_lm.Trie.open(str(tmp_path / "image"))
+    ngram_lm.Trie.build(middle, first, last, count, log1).save(f"file://{tmp_path}", 7)
+    trie = ngram_lm.Trie.open(f"file://{tmp_path}", 7)
     words = np.arange(1, 12)
-    for m in range(4):
+    for m in (0, 1, 2, 3, 99):
         for f in (4, 6, 99):
             p = 10 ** trie.score(np.full(11, m), np.full(11, f), words, np.full(11, np.log10(1 / 11)))
             assert abs(p.sum() - 1) < 0.06  # one byte for each probability
+    assert (ngram_lm.Trie.open(f"file://{tmp_path}", 8).score(words, words, words, log1[:11]) == log1[:11]).all()
 
 
 @pytest.mark.parametrize("leaf", [1, 3, 8, 40])

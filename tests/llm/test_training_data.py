@@ -167,36 +167,72 @@ def test_lm_predicts_held_out_text(spark):
     assert out[0] > 0.5 * out[1]
 
 
-def test_lm_scores_do_not_depend_on_shards(spark):
+def witten_bell(rows):
+    """Scores by dictionaries, each stored probability and backoff weight rounded as a code is."""
+    held = lambda i: zlib.crc32(str(i).encode() if i is not None else b"") % 10 == 0
+    tokens = [(i, [*(t or "").encode().lower().split(), "end"]) for i, t in rows]
+    one, two, three = Counter(), Counter(), Counter()
+    for i, ws in tokens:
+        if not held(i):
+            before = ["start", "start", *ws]
+            one.update(ws)
+            for k, w in enumerate(ws):
+                two[before[k + 1], w] += 1
+                three[before[k], before[k + 1], w] += 1
+    total2, types2, total3, types3 = Counter(), Counter(), Counter(), Counter()
+    for (b, _), n in two.items():
+        total2[b] += n
+        types2[b] += 1
+    for (a, b, _), n in three.items():
+        total3[a, b] += n
+        types3[a, b] += 1
+    z = sum(one.values()) + 0.1 * (len(one) + 1)
+    code = lambda p: round(-log10(p) * ngram_lm.STEP) / -ngram_lm.STEP
+
+    def log(a, b, w):
+        p1 = (one[w] + 0.1) / z
+        if b not in total2:
+            return log10(p1)
+        p2 = (two[b, w] + types2[b] * p1) / (total2[b] + types2[b])
+        if three[a, b, w]:
+            return code((three[a, b, w] + types3[a, b] * p2) / (total3[a, b] + types3[a, b]))
+        out = code(p2) if two[b, w] else code(types2[b] / (total2[b] + types2[b])) + log10(p1)
+        return out + (code(types3[a, b] / (total3[a, b] + types3[a, b])) if (a, b) in total3 else 0.0)
+
+    return [(i, sum(log(a, b, w) for a, b, w in zip(["start", "start", *ws], ["start", *ws], ws, strict=False))) for i, ws in tokens]
+
+
+def lm_rows():
     import random
 
     rng = random.Random(5)
-    words = ["the"] * 40 + ["of"] * 25 + ["and"] * 10 + [f"w{k}" for k in range(60)]
-    rows = [(k, " ".join(rng.choice(words) for _ in range(rng.randrange(60)))) for k in range(120)]
-    df, before, found = spark.createDataFrame(rows, "doc_id long, text string"), spark.conf.get("spark.sql.shuffle.partitions"), []
-    for n in (1, 13):  # one shard splits no word
-        spark.conf.set("spark.sql.shuffle.partitions", n)
-        try:
-            found.append({r["doc_id"]: r["score"] for r in ngram_lm.score(df).collect()})
-        finally:
-            spark.conf.set("spark.sql.shuffle.partitions", before)
-    assert len(found[0]) == len(rows) and all(abs(s - found[1][k]) < 1e-3 for k, s in found[0].items())
-
-
-def test_lm_class_split_still_sums_to_one():
-    import numpy as np
-
-    hashes = np.arange(10, 40)
-    v = ngram_lm.Vocabulary(hashes, np.full(30, 5), 150, 30, 10, 1)
-    v.counts[ngram_lm.FIRST] = 120  # a hot middle word is split into classes
-    shards = 2
-    n = v.classes(shards)[ngram_lm.FIRST]
-    assert n > 1
-    words = np.flatnonzero(v.p1 > 0)
-    hot = np.full(len(words), ngram_lm.FIRST)
-    inside = 10 ** ngram_lm._in_class(words, hot, v, v.classes(shards))
-    split = ngram_lm.class_of(words, np.full(len(words), n))
-    assert np.allclose(np.bincount(split, inside, n)[np.unique(split)], 1)
+    words = ["the"] * 40 + ["Of"] * 25 + ["and"] * 10 + [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(rng.choice(words) for _ in range(rng.randrange(60)))) for k in range(160)]
+    return rows + [(300, None), (301, ""), (None, "the of w1"), (5, rows[5][1]), (5, "the the of"), (302, "the of and " * 300)]
+
+
+@pytest.mark.parametrize("partitions, limit, split, parts, shard_tokens", [(1, 1 << 20, 1 << 20, 64, 10**6), (4, 20, 40, 64, 10**6), (64, 0, 3, 64, 10**6), (3, 20, 25, 3, 7), (2, 1 << 20, 40, 2, 30)])
+def test_lm_scores_are_a_function_of_the_documents(spark, monkeypatch, partitions, limit, split, parts, shard_tokens):
+    rows = lm_rows()
+    monkeypatch.setattr(ngram_lm, "SPLIT", split)
+    monkeypatch.setattr(ngram_lm, "PARTS", parts)
+    monkeypatch.setattr(ngram_lm, "SHARD_TOKENS", shard_tokens)
+    monkeypatch.setattr(ngram_lm, "PER_BYTE", 1.0)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        path = new_path(spark, "lm-rows")  # a scan has a size
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(path)
+        docs = spark.read.parquet(path)
+        found = sorted(((r["doc_id"], r["score"]) for r in ngram_lm.score(docs, limit=limit).collect()), key=str)
+        model = ngram_lm.train(docs, limit=limit)
+        again = sorted(((r["doc_id"], r["score"]) for r in model.score(docs).collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = sorted(witten_bell(rows), key=str)
+    for got in (found, again):
+        assert [i for i, _ in got] == [i for i, _ in want]
+        assert all(abs(a - b) < 1e-6 for (_, a), (_, b) in zip(got, want, strict=True))
 
 
 def test_decontamination(spark, docs):

@@ -27,11 +27,12 @@ class EliasFano:
         values = np.asarray(values, np.int64)
         n = len(values)
         universe = int(values[-1]) + 1 if universe is None and n else universe or 1
-        width = max(0, (universe // max(n, 1)).bit_length() - 1)
+        width = min(56, max(0, (universe // max(n, 1)).bit_length() - 1))
         bits = np.zeros(-(-(n + (universe >> width) + 2) // 64) * 64, bool)
         bits[(values >> width) + np.arange(n)] = True
-        low = np.packbits((values[:, None] >> np.arange(width) & 1).astype(bool).reshape(-1), bitorder="little")
-        return cls(n, width, np.concatenate((low, np.zeros(8, np.uint8))), np.packbits(bits, bitorder="little"))
+        step = 1 << 14  # a multiple of eight, so each piece ends at a byte
+        low = [np.packbits((values[a : a + step, None] >> np.arange(width) & 1).astype(bool).reshape(-1), bitorder="little") for a in range(0, n, step)]
+        return cls(n, width, np.concatenate((*low, np.zeros(8, np.uint8))), np.packbits(bits, bitorder="little"))
 
     def to_bytes(self) -> bytes:
         return np.array([self.n, self.width, len(self.low), len(self.high)], np.int64).tobytes() + self.low.tobytes() + self.high.tobytes()

@@ -4,53 +4,67 @@ The model is a word trigram model with Witten-Bell smoothing, learned from the d
 ``crc32(doc_id as text) mod 10`` is not 0.  Tokens are lower-cased words and one end per
 document.
 
-Trie.  For each middle word the trie keeps its successors and its left contexts, for each
-context its trigrams.  A trigram stores its last word not as a word id but as the rank of that
-word among the successors of the middle word, found by successor search in the shorter
-context's level.  Every level and every pointer sequence is monotone and held in Elias-Fano
-form; each entry has its smoothed log10 probability, or backoff weight, in one byte.  An image
-is one flat buffer that is queried in place, so it can be memory-mapped.
+Trie.  Words are looked up in three tables of sorted hashes: middle words, words before them
+and words after them.  For each middle word the trie keeps its successors and its left
+contexts, for each context its trigrams.  A trigram stores its last word not as a word but as
+the rank of that word among the successors of the middle word, found by successor search in
+the shorter context's level.  Tables, levels and pointers are monotone and held in Elias-Fano
+form; each entry has its smoothed log10 probability, or backoff weight, in one byte, which is
+within ``0.5 / STEP`` of its value.  An image is one file in shared storage, and is mapped
+into memory and queried in place.
 
 Scale.  The trie is sharded by middle word.  A block of documents sends each shard the
 trigrams it has for it, as one compressed blob with training and scoring occurrences alike;
-the shard counts, builds its trie, answers, and returns a sum per document.  Nothing is ever
-held whole.  A middle word with more than its share of tokens is split into classes by the
-hash of the last word, and each class is a shard entry of its own.  That is placement only:
-tokens and types of a split word and of its contexts are added up over the shards and sent
-back before the tries are built, so scores do not depend on the number of shards.
-Tasks know the counts of at most ``VOCABULARY`` words, the most frequent (24 MB); the words
-beyond are one class in the model, and their exact counts come from a join.
+the shard counts, writes its image, answers from it, and returns a sum per document.  Nothing is
+ever held whole.  A middle word with more than ``SPLIT`` training tokens is dealt over shards by
+the hash of the last word.  That is placement only: tokens and types of such a word and of its
+contexts are added up over the shards and sent back before the images are written, so a score is
+a function of the documents, whatever the number of shards or partitions.  Beyond ``PARTS``
+shards a partition has several: its blobs are cut again by shard and sorted, and one shard at a
+time is in memory.
+
+Tasks know the ``LISTED`` most frequent words and their counts (16 MB), which makes blobs small.
+Other words travel as hashes with the blob, are as much a part of the model, and each shard is
+sent the counts of those that it asks for.
 """
 
 from __future__ import annotations
 
 import math
-import mmap
 import struct
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .block import U64, Block, mix, slices
 from .elias_fano import EliasFano
-from .scratch import input_bytes, materialise
+from .scratch import input_bytes, materialise, new_path
 
 BLOCK_BYTES = 6 << 20
 BITS = 21
-#: Words that tasks know; ids 0 to 3 are reserved.
-VOCABULARY = (1 << BITS) - 8
-START, END, OTHER, ANY, FIRST = 0, 1, 2, 3, 4
-END_HASH = np.int64(-0x61C8864680B583EB)
+#: Words that tasks know.  Ids 0 and 1 are reserved; from RARE on an id is a place in a blob's own table.
+LISTED = (1 << 20) - 8
+START, END, FIRST, RARE = 0, 1, 2, 1 << 20
+START_HASH, END_HASH = np.int64(0x0123456789ABCDEF), np.int64(0x2E3779B97F4A7C15)
 #: Tokens that a shard should have, and about how many a byte of stored input makes.
 SHARD_TOKENS, PER_BYTE = 1_500_000, 0.28
+#: Training tokens of a middle word beyond which it is dealt over several shards.
+SPLIT = 375_000
+PARTS = 16_384
+#: Tokens that are cut by shard at once where a partition has several.
+CUT_TOKENS = 4_000_000
 STEP = 24.0  # codes of a byte are steps of 1 / STEP in -log10
 _MASK = (1 << BITS) - 1
+DOCS, PLAIN, SPREAD, SUMS, COUNTS = range(5)  # kinds of blobs
 
 
 def _quantise(log10: np.ndarray) -> np.ndarray:
@@ -62,110 +76,99 @@ def _value(code: np.ndarray) -> np.ndarray:
 
 
 class Vocabulary:
-    """Counts of the most frequent words: sorted hashes, counts, and totals of the rest.
+    """The listed words: sorted hashes and counts, and totals of all words.
 
-    known: every word with at least ``least`` training tokens is listed; least 1 means all.
+    least: every word with at least so many training tokens is listed; 1 means all.
+    docs: training documents, which is the count of ends.
     """
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, tokens: int, distinct: int, docs: int, least: int):
         self.given = hashes, counts, tokens, distinct, docs, least
-        self.hashes, self.tokens, self.distinct, self.docs, self.least = hashes, tokens, distinct, docs, least
+        self.tokens, self.least = tokens, least
         self.z = tokens + 0.1 * (distinct + 1)
-        at_end = np.searchsorted(hashes, END_HASH)
-        has_end = at_end < len(hashes) and hashes[at_end] == END_HASH
-        self.counts = np.zeros(FIRST + len(hashes), np.int64)
-        self.counts[FIRST:] = counts
-        self.counts[START] = docs
-        self.counts[END] = counts[at_end] if has_end else 0
-        self.other_words = distinct - len(hashes) + 1  # and one for all that are unknown
-        self.counts[OTHER] = tokens - counts.sum()
-        self.p1 = (self.counts + 0.1) / self.z
-        self.p1[OTHER] = (self.counts[OTHER] + 0.1 * self.other_words) / self.z
-        self.p1[START] = 0.0
-        if has_end:
-            self.p1[FIRST + at_end] = 0.0  # it has its own id
-        self.log1 = np.log10(np.maximum(self.p1, 1e-30))
-        self._mass: dict[int, np.ndarray] = {}
-        self.log_other = math.log10(self.counts[OTHER] + 0.1 * self.other_words)
-
-    def mass(self, n: int) -> np.ndarray:
-        """Unigram probability of each of ``n`` classes."""
-        if n not in self._mass:
-            self._mass[n] = np.bincount(class_of(np.arange(len(self.p1)), np.full(len(self.p1), n)), self.p1, n)
-        return self._mass[n]
+        self.hashes = np.concatenate(([START_HASH, END_HASH], hashes))
+        self.counts = np.concatenate(([docs, docs], counts))
+        self.classes = np.maximum(1, -(-self.counts // SPLIT))
 
     def __reduce__(self):
         return Vocabulary, self.given  # what follows from these is computed again where it arrives
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
-        """Id of each hash, OTHER for words that are not listed."""
-        if not len(self.hashes):
-            return np.full(len(hashes), OTHER)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at + FIRST, OTHER)
+        """Id of each hash, -1 for words that are not listed."""
+        listed = self.hashes[FIRST:]
+        out = np.full(len(hashes), -1)
+        if len(listed):
+            at = np.minimum(np.searchsorted(listed, hashes), len(listed) - 1)
+            out = np.where(listed[at] == hashes, at + FIRST, out)
+        out[hashes == END_HASH] = END
+        return out
 
-    def classes(self, shards: int) -> np.ndarray:
-        """Into how many classes each word as middle word is split, for ``shards`` shards."""
-        return np.maximum(1, np.ceil(self.counts * (4.0 * shards) / max(self.tokens, 1))).astype(np.int64)
-
-
-def class_of(word: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return (mix(word.astype(U64) + U64(77)) % n.astype(U64)).astype(np.int64)
+    def log1(self, counts: np.ndarray) -> np.ndarray:
+        """log10 probability of words with these counts."""
+        return np.log10((counts + 0.1) / self.z)
 
 
 class Trie:
-    """The trigrams of some (middle word, class) pairs.
+    """The trigrams of some middle words.
 
-    Names of levels: middle (one entry per pair), successor (middle, last word), context
-    (middle, first word), trigram (context, rank of last word among successors).
+    Tables and levels: middle, first and last (hashes of words), successor_at (pointers),
+    successor (middle, last), context (middle, first), base (pointers), trigram (context, rank of
+    the last word among the successors).
     """
 
-    LEVELS = ("middle", "successor_at", "successor", "context_at", "context", "base", "trigram")
+    LEVELS = ("middle", "first", "last", "successor_at", "successor", "context", "base", "trigram")
+    CODES = ("successor_backoff", "successor", "context_backoff", "trigram")
 
     def __init__(self, levels: dict[str, EliasFano], codes: dict[str, np.ndarray]):
         self.levels, self.codes = levels, codes
 
     @classmethod
-    def build(cls, middle: np.ndarray, first: np.ndarray, last: np.ndarray, count: np.ndarray, log_class: np.ndarray, log1: np.ndarray, totals=None) -> Trie:
-        """From distinct trigrams sorted by (middle, first, last).
+    def build(cls, middle: np.ndarray, first: np.ndarray, last: np.ndarray, count: np.ndarray, log1: np.ndarray, whole=None) -> Trie:
+        """From distinct trigrams of hashes, with the last word's log10 unigram probability.
 
-        middle: index of the pair; log_class: log10 of P(class | middle word) of each pair;
-        log1: log10 of the last word's unigram probability.  totals: (tokens, types) of each pair
-        and (keys, tokens, types) of contexts where these trigrams are not all there are.
+        whole(middle, first) and whole(middle, None) give (places, tokens, types) of those of the
+        contexts, or middle words, that have further trigrams elsewhere.
         """
-        n_middle = len(log_class)
-        pair, at, which = np.unique(middle << BITS | last, return_index=True, return_inverse=True)
+        middles, m = np.unique(middle, return_inverse=True)
+        firsts, f = np.unique(first, return_inverse=True)
+        lasts, w = np.unique(last, return_inverse=True)
+        fb, lb = max(1, len(firsts)).bit_length(), max(1, len(lasts)).bit_length()
+        order = np.lexsort((w, m << fb | f))
+        m, f, w, count, log1 = m[order], f[order], w[order], count[order], log1[order]
+        pair, at, which = np.unique(m << lb | w, return_index=True, return_inverse=True)
         c2 = np.bincount(which, count, len(pair))
-        of = pair >> BITS
-        successor_at = np.searchsorted(of, np.arange(n_middle + 1))
-        types = np.diff(successor_at)
-        total, all_types = (np.bincount(of, c2, n_middle), types) if totals is None else totals[:2]
-        p2 = (c2 + all_types[of] * 10.0 ** log1[at]) / (total + all_types)[of]
-        context, start = np.unique(middle << BITS | first, return_index=True)
-        c_total, c_types = np.add.reduceat(count, start) if len(start) else count[:0], np.diff(np.append(start, len(count)))
-        if totals is not None:
-            context, c_total, c_types = totals[2:]
-            start = np.searchsorted(middle << BITS | first, context)
-        mine = context >> BITS
+        of = pair >> lb
+        successor_at = np.searchsorted(of, np.arange(len(middles) + 1))
+        width = np.diff(successor_at)
+        total, types = np.bincount(of, c2, len(middles)), width.copy()
+        context, start = np.unique(m << fb | f, return_index=True)
         ends = np.append(start, len(count))
+        c_total, c_types = np.add.reduceat(count, start) if len(start) else count[:0], np.diff(ends)
+        mine = context >> fb
+        if whole is not None:
+            place, n, t = whole(middles, None)
+            total[place], types[place] = n, t
+            place, n, t = whole(middles[mine], firsts[context & ((1 << fb) - 1)])
+            c_total[place], c_types[place] = n, t
+        p2 = (c2 + types[of] * 10.0 ** log1[at]) / (total + types)[of]
         owner = np.repeat(np.arange(len(context)), np.diff(ends))
         p3 = (count + c_types[owner] * p2[which]) / (c_total + c_types)[owner]
-        width = types[mine]
-        base = np.concatenate(([0], np.cumsum(width)))
-        rank = which - successor_at[middle]
+        base = np.concatenate(([0], np.cumsum(width[mine])))
+        rank = which - successor_at[m]
         levels = {
-            "middle": EliasFano.of(np.arange(n_middle)), "successor_at": EliasFano.of(successor_at), "successor": EliasFano.of(pair, n_middle + 1 << BITS),
-            "context_at": EliasFano.of(ends), "context": EliasFano.of(context, n_middle + 1 << BITS), "base": EliasFano.of(base), "trigram": EliasFano.of(base[owner] + rank, int(base[-1]) + 1),
+            "middle": EliasFano.of(middles, 1 << 62), "first": EliasFano.of(firsts, 1 << 62), "last": EliasFano.of(lasts, 1 << 62), "successor_at": EliasFano.of(successor_at),
+            "successor": EliasFano.of(pair, max(1, len(middles)) << lb), "context": EliasFano.of(context, max(1, len(middles)) << fb),
+            "base": EliasFano.of(base), "trigram": EliasFano.of(base[owner] + rank, int(base[-1]) + 1),
         }
         codes = {
-            "class": _quantise(log_class), "successor_backoff": _quantise(np.log10(np.maximum(all_types, 1) / np.maximum(total + all_types, 1))), "successor": _quantise(np.log10(p2)),
+            "successor_backoff": _quantise(np.log10(types / (total + types))), "successor": _quantise(np.log10(p2)),
             "context_backoff": _quantise(np.log10(c_types / (c_total + c_types))), "trigram": _quantise(np.log10(p3)),
         }
         return cls(levels, codes)
 
     def to_bytes(self) -> bytes:
         parts = [self.levels[k].to_bytes() for k in self.LEVELS]
-        for k in ("class", "successor_backoff", "successor", "context_backoff", "trigram"):
+        for k in self.CODES:
             parts += [struct.pack("<q", len(self.codes[k])), self.codes[k].tobytes()]
         return b"".join(parts)
 
@@ -174,33 +177,61 @@ class Trie:
         at, levels, codes = 0, {}, {}
         for k in cls.LEVELS:
             levels[k], at = EliasFano.from_buffer(buffer, at)
-        for k in ("class", "successor_backoff", "successor", "context_backoff", "trigram"):
+        for k in cls.CODES:
             n = struct.unpack_from("<q", buffer, at)[0]
             codes[k] = np.frombuffer(buffer, np.uint8, n, at + 8)
             at += 8 + n
         return cls(levels, codes)
 
     @classmethod
-    def open(cls, path: str) -> Trie:
-        """Map an image file; pages are read as queries touch them."""
-        with open(path, "rb") as f:
-            return cls.from_buffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+    def open(cls, folder: str, shard: int) -> Trie:
+        """The image of a shard: mapped where the file system is local to the task, else read.
+
+        A shard without an image has no trigrams.
+        """
+        where, root = fs.FileSystem.from_uri(folder)
+        path = f"{root}/{shard:08d}.trie"
+        if where.get_file_info(path).type == fs.FileType.NotFound:
+            none = np.zeros(0, np.int64)
+            return cls.build(none, none, none, none, none.astype(np.float64))
+        if where.type_name == "local":
+            return cls.from_buffer(pa.memory_map(path).read_buffer())
+        with where.open_input_file(path) as f:
+            return cls.from_buffer(f.read_buffer())
+
+    def save(self, folder: str, shard: int) -> None:
+        """Write the image under its name at once, so that a task that runs again does no harm."""
+        where, root = fs.FileSystem.from_uri(folder)
+        where.create_dir(root, recursive=True)
+        name = f"{root}/{shard:08d}-{uuid.uuid4().hex}.tmp"
+        with where.open_output_stream(name, compression=None) as f:
+            f.write(self.to_bytes())
+        where.move(name, f"{root}/{shard:08d}.trie")
+
+    def _words(self, table: str, hashes: np.ndarray) -> np.ndarray:
+        some, which = np.unique(hashes, return_inverse=True)
+        return self.levels[table].find(some)[which]
 
     def score(self, middle: np.ndarray, first: np.ndarray, last: np.ndarray, log1: np.ndarray) -> np.ndarray:
-        """log10 probability of each last word.  middle: index of its pair, which must exist."""
-        level, code = self.levels, self.codes
-        bigram = level["successor"].find(middle << BITS | last)
+        """log10 probability of each last word after (first, middle), all given by their hashes."""
+        level, code, out = self.levels, self.codes, log1.copy()
+        fb, lb = max(1, level["first"].n).bit_length(), max(1, level["last"].n).bit_length()
+        m = self._words("middle", middle)
+        known = np.flatnonzero(m >= 0)  # the rest has no evidence beyond unigrams
+        m, f, w = m[known], self._words("first", first[known]), self._words("last", last[known])
+        bigram = np.where(w >= 0, level["successor"].find(m << lb | np.maximum(w, 0)), -1)
         seen = bigram >= 0
-        out = np.where(seen, _value(code["successor"][np.maximum(bigram, 0)]), _value(code["successor_backoff"][middle]) + log1)
-        context = level["context"].find(middle << BITS | first)
+        got = np.where(seen, _value(code["successor"][np.maximum(bigram, 0)]) if level["successor"].n else 0.0, _value(code["successor_backoff"][m]) + log1[known])
+        context = np.where(f >= 0, level["context"].find(m << fb | np.maximum(f, 0)), -1)
         has = np.flatnonzero(context >= 0)
-        out[has] += _value(code["context_backoff"][context[has]])
+        got[has] += _value(code["context_backoff"][context[has]])
         both = has[seen[has]]
-        rank = bigram[both] - level["successor_at"].get(middle[both])
+        rank = bigram[both] - level["successor_at"].get(m[both])
         trigram = level["trigram"].find(level["base"].get(context[both]) + rank)
         hit = trigram >= 0
-        out[both[hit]] = _value(code["trigram"][trigram[hit]])
-        return out + _value(code["class"][middle])
+        got[both[hit]] = _value(code["trigram"][trigram[hit]])
+        out[known] = got
+        return out
 
 
 def held_out(ids: list) -> np.ndarray:
@@ -209,9 +240,8 @@ def held_out(ids: list) -> np.ndarray:
 
 
 def _tokens(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, document) of each token, with the end of each document."""
-    at = block.first[1:]
-    value = np.insert(block.hashes().view(np.int64), at, END_HASH)
+    """(hash of 62 bits, document) of each token, with the end of each document."""
+    value = np.insert((block.hashes() >> U64(2)).view(np.int64), block.first[1:], END_HASH)
     return value, np.repeat(np.arange(block.n_docs), np.diff(block.first) + 1)
 
 
@@ -229,7 +259,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return materialise(rows.groupBy("word").agg(F.sum("n").alias("n")), "words")
 
 
-def vocabulary(words: DataFrame, limit: int = VOCABULARY) -> Vocabulary:
+def vocabulary(words: DataFrame, limit: int = LISTED) -> Vocabulary:
     """The words with at least so many tokens that no more than ``limit`` are listed."""
     by_count = words.groupBy("n").agg(F.count("*").alias("words"))
     # a row per distinct count: their number grows with the square root of the tokens
@@ -239,173 +269,256 @@ def vocabulary(words: DataFrame, limit: int = VOCABULARY) -> Vocabulary:
     least = int(n[fits][-1]) if fits.any() else (int(n[0]) + 1 if len(n) else 1)
     if fits.all():
         least = 1
-    listed = words.where(F.col("n") >= least).toArrow()
+    listed = words.where((F.col("n") >= least) & (F.col("word") != int(END_HASH))).toArrow()
     order = np.argsort(listed["word"].to_numpy())
     hashes, counts = listed["word"].to_numpy()[order], listed["n"].to_numpy()[order]
-    del listed
     ends = words.where(F.col("word") == int(END_HASH)).first()
     return Vocabulary(hashes, counts, int((n * size).sum()), int(size.sum()), ends["n"] if ends else 0, least)
 
 
-def _pack(planes: list[np.ndarray]) -> bytes:
+def _pack(arrays: list[np.ndarray]) -> bytes:
     """Integers byte plane by byte plane, which is how sorted differences compress best."""
-    head = struct.pack("<q", len(planes[0]))
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() for x in planes))
+    head = struct.pack(f"<{len(arrays)}q", *map(len, arrays))
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes() for x in arrays))
 
 
 def _unpack(blob: bytes, kinds: list) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    n, at, out = struct.unpack_from("<q", raw)[0], 8, []
-    for kind in kinds:
+    at, out = 8 * len(kinds), []
+    for n, kind in zip(struct.unpack_from(f"<{len(kinds)}q", raw), kinds, strict=True):
         size = np.dtype(kind).itemsize
         out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).reshape(-1).view(kind))
         at += n * size
     return out
 
 
-def _blobs(shard: list, kind: list, block: list, blob: list) -> pa.RecordBatch:
-    return pa.record_batch({"shard": pa.array(shard, pa.int32()), "kind": pa.array(kind, pa.int32()), "block": pa.array(block, pa.int64()), "blob": pa.array(blob, pa.binary())})
-
-
 _BLOBS = "shard int, kind int, block long, blob binary"
-_DOC = [np.int64, np.uint32, np.uint8, np.int64, np.int64, np.int64, np.float64]  # id, crc, flags, tokens, known, others, base sum
+_DOC = [np.int64, np.uint8, np.int64, np.int64, np.float64]  # id, flags, tokens, known, base sum
+#: Keys (differences), 2 * document + held out, place of the block, blocks, hashes of rare words, whether one is a last word; and the shard where a blob has several.
+_OCCURRENCES = [np.int64, np.uint32, np.uint16, np.int64, np.int64, np.uint8, np.int32]
+
+
+def _blobs(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
+    return pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["shard", "kind", "block", "blob"])
+
+
+def _pack_occurrences(key: np.ndarray, owner: np.ndarray, block: np.ndarray, blocks: np.ndarray, rare: np.ndarray, shard: np.ndarray) -> bytes:
+    """One blob; ``key`` is in order within each shard, ids from RARE on are places in ``rare``."""
+    used, is_last = rare[:0], np.zeros(0, np.uint8)
+    if len(rare):
+        words = [key >> s & _MASK for s in (2 * BITS, BITS, 0)]
+        asked = np.unique(np.concatenate([w[w >= RARE] for w in words]))
+        used, is_last = rare[asked - RARE], np.isin(asked, words[2]).astype(np.uint8)
+        one, two, last = (np.where(w >= RARE, RARE + np.searchsorted(asked, w), w) for w in words)
+        key = one << 2 * BITS | two << BITS | last
+    several = len(shard) and shard[0] != shard[-1]
+    return _pack([np.diff(key, prepend=0), owner, block.astype(np.uint16), blocks, np.diff(used, prepend=0), is_last, np.diff(shard, prepend=np.int32(0)) if several else shard[:0]])
+
+
+@dataclass
+class _Opened:
+    """Occurrences of some blobs: word ids (from RARE on places in ``rare``), owners and blocks."""
+
+    one: np.ndarray
+    two: np.ndarray
+    last: np.ndarray
+    owner: np.ndarray
+    block: np.ndarray
+    blocks: np.ndarray
+    rare: np.ndarray
+    asked: np.ndarray  # the rare words that are last words
+    shard: np.ndarray | None
 
-
-def _send(vocab, shards: int):
-    """Blobs: kind 0 has trigram occurrences for a shard, kind 1 the documents of a block."""
+    @classmethod
+    def of(cls, blobs: Iterable[bytes]) -> _Opened:
+        parts = [_unpack(b, _OCCURRENCES) for b in blobs]
+        tables = [np.cumsum(p[4]) for p in parts]
+        rare = np.unique(np.concatenate(tables))
+        words: tuple[list, list, list] = ([], [], [])
+        at, blocks = [], []
+        for p, table in zip(parts, tables, strict=True):
+            key, place = np.cumsum(p[0]), RARE + np.searchsorted(rare, table)
+            for k, s in enumerate((2 * BITS, BITS, 0)):
+                w = key >> s & _MASK
+                if len(table):
+                    far = np.flatnonzero(w >= RARE)
+                    w[far] = place[w[far] - RARE]
+                words[k].append(w)
+            at.append(p[2].astype(np.int32) + sum(map(len, blocks)))
+            blocks.append(p[3])
+        shard = np.concatenate([np.cumsum(p[6], dtype=np.int32) for p in parts])
+        asked = np.unique(np.concatenate([t[p[5] > 0] for p, t in zip(parts, tables, strict=True)]))
+        return cls(*map(np.concatenate, words), np.concatenate([p[1] for p in parts]), np.concatenate(at), np.concatenate(blocks), rare, asked, shard if len(shard) else None)
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(words of the distinct trigrams in order, their training counts, trigram of each occurrence)."""
+        if RARE + len(self.rare) <= 1 << BITS:
+            key, which = np.unique(self.one << 2 * BITS | self.two << BITS | self.last, return_inverse=True)
+            one, two, last = key >> 2 * BITS, key >> BITS & _MASK, key & _MASK
+        else:  # too many rare words for three ids in one number: contexts first
+            pair, at = np.unique(self.one << 31 | self.two, return_inverse=True)
+            key, which = np.unique(at << 31 | self.last, return_inverse=True)
+            one, two, last = pair[key >> 31] >> 31, pair[key >> 31] & (1 << 31) - 1, key & (1 << 31) - 1
+        return one, two, last, np.bincount(which[(self.owner & 1) == 0], minlength=len(key)), which
+
+
+def _send(vocab, shards: int, parts: int, learn: bool, ask: bool):
+    """Blobs: occurrences of trigrams for a shard (or, of several, for a part), and the documents of a block.
+
+    learn: without it all documents count as held out.  ask: without it held-out documents are left out.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocab.value
-        classes = v.classes(shards)
         part = TaskContext.get().partitionId()
         for number, batch in enumerate(slices(batches, "text", BLOCK_BYTES)):
             doc_ids = batch.column("doc_id").to_pylist()
             held = held_out(doc_ids)
             block = Block(batch.column("text"), lower=True)
             value, doc = _tokens(block)
-            ids = v.ids(value)
-            last = np.where(value == END_HASH, END, ids)
-            start = block.first[:-1] + np.arange(block.n_docs)
+            ids, n = v.ids(value), block.n_docs
+            name = part << 32 | number
+            counts = np.where(ids >= 0, v.counts[ids], 0)
+            base = np.where(ids >= 0, v.log1(counts), 0.0 if v.least > 1 else v.log1(0))
+            rows = [np.array([i or 0 for i in doc_ids], np.int64), held.astype(np.uint8) + np.uint8(2) * np.array([i is None for i in doc_ids], np.uint8), np.diff(block.first) + 1, np.bincount(doc, counts > 0, n).astype(np.int64), np.bincount(doc, base, n)]
+            out = [(name % shards, DOCS, name, _pack(rows))]
+            del counts, base
+            rare = np.unique(value[ids < 0])
+            last = np.where(ids >= 0, ids, RARE + np.searchsorted(rare, value))
+            start = block.first[:-1] + np.arange(n)
             one, two = np.concatenate(([START], last[:-1])), np.concatenate(([START, START], last[:-2]))[: len(last)]
             one[start] = START
             two[start] = START
             two[np.minimum(start + 1, len(two) - 1)[np.diff(block.first) > 0]] = START
-            key = one << 2 * BITS | two << BITS | last
-            shard = (mix(one.astype(U64) * U64(1 << 32) + class_of(last, classes[one]).astype(U64)) % U64(shards)).astype(np.int64)
-            order = np.lexsort((key, shard))
-            key, owner, shard = key[order], doc[order].astype(np.uint32), shard[order]
-            name = part << 32 | number
-            counts = v.counts[ids]
-            other = ids == OTHER
-            sure = other & ~held[doc] if v.least == 2 else np.zeros(len(ids), bool)  # then a training token makes a count of 1
-            known = (~other & (counts > 0)) | sure
-            value_of = np.where(other, np.where(sure, np.log10(1.1), 0.0 if v.least > 1 else -1.0), np.log10(counts + 0.1))
-            n = block.n_docs
-            crc = np.array([zlib.crc32(block.document(k)) for k in range(n)], np.uint32)
-            flags = held.astype(np.uint8) + 2 * np.array([i is None for i in doc_ids], np.uint8)
-            rows = [np.array([i or 0 for i in doc_ids], np.int64), crc, flags, np.diff(block.first) + 1, np.bincount(doc, known, n).astype(np.int64), np.bincount(doc, other, n).astype(np.int64), np.bincount(doc, value_of, n)]
-            cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
-            out = ([name % shards], [1], [name], [_pack(rows)])
-            for a, b in zip(cut, np.append(cut[1:], len(shard)), strict=True):
-                out[0].append(int(shard[a]))
-                out[1].append(0)
-                out[2].append(name)
-                out[3].append(_pack([np.diff(key[a:b], prepend=0), owner[a:b] << np.uint32(1) | held[owner[a:b]].astype(np.uint32)]))
-            yield _blobs(*out)
+            before = np.concatenate(([START_HASH], value[:-1]))
+            before[start] = START_HASH
+            classes = np.where(one < RARE, v.classes[np.minimum(one, len(v.classes) - 1)], 1)
+            shard = (mix(before.view(U64) + (mix(value.view(U64)) % classes.astype(U64)) * U64(0x9E3779B97F4A7C15)) % U64(shards)).astype(np.int32)
+            spread = classes > 1
+            del before, value, ids
+            flag = (doc.astype(np.uint32) << np.uint32(1)) | (held[doc] if learn else np.ones(len(doc), bool)).astype(np.uint32)
+            use = np.arange(len(last)) if ask else np.flatnonzero(~held[doc])
+            # a table has room for so many words as so many tokens may have
+            step = len(use) if len(rare) < (1 << BITS) - RARE else 1 << 18
+            for a in range(0, len(use), max(1, step)):
+                some = use[a : a + step]
+                table = rare
+                o, t, w = one[some], two[some], last[some]
+                if step < len(use):
+                    table = np.unique(np.concatenate([x[x >= RARE] for x in (o, t, w)]))
+                    o, t, w = (np.where(x >= RARE, RARE + np.searchsorted(table, x), x) for x in (o, t, w))
+                    table = rare[table - RARE]
+                key = o << 2 * BITS | t << BITS | w
+                del o, t, w
+                group = (shard[some] % parts).astype(np.int64) * 2 + spread[some]
+                order = np.lexsort((key, shard[some], group)) if parts < shards else np.lexsort((key, group))
+                key, owner, group, mine = key[order], flag[some][order], group[order], shard[some][order]
+                cut = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+                for i, j in zip(cut, np.append(cut[1:], len(group)), strict=True):
+                    blob = _pack_occurrences(key[i:j], owner[i:j], np.zeros(j - i, np.uint16), np.array([name]), table, mine[i:j])
+                    out.append((int(mine[i]) if parts == shards else int(group[i]) >> 1, SPREAD if group[i] & 1 else PLAIN, name, blob))
+            yield _blobs(out)
+
+    return run
+
+
+def _cut_again(parts: int):
+    """Blobs of a part with several shards, to blobs of one shard each; other kinds go on."""
+
+    def cut(kind: int, held: list[bytes], part: int) -> pa.RecordBatch:
+        x = _Opened.of(held)
+        shard = x.shard if x.shard is not None else np.full(len(x.one), part, np.int32)
+        out = []
+        # so many occurrences at once as a blob's table surely has room for
+        order = np.lexsort((x.last, x.two, x.one, shard))
+        edge = np.flatnonzero(np.append(True, shard[order][1:] != shard[order][:-1])).tolist()
+        for a, b in zip(edge, [*edge[1:], len(order)], strict=True):
+            for c in range(a, b, 1 << 18):
+                i = order[c : min(b, c + (1 << 18))]
+                words = [w[i] for w in (x.one, x.two, x.last)]
+                asked = np.unique(np.concatenate([w[w >= RARE] for w in words]))
+                one, two, last = (np.where(w >= RARE, RARE + np.searchsorted(asked, w), w) for w in words)
+                names, at = np.unique(x.blocks[x.block[i]], return_inverse=True)
+                for lo in range(0, len(names), 1 << 16):
+                    some = (at >= lo) & (at < lo + (1 << 16))
+                    key = (one << 2 * BITS | two << BITS | last)[some]
+                    blob = _pack_occurrences(key, x.owner[i][some], at[some] - lo, names[lo : lo + (1 << 16)], x.rare[asked - RARE], shard[i][some])
+                    out.append((int(shard[i[0]]), kind, int(names[lo]), blob))
+        return _blobs(out)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], list[bytes]] = {}
+        size = 0
+        for batch in batches:
+            for part, kind, block, blob in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if kind == DOCS:
+                    yield _blobs([(part, kind, block, blob)])
+                    continue
+                held.setdefault((kind, part), []).append(blob)
+                size += len(blob)
+                if size > 2 * CUT_TOKENS:
+                    yield from (cut(k, v, p) for (k, p), v in held.items())
+                    held, size = {}, 0
+        yield from (cut(k, v, p) for (k, p), v in held.items())
 
     return run
 
 
 def _added(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct keys, their tokens, their types) of ascending ``key``; a type has tokens."""
-    start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    if not len(start):
+    """(distinct keys, their tokens, their types), in order; a type has tokens."""
+    if not len(key):
         return key, count, count
+    order = np.argsort(key, kind="stable")
+    key, count = key[order], count[order]
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     return key[start], np.add.reduceat(count, start), np.add.reduceat((count > 0).astype(np.int64), start)
 
 
-def split_contexts(asked: np.ndarray, count: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, tokens, types) here of each asked context of a split middle word, and with ``ANY`` of the word."""
-    pick = classes[asked >> 2 * BITS] > 1
-    asked, count = asked[pick], count[pick]
-    context = _added(asked >> BITS, count)
-    pair, which = np.unique(asked >> 2 * BITS << BITS | asked & _MASK, return_inverse=True)
-    word = _added(pair >> BITS, np.bincount(which, count, len(pair)).astype(np.int64))
-    out = [np.concatenate((x, y)) for x, y in zip(context, (word[0] << BITS | ANY, *word[1:]), strict=True)]
-    order = np.argsort(out[0])
-    return out[0][order], out[1][order], out[2][order]
-
+def _context_key(middle: np.ndarray, first: np.ndarray | None) -> np.ndarray:
+    """A 62-bit hash of a context, or of a middle word alone."""
+    first = mix(first.view(U64)) if first is not None else U64(0x5851F42D4C957F2D)
+    return (mix(middle.view(U64) ^ first) >> U64(2)).view(np.int64)
 
-def build_shard(asked: np.ndarray, count: np.ndarray, v: Vocabulary, shards: int, split: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[Trie, np.ndarray]:
-    """(the trie of a shard, the distinct pairs it has), from distinct asked trigrams and their training counts.
 
-    split: (key, tokens, types) over all shards of what ``split_contexts`` names.
-    """
-    classes = v.classes(shards)
-    one, first, last = asked >> 2 * BITS, asked >> BITS & _MASK, asked & _MASK
-    pair = one << BITS | class_of(last, classes[one])
-    pairs = np.unique(pair)
-    middle = np.searchsorted(pairs, pair)
-    del pair, one
-    order = np.lexsort((last, first, middle))
-    middle, first, last, count = middle[order], first[order], last[order], count[order]
-    context, c_total, c_types = _added(middle << BITS | first, count)
-    seen = count > 0
-    middle, first, last, count = middle[seen], first[seen], last[seen], count[seen]
-    total = np.bincount(middle, count, len(pairs)).astype(np.int64)
-    types = np.bincount(np.unique(middle << BITS | last) >> BITS, minlength=len(pairs))
-    word = pairs >> BITS
-    hot = np.flatnonzero(classes[word] > 1)
-    at = np.searchsorted(split[0], word[hot] << BITS | ANY)
-    total[hot], types[hot] = split[1][at], split[2][at]
-    hot = np.flatnonzero(classes[word[context >> BITS]] > 1)
-    at = np.searchsorted(split[0], word[context[hot] >> BITS] << BITS | context[hot] & _MASK)
-    c_total[hot], c_types[hot] = split[1][at], split[2][at]
-    some = c_total > 0
-    totals = total, types, context[some], c_total[some], c_types[some]
-    return Trie.build(middle, first, last, count, np.zeros(len(pairs)), v.log1[last], totals), pairs
-
-
-def _in_class(last: np.ndarray, middle: np.ndarray, v: Vocabulary, classes: np.ndarray) -> np.ndarray:
-    """log10 of a last word's unigram probability within its class for a middle word."""
-    out = v.log1[last].copy()
-    n = classes[middle]
-    for size in np.unique(n[n > 1]):
-        pick = n == size
-        out[pick] -= np.log10(v.mass(int(size))[class_of(last[pick], n[pick])])
+def _hashes(v: Vocabulary, rare: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    out = v.hashes[np.minimum(ids, len(v.hashes) - 1)]
+    far = np.flatnonzero(ids >= RARE)
+    out[far] = rare[ids[far] - RARE]
     return out
 
 
-def _occurrences(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(distinct trigrams, their training counts, trigram of each occurrence, owners by blob)."""
-    keys, owners = [], []
-    for blob in blobs:
-        k, o = _unpack(blob, [np.int64, np.uint32])
-        keys.append(np.cumsum(k))
-        owners.append(o)
-    key = np.concatenate(keys)
-    del keys
-    asked, which = np.unique(key, return_inverse=True)
-    return asked, np.bincount(which[(np.concatenate(owners) & 1) == 0], minlength=len(asked)), which, owners
+def split_contexts(v: Vocabulary, x: _Opened, one: np.ndarray, two: np.ndarray, last: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, tokens, types) of what distinct trigrams have of split middle words and their contexts."""
+    pick = np.flatnonzero((one < RARE) & (count > 0))
+    pick = pick[v.classes[one[pick]] > 1]
+    one, two, last, count = one[pick], two[pick], last[pick], count[pick]
+    middle = _hashes(v, x.rare, one)
+    context = _added(_context_key(middle, _hashes(v, x.rare, two)), count)
+    pair, which = np.unique(one << 31 | last, return_inverse=True)
+    word = _added(_context_key(_hashes(v, x.rare, pair >> 31), None), np.bincount(which, count, len(pair)).astype(np.int64))
+    out = [np.concatenate(z) for z in zip(context, word, strict=True)]
+    order = np.argsort(out[0])
+    return out[0][order], out[1][order], out[2][order]
 
 
-def _buckets(key: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+def _buckets(key: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
     """(bucket, positions of its keys in order)."""
-    bucket = (mix(key.astype(U64)) % U64(shards)).astype(np.int64)
+    bucket = (mix(key.view(U64)) % U64(parts)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     cut = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)) if len(key) else np.zeros(0, np.int64)
     for a, b in zip(cut, np.append(cut[1:], len(key)), strict=True) if len(cut) else ():
         yield int(bucket[order[a]]), order[a:b]
 
 
-def _by_shard(settle):
-    """Applies ``settle(shard, blocks, blobs)`` to the rows of kind 0, which come sorted by shard."""
+def _by_shard(settle, kinds: tuple[int, ...]):
+    """Applies ``settle(shard, blocks, blobs)`` to the rows of some kinds, which come sorted by shard."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
             for shard, kind, block, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
-                if kind:
+                if kind not in kinds:
                     continue
                 if shard != now and held:
                     yield settle(now, *zip(*held, strict=True))
@@ -418,166 +531,211 @@ def _by_shard(settle):
     return run
 
 
-def _ask(vocab, shards: int):
+def _ask_sums(vocab, parts: int):
     """What each shard has of the contexts of split words, to the bucket of each context."""
 
     def settle(shard: int, _, blobs: tuple) -> pa.RecordBatch:
-        asked, count, _, _ = _occurrences(blobs)
-        key, tokens, types = split_contexts(asked, count, vocab.value.classes(shards))
-        out = [(b, _pack([np.diff(key[i], prepend=0), tokens[i], types[i]])) for b, i in _buckets(key, shards)]
-        return _blobs([b for b, _ in out], [0] * len(out), [shard] * len(out), [x for _, x in out])
+        x = _Opened.of(blobs)
+        key, tokens, types = split_contexts(vocab.value, x, *x.distinct()[:4])
+        return _blobs([(b, SUMS, shard, _pack([np.diff(key[i], prepend=0), tokens[i], types[i]])) for b, i in _buckets(key, parts)])
 
-    return _by_shard(settle)
+    return _by_shard(settle, (SPREAD,))
 
 
 def _add_up(bucket: int, askers: tuple, blobs: tuple) -> pa.RecordBatch:
     """The sums of a bucket, to each shard for the contexts that it named."""
     parts = [_unpack(b, [np.int64] * 3) for b in blobs]
-    key, which = np.unique(np.concatenate([np.cumsum(p[0]) for p in parts]), return_inverse=True)
+    keys = [np.cumsum(p[0]) for p in parts]
+    key, which = np.unique(np.concatenate(keys), return_inverse=True)
     tokens, types = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
     np.add.at(tokens, which, np.concatenate([p[1] for p in parts]))
     np.add.at(types, which, np.concatenate([p[2] for p in parts]))
-    ends = np.cumsum([len(p[0]) for p in parts])
-    out = [_pack([tokens[w], types[w]]) for w in np.split(which, ends[:-1])]
-    return _blobs(list(askers), [2] * len(out), [bucket] * len(out), out)
-
-
-def _answer(blocks: list[int], blobs: list[bytes], sums: dict[int, bytes], v: Vocabulary, shards: int) -> Iterator[tuple[int, bytes]]:
-    """Sums of log10 probabilities by document, for each blob of a shard."""
-    asked, count, which, owners = _occurrences(blobs)
-    key, tokens, types = split_contexts(asked, count, v.classes(shards))
-    for bucket, place in _buckets(key, shards):
-        tokens[place], types[place] = _unpack(sums[bucket], [np.int64] * 2)
-    trie, pairs = build_shard(asked, count, v, shards, (key, tokens, types))
-    trie = Trie.from_buffer(trie.to_bytes())
-    classes = v.classes(shards)
-    one, last = asked >> 2 * BITS, asked & _MASK
-    middle = np.searchsorted(pairs, one << BITS | class_of(last, classes[one]))
-    score = np.empty(len(asked))
-    for a in range(0, len(asked), 1 << 17):
+    ends = np.cumsum([len(k) for k in keys])
+    mine = zip(askers, keys, np.split(which, ends[:-1]), strict=True)
+    return _blobs([(shard, SUMS, bucket, _pack([np.diff(k, prepend=0), tokens[w], types[w]])) for shard, k, w in mine])
+
+
+def _ask_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (word, shard): the rare last words of each shard."""
+
+    def settle(shard: int, _, blobs: tuple) -> pa.RecordBatch:
+        words = np.unique(np.concatenate([np.cumsum(p[4])[p[5] > 0] for p in (_unpack(b, _OCCURRENCES) for b in blobs)]))
+        return pa.record_batch({"word": pa.array(words, pa.int64()), "shard": pa.array(np.full(len(words), shard, np.int32))})
+
+    yield from _by_shard(settle, (PLAIN, SPREAD))(batches)
+
+
+def _pack_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, word, n) that come sorted to blobs, some at a time."""
+    for batch in batches:
+        shard = batch.column("shard").to_numpy()
+        cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else np.zeros(0, np.int64)
+        word, n = batch.column("word").to_numpy(), batch.column("n").to_numpy()
+        yield _blobs([(int(shard[a]), COUNTS, 0, _pack([np.diff(word[a:b], prepend=0), n[a:b]])) for a, b in zip(cut, np.append(cut[1:], len(shard)), strict=True)])
+
+
+def _answer(shard: int, blobs: list[bytes], told: list[tuple[int, bytes]], v: Vocabulary, folder: str, learn: bool, ask: bool) -> Iterator[tuple[int, bytes]]:
+    """(block, sums by document), for each block that a shard has occurrences of."""
+    x = _Opened.of(blobs)
+    one, two, last, count, which = x.distinct()
+    found = np.zeros(len(x.rare), np.int64)
+    sums = [[np.zeros(0, np.int64)] * 3]
+    for kind, blob in told:
+        if kind == COUNTS:
+            word, n = _unpack(blob, [np.int64] * 2)
+            found[np.searchsorted(x.rare, np.cumsum(word))] = n
+        else:
+            key, tokens, types = _unpack(blob, [np.int64] * 3)
+            sums.append([np.cumsum(key), tokens, types])
+    counts = v.counts[np.minimum(last, len(v.counts) - 1)]
+    far = np.flatnonzero(last >= RARE)
+    counts[far] = found[last[far] - RARE]
+    log1 = v.log1(counts)
+    middle, first, word = (_hashes(v, x.rare, k) for k in (one, two, last))
+    if learn:
+        key, tokens, types = (np.concatenate(z) for z in zip(*sums, strict=True))
+        order = np.argsort(key)
+        key, tokens, types = key[order], tokens[order], types[order]
+
+        def whole(m, f):
+            want = _context_key(m, f)
+            at = np.minimum(np.searchsorted(key, want), max(len(key) - 1, 0))
+            place = np.flatnonzero(key[at] == want) if len(key) else at[:0]
+            return place, tokens[at[place]], types[at[place]]
+
+        seen = count > 0
+        Trie.build(middle[seen], first[seen], word[seen], count[seen], log1[seen], whole).save(folder, shard)
+    if not ask:
+        return
+    trie = Trie.open(folder, shard)
+    score = np.empty(len(one))
+    for a in range(0, len(one), 1 << 17):
         b = a + (1 << 17)
-        score[a:b] = trie.score(middle[a:b], asked[a:b] >> BITS & _MASK, last[a:b], v.log1[last[a:b]])
-    at = 0
-    for block, owner in zip(blocks, owners, strict=True):
-        docs, place = np.unique(owner >> np.uint32(1), return_inverse=True)
-        total = np.bincount(place, score[which[at : at + len(owner)]], len(docs))
-        at += len(owner)
-        yield block, _pack([np.diff(docs, prepend=np.uint32(0)).astype(np.uint32), total.astype(np.float32)])
-
-
-def _answer_all(vocab, shards: int):
-    def run(here: pa.Table, sums: pa.Table) -> pa.Table:
-        kind = here.column("kind").to_numpy()
+        score[a:b] = trie.score(middle[a:b], first[a:b], word[a:b], log1[a:b])
+    del trie, middle, first, word
+    rare = last >= RARE
+    more = [np.where(rare, log1, 0.0), (rare & (counts > 0)).astype(np.float64)] if v.least > 1 else []
+    order = np.argsort(x.block, kind="stable")
+    cut = np.flatnonzero(np.append(True, np.diff(x.block[order]) != 0))
+    for a, b in zip(cut, np.append(cut[1:], len(order)), strict=True):
+        i = order[a:b]
+        docs, place = np.unique(x.owner[i] >> np.uint32(1), return_inverse=True)
+        t = which[i]
+        yield int(x.blocks[x.block[i[0]]]), _pack([np.diff(docs, prepend=np.uint32(0)).astype(np.uint32), *(np.bincount(place, y[t], len(docs)) for y in (score, *more))])
+
+
+def _answer_all(vocab, folder: str, learn: bool, ask: bool):
+    def run(here: pa.Table, told: pa.Table) -> pa.Table:
+        kind, shard = here.column("kind").to_pylist(), here.column("shard").to_pylist()
         block, blob = here.column("block").to_pylist(), here.column("blob").to_pylist()
-        docs, mine = np.flatnonzero(kind == 1), np.flatnonzero(kind == 0)
-        out = [(block[k], 1, blob[k]) for k in docs]
-        if len(mine):
-            of = dict(zip(sums.column("block").to_pylist(), sums.column("blob").to_pylist(), strict=True))
-            out += [(b, 0, x) for b, x in _answer([block[k] for k in mine], [blob[k] for k in mine], of, vocab.value, shards)]
-        return pa.Table.from_batches([_blobs([0] * len(out), [x[1] for x in out], [x[0] for x in out], [x[2] for x in out])])
+        out = [(0, 1, block[k], blob[k]) for k in range(len(kind)) if kind[k] == DOCS]
+        mine = [blob[k] for k in range(len(kind)) if kind[k] != DOCS]
+        if mine:
+            of = list(zip(told.column("kind").to_pylist(), told.column("blob").to_pylist(), strict=True))
+            out += [(0, 0, b, x) for b, x in _answer(shard[0], mine, of, vocab.value, folder, learn, ask)]
+        return pa.Table.from_batches([_blobs(out)])
 
     return run
 
 
-_SCORES = "doc_id long, crc long, held_out boolean, n_tokens long, n_known long, n_other long, base_sum double, log_sum double"
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _gather(rare: bool):
     """Adds what the shards return for a block up; rows come sorted by block."""
 
     def settle(rows: list[np.ndarray], sums: list[bytes]) -> pa.RecordBatch:
-        ids, crc, flags, tokens, known, other, base = rows
-        total = np.zeros(len(ids))
+        ids, flags, tokens, known, base = rows
+        total, known, base = np.zeros(len(ids)), known.copy(), base.copy()
         for blob in sums:
-            docs, part = _unpack(blob, [np.uint32, np.float32])
-            total[np.cumsum(docs)] += part.astype(np.float64)
+            docs, part, *more = _unpack(blob, [np.uint32, *[np.float64] * (3 if rare else 1)])
+            docs = np.cumsum(docs)
+            total[docs] += part
+            if rare:
+                base[docs] += more[0]
+                known[docs] += more[1].astype(np.int64)
         return pa.record_batch({
-            "doc_id": pa.array(ids, mask=(flags & 2) > 0), "crc": pa.array(crc.astype(np.int64)), "held_out": pa.array((flags & 1) > 0), "n_tokens": pa.array(tokens), "n_known": pa.array(known),
-            "n_other": pa.array(other), "base_sum": pa.array(base), "log_sum": pa.array(total),
+            "doc_id": pa.array(ids, mask=(flags & 2) > 0), "held_out": pa.array((flags & 1) > 0), "n_tokens": pa.array(tokens), "n_known": pa.array(known),
+            "base_score": pa.array(base), "score": pa.array(total),
         })
 
-    now, rows, sums = None, [], []
-    for batch in batches:
-        for _, kind, block, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
-            if block != now and rows:
-                yield settle(rows, sums)
-                rows, sums = [], []
-            now = block
-            if kind:
-                rows = _unpack(blob.as_py(), _DOC)
-            else:
-                sums.append(blob.as_py())
-    if rows:
-        yield settle(rows, sums)
-
-
-def _others(vocab):
-    """Rows (word, doc_id, crc, n) of tokens whose count the vocabulary doesn't tell."""
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocab.value
-        for batch in slices(batches, "text", BLOCK_BYTES):
-            doc_ids = batch.column("doc_id").to_pylist()
-            block = Block(batch.column("text"), lower=True)
-            value, doc = _tokens(block)
-            unsure = v.ids(value) == OTHER
-            if v.least == 2:
-                unsure &= held_out(doc_ids)[doc]
-            value, doc = value[unsure], doc[unsure]
-            order = np.lexsort((value, doc))
-            value, doc = value[order], doc[order]
-            first = np.flatnonzero(np.append(True, (value[1:] != value[:-1]) | (doc[1:] != doc[:-1]))) if len(value) else np.zeros(0, np.int64)
-            n = np.diff(np.append(first, len(value)))
-            crc = np.array([zlib.crc32(block.document(k)) for k in range(block.n_docs)], np.int64)
-            yield pa.record_batch({"word": pa.array(value[first]), "doc_id": batch.column("doc_id").take(pa.array(doc[first])), "crc": pa.array(crc[doc[first]]), "n": pa.array(n, pa.int64())})
+        now, rows, sums = None, [], []
+        for batch in batches:
+            for _, kind, block, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
+                if block != now and rows:
+                    yield settle(rows, sums)
+                    rows, sums = [], []
+                now = block
+                if kind:
+                    rows = _unpack(blob.as_py(), _DOC)
+                else:
+                    sums.append(blob.as_py())
+        if rows:
+            yield settle(rows, sums)
 
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = VOCABULARY) -> DataFrame:
+@dataclass
+class Model:
+    """A trained model: its images are ``folder``/NNNNNNNN.trie, one for each shard that has trigrams."""
+
+    folder: str
+    shards: int
+    vocab: object  # a broadcast Vocabulary
+    words: DataFrame
+
+    def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """As the function of this name, of any documents under this model."""
+        return _scores(self, docs, id_col, text_col, False, True)
+
+
+def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def _prepare(docs: DataFrame, id_col: str, text_col: str, limit: int, folder: str | None) -> Model:
+    spark = docs.sparkSession
+    words = word_counts(_slim(docs, id_col, text_col))
+    shuffles, size = int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs)
+    shards = max(shuffles, math.ceil(size * PER_BYTE / SHARD_TOKENS)) if size < 1 << 55 else shuffles
+    return Model(folder or new_path(spark, "ngram-trie"), shards, spark.sparkContext.broadcast(vocabulary(words, limit)), words)
+
+
+def _scores(model: Model, docs: DataFrame, id_col: str, text_col: str, learn: bool, ask: bool) -> DataFrame:
+    vocab, v, shards = model.vocab, model.vocab.value, model.shards
+    parts = min(shards, PARTS)
+    blobs = _slim(docs, id_col, text_col).mapInArrow(_send(vocab, shards, parts, learn, ask), _BLOBS).repartition(parts, "shard")
+    if parts < shards:
+        blobs = blobs.mapInArrow(_cut_again(parts), _BLOBS).repartition(parts, "shard")
+    ordered = blobs.sortWithinPartitions("shard")
+    told = docs.sparkSession.createDataFrame([], _BLOBS)
+    if learn and int(v.classes.max()) > 1:
+        asked = ordered.mapInArrow(_ask_sums(vocab, parts), _BLOBS).repartition(parts, "shard").sortWithinPartitions("shard")
+        told = told.unionByName(asked.mapInArrow(_by_shard(_add_up, (SUMS,)), _BLOBS))
+    if v.least > 1:
+        asked = ordered.mapInArrow(_ask_counts, "word long, shard int").join(model.words.where(F.col("n") < v.least), "word")
+        told = told.unionByName(asked.repartition(parts, "shard").sortWithinPartitions("shard", "word").mapInArrow(_pack_counts, _BLOBS))
+    answers = blobs.groupBy("shard").cogroup(told.repartition(parts, "shard").groupBy("shard")).applyInArrow(_answer_all(vocab, model.folder, learn, ask), _BLOBS)
+    out = answers.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_gather(v.least > 1), _SCORES)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(v.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def train(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", limit: int = LISTED) -> Model:
+    """A model of the training documents; its images are written to ``folder``, in shared storage."""
+    model = _prepare(docs, id_col, text_col, limit, folder)
+    _scores(model, docs, id_col, text_col, True, False).write.format("noop").mode("overwrite").save()
+    return model
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LISTED, folder: str | None = None) -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one per row of ``docs``.
 
     base_score: unigrams with 0.1 added to each count.  score: log10 probability by the trie.
     A null text is empty and has its end alone.  Rows that share an id are scored each for
-    itself; those alike in text too get the same scores.  Without training documents every
-    word is unknown.
+    itself.  Without training documents every word is unknown.  ``limit`` is how many words tasks
+    know; it changes what is sent, not the scores.  The images stay in ``folder``; without one
+    they are in the scratch folder until the application ends.
     """
-    spark = docs.sparkSession
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    words = word_counts(slim)
-    v = vocabulary(words, limit)
-    vocab = spark.sparkContext.broadcast(v)
-    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = input_bytes(docs)
-    shards = max(shuffles, math.ceil(size * PER_BYTE / SHARD_TOKENS)) if size < 1 << 55 else shuffles
-    blobs = slim.mapInArrow(_send(vocab, shards), _BLOBS).repartition(shards, "shard").sortWithinPartitions("shard")
-    parts = blobs.mapInArrow(_ask(vocab, shards), _BLOBS).repartition(shards, "shard").sortWithinPartitions("shard")
-    totals = parts.mapInArrow(_by_shard(_add_up), _BLOBS).repartition(shards, "shard")
-    answers = blobs.groupBy("shard").cogroup(totals.groupBy("shard")).applyInArrow(_answer_all(vocab, shards), _BLOBS)
-    sums = answers.repartition(shards, "block").sortWithinPartitions("block")
-    out = sums.mapInArrow(_gather, _SCORES)
-    if v.least > 1:
-        asked = slim.mapInArrow(_others(vocab), "word long, doc_id long, crc long, n long").dropDuplicates()
-        rare = words.where(F.col("n") < v.least).select("word", F.col("n").alias("c"))
-        found = asked.join(rare, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-        more = found.groupBy(F.col("doc_id").alias("_id"), F.col("crc").alias("_crc")).agg(F.sum(F.col("n") * F.log10(F.col("c") + 0.1)).alias("more_sum"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"))
-        out = out.join(more, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("crc") == F.col("_crc")), "left")
-        more_sum, more_known = F.coalesce("more_sum", F.lit(0.0)), F.coalesce("more_known", F.lit(0))
-    else:
-        more_sum, more_known = F.lit(0.0), F.lit(0)
-    base, log_z = F.col("base_sum") + more_sum, math.log10(v.z)
-    # the share of each word of the class of all others is its (c + 0.1) in theirs
-    other = (F.col("other_sum") + more_sum) - F.col("n_other") * v.log_other
-    return out.withColumn("other_sum", _other_sum(v)).select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + more_known).alias("n_known"), F.lit(v.tokens).cast("long").alias("train_tokens"),
-        (base - F.col("n_tokens") * log_z).alias("base_score"), (F.col("log_sum") + other).alias("score"),
-    )
-
-
-def _other_sum(v: Vocabulary):
-    """Sum of log10(c + 0.1) over the tokens of the class of others whose count was sure."""
-    if v.least == 1:
-        return -1.0 * F.col("n_other")  # all are unknown: log10(0.1)
-    if v.least == 2:
-        return F.when(F.col("held_out"), F.lit(0.0)).otherwise(F.col("n_other") * math.log10(1.1))
-    return F.lit(0.0)
+    return _scores(_prepare(docs, id_col, text_col, limit, folder), docs, id_col, text_col, True, True)
