@@ -57,6 +57,9 @@ def test_elias_fano(seed):
     assert (ef.successor(asked) == np.searchsorted(values, asked)).all()
     place = {int(v): i for i, v in enumerate(values)}
     assert ef.find(asked).tolist() == [place.get(int(x), -1) for x in asked]
+    few = asked[:: max(1, len(asked) // 7)][: max(0, len(values) - 1)]  # fewer than values: by select
+    assert ef.find(few).tolist() == [place.get(int(x), -1) for x in few] and (ef.successor(few) == np.searchsorted(values, few)).all()
+    assert (ef.values() == values).all()
 
 
 def test_trie_is_a_distribution_and_opens_from_a_file(tmp_path):
@@ -65,8 +68,9 @@ def test_trie_is_a_distribution_and_opens_from_a_file(tmp_path):
     count = rng.integers(1, 5, len(key))
     middle, first, last = key >> 42, key >> 21 & ngram_lm._MASK, key & ngram_lm._MASK
     log1 = np.full(len(key), np.log10(1 / 11))
-    ngram_lm.Trie.build(middle, first, last, count, log1).save(f"file://{tmp_path}", 7)
+    ngram_lm.Trie.build(middle, first, last, count, log1, np.array([5, 77])).save(f"file://{tmp_path}", 7)
     trie = ngram_lm.Trie.open(f"file://{tmp_path}", 7)
+    assert (trie.ids(np.array([77, 6, 5])) == ngram_lm.RARE + np.array([1, 2, 0])).all()
     words = np.arange(1, 12)
     for m in (0, 1, 2, 3, 99):
         for f in (4, 6, 99):

@@ -68,9 +68,20 @@ class EliasFano:
         i = np.asarray(i, np.int64)
         return (self._select(i, self.ones, 0) - i << self.width) | self._low(i)
 
+    def values(self) -> np.ndarray:
+        """All values, by one pass over the bits."""
+        top = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n] - np.arange(self.n)
+        low = [self._low(np.arange(a, min(self.n, a + (1 << 16)))) for a in range(0, self.n, 1 << 16)]
+        return top << self.width | np.concatenate([np.zeros(0, np.int64), *low])
+
     def successor(self, x: np.ndarray) -> np.ndarray:
-        """Position of the first value that is not below each ``x``; ``x`` must be in the universe."""
+        """Position of the first value that is not below each ``x``; ``x`` must be in the universe.
+
+        As many questions as there are values or more are answered from one pass over the level.
+        """
         x = np.asarray(x, np.int64)
+        if len(x) >= self.n:
+            return np.searchsorted(self.values(), x)
         top = x >> self.width
         hi = self._select(top, self.zeros, 255) - top
         lo = np.where(top > 0, self._select(np.maximum(top - 1, 0), self.zeros, 255) - (top - 1), 0)
@@ -87,6 +98,10 @@ class EliasFano:
         x = np.asarray(x, np.int64)
         if not self.n or not len(x):
             return np.full(len(x), -1)
+        if len(x) >= self.n:
+            values = self.values()
+            inside = np.minimum(np.searchsorted(values, x), self.n - 1)
+            return np.where(values[inside] == x, inside, -1)
         at = self.successor(x)
         inside = np.minimum(at, self.n - 1)
         return np.where((at < self.n) & (self.get(inside) == x), at, -1)

@@ -4,14 +4,13 @@ The model is a word trigram model with Witten-Bell smoothing, learned from the d
 ``crc32(doc_id as text) mod 10`` is not 0.  Tokens are lower-cased words and one end per
 document.
 
-Trie.  Words are looked up in three tables of sorted hashes: middle words, words before them
-and words after them.  For each middle word the trie keeps its successors and its left
-contexts, for each context its trigrams.  A trigram stores its last word not as a word but as
-the rank of that word among the successors of the middle word, found by successor search in
-the shorter context's level.  Tables, levels and pointers are monotone and held in Elias-Fano
-form; each entry has its smoothed log10 probability, or backoff weight, in one byte, which is
-within ``0.5 / STEP`` of its value.  An image is one file in shared storage, and is mapped
-into memory and queried in place.
+Trie.  For each middle word the trie keeps its successors and its left contexts, for each
+context its trigrams.  A trigram stores its last word not as a word id but as the rank of that
+word among the successors of the middle word, found by successor search in the shorter context's
+level.  Levels and pointers are monotone and held in Elias-Fano form; each entry has its
+smoothed log10 probability, or backoff weight, in one byte, which is within ``0.5 / STEP`` of
+its value.  An image is one file in shared storage, and is mapped into memory and queried in
+place.
 
 Scale.  The trie is sharded by middle word.  A block of documents sends each shard the
 trigrams it has for it, as one compressed blob with training and scoring occurrences alike;
@@ -59,6 +58,8 @@ START_HASH, END_HASH = np.int64(0x0123456789ABCDEF), np.int64(0x2E3779B97F4A7C15
 SHARD_TOKENS, PER_BYTE = 1_500_000, 0.28
 #: Training tokens of a middle word beyond which it is dealt over several shards.
 SPLIT = 375_000
+#: Leading bits of a hash by which listed words are found.
+TOP = 20
 PARTS = 16_384
 #: Tokens that are cut by shard at once where a partition has several.
 CUT_TOKENS = 4_000_000
@@ -82,24 +83,31 @@ class Vocabulary:
     docs: training documents, which is the count of ends.
     """
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, tokens: int, distinct: int, docs: int, least: int):
-        self.given = hashes, counts, tokens, distinct, docs, least
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, tokens: int, distinct: int, docs: int, least: int, split: int):
+        self.given = hashes, counts, tokens, distinct, docs, least, split
         self.tokens, self.least = tokens, least
         self.z = tokens + 0.1 * (distinct + 1)
         self.hashes = np.concatenate(([START_HASH, END_HASH], hashes))
         self.counts = np.concatenate(([docs, docs], counts))
-        self.classes = np.maximum(1, -(-self.counts // SPLIT))
+        self.classes = np.maximum(1, -(-self.counts // split))
+        # where the listed hashes with each leading TOP bits begin
+        self.begin = FIRST + np.searchsorted(hashes, np.arange((1 << TOP) + 1) << (62 - TOP))
 
     def __reduce__(self):
         return Vocabulary, self.given  # what follows from these is computed again where it arrives
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Id of each hash, -1 for words that are not listed."""
-        listed = self.hashes[FIRST:]
         out = np.full(len(hashes), -1)
-        if len(listed):
-            at = np.minimum(np.searchsorted(listed, hashes), len(listed) - 1)
-            out = np.where(listed[at] == hashes, at + FIRST, out)
+        top = hashes >> (62 - TOP)
+        at, end = self.begin[top], self.begin[top + 1]
+        open_ = np.flatnonzero(at < end)
+        at, end = at[open_], end[open_]
+        while len(open_):
+            hit = self.hashes[at] == hashes[open_]
+            out[open_[hit]] = at[hit]
+            more = ~hit & (at + 1 < end)
+            open_, at, end = open_[more], at[more] + 1, end[more]
         out[hashes == END_HASH] = END
         return out
 
@@ -109,55 +117,53 @@ class Vocabulary:
 
 
 class Trie:
-    """The trigrams of some middle words.
+    """The trigrams of some middle words, by word ids.
 
-    Tables and levels: middle, first and last (hashes of words), successor_at (pointers),
-    successor (middle, last), context (middle, first), base (pointers), trigram (context, rank of
-    the last word among the successors).
+    Levels: rare (hashes of the words whose ids begin at RARE), middle (ids), successor (middle,
+    last), context (middle, first), base (pointers), trigram (context, rank of the last word among
+    the successors).
     """
 
-    LEVELS = ("middle", "first", "last", "successor_at", "successor", "context", "base", "trigram")
+    LEVELS = ("rare", "middle", "successor", "context", "base", "trigram")
     CODES = ("successor_backoff", "successor", "context_backoff", "trigram")
 
     def __init__(self, levels: dict[str, EliasFano], codes: dict[str, np.ndarray]):
         self.levels, self.codes = levels, codes
+        self.bits = (RARE + levels["rare"].n).bit_length()
 
     @classmethod
-    def build(cls, middle: np.ndarray, first: np.ndarray, last: np.ndarray, count: np.ndarray, log1: np.ndarray, whole=None) -> Trie:
-        """From distinct trigrams of hashes, with the last word's log10 unigram probability.
+    def build(cls, middle: np.ndarray, first: np.ndarray, last: np.ndarray, count: np.ndarray, log1: np.ndarray, rare: np.ndarray, whole=None) -> Trie:
+        """From distinct trigrams in order of (middle, first, last), with the last word's log10 unigram probability.
 
         whole(middle, first) and whole(middle, None) give (places, tokens, types) of those of the
         contexts, or middle words, that have further trigrams elsewhere.
         """
-        middles, m = np.unique(middle, return_inverse=True)
-        firsts, f = np.unique(first, return_inverse=True)
-        lasts, w = np.unique(last, return_inverse=True)
-        fb, lb = max(1, len(firsts)).bit_length(), max(1, len(lasts)).bit_length()
-        order = np.lexsort((w, m << fb | f))
-        m, f, w, count, log1 = m[order], f[order], w[order], count[order], log1[order]
-        pair, at, which = np.unique(m << lb | w, return_index=True, return_inverse=True)
+        bits = (RARE + len(rare)).bit_length()
+        middle, first, last = (x.astype(np.int64) for x in (middle, first, last))
+        middles = np.unique(middle)
+        pair, at, which = np.unique(middle << bits | last, return_index=True, return_inverse=True)
         c2 = np.bincount(which, count, len(pair))
-        of = pair >> lb
-        successor_at = np.searchsorted(of, np.arange(len(middles) + 1))
-        width = np.diff(successor_at)
+        begin = np.searchsorted(pair, np.append(middles, 1 << bits) << bits)
+        width = np.diff(begin)
+        of = np.repeat(np.arange(len(middles)), width)
         total, types = np.bincount(of, c2, len(middles)), width.copy()
-        context, start = np.unique(m << fb | f, return_index=True)
-        ends = np.append(start, len(count))
-        c_total, c_types = np.add.reduceat(count, start) if len(start) else count[:0], np.diff(ends)
-        mine = context >> fb
+        key = middle << bits | first
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        context, size = key[start], np.diff(np.append(start, len(key)))
+        c_total, c_types = np.add.reduceat(count, start) if len(start) else count[:0], size.copy()
+        mine = np.searchsorted(middles, context >> bits)
         if whole is not None:
             place, n, t = whole(middles, None)
             total[place], types[place] = n, t
-            place, n, t = whole(middles[mine], firsts[context & ((1 << fb) - 1)])
+            place, n, t = whole(middle[start], first[start])
             c_total[place], c_types[place] = n, t
         p2 = (c2 + types[of] * 10.0 ** log1[at]) / (total + types)[of]
-        owner = np.repeat(np.arange(len(context)), np.diff(ends))
+        owner = np.repeat(np.arange(len(context)), size)
         p3 = (count + c_types[owner] * p2[which]) / (c_total + c_types)[owner]
         base = np.concatenate(([0], np.cumsum(width[mine])))
-        rank = which - successor_at[m]
+        rank = which - begin[mine][owner]
         levels = {
-            "middle": EliasFano.of(middles, 1 << 62), "first": EliasFano.of(firsts, 1 << 62), "last": EliasFano.of(lasts, 1 << 62), "successor_at": EliasFano.of(successor_at),
-            "successor": EliasFano.of(pair, max(1, len(middles)) << lb), "context": EliasFano.of(context, max(1, len(middles)) << fb),
+            "rare": EliasFano.of(rare, 1 << 62), "middle": EliasFano.of(middles, 1 << bits), "successor": EliasFano.of(pair, 1 << 2 * bits), "context": EliasFano.of(context, 1 << 2 * bits),
             "base": EliasFano.of(base), "trigram": EliasFano.of(base[owner] + rank, int(base[-1]) + 1),
         }
         codes = {
@@ -193,7 +199,7 @@ class Trie:
         path = f"{root}/{shard:08d}.trie"
         if where.get_file_info(path).type == fs.FileType.NotFound:
             none = np.zeros(0, np.int64)
-            return cls.build(none, none, none, none, none.astype(np.float64))
+            return cls.build(none, none, none, none, none.astype(np.float64), none)
         if where.type_name == "local":
             return cls.from_buffer(pa.memory_map(path).read_buffer())
         with where.open_input_file(path) as f:
@@ -208,29 +214,47 @@ class Trie:
             f.write(self.to_bytes())
         where.move(name, f"{root}/{shard:08d}.trie")
 
-    def _words(self, table: str, hashes: np.ndarray) -> np.ndarray:
-        some, which = np.unique(hashes, return_inverse=True)
-        return self.levels[table].find(some)[which]
-
-    def score(self, middle: np.ndarray, first: np.ndarray, last: np.ndarray, log1: np.ndarray) -> np.ndarray:
-        """log10 probability of each last word after (first, middle), all given by their hashes."""
-        level, code, out = self.levels, self.codes, log1.copy()
-        fb, lb = max(1, level["first"].n).bit_length(), max(1, level["last"].n).bit_length()
-        m = self._words("middle", middle)
-        known = np.flatnonzero(m >= 0)  # the rest has no evidence beyond unigrams
-        m, f, w = m[known], self._words("first", first[known]), self._words("last", last[known])
-        bigram = np.where(w >= 0, level["successor"].find(m << lb | np.maximum(w, 0)), -1)
-        seen = bigram >= 0
-        got = np.where(seen, _value(code["successor"][np.maximum(bigram, 0)]) if level["successor"].n else 0.0, _value(code["successor_backoff"][m]) + log1[known])
-        context = np.where(f >= 0, level["context"].find(m << fb | np.maximum(f, 0)), -1)
-        has = np.flatnonzero(context >= 0)
-        got[has] += _value(code["context_backoff"][context[has]])
-        both = has[seen[has]]
-        rank = bigram[both] - level["successor_at"].get(m[both])
+    @staticmethod
+    def remove(folder: str, shard: int) -> None:
+        where, root = fs.FileSystem.from_uri(folder)
+        where.delete_file(f"{root}/{shard:08d}.trie")
+
+    def ids(self, rare: np.ndarray) -> np.ndarray:
+        """The ids of words that are not listed, by their hashes; those unknown here get one beyond all ids."""
+        at = self.levels["rare"].find(rare)
+        return RARE + np.where(at < 0, self.levels["rare"].n, at)
+
+    def score(self, middle: np.ndarray, first: np.ndarray, last: np.ndarray, log1: np.ndarray, elsewhere=None) -> np.ndarray:
+        """log10 probability of each last word after (first, middle).
+
+        elsewhere(places, with_first) gives the backoff weights of contexts, or of middle words, that
+        have no trigram here; without it they have none anywhere.
+        """
+        level, code, bits = self.levels, self.codes, self.bits
+        m, f, w = (x.astype(np.int64) for x in (middle, first, last))
+        middles, which = np.unique(m, return_inverse=True)
+        place = level["middle"].find(middles)
+        begin = level["successor"].successor(np.where(place >= 0, middles, 0) << bits)
+        bigram = level["successor"].find(m << bits | w)
+        context = level["context"].find(m << bits | f)
+        out = log1.copy()
+        known = place[which]
+        for at, codes, with_first in ((known, code["successor_backoff"], False), (context, code["context_backoff"], True)):
+            weight = np.zeros(len(out))
+            here = np.flatnonzero(at >= 0)
+            weight[here] = _value(codes[at[here]])
+            if elsewhere is not None:
+                there = np.flatnonzero(at < 0)
+                weight[there] = elsewhere(there, with_first)
+            if with_first:
+                seen = np.flatnonzero(bigram >= 0)
+                out[seen] = _value(code["successor"][bigram[seen]])
+            out += weight
+        both = np.flatnonzero((context >= 0) & (bigram >= 0))
+        rank = bigram[both] - begin[which[both]]
         trigram = level["trigram"].find(level["base"].get(context[both]) + rank)
         hit = trigram >= 0
-        got[both[hit]] = _value(code["trigram"][trigram[hit]])
-        out[known] = got
+        out[both[hit]] = _value(code["trigram"][trigram[hit]])
         return out
 
 
@@ -273,7 +297,7 @@ def vocabulary(words: DataFrame, limit: int = LISTED) -> Vocabulary:
     order = np.argsort(listed["word"].to_numpy())
     hashes, counts = listed["word"].to_numpy()[order], listed["n"].to_numpy()[order]
     ends = words.where(F.col("word") == int(END_HASH)).first()
-    return Vocabulary(hashes, counts, int((n * size).sum()), int(size.sum()), ends["n"] if ends else 0, least)
+    return Vocabulary(hashes, counts, int((n * size).sum()), int(size.sum()), ends["n"] if ends else 0, least, SPLIT)
 
 
 def _pack(arrays: list[np.ndarray]) -> bytes:
@@ -307,11 +331,18 @@ def _pack_occurrences(key: np.ndarray, owner: np.ndarray, block: np.ndarray, blo
     """One blob; ``key`` is in order within each shard, ids from RARE on are places in ``rare``."""
     used, is_last = rare[:0], np.zeros(0, np.uint8)
     if len(rare):
-        words = [key >> s & _MASK for s in (2 * BITS, BITS, 0)]
-        asked = np.unique(np.concatenate([w[w >= RARE] for w in words]))
-        used, is_last = rare[asked - RARE], np.isin(asked, words[2]).astype(np.uint8)
-        one, two, last = (np.where(w >= RARE, RARE + np.searchsorted(asked, w), w) for w in words)
-        key = one << 2 * BITS | two << BITS | last
+        kinds, far = np.zeros(len(rare), np.uint8), []
+        for role, s in enumerate((2 * BITS, BITS, 0)):
+            w = key >> s & _MASK
+            at = np.flatnonzero(w >= RARE)
+            far.append((at, w[at] - RARE, s))
+            kinds[far[-1][1]] |= 1 << role
+        asked = np.flatnonzero(kinds)
+        used, is_last = rare[asked], kinds[asked] >> 2
+        kinds = np.zeros(len(rare), np.int64)
+        kinds[asked] = np.arange(len(asked))
+        for at, w, s in far:
+            key[at] += kinds[w] - w << s
     several = len(shard) and shard[0] != shard[-1]
     return _pack([np.diff(key, prepend=0), owner, block.astype(np.uint16), blocks, np.diff(used, prepend=0), is_last, np.diff(shard, prepend=np.int32(0)) if several else shard[:0]])
 
@@ -340,7 +371,7 @@ class _Opened:
         for p, table in zip(parts, tables, strict=True):
             key, place = np.cumsum(p[0]), RARE + np.searchsorted(rare, table)
             for k, s in enumerate((2 * BITS, BITS, 0)):
-                w = key >> s & _MASK
+                w = (key >> s & _MASK).astype(np.int32)
                 if len(table):
                     far = np.flatnonzero(w >= RARE)
                     w[far] = place[w[far] - RARE]
@@ -354,12 +385,13 @@ class _Opened:
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(words of the distinct trigrams in order, their training counts, trigram of each occurrence)."""
         if RARE + len(self.rare) <= 1 << BITS:
-            key, which = np.unique(self.one << 2 * BITS | self.two << BITS | self.last, return_inverse=True)
-            one, two, last = key >> 2 * BITS, key >> BITS & _MASK, key & _MASK
+            key = self.one.astype(np.int64) << 2 * BITS | self.two.astype(np.int64) << BITS | self.last
+            key, which = np.unique(key, return_inverse=True)
+            one, two, last = (x.astype(np.int32) for x in (key >> 2 * BITS, key >> BITS & _MASK, key & _MASK))
         else:  # too many rare words for three ids in one number: contexts first
-            pair, at = np.unique(self.one << 31 | self.two, return_inverse=True)
+            pair, at = np.unique(self.one.astype(np.int64) << 31 | self.two, return_inverse=True)
             key, which = np.unique(at << 31 | self.last, return_inverse=True)
-            one, two, last = pair[key >> 31] >> 31, pair[key >> 31] & (1 << 31) - 1, key & (1 << 31) - 1
+            one, two, last = (x.astype(np.int32) for x in (pair[key >> 31] >> 31, pair[key >> 31] & (1 << 31) - 1, key & (1 << 31) - 1))
         return one, two, last, np.bincount(which[(self.owner & 1) == 0], minlength=len(key)), which
 
 
@@ -385,7 +417,8 @@ def _send(vocab, shards: int, parts: int, learn: bool, ask: bool):
             out = [(name % shards, DOCS, name, _pack(rows))]
             del counts, base
             rare = np.unique(value[ids < 0])
-            last = np.where(ids >= 0, ids, RARE + np.searchsorted(rare, value))
+            last = ids.copy()
+            last[ids < 0] = RARE + np.searchsorted(rare, value[ids < 0])
             start = block.first[:-1] + np.arange(n)
             one, two = np.concatenate(([START], last[:-1])), np.concatenate(([START, START], last[:-2]))[: len(last)]
             one[start] = START
@@ -412,7 +445,10 @@ def _send(vocab, shards: int, parts: int, learn: bool, ask: bool):
                 key = o << 2 * BITS | t << BITS | w
                 del o, t, w
                 group = (shard[some] % parts).astype(np.int64) * 2 + spread[some]
-                order = np.lexsort((key, shard[some], group)) if parts < shards else np.lexsort((key, group))
+                order = np.argsort(key)
+                if parts < shards:
+                    order = order[np.argsort(shard[some][order], kind="stable")]
+                order = order[np.argsort(group[order].astype(np.uint16 if 2 * parts <= 1 << 16 else np.int64), kind="stable")]
                 key, owner, group, mine = key[order], flag[some][order], group[order], shard[some][order]
                 cut = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
                 for i, j in zip(cut, np.append(cut[1:], len(group)), strict=True):
@@ -436,7 +472,7 @@ def _cut_again(parts: int):
         for a, b in zip(edge, [*edge[1:], len(order)], strict=True):
             for c in range(a, b, 1 << 18):
                 i = order[c : min(b, c + (1 << 18))]
-                words = [w[i] for w in (x.one, x.two, x.last)]
+                words = [w[i].astype(np.int64) for w in (x.one, x.two, x.last)]
                 asked = np.unique(np.concatenate([w[w >= RARE] for w in words]))
                 one, two, last = (np.where(w >= RARE, RARE + np.searchsorted(asked, w), w) for w in words)
                 names, at = np.unique(x.blocks[x.block[i]], return_inverse=True)
@@ -489,10 +525,13 @@ def _hashes(v: Vocabulary, rare: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def split_contexts(v: Vocabulary, x: _Opened, one: np.ndarray, two: np.ndarray, last: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, tokens, types) of what distinct trigrams have of split middle words and their contexts."""
-    pick = np.flatnonzero((one < RARE) & (count > 0))
+    """(key, tokens, types) of what distinct trigrams have of split middle words and their contexts.
+
+    Those that only held-out documents have are named as well, without tokens.
+    """
+    pick = np.flatnonzero(one < RARE)
     pick = pick[v.classes[one[pick]] > 1]
-    one, two, last, count = one[pick], two[pick], last[pick], count[pick]
+    one, two, last, count = one[pick].astype(np.int64), two[pick], last[pick], count[pick]
     middle = _hashes(v, x.rare, one)
     context = _added(_context_key(middle, _hashes(v, x.rare, two)), count)
     pair, which = np.unique(one << 31 | last, return_inverse=True)
@@ -552,7 +591,7 @@ def _add_up(bucket: int, askers: tuple, blobs: tuple) -> pa.RecordBatch:
     np.add.at(types, which, np.concatenate([p[2] for p in parts]))
     ends = np.cumsum([len(k) for k in keys])
     mine = zip(askers, keys, np.split(which, ends[:-1]), strict=True)
-    return _blobs([(shard, SUMS, bucket, _pack([np.diff(k, prepend=0), tokens[w], types[w]])) for shard, k, w in mine])
+    return _blobs([(shard, SUMS, bucket, _pack([np.diff(k, prepend=0), tokens[w], types[w]])) for shard, k, w in mine if shard >= 0])
 
 
 def _ask_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -574,7 +613,7 @@ def _pack_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _blobs([(int(shard[a]), COUNTS, 0, _pack([np.diff(word[a:b], prepend=0), n[a:b]])) for a, b in zip(cut, np.append(cut[1:], len(shard)), strict=True)])
 
 
-def _answer(shard: int, blobs: list[bytes], told: list[tuple[int, bytes]], v: Vocabulary, folder: str, learn: bool, ask: bool) -> Iterator[tuple[int, bytes]]:
+def _answer(shard: int, blobs: list[bytes], told: list[tuple[int, bytes]], v: Vocabulary, folder: str, learn: bool, ask: bool, keep: bool) -> Iterator[tuple[int, bytes]]:
     """(block, sums by document), for each block that a shard has occurrences of."""
     x = _Opened.of(blobs)
     one, two, last, count, which = x.distinct()
@@ -591,28 +630,42 @@ def _answer(shard: int, blobs: list[bytes], told: list[tuple[int, bytes]], v: Vo
     far = np.flatnonzero(last >= RARE)
     counts[far] = found[last[far] - RARE]
     log1 = v.log1(counts)
-    middle, first, word = (_hashes(v, x.rare, k) for k in (one, two, last))
+    key, tokens, types = (np.concatenate(z) for z in zip(*sums, strict=True))
+    order = np.argsort(key)
+    key, tokens, types = key[order], tokens[order], types[order]
+
+    def whole(m, f):
+        """(places, tokens, types) of the split middle words among ``m``, or of their contexts."""
+        some = np.flatnonzero((m < RARE) & (v.classes[np.minimum(m, len(v.classes) - 1)] > 1))
+        want = _context_key(_hashes(v, x.rare, m[some]), None if f is None else _hashes(v, x.rare, f[some]))
+        at = np.searchsorted(key, want)
+        return some, tokens[at], types[at]
+
     if learn:
-        key, tokens, types = (np.concatenate(z) for z in zip(*sums, strict=True))
-        order = np.argsort(key)
-        key, tokens, types = key[order], tokens[order], types[order]
-
-        def whole(m, f):
-            want = _context_key(m, f)
-            at = np.minimum(np.searchsorted(key, want), max(len(key) - 1, 0))
-            place = np.flatnonzero(key[at] == want) if len(key) else at[:0]
-            return place, tokens[at[place]], types[at[place]]
-
-        seen = count > 0
-        Trie.build(middle[seen], first[seen], word[seen], count[seen], log1[seen], whole).save(folder, shard)
+        seen = np.flatnonzero(count)
+        Trie.build(one[seen], two[seen], last[seen], count[seen], log1[seen], x.rare, whole).save(folder, shard)
     if not ask:
         return
     trie = Trie.open(folder, shard)
+    own = trie.ids(x.rare)
     score = np.empty(len(one))
-    for a in range(0, len(one), 1 << 17):
-        b = a + (1 << 17)
-        score[a:b] = trie.score(middle[a:b], first[a:b], word[a:b], log1[a:b])
-    del trie, middle, first, word
+    for a in range(0, len(one), 1 << 18):
+        here = slice(a, a + (1 << 18))
+        words = [w[here].copy() for w in (one, two, last)]
+
+        def elsewhere(at, with_first, here=here):
+            some, n, t = whole(one[here][at], two[here][at] if with_first else None)
+            out = np.zeros(len(at))
+            out[some[n > 0]] = _value(_quantise(np.log10((t / (n + t))[n > 0])))
+            return out
+
+        for w in words:
+            far = np.flatnonzero(w >= RARE)
+            w[far] = own[w[far] - RARE]
+        score[here] = trie.score(*words, log1[here], elsewhere)
+    del trie
+    if learn and not keep:
+        Trie.remove(folder, shard)
     rare = last >= RARE
     more = [np.where(rare, log1, 0.0), (rare & (counts > 0)).astype(np.float64)] if v.least > 1 else []
     order = np.argsort(x.block, kind="stable")
@@ -624,7 +677,7 @@ def _answer(shard: int, blobs: list[bytes], told: list[tuple[int, bytes]], v: Vo
         yield int(x.blocks[x.block[i[0]]]), _pack([np.diff(docs, prepend=np.uint32(0)).astype(np.uint32), *(np.bincount(place, y[t], len(docs)) for y in (score, *more))])
 
 
-def _answer_all(vocab, folder: str, learn: bool, ask: bool):
+def _answer_all(vocab, folder: str, learn: bool, ask: bool, keep: bool):
     def run(here: pa.Table, told: pa.Table) -> pa.Table:
         kind, shard = here.column("kind").to_pylist(), here.column("shard").to_pylist()
         block, blob = here.column("block").to_pylist(), here.column("blob").to_pylist()
@@ -632,7 +685,7 @@ def _answer_all(vocab, folder: str, learn: bool, ask: bool):
         mine = [blob[k] for k in range(len(kind)) if kind[k] != DOCS]
         if mine:
             of = list(zip(told.column("kind").to_pylist(), told.column("blob").to_pylist(), strict=True))
-            out += [(0, 0, b, x) for b, x in _answer(shard[0], mine, of, vocab.value, folder, learn, ask)]
+            out += [(0, 0, b, x) for b, x in _answer(shard[0], mine, of, vocab.value, folder, learn, ask, keep)]
         return pa.Table.from_batches([_blobs(out)])
 
     return run
@@ -685,6 +738,7 @@ class Model:
     shards: int
     vocab: object  # a broadcast Vocabulary
     words: DataFrame
+    sums: DataFrame | None = None  # what shards have of the contexts of split words
 
     def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """As the function of this name, of any documents under this model."""
@@ -703,7 +757,7 @@ def _prepare(docs: DataFrame, id_col: str, text_col: str, limit: int, folder: st
     return Model(folder or new_path(spark, "ngram-trie"), shards, spark.sparkContext.broadcast(vocabulary(words, limit)), words)
 
 
-def _scores(model: Model, docs: DataFrame, id_col: str, text_col: str, learn: bool, ask: bool) -> DataFrame:
+def _scores(model: Model, docs: DataFrame, id_col: str, text_col: str, learn: bool, ask: bool, keep: bool = True) -> DataFrame:
     vocab, v, shards = model.vocab, model.vocab.value, model.shards
     parts = min(shards, PARTS)
     blobs = _slim(docs, id_col, text_col).mapInArrow(_send(vocab, shards, parts, learn, ask), _BLOBS).repartition(parts, "shard")
@@ -711,13 +765,18 @@ def _scores(model: Model, docs: DataFrame, id_col: str, text_col: str, learn: bo
         blobs = blobs.mapInArrow(_cut_again(parts), _BLOBS).repartition(parts, "shard")
     ordered = blobs.sortWithinPartitions("shard")
     told = docs.sparkSession.createDataFrame([], _BLOBS)
-    if learn and int(v.classes.max()) > 1:
-        asked = ordered.mapInArrow(_ask_sums(vocab, parts), _BLOBS).repartition(parts, "shard").sortWithinPartitions("shard")
+    if int(v.classes.max()) > 1:
+        asked = ordered.mapInArrow(_ask_sums(vocab, parts), _BLOBS)
+        if not ask:
+            model.sums = asked = materialise(asked, "context-sums")
+        elif not learn:
+            asked = asked.unionByName(model.sums.withColumn("block", F.lit(-1).cast("long")))
+        asked = asked.repartition(parts, "shard").sortWithinPartitions("shard")
         told = told.unionByName(asked.mapInArrow(_by_shard(_add_up, (SUMS,)), _BLOBS))
     if v.least > 1:
         asked = ordered.mapInArrow(_ask_counts, "word long, shard int").join(model.words.where(F.col("n") < v.least), "word")
         told = told.unionByName(asked.repartition(parts, "shard").sortWithinPartitions("shard", "word").mapInArrow(_pack_counts, _BLOBS))
-    answers = blobs.groupBy("shard").cogroup(told.repartition(parts, "shard").groupBy("shard")).applyInArrow(_answer_all(vocab, model.folder, learn, ask), _BLOBS)
+    answers = blobs.groupBy("shard").cogroup(told.repartition(parts, "shard").groupBy("shard")).applyInArrow(_answer_all(vocab, model.folder, learn, ask, keep), _BLOBS)
     out = answers.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_gather(v.least > 1), _SCORES)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(v.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
@@ -736,6 +795,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit
     A null text is empty and has its end alone.  Rows that share an id are scored each for
     itself.  Without training documents every word is unknown.  ``limit`` is how many words tasks
     know; it changes what is sent, not the scores.  The images stay in ``folder``; without one
-    they are in the scratch folder until the application ends.
+    each is in the scratch folder while its shard is scored.
     """
-    return _scores(_prepare(docs, id_col, text_col, limit, folder), docs, id_col, text_col, True, True)
+    return _scores(_prepare(docs, id_col, text_col, limit, folder), docs, id_col, text_col, True, True, folder is not None)
