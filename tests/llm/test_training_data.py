@@ -167,6 +167,44 @@ def test_lm_predicts_held_out_text(spark):
     assert out[0] > 0.5 * out[1]
 
 
+def jaccard_rows():
+    import random
+
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(120)]
+    rows = [(k, " ".join(words[j % 120] if rng.random() > 0.04 * (k % 4) else f"x{rng.randrange(999)}" for j in range(k % 7 * 17, k % 7 * 17 + 6 + k % 90))) for k in range(260)]
+    return rows + [(k, " ".join(words[:40] + [f"y{k}"])) for k in range(300, 340)] + [(12, rows[3][1]), (None, rows[3][1]), (400, None), (401, " ")]
+
+
+@pytest.mark.parametrize("change", [{"LOCAL": 2, "CHUNK": 3, "CHUNK_LONGS": 200}, {"PARTS": 2, "BUCKET_SIGNATURES": 40, "PER_BYTE": 1.0, "HOLD": 300, "BROADCAST_ROWS": 0}])
+def test_jaccard_groups_in_pieces(spark, monkeypatch, change):
+    for name, value in change.items():
+        monkeypatch.setattr(jaccard_join, name, value)
+    path = new_path(spark, "jaccard-rows")
+    spark.createDataFrame(jaccard_rows(), "doc_id long, text string").repartition(3).write.parquet(path)
+    got = [tuple(r) for r in jaccard_join.classes(spark.read.parquet(path)).collect()]
+    assert sorted(got, key=str) == sorted(brute_classes(jaccard_rows()), key=str)
+
+
+@pytest.mark.parametrize("change", [{"BITS": 4, "LOCAL": 3}])
+def test_jaccard_fingerprints_that_clash(spark, monkeypatch, change):
+    for name, value in change.items():
+        monkeypatch.setattr(jaccard_join, name, value)
+    df = spark.createDataFrame(jaccard_rows()[::3], "doc_id long, text string")
+    got = [tuple(r) for r in jaccard_join.classes(df).collect()]
+    assert sorted(got, key=str) == sorted(brute_classes(jaccard_rows()[::3]), key=str)
+
+
+def test_one_row_of_each_class_stays(spark):
+    other = BASE.replace("one", "uno").replace("seven", "siete").replace("twelve", "doce")
+    rows = [(1, BASE), (5, BASE), (5, other), (7, BASE + " x"), (7, BASE + " x"), (None, BASE), (None, "a b"), (None, "a b"), (9, None), (9, None), (10, "A B c d e f"), (10, "a b c d e f"), (11, other)]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, _id int").repartition(4)
+    out = jaccard_join.one_of_each(df)
+    assert out.columns == df.columns
+    kept = sorted(((r["doc_id"], (r["text"] or "").lower()) for r in out.collect()), key=str)
+    assert kept == sorted([(1, BASE), (5, other), (None, "a b"), (9, ""), (9, ""), (10, "a b c d e f")], key=str)
+
+
 def witten_bell(rows):
     """Scores by dictionaries, each stored probability and backoff weight rounded as a code is."""
     held = lambda i: zlib.crc32(str(i).encode() if i is not None else b"") % 10 == 0
@@ -226,6 +264,7 @@ def test_lm_scores_are_a_function_of_the_documents(spark, monkeypatch, partition
         docs = spark.read.parquet(path)
         found = sorted(((r["doc_id"], r["score"]) for r in ngram_lm.score(docs, limit=limit).collect()), key=str)
         model = ngram_lm.train(docs, limit=limit)
+        ngram_lm.score(docs, limit=limit, folder=new_path(spark, "kept-trie")).count()
         again = sorted(((r["doc_id"], r["score"]) for r in model.score(docs).collect()), key=str)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
@@ -251,6 +290,23 @@ def test_decontamination(spark, docs):
     assert sorted([tuple(r)[:2] for r in kept.collect()], key=str) == sorted([r for r, b in zip(ROWS, bad) if not b], key=str)
 
 
+def test_items_of_one_template_give_no_candidates():
+    import numpy as np
+    import pyarrow as pa
+
+    from tracewell.llm.block import Block
+
+    template = [f"t{k}" for k in range(30)]
+    items = [" ".join([*template, *(f"i{n}_{k}" for k in range(10))]) for n in range(2000)]
+    index = decontaminate.ItemIndex(list(range(2000)), items)
+    docs = [" ".join([*template, *(f"d{n}_{k}" for k in range(10))]) for n in range(50)] + items[7:8] + [items[9] + " more words"]
+    block = Block(pa.array(docs), lower=True)
+    found = list(zip(*(x.tolist() for x in index.candidates(*jaccard_join.sets(block)[:2])), strict=True))
+    assert found == [(50, 7), (51, 9)]
+    same = decontaminate.ItemIndex([1, 2, None], [BASE, BASE.upper(), BASE + " x"])
+    assert len(same.size) == 2 and [sorted(x, key=str) for x in same.ids] == [[1, 2], [None]] and np.array_equal(same.size, [11, 12])
+
+
 def test_item_groups_are_bounded(spark, docs, monkeypatch):
     items = spark.createDataFrame([(k, BASE + f" {k}") for k in range(7)], "item_id long, text string")
     whole = sorted(map(tuple, decontaminate.contained_items(docs, items).collect()), key=str)
@@ -298,6 +354,15 @@ def test_quality_learns_from_labels(spark):
     assert sum(kept[i] for i, _ in good) >= 298 and sum(kept[i] for i, _ in bad) <= 2
 
 
+def test_quality_with_few_labels(spark):
+    docs = spark.createDataFrame([(k, ("good words here " if k % 2 else "bad ### words !!! ") * 9 + f"w{k}") for k in range(24)] + [(3, "other text"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(24)], "doc_id long, quality int")
+    kept = quality.keep_good(docs, quality.train(docs, labels))
+    assert kept.columns == docs.columns and all(r["text"].startswith("good") for r in kept.collect()) is True
+    one = quality.train(docs, labels.where("quality = 1"))
+    assert not len(one.roots)
+
+
 def test_token_counts(docs):
     enc = bpe.encoding(ranks(), PATTERN)
     lengths = [len(enc.encode_ordinary(t or "")) for _, t in ROWS]

@@ -6,22 +6,32 @@ link when ``100 * intersection >= 80 * union``.
 Method.  Sizes fall into bands whose upper end is 5/4 of their lower end, so linked sets lie
 in one band or in neighbouring ones; a set takes part in the instance of its own band and of
 the next.  In the instance whose largest size is r, linked sets differ in at most
-``k = floor(2r / 9)`` shingles.  The domain of shingles is partitioned by hash into n > k parts
-and the subsets of size one are enumerated: a signature is the projection of the set to a
-part, so linked sets agree in at least n - k of them.  Empty projections are no signatures.
-If a set has n - k of them or more, then so has any set linked with it in empty parts alone;
-such sets also give the shingles of their prefix under the hash order as signatures.  No link
-is missed.
-
-Equal sets are one node from the start.  A bucket of signatures gives groups of nodes that
-share one.  Members are verified against the least node of their group, and the links make
-components, so a group of many near copies costs one verification per member.  Where a group
+``k = floor(2r / 9)`` shingles.  PartEnum then has two levels.  The domain of shingles is
+partitioned by hash into ``n1 = floor(k / 2) + 1`` parts, and e more; with at most k differences
+at least 1 + e of them have one difference or none.  Each part is partitioned again into
+``n2 = 3``, and its subsets of ``n2 - 1`` second-level parts are enumerated: a signature is the
+projection of the set to such a subset, and a part with one difference or none gives at least one
+that linked sets share.  Empty projections are no signatures.  A part is thin for a set that is
+empty on some of its subsets; a set with fewer than 1 + e thin parts shares a signature that is
+not empty with each set it is linked with.  Sets with more also give the shingles of their
+prefix under the hash order as signatures, so they meet each other.  No link is missed.
+
+Equal sets are one node from the start: they have one 64-bit fingerprint, and nodes whose
+members differ in a second fingerprint are taken apart.  A bucket of signatures gives groups of
+nodes that share one.  Members are verified against the least node of their group, and the links
+make components, so a group of many near copies costs one verification per member.  Where a group
 still spans several components, its members outside the largest one are compared with the
 others by parity sketches, in chunks of bounded size inside the tasks; no pair becomes a row
 unless it links them.  A differing shingle changes one bit of a sketch, so more differing bits
 than linked sets can have differences rule a link out for certain.  Members with a pair that
 is left open meet once more with their whole sets, and pairs are verified by counting shingles
 exactly, until links join what they can; no more links than that become rows.
+
+Scale.  A signature that ``LOCAL`` nodes of one block share does not go to its bucket with them:
+the bucket gets a mark, and the nodes leave as pieces of the group, rows of at most ``CHUNK``
+nodes.  Groups that are larger than that anyhow, and buckets of more than ``HOLD`` bytes, become
+pieces as well, so no task and no row has to hold a group.  Beyond ``PARTS`` buckets a partition
+has several, which are cut apart and sorted after the shuffle.
 """
 
 from __future__ import annotations
@@ -36,14 +46,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .block import U64, Block, mix, shingles, slices, together
+from .block import U64, Block, free_names, mix, shingles, slices, together
 from .components import components
 from .scratch import input_bytes, materialise
 
 SIZE = 5
 BLOCK_BYTES = 6 << 20
-#: Signatures in a bucket, and about how many a byte of stored input makes.
-BUCKET_SIGNATURES, PER_BYTE = 1_000_000, 0.15
+#: Signatures in a bucket, about how many a byte of stored input makes, and how many partitions there are at most.
+BUCKET_SIGNATURES, PER_BYTE, PARTS = 1_000_000, 0.2, 16_384
+#: Nodes of a block that share a signature from which on they leave as a piece, and bytes of a bucket that are held.
+LOCAL, HOLD = 8, 128 << 20
+#: Bits of the fingerprint of a set.
+BITS = 64
+#: Wanted nodes up to which their keys are broadcast (12 MB), so that no text is shuffled to find their sets.
+BROADCAST_ROWS = 300_000
 #: Members of a group that are compared at once, and numbers that they bring along.
 CHUNK, CHUNK_LONGS = 2048, 1 << 20
 _LAST = np.iinfo(np.int64).max
@@ -59,9 +75,11 @@ def bands(largest: int) -> tuple[np.ndarray, np.ndarray]:
     return upper, 2 * upper // 9
 
 
-def parts(k: np.ndarray) -> np.ndarray:
-    """Number of parts for ``k`` differences: k + 1, and some for projections that are empty."""
-    return np.where(k == 0, 1, k + 2 + (15 * k + 99) // 100)
+def parts(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first-level parts for ``k`` differences, how many of them are more than it takes)."""
+    least = k // 2 + 1
+    more = np.where(k > 1, 1 + least // 32, 0)
+    return least + more, more
 
 
 def sets(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,13 +93,18 @@ def sets(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc, value, np.bincount(doc, minlength=block.n_docs)
 
 
-def nodes_of(doc: np.ndarray, value: np.ndarray, n_docs: int) -> np.ndarray:
+def nodes_of(doc: np.ndarray, value: np.ndarray, n_docs: int, salt: np.uint64 = _SALT) -> np.ndarray:
     """A 64-bit fingerprint of each document's set."""
     out = np.zeros(n_docs, U64)
-    np.add.at(out, doc, mix(value ^ _SALT))
+    np.add.at(out, doc, mix(value ^ salt))
     return mix(out).view(np.int64)
 
 
+def checks_of(doc: np.ndarray, value: np.ndarray, n_docs: int) -> np.ndarray:
+    """A second fingerprint, independent of the first."""
+    return nodes_of(doc, mix(value), n_docs, U64(0x9FB21C651E98DF25))
+
+
 def signatures(doc: np.ndarray, value: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(document, signature) of sets given as ordered (document, shingle)."""
     out_doc, out_sig = [], []
@@ -89,28 +112,33 @@ def signatures(doc: np.ndarray, value: np.ndarray, size: np.ndarray) -> tuple[np
         return doc, value
     upper, allowed = bands(int(size.max()))
     own = np.searchsorted(upper, size)
-    mixed = mix(value)
+    mixed, addend = mix(value), mix(value + _SALT)
     begin = np.cumsum(size) - size
     for step in (0, 1):
         k = allowed[own + step]
-        n = np.where((k > 0) & (size > 0), parts(k), 0)  # without differences only equal sets link
+        n, more = parts(k)
+        n = np.where((k > 0) & (size > 0), n, 0)  # without differences only equal sets link
         base = np.cumsum(n) - n
-        use = n[doc] > 0
-        slots = np.zeros(int(n.sum()), U64)
+        use = np.flatnonzero(n[doc] > 0)
+        slots = np.zeros(3 * int(n.sum()), U64)
         filled = np.zeros(len(slots), bool)
-        at = base[doc[use]] + (mixed[use] % n[doc[use]].astype(U64)).astype(np.int64)
-        np.add.at(slots, at, mix(value[use] + _SALT))
+        at = 3 * base[doc[use]] + (mixed[use] % (3 * n[doc[use]]).astype(U64)).astype(np.int64)
+        np.add.at(slots, at, addend[use])
         filled[at] = True
+        slots, filled = slots.reshape(-1, 3), filled.reshape(-1, 3)
         owner = np.repeat(np.arange(len(n)), n)
         part = np.arange(len(slots)) - base[owner]
-        tag = mix(((own[owner] + step).astype(U64) << U64(32)) + part.astype(U64))
-        out_doc.append(owner[filled])
-        out_sig.append(mix(slots[filled] + tag[filled]))
-        empty = n - np.bincount(owner[filled], minlength=len(n))
-        for d in np.flatnonzero((n > 0) & (empty >= n - k)):
+        held, total = filled.sum(1), slots.sum(1, dtype=U64)
+        tag = ((own[owner] + step).astype(U64) << U64(34)) + (part.astype(U64) << U64(2))
+        for left_out in range(3):
+            some = np.flatnonzero(held > filled[:, left_out])
+            out_doc.append(owner[some])
+            out_sig.append(mix(total[some] - slots[some, left_out] + mix(tag[some] + U64(left_out))))
+        thin = np.bincount(owner[held < 2], minlength=len(n))
+        for d in np.flatnonzero((n > 0) & (thin > more)):
             own_values = np.sort(mixed[begin[d] : begin[d] + size[d]])[: size[d] // 5 + 1]
             out_doc.append(np.full(len(own_values), d))
-            out_sig.append(mix(own_values ^ mix(np.array([own[d] + step + (1 << 40)], U64))))
+            out_sig.append(mix(own_values ^ mix(np.array([own[d] + step + (1 << 44)], U64))))
     return np.concatenate(out_doc), np.concatenate(out_sig)
 
 
@@ -130,43 +158,103 @@ def sketches(doc: np.ndarray, value: np.ndarray, size: np.ndarray) -> np.ndarray
     return out.view(np.int64)
 
 
-def _send(id_column: str, column: str, buckets: int):
-    """Blobs: (signature, node) of a bucket, or (document, node, size, sketch) of a block of ``docs`` documents."""
+#: What a blob has: entries of a bucket, signatures that are marked, or pieces of groups; a positive number counts documents.
+_ENTRIES, _MARKS, _PIECES = 0, -1, -2
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, length) of the runs of equal values."""
+    start = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+    return start, np.diff(np.append(start, len(x)))
+
+
+def _send(id_column: str, column: str, buckets: int, parts: int, bits: int = 64):
+    """Blobs for the buckets, one partition after another, and one of the documents of a block."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, column, BLOCK_BYTES):
             block = Block(batch.column(column), lower=True)
             doc, value, size = sets(block)
-            node = nodes_of(doc, value, block.n_docs)
+            node = nodes_of(doc, value, block.n_docs) >> (64 - bits)
             ids = pc.fill_null(batch.column(id_column).cast(pa.int64()), _LAST).to_numpy(zero_copy_only=False)
             crc = np.array([zlib.crc32(block.document(k)) for k in range(block.n_docs)], np.int64)
-            out = ([int(mix(node[:1].view(U64))[0] % U64(buckets))], [block.n_docs], [np.concatenate((ids, node, size.astype(np.int64), crc, sketches(doc, value, size))).tobytes()])
-            one = np.zeros(block.n_docs, bool)
-            one[np.unique(node, return_index=True)[1]] = True
+            mark = checks_of(doc, value, block.n_docs)
+            to = int(mix(node[:1].view(U64))[0] % U64(parts))
+            out = ([to], [block.n_docs], [np.concatenate((ids, node, size.astype(np.int64), crc, mark, sketches(doc, value, size))).tobytes()])
+            one = np.zeros(block.n_docs, bool)  # equal sets once
+            one[np.unique(mix(node.view(U64)) + mark.view(U64), return_index=True)[1]] = True
             pick = one[doc]
             owner, sig = signatures(doc[pick], value[pick], np.where(one, size, 0))
-            bucket = (sig % U64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            owner, sig, bucket = owner[order], sig[order], bucket[order]
-            cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(sig) else []
-            for a, b in zip(cut, np.append(cut[1:], len(sig)), strict=True) if len(sig) else ():
-                out[0].append(int(bucket[a]))
-                out[1].append(0)
-                out[2].append(sig[a:b].tobytes() + node[owner[a:b]].tobytes())
+            order = np.argsort(sig)
+            sig, member = sig[order], node[owner[order]]
+            start, count = _runs(sig)
+            often = count >= LOCAL
+            hot = np.repeat(often, count)
+            if often.any():
+                out[0].append(to)
+                out[1].append(_PIECES)
+                out[2].append(np.concatenate(([often.sum()], sig[start[often]].view(np.int64), count[often], member[hot])).astype(np.int64).tobytes())
+            for kind, s, m in ((_ENTRIES, sig[~hot], member[~hot]), (_MARKS, sig[start[often]], None)):
+                part = ((s % U64(buckets)) % U64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                s, part = s[order], part[order]
+                for a, n in zip(*_runs(part), strict=True):
+                    out[0].append(int(part[a]))
+                    out[1].append(kind)
+                    out[2].append(s[a : a + n].tobytes() + (m[order[a : a + n]].tobytes() if m is not None else b""))
             yield pa.record_batch({"bucket": pa.array(out[0], pa.int32()), "docs": pa.array(out[1], pa.int32()), "blob": pa.array(out[2], pa.binary())})
 
     return run
 
 
-def _group(blobs: list[bytes]) -> pa.RecordBatch | None:
-    """Groups of two nodes or more that share a signature; equal groups once."""
+def _cut_again(buckets: int, parts: int):
+    """Entries and marks of a partition with several buckets, cut by bucket; other blobs go on."""
+
+    def cut(kind: int, held: list[bytes]) -> pa.RecordBatch:
+        width = 2 if kind == _ENTRIES else 1
+        both = [np.concatenate([np.frombuffer(b, np.int64, len(b) // 8 // width, k * (len(b) // width)) for b in held]) for k in range(width)]
+        bucket = (both[0].view(U64) % U64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        rows = [(int(bucket[order[a]]), kind, b"".join(x[order[a : a + n]].tobytes() for x in both)) for a, n in zip(*_runs(bucket[order]), strict=True)]
+        return pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["bucket", "docs", "blob"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = {_ENTRIES: [], _MARKS: []}, 0
+        for batch in batches:
+            kinds = batch.column("docs").to_numpy()
+            other = np.flatnonzero((kinds != _ENTRIES) & (kinds != _MARKS))
+            if len(other):
+                yield batch.take(pa.array(other))
+            for k in np.flatnonzero((kinds == _ENTRIES) | (kinds == _MARKS)).tolist():
+                held[int(kinds[k])].append(batch.column("blob")[k].as_py())
+                size += len(held[int(kinds[k])][-1])
+            if size > HOLD // 2:
+                yield from (cut(kind, b) for kind, b in held.items() if b)
+                held, size = {_ENTRIES: [], _MARKS: []}, 0
+        yield from (cut(kind, b) for kind, b in held.items() if b)
+
+    return run
+
+
+def _pieces(sig: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+    """Rows of kind 2 from entries in the order of their signature: its key and some of its nodes."""
+    start, count = _runs(sig)
+    rows = -(-count // CHUNK)
+    at = np.repeat(start, rows) + CHUNK * (np.arange(rows.sum()) - np.repeat(np.cumsum(rows) - rows, rows))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(sig)), pa.int32()), pa.array(node))
+    return _batch(np.full(len(at), 2, np.int32), sig[at].view(np.int64), lists)
+
+
+def _group(blobs: list[bytes], marks: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """Groups of two nodes or more that share a signature; equal groups once, large and marked ones in pieces."""
     sig = np.concatenate([np.frombuffer(b, U64, len(b) // 16) for b in blobs])
     node = np.concatenate([np.frombuffer(b, np.int64, offset=len(b) // 2) for b in blobs])
+    marked = np.unique(np.concatenate([np.frombuffer(b, U64) for b in marks])) if marks else sig[:0]
     order = np.argsort(sig, kind="stable")
     sig, node = sig[order], node[order]
     same = np.zeros(len(sig) + 1, bool)
     same[1:-1] = sig[1:] == sig[:-1]
-    pick = same[1:] | same[:-1]
+    pick = np.flatnonzero(same[1:] | same[:-1] | np.isin(sig, marked))
     sig, node = sig[pick], node[pick]
     order = np.lexsort((node, sig))
     sig, node = sig[order], node[order]
@@ -174,52 +262,74 @@ def _group(blobs: list[bytes]) -> pa.RecordBatch | None:
     new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
     sig, node = sig[new], node[new]
     if not len(sig):
-        return None
-    start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-    count = np.diff(np.append(start, len(sig)))
+        return
+    start, count = _runs(sig)
+    large = (count > CHUNK) | np.isin(sig[start], marked)
+    if large.any():
+        yield _pieces(sig[np.repeat(large, count)], node[np.repeat(large, count)])
     weight = mix(node.view(U64))
     key = mix(np.add.reduceat(weight, start) + count.astype(U64))
+    key[large | (count < 2)] = 0
     first = np.unique(key, return_index=True)[1]
-    first = np.sort(first[count[first] > 1])
-    if not len(first):
-        return None
-    length = count[first]
-    at = np.repeat(start[first], length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-    return _batch(np.zeros(len(first), np.int32), key[first].view(np.int64), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))), pa.int32()), pa.array(node[at])), None, None, None)
+    first = np.sort(first[key[first] != 0])
+    if len(first):
+        length = count[first]
+        at = np.repeat(start[first], length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+        yield _batch(np.zeros(len(first), np.int32), key[first].view(np.int64), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))), pa.int32()), pa.array(node[at])))
 
 
-_OUT = "kind int, key long, nodes array<long>, doc_id long, size long, crc long"
+_OUT = "kind int, key long, nodes array<long>, doc_id long, size long, crc long, mark long"
 
 
-def _batch(kind, key, nodes, ids, size, crc) -> pa.RecordBatch:
+def _batch(kind, key, nodes, *more) -> pa.RecordBatch:
     n = len(kind)
-    return pa.record_batch({
-        "kind": pa.array(kind, pa.int32()), "key": pa.array(key, pa.int64()),
-        "nodes": nodes if nodes is not None else pa.nulls(n, pa.list_(pa.int64())),
-        "doc_id": pa.array(ids, pa.int64()) if ids is not None else pa.nulls(n, pa.int64()),
-        "size": pa.array(size, pa.int64()) if size is not None else pa.nulls(n, pa.int64()),
-        "crc": pa.array(crc, pa.int64()) if crc is not None else pa.nulls(n, pa.int64()),
-    })
+    out = {"kind": pa.array(kind, pa.int32()), "key": pa.array(key, pa.int64()), "nodes": nodes}
+    for k, name in enumerate(("doc_id", "size", "crc", "mark")):
+        out[name] = pa.array(more[k], pa.int64()) if more else pa.nulls(n, pa.int64())
+    return pa.record_batch(out)
+
 
+def _receive(batches: Iterable[pa.RecordBatch], hold: int = HOLD) -> Iterator[pa.RecordBatch]:
+    bucket, held, marks, size, large = None, [], [], 0, False
+
+    def settle() -> Iterator[pa.RecordBatch]:
+        if held and large:
+            yield from _whole_pieces(held)
+        elif held:
+            yield from _group(held, marks)
 
-def _receive(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bucket, held = None, []
     for batch in batches:
         for k, count, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            if count:
+            if count > 0:
+                flat = np.frombuffer(blob.as_py(), np.int64)
+                ids, node, sizes, crc, mark = flat[: 5 * count].reshape(5, count)
+                ends = np.concatenate(([0], np.cumsum(sketch_longs(sizes))))
+                yield _batch(np.ones(count, np.int32), node, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[5 * count :])), ids, sizes, crc, mark)
+                continue
+            if count == _PIECES:
                 flat = np.frombuffer(blob.as_py(), np.int64)
-                ids, node, size, crc = flat[: 4 * count].reshape(4, count)
-                ends = np.concatenate(([0], np.cumsum(sketch_longs(size))))
-                yield _batch(np.ones(count, np.int32), node, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[4 * count :])), ids, size, crc)
+                n = int(flat[0])
+                yield _pieces(np.repeat(flat[1 : n + 1].view(U64), flat[n + 1 : 2 * n + 1]), flat[2 * n + 1 :])
+                continue
+            if k != bucket:
+                yield from settle()
+                bucket, held, marks, size, large = k, [], [], 0, False
+            if count == _MARKS:
+                marks.append(blob.as_py())
                 continue
-            if k != bucket and held:
-                if (out := _group(held)) is not None:
-                    yield out
-                held = []
-            bucket = k
             held.append(blob.as_py())
-    if held and (out := _group(held)) is not None:
-        yield out
+            size += len(held[-1])
+            if size > hold:  # from here on all of the bucket leaves in pieces
+                yield from _whole_pieces(held)
+                held, size, large = [], 0, True
+    yield from settle()
+
+
+def _whole_pieces(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+    sig = np.concatenate([np.frombuffer(b, U64, len(b) // 16) for b in blobs])
+    node = np.concatenate([np.frombuffer(b, np.int64, offset=len(b) // 2) for b in blobs])
+    order = np.argsort(sig)
+    yield _pieces(sig[order], node[order])
 
 
 def _lower(column: str):
@@ -250,17 +360,22 @@ def _meetings(entries: DataFrame, roots: DataFrame, nodes: DataFrame, values: in
 
     Groups with fewer than ``least`` members do not meet: 3 where every member was already
     verified against the least one, 2 where ``entries`` has only some members of a group.
-    ``nodes(node, weight, data)`` has what a member brings along.  Members are dealt into chunks
-    of about ``CHUNK`` members and of weights of about ``values`` by hash, and each two chunks
-    meet in one place, so neither a task nor a row ever has a whole group.
+    ``nodes(node, weight, data)`` has what a member brings along.  Members of the largest
+    component, and those of all others, are dealt by hash into chunks of about ``CHUNK`` members and
+    of weights of about ``values``.  Each chunk of the others meets each chunk in one place, so
+    neither a task nor a row ever has a whole group, and a large component is sent once for each
+    chunk of the others.
     """
     placed = entries.join(roots, "node", "left").join(nodes.select("node", "weight"), "node").withColumn("root", F.coalesce("root", "node"))
     counts = placed.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
-    spans = counts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).where(f"roots > 1 and n >= {least}")
-    chunks = F.ceil(F.greatest(F.col("n") / CHUNK, F.col("w") / values)).cast("int")
-    rows = placed.join(spans.select("key", "main", chunks.alias("chunks")), "key").join(nodes.select("node", "data"), "node")
-    chunks = F.col("chunks")
-    rows = rows.select("key", "node", "root", (F.col("root") == F.col("main")).alias("main"), "data", F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
+    spans = counts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("*").alias("roots"), F.max(F.struct("n", "root", "w")).alias("main")).where(f"roots > 1 and n >= {least}")
+    chunks = lambda n, w: F.ceil(F.greatest(n / CHUNK, w / values)).cast("int")
+    spans = spans.select("key", F.col("main.root").alias("main"), chunks(F.col("n") - F.col("main.n"), F.col("w") - F.col("main.w")).alias("rests"), chunks(F.col("main.n"), F.col("main.w")).alias("mains"))
+    rows = placed.join(spans, "key").join(nodes.select("node", "data"), "node").withColumn("main", F.col("root") == F.col("main"))
+    deal = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    chunk = F.when(F.col("main"), F.col("rests") + deal(F.col("mains"))).otherwise(deal(F.col("rests")))
+    others = F.col("rests") + F.when(F.col("main"), 0).otherwise(F.col("mains")) - 1
+    rows = rows.select("key", "node", "root", "main", "data", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), others)).alias("other"))
     rows = rows.select("key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "node", "root", "main", "data")
     n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
@@ -291,15 +406,8 @@ def _open_pairs(x: dict, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndar
 
 def _compare(x: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Open pairs of the two chunks of a group, or inside its one chunk, some at a time."""
-    rest, main = np.flatnonzero(~x["main"]), np.flatnonzero(x["main"])
-    if x["lo"] == x["hi"]:
-        yield from _open_pairs(x, rest, rest)
-        yield from _open_pairs(x, rest, main)
-    else:
-        first = x["chunk"] == x["lo"]
-        a, b = np.flatnonzero(first), np.flatnonzero(~first)
-        yield from _open_pairs(x, a[~x["main"][a]], b)
-        yield from _open_pairs(x, b[~x["main"][b]], a[x["main"][a]])
+    first = np.flatnonzero(x["chunk"] == x["lo"])
+    yield from _open_pairs(x, first, first if x["lo"] == x["hi"] else np.flatnonzero(x["chunk"] == x["hi"]))
 
 
 def _meet(held: list[pa.RecordBatch]) -> tuple[dict, np.ndarray, np.ndarray]:
@@ -394,9 +502,11 @@ def _across(entries: DataFrame, roots: DataFrame, nodes: DataFrame, slim: DataFr
 
 def _sets_of(wanted: DataFrame, slim: DataFrame, nodes: DataFrame) -> DataFrame:
     """Rows (node, shingles) of the nodes in ``wanted(node)``."""
-    keepers = nodes.join(wanted.select("node").distinct(), "node", "left_semi").select("node", "row.doc_id", "row.crc")
-    texts = slim.withColumn("doc_id", F.coalesce("doc_id", F.lit(int(_LAST)))).join(keepers, ["doc_id", "crc"]).select("node", "text")
-    held = materialise(texts.mapInArrow(_exact_sets, "node long, shingles array<long>"), "sets")
+    keepers = nodes.join(wanted.select("node").distinct(), "node", "left_semi").select("node", "print", "row.doc_id", "row.crc", "row.mark")
+    keepers = materialise(keepers, "keepers")
+    few = keepers.count() <= BROADCAST_ROWS
+    texts = slim.withColumn("doc_id", F.coalesce("doc_id", F.lit(int(_LAST)))).join(F.broadcast(keepers) if few else keepers, ["doc_id", "crc"]).select("node", "print", "mark", "text")
+    held = materialise(texts.mapInArrow(_exact_sets(BITS), "node long, shingles array<long>"), "sets")
     return held.dropDuplicates(["node"])
 
 
@@ -411,13 +521,16 @@ def _verified(pairs: DataFrame, slim: DataFrame, nodes: DataFrame) -> DataFrame:
     return met.where(100 * both >= 80 * (size_a + size_b - both)).select("a", "b").distinct()
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id), one for each row of ``docs``.
+def _to_least(entries: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the least node of each group in ``entries(key, node)`` and every other one."""
+    least = entries.groupBy("key").agg(F.min("node").alias("a"))
+    return entries.join(least, "key").where("a <> node").select("a", F.col("node").alias("b"))
 
-    component_id is the smallest id that links reach, the row's own included.  A null, empty
-    or blank text has no shingles and links with nothing.  Rows with a null id take part, but
-    a null is never the smallest id unless the class has no other.  Rows that share an id are
-    rows of their own.
+
+def _reached(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (doc_id, crc, size, root), one for each row of ``docs``.
+
+    crc: of the lower-cased text; a null id is the largest one; root: a node of the row's class.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -425,20 +538,44 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = input_bytes(docs)
     buckets = max(shuffles, math.ceil(size * PER_BYTE / BUCKET_SIGNATURES)) if size < 1 << 55 else shuffles
-    dealt = slim.select("doc_id", "text").mapInArrow(_send("doc_id", "text", buckets), "bucket int, docs int, blob binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    found = materialise(dealt.mapInArrow(_receive, _OUT), "signature-groups")
-    members = found.where("kind = 1").select("doc_id", "size", F.col("key").alias("node"))
-    nodes = found.where("kind = 1").groupBy(F.col("key").alias("node")).agg(F.min(F.struct("doc_id", "crc")).alias("row"), F.first("size").alias("size"), F.first("nodes").alias("sketch"))
+    parts = min(buckets, PARTS)
+    dealt = slim.select("doc_id", "text").mapInArrow(_send("doc_id", "text", buckets, parts, BITS), "bucket int, docs int, blob binary").repartition(parts, "bucket")
+    if parts < buckets:
+        dealt = dealt.mapInArrow(_cut_again(buckets, parts), dealt.schema)
+    hold = HOLD
+    found = materialise(dealt.sortWithinPartitions("bucket").mapInArrow(lambda batches: _receive(batches, hold), _OUT), "signature-groups")
+    members = found.where("kind = 1").select("doc_id", "crc", "size", "mark", F.col("nodes").alias("sketch"), F.col("key").alias("print"), F.col("key").alias("node"))
     groups = materialise(found.where("kind = 0").groupBy("key").agg(F.first("nodes").alias("nodes")), "groups")
-    entries = groups.select("key", F.explode("nodes").alias("node"))
-    pairs = groups.select(F.col("nodes")[0].alias("a"), F.explode(F.slice("nodes", 2, 2147483647)).alias("b")).distinct()
-    open_pairs = materialise(_possible(pairs, nodes), "pairs")
+    pieces = found.where("kind = 2").select("key", F.explode("nodes").alias("node")).distinct()
+    entries = groups.select("key", F.explode("nodes").alias("node")).unionByName(pieces)
+    pairs = groups.select(F.col("nodes")[0].alias("a"), F.explode(F.slice("nodes", 2, 2147483647)).alias("b")).unionByName(_to_least(pieces))
+    # fingerprints that sets of different documents share: such a node becomes one for each set
+    clash = materialise(members.groupBy("node").agg(F.min("mark").alias("m"), F.max("mark").alias("n")).where("m <> n").select("node", "m"), "clashes")
+    if not clash.isEmpty():
+        real = F.when(F.col("m").isNull() | (F.col("mark") == F.col("m")), F.col("node")).otherwise(F.xxhash64("node", "mark"))
+        members = members.join(clash, "node", "left").withColumn("node", real).drop("m")
+        several = members.join(clash.withColumnRenamed("node", "print"), "print", "left_semi").select("print", F.col("node").alias("other")).distinct()
+        entries = entries.join(several, entries["node"] == several["print"], "left").select("key", F.coalesce("other", "node").alias("node"))
+        pairs = _to_least(entries)
+    nodes = members.groupBy("node").agg(F.min(F.struct("doc_id", "crc", "mark")).alias("row"), F.first("print").alias("print"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+    open_pairs = materialise(_possible(pairs.distinct(), nodes), "pairs")
     links = materialise(_verified(open_pairs, slim, nodes), "links")
     roots = components(links)
     late = _across(entries, roots, nodes, slim)
     if not late.isEmpty():
         roots = components(links.unionByName(late))
-    reached = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return members.join(roots, "node", "left").select("doc_id", "crc", "size", F.coalesce("root", "node").alias("root"))
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id), one for each row of ``docs``.
+
+    component_id is the smallest id that links reach, the row's own included.  A null, empty
+    or blank text has no shingles and links with nothing.  Rows with a null id take part, but
+    a null is never the smallest id unless the class has no other.  Rows that share an id are
+    rows of their own.  Ids are whole numbers, or texts of such; others end with an error.
+    """
+    reached = _reached(docs, id_col, text_col)
     least = reached.where("size > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = reached.join(least, "root", "left")
     null = F.lit(None).cast("long")
@@ -450,20 +587,46 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def _exact_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, shingles) of the rows whose fingerprint is the node that was asked for, once in a task.
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with exactly one row of each class of linked documents, columns unchanged.
 
-    A row that only shares the id of the asked one has another fingerprint.
+    The row with the smallest id stays, a null id being the largest; of rows with that id the one
+    whose text has the smallest CRC-32, and one of those that have both alike.  Rows are judged, not
+    ids: a row that shares its id with a copy but has another text stays.  Rows without
+    shingles all stay.
     """
-    seen: set[int] = set()
-    for batch in slices(batches, "text", BLOCK_BYTES):
-        block = Block(batch.column("text"), lower=True)
-        doc, value, size = sets(block)
-        asked = batch.column("node").to_numpy(zero_copy_only=False)
-        right = nodes_of(doc, value, block.n_docs) == asked
-        for k in np.flatnonzero(right).tolist():
-            right[k] = int(asked[k]) not in seen
-            seen.add(int(asked[k]))
-        value = value[right[doc]]
-        ends = np.concatenate(([0], np.cumsum(size[right])))
-        yield pa.record_batch({"node": pa.array(asked[right]), "shingles": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(value.view(np.int64)))})
+    reached = materialise(_reached(docs, id_col, text_col).where("size > 0"), "reached")
+    key = ["doc_id", "crc"]
+    kept = reached.groupBy("root").agg(F.min(F.struct(*key)).alias("kept"))
+    gone = reached.join(kept, "root").where(F.struct(*key) != F.col("kept")).select(*key).distinct()
+    again = materialise(reached.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key).join(gone, key, "left_anti"), "again")
+    names = free_names(docs.columns, "_id", "_crc")
+    as_named = lambda df: df.toDF(*names)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    left = docs.withColumns({names[0]: F.coalesce(F.col(id_col).cast("long"), F.lit(int(_LAST))), names[1]: F.crc32(_lower(text).cast("binary"))}).join(as_named(gone), names, "left_anti")
+    if not again.isEmpty():
+        left = left.join(as_named(again), names, "left_anti").unionByName(left.join(as_named(again), names, "left_semi").dropDuplicates(names))
+    return left.select(*docs.columns)
+
+
+def _exact_sets(bits: int):
+    """(node, shingles) of the rows that have the fingerprints of the node that was asked for, once in a task.
+
+    A row that only shares the id of the asked one has other fingerprints.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in slices(batches, "text", BLOCK_BYTES):
+            block = Block(batch.column("text"), lower=True)
+            doc, value, size = sets(block)
+            asked, printed, mark = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("node", "print", "mark"))
+            right = (nodes_of(doc, value, block.n_docs) >> (64 - bits) == printed) & (checks_of(doc, value, block.n_docs) == mark)
+            for k in np.flatnonzero(right).tolist():
+                right[k] = int(asked[k]) not in seen
+                seen.add(int(asked[k]))
+            value = value[right[doc]]
+            ends = np.concatenate(([0], np.cumsum(size[right])))
+            yield pa.record_batch({"node": pa.array(asked[right]), "shingles": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(value.view(np.int64)))})
+
+    return run
