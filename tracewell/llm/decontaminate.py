@@ -6,14 +6,18 @@ least 80 % of the item's shingles.
 
 Method.  Containment is asymmetric, so a sketch of the document would drown a short item.
 Items are partitioned by set size instead, and each partition has its own sketch length: the
-bottom-k MinHash sketch of an item of at most u shingles has ``floor(u / 5) + 1`` of them.
-A document may lack ``floor(n / 5)`` shingles of an item of n, so a containing document has at
-least ``k - floor(n / 5)`` of the k sketch values: the search loses no match.  Candidates are
-verified by exact shingle containment, comparing the shingles' words.
-
-Scale.  Items are read in groups whose shingles number at most ``ITEM_SHINGLES``, so what a
-task is sent is bounded whatever the size of the benchmark; every group meets every document
-in one scan without a shuffle.  Nothing depends on how often a shingle occurs.
+sketch of an item of at most u shingles has ``floor(u / 5) + 1`` of them.  It is a bottom-k MinHash
+sketch weighted by rarity: shingles that fewer items have come first, equally rare ones in the
+order of their hash, so a template that many items share is in no sketch as long as they have
+words of their own.  A document may lack ``floor(n / 5)`` shingles of an item of n, so a
+containing document has at least ``k - floor(n / 5)`` of the k sketch values, whichever they are:
+the search loses no match.  Candidates are verified first by counting equal shingle hashes, and
+what is left by exact shingle containment, comparing the shingles' words.
+
+Scale.  Items with the same words are searched once.  They are read in groups whose shingles
+number at most ``ITEM_SHINGLES``, held as arrays of hashes beside their text, so what a task is sent
+is bounded whatever the size of the benchmark; every group meets every document in one scan
+without a shuffle.  Sketch hits are counted for some documents of a block at a time.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ from .jaccard_join import sets
 SIZE = 5
 BLOCK_BYTES = 2 << 20
 ITEM_SHINGLES = 2_000_000
+#: Sketch hits that are counted at once, beyond those of one document.
+HITS = 1 << 20
 _MATCH = "item_id long, n_item_shingles long, n_shared long"
 
 
@@ -54,57 +60,93 @@ def shingle_set(words: list[bytes], size: int = SIZE) -> set[tuple[bytes, ...]]:
 
 
 class ItemIndex:
-    """Sketches of some items: sorted sketch values, the items of each, and how many must hit."""
+    """Some items, those with the same words as one: sets, sketches, and how many values must hit.
+
+    ids: for each, the ids of the items that it stands for.  The set of item i is
+    ``hashes[begin[i] : begin[i + 1]]``, in order.
+    """
 
     def __init__(self, ids: list[int | None], texts: list[str | None]):
-        block = Block(pa.array(texts, pa.string()), lower=True)
-        doc, value, size = sets(block)
-        self.ids, self.sets = ids, [shingle_set(words_of(t)) for t in texts]
-        self.size = np.array([len(s) for s in self.sets], np.int64)
-        upper = size_partitions(int(size.max(initial=1)))
-        length = np.minimum(upper[np.searchsorted(upper, size)] // 5 + 1, size)
-        self.least = np.maximum(length - size // 5, 1)
-        hashed = mix(value)
-        order = np.lexsort((hashed, doc))
-        begin = np.cumsum(size) - size
-        place = np.arange(len(doc)) - begin[doc[order]]
+        by_words: dict[bytes, list] = {}
+        for i, text in zip(ids, texts, strict=True):
+            by_words.setdefault(b" ".join(words_of(text)), []).append(i)
+        self.ids, self.words = list(by_words.values()), pa.array(by_words, pa.binary())
+        del by_words
+        block = Block(self.words)
+        doc, self.hashes, self.size = sets(block)
+        self.begin = np.concatenate(([0], np.cumsum(self.size)))
+        _, which, often = np.unique(self.hashes, return_inverse=True, return_counts=True)
+        rarity = np.log2(often).astype(np.int64)[which]
+        upper = size_partitions(int(self.size.max(initial=1)))
+        length = np.minimum(upper[np.searchsorted(upper, self.size)] // 5 + 1, self.size)
+        self.least = np.maximum(length - self.size // 5, 1)
+        order = np.lexsort((mix(self.hashes), rarity, doc))
+        place = np.arange(len(doc)) - self.begin[doc[order]]
         take = order[place < length[doc[order]]]
-        by = np.argsort(value[take], kind="stable")
-        self.value, self.item = value[take][by], doc[take][by]
+        by = np.argsort(self.hashes[take], kind="stable")
+        self.value, self.item = self.hashes[take][by], doc[take][by]
 
-    def candidates(self, doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(document, item) with enough sketch hits, from ordered distinct (document, shingle)."""
-        if not len(self.value) or not len(value):
-            return doc[:0], doc[:0]
-        a = np.searchsorted(self.value, value)
-        hit = np.flatnonzero(self.value[np.minimum(a, len(self.value) - 1)] == value)
-        lo, hi = a[hit], np.searchsorted(self.value, value[hit], "right")
-        n = hi - lo
+    def _enough(self, doc: np.ndarray, value: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(document, item) with enough sketch hits whose sets share enough hashes; lo, n: hits of each (document, shingle)."""
         items = self.item[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        pair = (np.repeat(doc[hit], n).astype(U64) << U64(32)) + items.astype(U64)
+        pair = (np.repeat(doc, n).astype(U64) << U64(32)) + items.astype(U64)
         pair, hits = np.unique(pair, return_counts=True)
         d, i = (pair >> U64(32)).astype(np.int64), (pair & U64(0xFFFFFFFF)).astype(np.int64)
         enough = hits >= self.least[i]
-        return d[enough], i[enough]
+        d, i = d[enough], i[enough]
+        first, last = np.searchsorted(doc, d), np.searchsorted(doc, d, "right")
+        keep = np.zeros(len(d), bool)
+        for k in range(len(d)):
+            mine, have = self.hashes[self.begin[i[k]] : self.begin[i[k] + 1]], value[first[k] : last[k]]
+            at = np.minimum(np.searchsorted(have, mine), len(have) - 1)
+            keep[k] = 100 * int((have[at] == mine).sum()) >= 80 * len(mine)
+        return d[keep], i[keep]
+
+    def candidates(self, doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(document, item) that may match, from ordered distinct (document, shingle)."""
+        if not len(self.value) or not len(value):
+            return doc[:0], doc[:0]
+        lo = np.searchsorted(self.value, value)
+        n = np.searchsorted(self.value, value, "right") - lo
+        ends = np.cumsum(np.bincount(doc, n, int(doc[-1]) + 1).astype(np.int64))  # hits of documents up to each
+        out, a = [], 0
+        while a < len(ends):
+            before = int(ends[a - 1]) if a else 0
+            b = max(a + 1, int(np.searchsorted(ends, before + HITS, "right")))
+            if ends[b - 1] > before:
+                i, j = np.searchsorted(doc, a), np.searchsorted(doc, b)
+                out.append(self._enough(doc[i:j], value[i:j], lo[i:j], n[i:j]))
+            a = b
+        return tuple(np.concatenate([x[k] for x in out]) if out else doc[:0] for k in (0, 1))
+
+    def shared(self, words: list[bytes], item: int) -> int:
+        """How many shingles of an item a document of these words has, by their words."""
+        mine = shingle_set(self.words[item].as_py().split())
+        if len(words) < SIZE:
+            return len(mine & shingle_set(words))
+        found = {s for k in range(len(words) - SIZE + 1) if (s := tuple(words[k : k + SIZE])) in mine}
+        return len(found)
+
+
+def _matches(block: Block, index: ItemIndex) -> Iterator[tuple[int, int, int]]:
+    """(document, item, shared shingles) of the documents of a block that contain an item."""
+    doc, value, _ = sets(block)
+    last, words = -1, []
+    for d, i in zip(*(x.tolist() for x in index.candidates(doc, value)), strict=True):
+        if d != last:
+            last, words = d, block.document(d).split()
+        shared = index.shared(words, i)
+        if 100 * shared >= 80 * index.size[i]:
+            yield d, i, shared
 
 
 def _search(column: str, index: ItemIndex):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, column, BLOCK_BYTES):
-            block = Block(batch.column(column), lower=True)
-            doc, value, _ = sets(block)
-            rows, found = [], []
-            last, have = -1, set()
-            for d, i in zip(*(x.tolist() for x in index.candidates(doc, value)), strict=True):
-                if d != last:
-                    last, have = d, shingle_set(block.document(d).split())
-                shared = len(index.sets[i] & have)
-                if 100 * shared >= 80 * len(index.sets[i]):
-                    rows.append(d)
-                    found.append((index.ids[i], len(index.sets[i]), shared))
-            out = batch.drop_columns([column]).take(pa.array(rows, pa.int64()))
-            for k, name in enumerate(("item_id", "n_item_shingles", "n_shared")):
-                out = out.append_column(name, pa.array([x[k] for x in found], pa.int64()))
+            found = [(d, j, int(index.size[i]), n) for d, i, n in _matches(Block(batch.column(column), lower=True), index) for j in index.ids[i]]
+            out = batch.drop_columns([column]).take(pa.array([f[0] for f in found], pa.int64()))
+            for k, name in enumerate(("item_id", "n_item_shingles", "n_shared"), 1):
+                out = out.append_column(name, pa.array([f[k] for f in found], pa.int64()))
             yield out
 
     return run
@@ -150,12 +192,9 @@ def _clean(column: str, index: ItemIndex):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, column, BLOCK_BYTES):
             block = Block(batch.column(column), lower=True)
-            doc, value, _ = sets(block)
             keep = np.ones(block.n_docs, bool)
-            for d, i in zip(*(x.tolist() for x in index.candidates(doc, value)), strict=True):
-                if keep[d]:
-                    shared = len(index.sets[i] & shingle_set(block.document(d).split()))
-                    keep[d] = 100 * shared < 80 * len(index.sets[i])
+            for d, _, _ in _matches(block, index):
+                keep[d] = False
             yield batch.filter(pa.array(keep))
 
     return run
