@@ -219,21 +219,26 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: float
 
     Rows with a null id or label are left out; an id labelled twice counts as good if any
     label says so.  A fifth of the sample is held out to place the cut, so that ``keep`` of
-    the good documents stay.  With fewer than 50 labels, or one class, everything is kept.
+    the good documents stay; without good ones held out, all of the sample places it.  Of rows
+    that share a labelled id the one with the smallest hash of its text is taken.  Labels of one
+    kind, or none at all, say nothing, and everything is kept.
     """
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("quality").alias("_y"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     slim = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    met = slim.join(F.broadcast(chosen), "_id").select("_id", "_y", "_text")  # at most `sample` pairs of numbers
+    met = slim.join(F.broadcast(chosen), "_id")  # at most `sample` pairs of numbers
+    met = met.groupBy("_id", "_y").agg(F.min_by("_text", F.struct(F.xxhash64("_text"), "_text")).alias("_text"))
     schema = extended(met.drop("_text").schema, **dict.fromkeys(FEATURES, "double"))
     data = met.mapInArrow(_rows("_text"), schema).toArrow().sort_by([(c, "ascending") for c in ("_id", *FEATURES)])
     x, y = np.stack([data[c].to_numpy() for c in FEATURES], 1), data["_y"].to_numpy().astype(np.float64)
-    if len(y) < 50 or len(np.unique(y > 0)) < 2:
+    if len(np.unique(y > 0)) < 2:
         return none()
     y = (y > 0).astype(np.float64)
     held = mix(data["_id"].to_numpy().view(U64)) % U64(5) == 0
+    if not (held & (y > 0)).any() or len(np.unique(y[~held])) < 2:
+        held[:] = False
     forest = fit(x[~held], y[~held], np.array(list(FEATURES.values())))
-    good = np.sort(forest.margin(x[held & (y > 0)])) if (held & (y > 0)).any() else np.zeros(1)
+    good = np.sort(forest.margin(x[(held | ~held.any()) & (y > 0)]))
     forest.cut = min(0.0, float(good[int((1 - keep) * len(good))]))
     return forest
 
@@ -254,6 +259,17 @@ def _judge(column: str, forest: Forest):
     return run
 
 
+def _keep(column: str, forest: Forest):
+    judge_all = _judge(column, forest)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, column, BLOCK_BYTES):
+            verdict = next(judge_all([pa.record_batch({column: batch.column(column)})]))
+            yield batch.filter(verdict.column("kept"))
+
+    return run
+
+
 _ADDED = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean", "quality_score": "double", "kept": "boolean"}
 
 
@@ -265,3 +281,8 @@ def judge(docs: DataFrame, forest: Forest, text_col: str = "text") -> DataFrame:
     """
     docs = docs.drop(*_ADDED)
     return docs.mapInArrow(_judge(text_col, forest), extended(docs.schema, **_ADDED))
+
+
+def keep_good(docs: DataFrame, forest: Forest, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, columns unchanged."""
+    return docs.mapInArrow(_keep(text_col, forest), docs.schema)
