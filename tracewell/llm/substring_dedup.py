@@ -368,3 +368,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     met = keyed.join(ranges, [id_, crc], "left").drop(id_, crc)
     schema = extended(docs.schema, kept_text="string", n_words="long", n_removed="long")
     return met.mapInArrow(_cut(text_col, packed, found, docs.columns), schema)
+
+
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, window: int = WINDOW) -> DataFrame:
+    """``docs`` with the words that repeating windows cover cut out of the text; the same columns.
+
+    A text that loses words is its kept words joined by one space; others stay as they are, a null
+    too.  length_col: a column that has the number of characters, and follows.
+    """
+    kept, n, words = free_names(docs.columns, "kept_text", "n_removed", "n_words")
+    taken = {c: f"_{k}_{c}" for k, c in enumerate(docs.columns) if c in ("kept_text", "n_removed", "n_words")}
+    cut = remove_repeats(docs.withColumnsRenamed(taken), id_col, text_col, window)
+    cut = cut.withColumnsRenamed({"kept_text": kept, "n_removed": n, "n_words": words}).withColumnsRenamed({v: k for k, v in taken.items()})
+    lost = F.col(n) > 0
+    new = {text_col: F.when(lost, F.col(kept)).otherwise(F.col(text_col))}
+    if length_col:
+        new[length_col] = F.when(lost, F.length(kept).cast("long")).otherwise(F.col(length_col))
+    return cut.withColumns(new).select(*docs.columns)
