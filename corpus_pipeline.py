@@ -3,8 +3,14 @@
 Quality rules drop documents, the Jaccard join keeps one document of each group, substring
 dedup cuts repeated passages out of the texts, decontamination drops documents with test
 items, and byte-level BPE encodes what is left.  All but the last return the columns of
-``documents``.  SQL cannot express the trees of the first stage, so there is no ORACLE_SQL; the
-stages are tested against brute force.
+``documents``; further columns go along, whatever their names.  SQL cannot express the trees of
+the first stage, so there is no ORACLE_SQL; the stages are tested against brute force.
+
+Null and empty texts fail the quality rules.  Rows are judged, not ids: of rows that are alike in id
+and text one stays, and a row that shares an id with a copy but has another text is kept.  A null
+id is the largest.  A text that loses words in substring dedup is what is left, its words joined by
+one space, and its n_chars follows; other texts stay as they are.  An empty table gives an empty
+table.
 """
 
 from __future__ import annotations
@@ -15,29 +21,24 @@ from pyspark.sql import functions as F
 from tracewell.llm import bpe, decontaminate, jaccard_join, quality
 from tracewell.llm.queries import PATTERN, ranks, table
 from tracewell.llm.scratch import materialise
-from tracewell.llm.substring_dedup import remove_repeats
+from tracewell.llm.substring_dedup import cut_repeats
 
 ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the trees keep."""
-    forest = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.judge(docs, forest).where("kept").select(*docs.columns)
+    return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id."""
-    found = jaccard_join.classes(docs)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return jaccard_join.one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the windows that an earlier document has; untouched texts stay as they are."""
-    cut = remove_repeats(docs)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    return cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return cut_repeats(docs, length_col="n_chars")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
