@@ -8,6 +8,8 @@ holds a Python object per word.  Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -16,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import types as T
 
 U64 = np.uint64
+#: Of the C library where it has it: freed arrays otherwise stay with the process.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform.startswith("linux") else None
 _WS = np.zeros(256, bool)
 _WS[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -141,6 +145,13 @@ def shingles(block: Block, words: np.ndarray, size: int = 5) -> tuple[np.ndarray
     return doc[order], value[order]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, as this worker may now wait while others work."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Runs of whole documents of at most ``most`` bytes of text, or one longer document.
 
@@ -166,7 +177,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int) -> Iterato
     if held:
         yield together(held)
     held = []
-    pa.default_memory_pool().release_unused()  # the worker may wait for other tasks
+    give_back()
 
 
 def together(batches: list[pa.RecordBatch]) -> pa.RecordBatch:

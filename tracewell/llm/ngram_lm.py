@@ -44,11 +44,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .block import U64, Block, mix, slices
+from .block import U64, Block, give_back, mix, slices
 from .elias_fano import EliasFano
 from .scratch import input_bytes, materialise, new_path
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 BITS = 21
 #: Words that tasks know.  Ids 0 and 1 are reserved; from RARE on an id is a place in a blob's own table.
 LISTED = (1 << 20) - 8
@@ -98,7 +98,7 @@ class Vocabulary:
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Id of each hash, -1 for words that are not listed."""
-        out = np.full(len(hashes), -1)
+        out = np.full(len(hashes), -1, np.int32)
         top = hashes >> (62 - TOP)
         at, end = self.begin[top], self.begin[top + 1]
         open_ = np.flatnonzero(at < end)
@@ -266,7 +266,7 @@ def held_out(ids: list) -> np.ndarray:
 def _tokens(block: Block) -> tuple[np.ndarray, np.ndarray]:
     """(hash of 62 bits, document) of each token, with the end of each document."""
     value = np.insert((block.hashes() >> U64(2)).view(np.int64), block.first[1:], END_HASH)
-    return value, np.repeat(np.arange(block.n_docs), np.diff(block.first) + 1)
+    return value, np.repeat(np.arange(block.n_docs, dtype=np.int32), np.diff(block.first) + 1)
 
 
 def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -420,7 +420,7 @@ def _send(vocab, shards: int, parts: int, learn: bool, ask: bool):
             last = ids.copy()
             last[ids < 0] = RARE + np.searchsorted(rare, value[ids < 0])
             start = block.first[:-1] + np.arange(n)
-            one, two = np.concatenate(([START], last[:-1])), np.concatenate(([START, START], last[:-2]))[: len(last)]
+            one, two = np.roll(last, 1), np.roll(last, 2)
             one[start] = START
             two[start] = START
             two[np.minimum(start + 1, len(two) - 1)[np.diff(block.first) > 0]] = START
@@ -429,7 +429,7 @@ def _send(vocab, shards: int, parts: int, learn: bool, ask: bool):
             classes = np.where(one < RARE, v.classes[np.minimum(one, len(v.classes) - 1)], 1)
             shard = (mix(before.view(U64) + (mix(value.view(U64)) % classes.astype(U64)) * U64(0x9E3779B97F4A7C15)) % U64(shards)).astype(np.int32)
             spread = classes > 1
-            del before, value, ids
+            del before, value, ids, classes
             flag = (doc.astype(np.uint32) << np.uint32(1)) | (held[doc] if learn else np.ones(len(doc), bool)).astype(np.uint32)
             use = np.arange(len(last)) if ask else np.flatnonzero(~held[doc])
             # a table has room for so many words as so many tokens may have
@@ -442,13 +442,13 @@ def _send(vocab, shards: int, parts: int, learn: bool, ask: bool):
                     table = np.unique(np.concatenate([x[x >= RARE] for x in (o, t, w)]))
                     o, t, w = (np.where(x >= RARE, RARE + np.searchsorted(table, x), x) for x in (o, t, w))
                     table = rare[table - RARE]
-                key = o << 2 * BITS | t << BITS | w
+                key = o.astype(np.int64) << 2 * BITS | t.astype(np.int64) << BITS | w
                 del o, t, w
-                group = (shard[some] % parts).astype(np.int64) * 2 + spread[some]
+                group = shard[some] % parts * 2 + spread[some]
                 order = np.argsort(key)
                 if parts < shards:
                     order = order[np.argsort(shard[some][order], kind="stable")]
-                order = order[np.argsort(group[order].astype(np.uint16 if 2 * parts <= 1 << 16 else np.int64), kind="stable")]
+                order = order[np.argsort(group[order].astype(np.uint16 if 2 * parts <= 1 << 16 else np.int32), kind="stable")]
                 key, owner, group, mine = key[order], flag[some][order], group[order], shard[some][order]
                 cut = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
                 for i, j in zip(cut, np.append(cut[1:], len(group)), strict=True):
@@ -566,6 +566,8 @@ def _by_shard(settle, kinds: tuple[int, ...]):
                 held.append((block, blob.as_py()))
         if held:
             yield settle(now, *zip(*held, strict=True))
+        held = []
+        give_back()
 
     return run
 
@@ -663,7 +665,8 @@ def _answer(shard: int, blobs: list[bytes], told: list[tuple[int, bytes]], v: Vo
             far = np.flatnonzero(w >= RARE)
             w[far] = own[w[far] - RARE]
         score[here] = trie.score(*words, log1[here], elsewhere)
-    del trie
+    del trie, one, two
+    x.one = x.two = x.last = None
     if learn and not keep:
         Trie.remove(folder, shard)
     rare = last >= RARE
@@ -686,6 +689,7 @@ def _answer_all(vocab, folder: str, learn: bool, ask: bool, keep: bool):
         if mine:
             of = list(zip(told.column("kind").to_pylist(), told.column("blob").to_pylist(), strict=True))
             out += [(0, 0, b, x) for b, x in _answer(shard[0], mine, of, vocab.value, folder, learn, ask, keep)]
+            give_back()
         return pa.Table.from_batches([_blobs(out)])
 
     return run
