@@ -5,7 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tracewell.plans import catalog
+from tracewell.plans import catalog, domain
 
 DATA = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -23,11 +23,14 @@ def rows(values):
     return sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in values), key=str)
 
 
-@pytest.mark.parametrize("name", list(catalog.QUERIES))
+QUERIES, ORACLE_SQL = catalog.QUERIES | domain.QUERIES, catalog.ORACLE_SQL | domain.ORACLE_SQL
+
+
+@pytest.mark.parametrize("name", list(ORACLE_SQL))
 def test_query_agrees_with_sql(spark, con, name):
-    df = catalog.QUERIES[name](spark, str(DATA))
+    df = QUERIES[name](spark, str(DATA))
     columns = sorted(df.columns)
-    found = con.sql(catalog.ORACLE_SQL[name])
+    found = con.sql(ORACLE_SQL[name])
     assert sorted(found.columns) == columns
     quoted = ", ".join(f'"{c}"' for c in columns)
     assert rows(map(tuple, df.select(*columns).collect())) == rows(con.sql(f"select {quoted} from found").fetchall())

@@ -26,9 +26,14 @@ def simple_name(c: Column) -> Column:
 
 
 def arity(desc: Column) -> Column:
-    """Number of parameters of a method descriptor, -1 if it is none."""
-    params = F.regexp_extract(desc, r"^\(([^)]*)\)", 1)
-    return F.when(~desc.startswith("("), -1).otherwise(F.length(F.regexp_replace(params, r"\[*(L[^;]*;|[^L\[])", "x"))).cast("long")
+    """Number of parameters of a method descriptor, -1 if it is none or a class reference does not end.
+
+    A descriptor without its closing bracket counts what it has.
+    """
+    params = F.regexp_extract(desc, r"^\(((?:L[^;]*;|[^)L])*)", 1)
+    unended = desc.rlike(r"^\((?:L[^;]*;|[^)L])*L[^;]*$")
+    n = F.length(F.regexp_replace(params, r"\[*(?:L[^;]*;|[^L\[])", "x"))
+    return F.when(~desc.startswith("(") | unended, -1).otherwise(n).cast("long")
 
 
 def name_similarity(a: Column, b: Column) -> Column:
@@ -89,7 +94,7 @@ def _split(pattern: str) -> list[str]:
 
 
 def common_suffix(a: Column, b: Column) -> Column:
-    """Length of the common suffix."""
-    n = F.least(F.length(a), F.length(b))
-    same = F.filter(F.sequence(F.lit(0), n), lambda i: F.right(a, i) == F.right(b, i))
-    return F.array_max(same)
+    """Length of the common suffix: the first place from the end at which they differ."""
+    ends = F.zip_with(F.split(F.reverse(a), ""), F.split(F.reverse(b), ""), lambda x, y: ~x.eqNullSafe(y))
+    at = F.array_position(ends, True)
+    return F.when(at > 0, at - 1).otherwise(F.least(F.length(a), F.length(b))).cast("int")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.grammar import edit_similarity, fixed
 from . import similarity
 
 SAME_PACKAGE = 1.0
@@ -13,21 +14,63 @@ OTHER_PACKAGE = 0.9
 THRESHOLD = 0.5
 
 
-def canonical_desc(members: DataFrame, mapping: DataFrame) -> DataFrame:
-    """``members`` with the class names inside ``desc`` renamed by ``mapping(from, to)``.
+def rewritten(descs: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Rows (desc, whole, missed) of distinct ``descs(desc)``: the class names inside renamed by ``mapping(from, to)``.
 
-    The descriptor is cut at its class references, which are looked up by join, and put
-    together again, so the mapping may be of any size.  Names without an entry stay.
+    A descriptor is cut at its class references, which are looked up by join, and put together
+    again, so the mapping may be of any size.  Names without an entry stay, and are in ``missed``.
     """
-    keyed = members.withColumn("_id", F.xxhash64("desc")).drop("_new")
-    descs = members.select("desc").distinct()
     # pieces alternate: text outside references, then the name inside L...;
     pieces = descs.select("desc", F.posexplode(F.split(F.regexp_replace("desc", r"L([^;]+);", "\u0001L\u0002$1\u0001;"), "\u0001", -1)).alias("at", "piece"))
     named = pieces.withColumn("name", F.when(F.col("piece").startswith("L\u0002"), F.substr("piece", F.lit(3))))
     met = named.join(mapping.select(F.col("from").alias("name"), F.col("to").alias("_to")), "name", "left")
     text = F.when(F.col("name").isNotNull(), F.concat(F.lit("L"), F.coalesce("_to", "name"))).otherwise(F.col("piece"))
-    whole = met.groupBy("desc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", text.alias("t")))), lambda x: x["t"]), "").alias("_new"))
-    return keyed.drop("_id").join(whole, "desc").withColumn("desc", F.col("_new")).drop("_new")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", text.alias("t")))), lambda x: x["t"]), "")
+    return met.groupBy("desc").agg(whole.alias("whole"), F.collect_set(F.when(F.col("_to").isNull(), F.col("name"))).alias("missed"))
+
+
+def canonical_desc(members: DataFrame, mapping: DataFrame) -> DataFrame:
+    """``members`` with the class names inside ``desc`` renamed by ``mapping(from, to)``.
+
+    Names without an entry stay.  An unterminated class reference ends with an error.
+    """
+    bad = ~F.col("desc").rlike(r"^(?:[^L]|L[^;]+;)*$")
+    descs = members.select("desc").distinct().withColumn("desc", F.when(bad, F.raise_error(F.concat(F.lit("unterminated class reference in "), "desc"))).otherwise(F.col("desc")))
+    whole = rewritten(descs, mapping).select("desc", F.col("whole").alias("_new"))
+    return members.drop("_new").join(whole, "desc").withColumn("desc", F.col("_new")).drop("_new")
+
+
+def class_candidates(old: DataFrame, new: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Rows (from, to, score, overlap, jaccard, evidence) of classes that one snapshot has and the other lacks.
+
+    Members (owner, kind, name, desc) are compared as sets; the similarity counts 0.85 times across
+    packages and must exceed ``threshold``.  A pair is named if each side is the only best of the
+    other by score, then length of the common suffix, then edit similarity of the simple names.
+    """
+    gone, fresh = (a.join(b.select("owner").distinct(), "owner", "left_anti") for a, b in ((old, new), (new, old)))
+    tokens = lambda df: df.select(F.col("owner").alias("id"), F.concat_ws(" ", "kind", "name", "desc").alias("token")).distinct()
+    pairs = similarity.jaccard_pairs(tokens(gone), tokens(fresh), threshold=threshold)
+    same = S.package_of(F.col("l")) == S.package_of(F.col("r"))
+    a, b = S.simple_name(F.col("l")), S.simple_name(F.col("r"))
+    scored = pairs.withColumns({"score": F.col("jaccard") * F.when(same, 1.0).otherwise(0.85), "suffix": S.common_suffix(a, b), "edit": edit_similarity(a, b)}).where(F.col("score") > threshold)
+    best = similarity.strict_mutual_best(scored, "l", "r", ["score", "suffix", "edit"])
+    evidence = F.concat(F.lit("shares "), F.col("overlap").cast("string"), F.lit(" members, similarity "), fixed(F.col("jaccard")))
+    return best.select(F.col("l").alias("from"), F.col("r").alias("to"), S.round_half_up(F.col("score"), 2).alias("score"), "overlap", "jaccard", evidence.alias("evidence"))
+
+
+def merge_asserted_members(asserted: DataFrame, classes: DataFrame, derived: DataFrame, target: DataFrame) -> DataFrame:
+    """Asserted member renames ``(owner, kind, from, to)`` with their new owner, score and agreement.
+
+    The new owner is that of ``classes(from, to)``, or the old one.  One member of that name there
+    scores 0.55 and gives its descriptor, several 0.4, none 0.1.
+    """
+    said = asserted.join(classes.select(F.col("from").alias("owner"), F.col("to").alias("_c")), "owner", "left").withColumn("to_owner", F.coalesce("_c", "owner")).drop("_c")
+    there = target.groupBy(F.col("owner").alias("to_owner"), "kind", F.col("name").alias("to")).agg(F.count("*").alias("_n"), F.min("desc").alias("_d"))
+    other = derived.groupBy("owner", "kind", "from").agg(F.collect_set("to").alias("_s"))
+    met = said.join(there, ["to_owner", "kind", "to"], "left").join(other, ["owner", "kind", "from"], "left")
+    n = F.coalesce("_n", F.lit(0))
+    agreement = F.when(F.col("_s").isNull(), "alone").when(F.array_contains("_s", F.col("to")), "agrees").otherwise("disagrees")
+    return met.select("owner", "kind", "from", "to_owner", "to", F.when(n == 1, F.col("_d")).alias("desc"), F.when(n == 1, 0.55).when(n > 1, 0.4).otherwise(0.1).alias("score"), agreement.alias("agreement"))
 
 
 def match_classes(old: DataFrame, new: DataFrame, max_rounds: int = 10) -> DataFrame:
@@ -70,7 +113,7 @@ def inner_agreement(matched: DataFrame, left: DataFrame, right: DataFrame) -> Da
     inner = inner.where("f <> '' and t <> '' and fi = ti").join(left.select(F.col("owner").alias("f")).distinct(), "f", "left_semi").join(right.select(F.col("owner").alias("t")).distinct(), "t", "left_semi")
     agreed = inner.groupBy("f").agg(F.min("t").alias("to"), F.max("t").alias("_m"), F.count("*").alias("n")).where("to = _m")
     first = agreed.groupBy("to").agg(F.min(F.struct("f", "n")).alias("x"))
-    return first.select(F.col("x.f").alias("from"), "to", F.least(F.lit(0.95), 0.7 + 0.1 * F.col("x.n")).alias("score"))
+    return first.select(F.col("x.f").alias("from"), "to", F.least(F.lit(0.95), 0.7 + 0.1 * F.col("x.n")).alias("score"), F.col("x.n").alias("n"))
 
 
 def match_members(old: DataFrame, new: DataFrame, classes: DataFrame, target: DataFrame) -> DataFrame:

@@ -44,3 +44,51 @@ def first_wins(parts: Sequence[DataFrame], key: str) -> DataFrame:
         ranked = p if ranked is None else ranked.unionByName(p)
     columns = [c for c in ranked.columns if c != key]
     return ranked.groupBy(key).agg(F.min(F.struct("source", *[c for c in columns if c != "source"])).alias("_r")).select(key, "_r.*")
+
+
+def tally(rows: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
+    """Rows (column, n) for each of ``values``, zeros included (A3)."""
+    names = rows.sparkSession.createDataFrame([(v,) for v in values], f"{column} string")
+    return names.join(rows.groupBy(column).agg(F.count("*").alias("n")), column, "left").select(column, F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def audit_chains(findings: DataFrame, item: str) -> DataFrame:
+    """Unique (file, from, reason, chain) with how often they occur and their first finding."""
+    return findings.groupBy("file", "from", "reason", "chain").agg(F.count("*").alias("n"), F.min(item).alias("first"))
+
+
+def plan_summary(edits: DataFrame) -> DataFrame:
+    """One row of ``edits(level, file, rule)``: exact and review edits, distinct files, distinct decisions under review."""
+    exact = F.col("level") == "EXACT"
+    return edits.agg(F.count_if(exact).alias("exact"), F.count_if(~exact).alias("review"), F.countDistinct("file").alias("files"), F.countDistinct(F.when(~exact, F.col("rule"))).alias("decisions"))
+
+
+def in_order(rows: DataFrame, by: str, order: Sequence[Column]) -> DataFrame:
+    """``rows`` with ``pos``, their place within a group."""
+    return rows.withColumn("pos", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+
+
+def as_json(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` with ``json``, an object of ``keys`` in that order without those that are null (K2)."""
+    return rows.withColumn("json", F.to_json(F.struct(*keys), {"ignoreNullFields": "true"}))
+
+
+def delta_markdown(delta: DataFrame, hot: int = 10, shown: int = 80) -> DataFrame:
+    """Rows (section, pos, line) of a report on ``delta(list, owner, name, desc, new_desc)``.
+
+    summary: the length of each list; churn: the packages that lost most; changed: the first
+    descriptor changes, and how many more there are.  Lists are cut by rank, which Spark
+    bounds before it sorts.
+    """
+    dotted = lambda c: F.translate(c, "/", ".")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    lists = tally(delta, "list", ["added", "removed", "descChanged"])
+    order = Window.partitionBy(F.lit(0))
+    summary = lists.withColumn("pos", F.row_number().over(order.orderBy("list"))).select(F.lit("summary").alias("section"), "pos", text("| ", F.col("list"), " | ", F.col("n"), " |").alias("line"))
+    lost = delta.where("list = 'removed'").groupBy(dotted(F.regexp_extract("owner", "^(.*)/", 1)).alias("pkg")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "pkg").limit(hot)
+    churn = lost.withColumn("pos", F.row_number().over(order.orderBy(F.desc("n"), "pkg"))).select(F.lit("churn").alias("section"), "pos", text("- `", F.col("pkg"), "` - ", F.col("n"), " removed").alias("line"))
+    changes = delta.where("list = 'descChanged'")
+    first = changes.orderBy("owner", "name", "desc").limit(shown).withColumn("pos", F.row_number().over(order.orderBy("owner", "name", "desc")))
+    changed = first.select(F.lit("changed").alias("section"), "pos", text("- `", dotted(F.col("owner")), "#", F.col("name"), "` was `", F.col("desc"), "` now `", F.col("new_desc"), "`").alias("line"))
+    more = changes.agg((F.count("*") - shown).alias("k")).where("k > 0").select(F.lit("changed").alias("section"), F.lit(shown + 1).alias("pos"), text("- and ", F.col("k"), " more").alias("line"))
+    return summary.unionByName(churn).unionByName(changed).unionByName(more)

@@ -35,3 +35,13 @@ def splice(text: Column, ops: Column) -> Column:
     """``text`` with ops array<struct<start, end, after>> applied, offsets from 0, last first."""
     last_first = F.reverse(F.array_sort(ops))
     return F.aggregate(last_first, text, lambda t, o: F.concat(F.substr(t, F.lit(1), o["start"]), o["after"], F.substr(t, o["end"] + 1)))
+
+
+def token_positions(tokens: DataFrame, by: str, order: list[str], at: str, gap, step: Column) -> DataFrame:
+    """``tokens`` with ``begins`` and ``depth``.
+
+    begins: whether ``gap(place, place of the token before)`` holds; depth: the running sum of
+    ``step``, the token's own included.  One sort for both.
+    """
+    w = Window.partitionBy(by).orderBy(*order)
+    return tokens.withColumns({"begins": gap(F.col(at), F.lag(at).over(w)), "depth": F.sum(step).over(w.rowsBetween(Window.unboundedPreceding, 0))})

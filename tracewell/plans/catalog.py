@@ -5,29 +5,14 @@ Each query takes (spark, sf_dir) and reads whole tables.  ORACLE_SQL has the Duc
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import chain, closure, diff, disambiguate, report, similarity, spans
-from .session import checkpointing, table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None):
-    """Registers a query under its function's name, with its SQL."""
+from ..operators import chain, closure, diff, disambiguate, ground, renames, report, similarity, spans
+from .session import checkpointing, registry, table
 
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, ORACLE_SQL, query = registry()
 
 
 # -- name resolution -------------------------------------------------------------------------
@@ -212,14 +197,6 @@ rem AS (SELECT owner, name, "desc" FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHER
 adds AS (SELECT owner, name, "desc" FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE n.owner = o.owner AND n.name = o.name))"""
 
 
-def _gone_and_new(spark, d):
-    """(old, new) members of owners on both sides whose name the other side lacks."""
-    a, b = surface(spark, d, "A"), surface(spark, d, "B")
-    both = diff.anchors(a, b, ["owner"])
-    a, b = a.join(both, "owner", "left_semi"), b.join(both, "owner", "left_semi")
-    return a.join(b, ["owner", "name"], "left_anti"), b.join(a, ["owner", "name"], "left_anti")
-
-
 def _frequency(spark, d):
     return surface(spark, d, "A").groupBy("desc").agg(F.count("*").alias("f"))
 
@@ -245,13 +222,11 @@ t AS (SELECT *, count(*) FILTER (ra = 1) OVER (PARTITION BY owner, "desc", old_n
 SELECT owner, "desc", old_name, new_name, floor(raw * 1000 + 0.5) / 1000 AS score FROM t WHERE ra = 1 AND rb = 1 AND ka = 1 AND kb = 1 AND raw >= 0.5""")
 def member_scoring(spark, d):
     """Strict mutual best on name similarity inside blocks, with the weighted score (J26, X-s26, X-s27)."""
-    old, new = _gone_and_new(spark, d)
-    met = old.withColumnRenamed("name", "old_name").join(new.withColumnRenamed("name", "new_name"), ["owner", "desc"])
-    met = met.withColumn("sim", S.name_similarity(F.col("old_name"), F.col("new_name"))).withColumn("pairs", F.count("*").over(Window.partitionBy("owner", "desc")))
-    block = F.struct("owner", "desc", "old_name"), F.struct("owner", "desc", "new_name")
-    best = similarity.strict_mutual_best(met.withColumn("a", block[0]).withColumn("b", block[1]), "a", "b", ["sim"]).join(_frequency(spark, d), "desc")
-    raw = S.member_score(F.col("pairs") == 1, F.col("f"), F.col("sim"))
-    return best.withColumn("raw", raw).where("raw >= 0.5").select("owner", "desc", "old_name", "new_name", S.round_half_up(F.col("raw"), 3).alias("score"))
+    side = lambda k: surface(spark, d, k).withColumn("kind", F.lit("member")).withColumn("desc", F.lower("desc"))
+    old, new = side("A"), side("B")  # in lower case a descriptor has no class references
+    owners = diff.anchors(old, new, ["owner"]).select(F.col("owner").alias("from"), F.col("owner").alias("to"))
+    best = renames.match_members(old, new, owners, old)
+    return best.select("owner", F.upper("desc").alias("desc"), F.col("from").alias("old_name"), F.col("to").alias("new_name"), "score")
 
 
 _OUTER = f"""{_TOKENS}, {_BEST},
@@ -264,10 +239,12 @@ FROM (SELECT *, row_number() OVER (PARTITION BY new_outer ORDER BY old_outer) AS
 def inner_agreement(spark, d):
     """Outer groups whose matched documents all point to one other group, one to one."""
     docs = table(spark, d, "documents").select("doc_id", F.concat("source", F.lit("/"), "lang").alias("outer"))
-    met = mutual_best(spark, d).join(docs.toDF("l", "old_outer"), "l").join(docs.toDF("r", "new_outer"), "r")
-    agreed = met.groupBy("old_outer").agg(F.min("new_outer").alias("new_outer"), F.max("new_outer").alias("_m"), F.count("*").alias("n")).where("new_outer = _m")
-    first = agreed.groupBy("new_outer").agg(F.min(F.struct("old_outer", "n")).alias("x")).select("x.old_outer", "new_outer", "x.n")
-    return first.withColumn("score", S.round_half_up(F.least(F.lit(0.95), 0.7 + 0.1 * F.col("n")), 3))
+    met = mutual_best(spark, d).join(docs.toDF("l", "old"), "l").join(docs.toDF("r", "new"), "r")
+    inner = lambda c: F.concat(c, F.lit("$In"))
+    matched = met.select(inner("old").alias("from"), inner("new").alias("to"))
+    owners = docs.select(F.col("outer").alias("owner"))
+    found = renames.inner_agreement(matched, owners, owners)
+    return found.select(F.col("from").alias("old_outer"), F.col("to").alias("new_outer"), F.col("n"), S.round_half_up(F.col("score"), 3).alias("score"))
 
 
 _ORACLE = f"""{_TOKENS}, {_BEST},
@@ -299,11 +276,10 @@ def rename_fallback(spark, d):
     c = table(spark, d, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_mktsegment").alias("desc"), F.col("c_custkey").alias("target"), F.col("c_acctbal").alias("score"))
     s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("target"), F.col("s_acctbal").alias("score"))
     # the best of each arm first, so that an OR condition is never needed and no group is large
-    best = lambda df, by: df.groupBy(*by).agg(F.min(F.struct((-F.col("score")).alias("o"), "target", "score")).alias("x"))
-    exact = best(c, ["k", "desc"]).select("k", "desc", F.lit(0).alias("rank"), "x.o", "x.target", "x.score")
-    wild = exact.select("k", "desc").join(best(s, ["k"]), "k").select("k", "desc", F.lit(1).alias("rank"), "x.o", "x.target", "x.score")
-    top = exact.unionByName(wild).groupBy("k", "desc").agg(F.min(F.struct("rank", "o", "target", "score")).alias("x"))
-    return top.select("k", "desc", "x.target", "x.score", F.when(F.col("x.rank") == 0, "derived").otherwise("oracle").alias("provenance"))
+    exact = renames.preferred(c.withColumnRenamed("target", "to").withColumn("provenance", F.lit("derived")), ["k", "desc"])
+    wild = renames.preferred(s.withColumnRenamed("target", "to").withColumn("provenance", F.lit("oracle")), ["k"])
+    both = exact.unionByName(exact.select("k", "desc").join(wild, "k"))
+    return renames.preferred(both, ["k", "desc"]).withColumnRenamed("to", "target")
 
 
 @query(f"""WITH {_TOKENS}, {_BEST},
@@ -520,8 +496,8 @@ def splice_apply(spark, d):
 SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM u)""")
 def usage_binding(spark, d):
     """Usages bound by a declaration whose short name no other has."""
-    names = table(spark, d, "customer").groupBy(F.floor("c_acctbal").alias("n")).agg(F.count("*").alias("k"), F.min("c_custkey").alias("o_custkey")).where("k = 1")
-    return table(spark, d, "orders").join(names, "o_custkey", "left_semi").select("o_orderkey")
+    declared = table(spark, d, "customer").select(F.floor("c_acctbal").alias("name"), F.col("c_custkey").alias("target"))
+    return ground.bound(table(spark, d, "orders").withColumnRenamed("o_custkey", "target"), declared).select("o_orderkey")
 
 
 @query("""SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS asked FROM conversations""")
@@ -548,7 +524,7 @@ def name_functions(spark, d):
 
 @query("""SELECT page_id, pos - 1 AS ord, href FROM (SELECT page_id, unnest(h) AS href, generate_subscripts(h, 1) AS pos FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS h FROM pages))""")
 def text_scan_links(spark, d):
-    """Links of each page with their ordinal."""
+    """Links of each page with their ordinal."""
     return table(spark, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("ord", "href")).withColumn("ord", F.col("ord").cast("long"))
 
 
@@ -573,10 +549,8 @@ SELECT n, a, b, CASE WHEN n < 3 THEN 'too few' WHEN greatest(a, b) < 0.25 * n TH
 def namespace_probe(spark, d):
     """A bounded sorted sample probed in two namespaces, and the decision."""
     part = table(spark, d, "part")
-    sample = part.select("p_name").distinct().orderBy("p_name").limit(20)
-    a = part.where("p_size < 25").select("p_name").distinct().withColumn("a", F.lit(1))
-    b = part.where("p_brand = 'Brand#11'").select("p_name").distinct().withColumn("b", F.lit(1))
-    hits = sample.join(a, "p_name", "left").join(b, "p_name", "left").agg(F.count("*").alias("n"), F.count("a").alias("a"), F.count("b").alias("b"))
+    spaces = {"a": part.where("p_size < 25"), "b": part.where("p_brand = 'Brand#11'")}
+    hits = ground.probe(part, "p_name", spaces, 20)
     n, x, y = F.col("n"), F.col("a"), F.col("b")
     how = F.when(n < 3, "too few").when(F.greatest(x, y) < 0.25 * n, "no namespace fits").when(x >= 4 * y, "named").when(y >= 4 * x, "source").otherwise("tie")
     return hits.withColumn("decision", how)
