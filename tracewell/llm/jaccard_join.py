@@ -55,7 +55,7 @@ BLOCK_BYTES = 6 << 20
 #: Signatures in a bucket, about how many a byte of stored input makes, and how many partitions there are at most.
 BUCKET_SIGNATURES, PER_BYTE, PARTS = 1_000_000, 0.2, 16_384
 #: Nodes of a block that share a signature from which on they leave as a piece, and bytes of a bucket that are held.
-LOCAL, HOLD = 8, 128 << 20
+LOCAL, HOLD = 32, 128 << 20
 #: Bits of the fingerprint of a set.
 BITS = 64
 #: Wanted nodes up to which their keys are broadcast (12 MB), so that no text is shuffled to find their sets.
@@ -78,7 +78,7 @@ def bands(largest: int) -> tuple[np.ndarray, np.ndarray]:
 def parts(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first-level parts for ``k`` differences, how many of them are more than it takes)."""
     least = k // 2 + 1
-    more = np.where(k > 1, 1 + least // 32, 0)
+    more = least // 12  # about as many as it takes to make thin parts rare
     return least + more, more
 
 
@@ -106,7 +106,7 @@ def checks_of(doc: np.ndarray, value: np.ndarray, n_docs: int) -> np.ndarray:
 
 
 def signatures(doc: np.ndarray, value: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, signature) of sets given as ordered (document, shingle)."""
+    """(document, signature of 48 bits) of sets given as ordered (document, shingle)."""
     out_doc, out_sig = [], []
     if not len(doc):
         return doc, value
@@ -139,7 +139,7 @@ def signatures(doc: np.ndarray, value: np.ndarray, size: np.ndarray) -> tuple[np
             own_values = np.sort(mixed[begin[d] : begin[d] + size[d]])[: size[d] // 5 + 1]
             out_doc.append(np.full(len(own_values), d))
             out_sig.append(mix(own_values ^ mix(np.array([own[d] + step + (1 << 44)], U64))))
-    return np.concatenate(out_doc), np.concatenate(out_sig)
+    return np.concatenate(out_doc), np.concatenate(out_sig) >> U64(16)
 
 
 def sketch_longs(size: np.ndarray) -> np.ndarray:
@@ -168,6 +168,25 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.append(start, len(x)))
 
 
+def _pack_entries(sig: np.ndarray, node: np.ndarray) -> bytes:
+    """Entries in the order of their signature: its differences in as many bytes as they need, then the nodes."""
+    step = np.diff(sig, prepend=U64(0))
+    width = max(1, (int(step.max(initial=0)).bit_length() + 7) // 8)
+    return np.array([len(sig), width], np.int64).tobytes() + step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes() + node.tobytes()
+
+
+def _entries(blobs: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, nodes) of blobs of entries."""
+    sigs, nodes = [], []
+    for blob in blobs:
+        n, width = np.frombuffer(blob, np.int64, 2).tolist()
+        step = np.zeros((n, 8), np.uint8)
+        step[:, :width] = np.frombuffer(blob, np.uint8, n * width, 16).reshape(n, width)
+        sigs.append(np.cumsum(step.view("<u8").reshape(-1), dtype=U64))
+        nodes.append(np.frombuffer(blob, np.uint8, 8 * n, 16 + n * width).copy().view(np.int64))
+    return np.concatenate(sigs), np.concatenate(nodes)
+
+
 def _send(id_column: str, column: str, buckets: int, parts: int, bits: int = 64):
     """Blobs for the buckets, one partition after another, and one of the documents of a block."""
 
@@ -201,7 +220,7 @@ def _send(id_column: str, column: str, buckets: int, parts: int, bits: int = 64)
                 for a, n in zip(*_runs(part), strict=True):
                     out[0].append(int(part[a]))
                     out[1].append(kind)
-                    out[2].append(s[a : a + n].tobytes() + (m[order[a : a + n]].tobytes() if m is not None else b""))
+                    out[2].append(s[a : a + n].tobytes() if m is None else _pack_entries(s[a : a + n], m[order[a : a + n]]))
             yield pa.record_batch({"bucket": pa.array(out[0], pa.int32()), "docs": pa.array(out[1], pa.int32()), "blob": pa.array(out[2], pa.binary())})
 
     return run
@@ -211,11 +230,13 @@ def _cut_again(buckets: int, parts: int):
     """Entries and marks of a partition with several buckets, cut by bucket; other blobs go on."""
 
     def cut(kind: int, held: list[bytes]) -> pa.RecordBatch:
-        width = 2 if kind == _ENTRIES else 1
-        both = [np.concatenate([np.frombuffer(b, np.int64, len(b) // 8 // width, k * (len(b) // width)) for b in held]) for k in range(width)]
-        bucket = (both[0].view(U64) % U64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        rows = [(int(bucket[order[a]]), kind, b"".join(x[order[a : a + n]].tobytes() for x in both)) for a, n in zip(*_runs(bucket[order]), strict=True)]
+        sig, node = _entries(held) if kind == _ENTRIES else (np.concatenate([np.frombuffer(b, U64) for b in held]), None)
+        bucket = (sig % U64(buckets)).astype(np.int64)
+        order = np.lexsort((sig, bucket))
+        rows = []
+        for a, n in zip(*_runs(bucket[order]), strict=True):
+            i = order[a : a + n]
+            rows.append((int(bucket[i[0]]), kind, sig[i].tobytes() if node is None else _pack_entries(sig[i], node[i])))
         return pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["bucket", "docs", "blob"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,8 +268,7 @@ def _pieces(sig: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
 
 def _group(blobs: list[bytes], marks: list[bytes]) -> Iterator[pa.RecordBatch]:
     """Groups of two nodes or more that share a signature; equal groups once, large and marked ones in pieces."""
-    sig = np.concatenate([np.frombuffer(b, U64, len(b) // 16) for b in blobs])
-    node = np.concatenate([np.frombuffer(b, np.int64, offset=len(b) // 2) for b in blobs])
+    sig, node = _entries(blobs)
     marked = np.unique(np.concatenate([np.frombuffer(b, U64) for b in marks])) if marks else sig[:0]
     order = np.argsort(sig, kind="stable")
     sig, node = sig[order], node[order]
@@ -326,8 +346,7 @@ def _receive(batches: Iterable[pa.RecordBatch], hold: int = HOLD) -> Iterator[pa
 
 
 def _whole_pieces(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-    sig = np.concatenate([np.frombuffer(b, U64, len(b) // 16) for b in blobs])
-    node = np.concatenate([np.frombuffer(b, np.int64, offset=len(b) // 2) for b in blobs])
+    sig, node = _entries(blobs)
     order = np.argsort(sig)
     yield _pieces(sig[order], node[order])
 
@@ -493,7 +512,7 @@ def _across(entries: DataFrame, roots: DataFrame, nodes: DataFrame, slim: DataFr
     """
     brief = nodes.select("node", F.size("sketch").alias("weight"), F.concat(F.array("size"), "sketch").alias("data"))
     some = _meetings(entries, roots, brief, CHUNK_LONGS, 3).mapInArrow(_each_meeting(_open_members), "key long, node long")
-    some = materialise(some.distinct(), "open-members")
+    some = materialise(_each_set_once(materialise(some.distinct(), "open-members")), "open-groups")
     if some.isEmpty():
         return entries.sparkSession.createDataFrame([], "a long, b long")
     whole = _sets_of(some, slim, nodes).select("node", F.size("shingles").alias("weight"), F.col("shingles").alias("data"))
@@ -521,6 +540,14 @@ def _verified(pairs: DataFrame, slim: DataFrame, nodes: DataFrame) -> DataFrame:
     return met.where(100 * both >= 80 * (size_a + size_b - both)).select("a", "b").distinct()
 
 
+def _each_set_once(entries: DataFrame) -> DataFrame:
+    """``entries(key, node)`` without the groups that have the same nodes as another one."""
+    prints = [F.bit_xor(F.xxhash64("node", F.lit(k))) for k in (1, 2)]
+    groups = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), *[p.alias(f"x{k}") for k, p in enumerate(prints)])
+    once = groups.where("n > 1").groupBy("n", "lo", "hi", "x0", "x1").agg(F.min("key").alias("key"))
+    return entries.join(once.select("key"), "key", "left_semi")
+
+
 def _to_least(entries: DataFrame) -> DataFrame:
     """Pairs (a, b) of the least node of each group in ``entries(key, node)`` and every other one."""
     least = entries.groupBy("key").agg(F.min("node").alias("a"))
@@ -547,6 +574,7 @@ def _reached(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     members = found.where("kind = 1").select("doc_id", "crc", "size", "mark", F.col("nodes").alias("sketch"), F.col("key").alias("print"), F.col("key").alias("node"))
     groups = materialise(found.where("kind = 0").groupBy("key").agg(F.first("nodes").alias("nodes")), "groups")
     pieces = found.where("kind = 2").select("key", F.explode("nodes").alias("node")).distinct()
+    pieces = materialise(_each_set_once(pieces), "pieces")
     entries = groups.select("key", F.explode("nodes").alias("node")).unionByName(pieces)
     pairs = groups.select(F.col("nodes")[0].alias("a"), F.explode(F.slice("nodes", 2, 2147483647)).alias("b")).unionByName(_to_least(pieces))
     # fingerprints that sets of different documents share: such a node becomes one for each set
