@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.functions import scalars as S
-from tracewell.operators import chain, closure, diff, ground, renames, report, similarity, spans
+from tracewell.operators import chain, closure, diff, ground, members, patches, renames, report, similarity, spans
 from tracewell.plans.session import checkpointing
 
 
@@ -73,7 +73,55 @@ def test_spans(spark):
     assert spark.range(1).select(spans.splice(F.lit("aaa bbb ccc"), ops)).first()[0] == "AAAA bbb C"
 
 
-@pytest.mark.parametrize("desc, n", [("()V", 0), ("(I)V", 1), ("(La/B;I[Lc/D;)V", 3), ("([[J[I)V", 2), ("I", -1)])
+def test_closure_has_no_depth_limit_and_keeps_the_first_path(spark):
+    edges = [(k, 0, k + 1) for k in range(150)] + [(0, 1, 2), (3, 1, 5), (4, 1, 5), (150, 0, 0)]
+    out = closure.ordered_closure(spark.createDataFrame(edges, "child int, ord int, parent int"), spark.createDataFrame([(0,), (149,)], "n int"))
+    want = {}
+    for root in (0, 149):
+        level, depth, seen = [(root, [])], 0, {root: (0, [])}
+        while level:
+            depth += 1
+            reach = {}
+            for node, path in level:
+                for c, o, p in edges:
+                    if c == node and p not in seen:
+                        reach[p] = min(reach.get(p, [9] * 999), [*path, o])
+            seen |= {p: (depth, path) for p, path in reach.items()}
+            level = sorted(reach.items(), key=lambda x: x[1])
+        want |= {(root, n): v for n, v in seen.items()}
+    assert {(r["root"], r["node"]): (r["depth"], list(r["path"])) for r in out.collect()} == want
+
+
+def test_members_across_versions(spark):
+    old = spark.createDataFrame([("A", "method", "run", "(I)V"), ("A", "method", "run", "(J)V"), ("A", "field", "x", "I"), ("Base", "method", "up", "()V"), ("Base", "method", "two", "(I)V"), ("Base", "method", "two", "(J)V"), ("A", "method", "gone", "()V"), ("Base", "method", "moved", "()V")], "owner string, kind string, name string, desc string")
+    classes = spark.createDataFrame([("A", "Base", []), ("Base", "java/lang/Object", [])], "owner string, super string, interfaces array<string>")
+    new = spark.createDataFrame([("A", "run", "(I)V"), ("A", "run", "(J)V"), ("A", "x", "I"), ("Base", "up", "()V"), ("A", "moved", "()V")], "owner string, name string, desc string")
+    asked = [(1, "method", "A", "run", "(J)V", None), (2, "method", "A", "run", None, 1), (3, "method", "A", "run", None, 3), (4, "field", "A", "x", None, None), (5, "method", "A", "up", None, 0), (6, "method", "A", "two", None, 1), (7, "method", "A", "gone", None, None), (8, "method", "A", "none", None, None), (9, "method", "Q", "x", None, None)]
+    q = spark.createDataFrame(asked, "qid int, kind string, owner string, name string, desc string, args int")
+    got = {r["qid"]: (r["verdict"], r["to_owner"], r["reason"]) for r in members.bridge(q, old, classes, classes, new).collect()}
+    assert got == {
+        1: ("EXACT", "A", "declared"), 2: ("UNRESOLVED", None, "several overloads take that many arguments"), 3: ("UNRESOLVED", None, "no overload takes that many arguments"), 4: ("EXACT", "A", "declared"),
+        5: ("CANDIDATE", "Base", "inherited"), 6: ("UNRESOLVED", None, "several overloads take that many arguments"), 7: ("UNRESOLVED", None, "no member of that name"), 8: ("UNRESOLVED", None, "no member of that name"), 9: ("UNRESOLVED", None, "no member of that name"),
+    }
+
+
+def test_edits_are_all_made_or_none(spark):
+    files = spark.createDataFrame([("a", "aaa bbb"), ("b", "xyz"), ("c", "same"), ("d", "")], "file string, text string")
+    ops = [("a", "1", 0, 3, "aaa", "A"), ("a", "2", 4, 7, "bbb", "B"), ("b", "1", 0, 2, "xy", ""), ("b", "2", 1, 3, "yz", ""), ("d", "1", 0, 0, "", "new"), ("q", "1", 0, 0, "", "x"), ("c", "1", None, 3, "s", "t")]
+    edits = spark.createDataFrame(ops, "file string, id string, start int, end int, before string, after string")
+    out, judged = patches.apply_ops(files, edits)
+    assert {r["file"]: (r["text"], r["applied"], r["refused"]) for r in out.collect()} == {"a": ("A B", 2, 0), "b": ("xyz", 0, 2), "c": ("same", 0, 1), "d": ("new", 1, 0)}
+    reasons = {(r["file"], r["id"]): r["reason"] for r in judged.collect()}
+    assert reasons["b", "1"] == reasons["b", "2"] == "overlaps another edit" and reasons["q", "1"] == "no such file" and reasons["c", "1"] == "span out of bounds" and reasons["a", "1"] is None
+
+
+def test_broken_descriptors_are_not_renamed(spark):
+    bad = spark.createDataFrame([("(La/B",)], "desc string")
+    with pytest.raises(Exception, match="unterminated"):
+        renames.canonical_desc(bad, spark.createDataFrame([("a/B", "c")], "from string, to string")).collect()
+
+
+@pytest.mark.parametrize("desc, n", [("(La/B", -1), ("(I", 1), ("()V", 0), ("(I)V", 1), ("(La/B;I[Lc/D;)V", 3), ("([[J[I)V", 2), ("I", -1)])
 def test_arity(spark, desc, n):
     assert spark.range(1).select(S.arity(F.lit(desc))).first()[0] == n
 
