@@ -62,6 +62,9 @@ def test_jaccard_pairs_miss_nothing(spark):
     for threshold in (0.3, 0.5, 0.8, 1.0):
         got = {(r["l"], r["r"]) for r in similarity.jaccard_pairs(*frames, threshold=threshold).collect()}
         assert got == {(a, b) for a, x in sets[0].items() for b, y in sets[1].items() if len(x & y) >= threshold * len(x | y)}
+    copies = [f.unionByName(f.where("id < 9").withColumn("id", F.col("id") + 100)) for f in frames]
+    want = similarity.strict_mutual_best(similarity.jaccard_pairs(*copies), "l", "r", ["jaccard"])
+    assert sorted(map(tuple, similarity.best_pairs(*copies).select("l", "r", "overlap", "jaccard").collect())) == sorted(map(tuple, want.select("l", "r", "overlap", "jaccard").collect()))
 
 
 def test_spans(spark):

@@ -172,16 +172,19 @@ def line_tokens(spark, d):
 
 @query(f"WITH {_TOKENS} SELECT l, r, overlap, jaccard FROM pairs")
 def jaccard_pairs(spark, d):
-    """Documents of the two sides that share at least half of their lines."""
+    """Documents of the two sides that share at least half of their lines."""
+    return similarity.jaccard_pairs(*_sides(spark, d))
+
+
+def _sides(spark, d):
     tokens = line_tokens(spark, d)
-    side = lambda k: tokens.where(F.col("side") == k).select(F.col("doc_id").alias("id"), "token")
-    return similarity.jaccard_pairs(side(0), side(1))
+    return tuple(tokens.where(F.col("side") == k).select(F.col("doc_id").alias("id"), "token") for k in (0, 1))
 
 
 @query(f"WITH {_TOKENS}, {_BEST} SELECT l, r, overlap, jaccard FROM best")
 def mutual_best(spark, d):
     """Pairs that are each other's only best."""
-    return similarity.strict_mutual_best(jaccard_pairs(spark, d), "l", "r", ["jaccard"])
+    return similarity.best_pairs(*_sides(spark, d))
 
 
 @query(f"WITH {_TOKENS}, {_BEST} SELECT l, m AS best, k AS ties, 'tied for the best score' AS reason FROM lb JOIN lt USING (l) WHERE k > 1")
