@@ -42,8 +42,12 @@ def windows(rows, size):
     return least
 
 
-@pytest.mark.parametrize("size", [2, 5, 13])
-def test_substring_dedup(docs, size):
+@pytest.mark.parametrize("size, change", [(2, {}), (5, {"PARTS": 2, "BUCKET_BYTES": 2000}), (13, {}), (13, {"HOLD": 100}), (5, {"HOLD": 2000, "PARTS": 3, "BUCKET_BYTES": 500})])
+def test_substring_dedup(docs, size, change, monkeypatch):
+    from tracewell.llm import substring_dedup
+
+    for name, value in change.items():
+        monkeypatch.setattr(substring_dedup, name, value)
     least = windows(ROWS, size)
     want = []
     for i, t in ROWS:

@@ -17,7 +17,10 @@ A minimiser with more super-k-mers than a quarter of an even bucket, or one in `
 all, is not tied to one bucket: its windows go, one by one, to buckets chosen by the hash of
 the whole window, which is as exact.  The number of such minimisers is at most ``2 * SHARE``,
 which bounds what the driver sees.
-The number of buckets follows the size of the input; a bucket has about ``BUCKET_BYTES``.
+The number of buckets follows the size of the input; a bucket has about ``BUCKET_BYTES``.  There
+are at most ``PARTS`` partitions; beyond as many buckets a partition has several, which are cut
+apart and sorted after the shuffle.  A bucket that still grows beyond ``HOLD`` bytes is not held:
+its windows are dealt once more, by the hash of the whole window.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .block import U64, Block, Rolling, extended, free_names, mix, slices
+from .scratch import materialise
 
 WINDOW = 13
 MINIMISER = 3
@@ -42,9 +46,12 @@ SHARE = 8192
 LEVEL = 9
 BLOCK_BYTES = 6 << 20
 BUCKET_BYTES = 10 << 20
+#: Partitions at most, bytes of blobs of a bucket that are held, and buckets of windows that are dealt once more.
+PARTS, HOLD, AGAIN = 16_384, 192 << 20, 1 << 20
 _LAST = np.iinfo(np.int64).max
 _BLOBS = "bucket int, kind int, blob binary"
 _RANGES = "id long, crc long, start int, stop int"
+_FOUND = _RANGES + ", bucket int, blob binary"
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -136,6 +143,7 @@ def _open(blob: bytes, kinds: list[type]) -> tuple[list[np.ndarray], np.ndarray]
 
 
 _RUN = [np.int64, np.uint32, np.int32, np.int32, np.int32]  # id, crc, first word, windows, bytes
+_SEVERAL = [*_RUN, np.int32]  # and the bucket, where a blob is for a partition with several
 _RANGE = [np.int64, np.uint32, np.int32, np.int32]
 
 
@@ -156,7 +164,7 @@ def _local(runs: _Runs, block: Block, ids: np.ndarray, text: bytes, at: np.ndarr
     return np.flatnonzero(~settled), np.flatnonzero(settled)
 
 
-def _send(id_column: str, column: str, window: int, buckets: int, hot: np.ndarray):
+def _send(id_column: str, column: str, window: int, buckets: int, parts: int, hot: np.ndarray):
     """Blobs: kind 0 holds super-k-mers for a bucket, kind 1 ranges already known to go."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,29 +183,88 @@ def _send(id_column: str, column: str, window: int, buckets: int, hot: np.ndarra
             send, settled = _local(runs, block, ids, text, at)
             out: tuple[list, list, list] = ([], [], [])
             if len(settled):
-                out[0].append(int(crc[0]) % buckets)
+                out[0].append(int(crc[0]) % parts)
                 out[1].append(1)
                 out[2].append(_columns([ids[doc[settled]], crc[doc[settled]], place[settled], (place[settled] + runs.count[settled] + window - 1).astype(np.int32)]))
             bucket = (mix(runs.key[send]) % U64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            send, bucket = send[order], bucket[order]
-            cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            part = bucket % parts
+            order = np.lexsort((bucket, part)) if parts < buckets else np.argsort(part, kind="stable")
+            send, bucket, part = send[order], bucket[order], part[order]
+            cut = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
             for a, b in zip(cut, np.append(cut[1:], len(send)), strict=True):
                 if a == b:
                     continue
                 pick = send[a:b]
                 lo, hi = at[runs.start[pick]], at[stop[pick]]
-                out[0].append(int(bucket[a]))
+                columns = [ids[doc[pick]], crc[doc[pick]], place[pick], runs.count[pick].astype(np.int32), (hi - lo).astype(np.int32)]
+                if parts < buckets:
+                    columns.append(bucket[a:b].astype(np.int32))
+                out[0].append(int(part[a]))
                 out[1].append(0)
-                out[2].append(_columns(
-                    [ids[doc[pick]], crc[doc[pick]], place[pick], runs.count[pick].astype(np.int32), (hi - lo).astype(np.int32)],
-                    b"".join([text[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]),
-                ))
+                out[2].append(_columns(columns, b"".join([text[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)])))
             yield pa.record_batch({"bucket": pa.array(out[0], pa.int32()), "kind": pa.array(out[1], pa.int32()), "blob": pa.array(out[2], pa.binary())})
 
     return run
 
 
+def _pieces(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> bytes:
+    raw = data.tobytes()
+    return b"".join([raw[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)])
+
+
+def _cut_again(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Super-k-mers of a partition with several buckets, cut by bucket; other blobs go on."""
+
+    def cut(blobs: list[bytes]) -> pa.RecordBatch:
+        parts = [_open(b, _SEVERAL) for b in blobs]
+        columns = [np.concatenate([p[0][k] for p in parts]) for k in range(6)]
+        data = np.concatenate([p[1] for p in parts])
+        ends = np.cumsum(columns[4].astype(np.int64))
+        order = np.argsort(columns[5], kind="stable")
+        edge = np.flatnonzero(np.append(True, np.diff(columns[5][order]) != 0))
+        rows = []
+        for a, b in zip(edge, np.append(edge[1:], len(order)), strict=True):
+            i = order[a:b]
+            rows.append((int(columns[5][i[0]]), 0, _columns([c[i] for c in columns[:5]], _pieces(data, ends[i] - columns[4][i], ends[i]))))
+        return pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["bucket", "kind", "blob"])
+
+    held, size = [], 0
+    for batch in batches:
+        kind = batch.column("kind").to_numpy()
+        if (kind != 0).any():
+            yield batch.filter(pa.array(kind != 0))
+        for k in np.flatnonzero(kind == 0).tolist():
+            held.append(batch.column("blob")[k].as_py())
+            size += len(held[-1])
+        if size > HOLD // 8:
+            yield cut(held)
+            held, size = [], 0
+    if held:
+        yield cut(held)
+
+
+def _deal_again(blobs: list[bytes], window: int) -> pa.RecordBatch:
+    """The windows of some super-k-mers, each for the bucket of its own hash."""
+    parts = [_open(b, _RUN) for b in blobs]
+    ids, crc, place, count, size = (np.concatenate([p[0][k] for p in parts]) for k in range(5))
+    data = np.concatenate([p[1] for p in parts])
+    block = Block(pa.array([data.tobytes()], pa.large_binary()))
+    first = np.searchsorted(block.starts, np.cumsum(size.astype(np.int64)) - size)
+    run = np.repeat(np.arange(len(count)), count)
+    offset = np.arange(len(run)) - np.repeat(np.cumsum(count, dtype=np.int64) - count, count)
+    word = first[run] + offset
+    bucket = (Rolling(block.hashes()).of(word, word + window) % U64(AGAIN)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    edge = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)) if len(order) else []
+    lo, hi = block.starts[word], block.ends[word + window - 1] + 1  # a space follows each word
+    rows = []
+    for a, b in zip(edge, np.append(edge[1:], len(order)), strict=True) if len(edge) else ():
+        i = order[a:b]
+        rows.append((int(bucket[i[0]]), _columns([ids[run[i]], crc[run[i]], (place[run[i]] + offset[i]).astype(np.int32), np.ones(len(i), np.int32), (hi[i] - lo[i]).astype(np.int32)], _pieces(data, lo[i], hi[i]))))
+    none = pa.nulls(len(rows), pa.int64())
+    return pa.record_batch({"id": none, "crc": none, "start": none.cast(pa.int32()), "stop": none.cast(pa.int32()), "bucket": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
+
+
 def _judge(blobs: list[bytes], window: int) -> list[np.ndarray] | None:
     """Ranges of the repeating windows of one bucket."""
     parts = [_open(b, _RUN) for b in blobs]
@@ -247,32 +314,39 @@ def _judge(blobs: list[bytes], window: int) -> list[np.ndarray] | None:
     return found
 
 
-def _judge_all(window: int):
-    def emit(blobs: list[bytes]) -> pa.RecordBatch | None:
-        found = _judge(blobs, window)
-        return None if found is None else _range_batch(found)
+def _judge_all(window: int, hold: int | None):
+    """Ranges of repeating windows; blobs that come sorted by bucket, of a bucket beyond ``hold`` its windows instead."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, held = None, []
+        bucket, held, size, large = None, [], 0, False
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            if held and large:
+                yield _deal_again(held, window)
+            elif held and (found := _judge(held, window)) is not None:
+                yield _range_batch(found)
+
         for batch in batches:
             for k, kind, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if kind:
                     yield _range_batch(_open(blob.as_py(), _RANGE)[0])
                     continue
-                if k != bucket and held:
-                    if (out := emit(held)) is not None:
-                        yield out
-                    held = []
-                bucket = k
+                if k != bucket:
+                    yield from settle()
+                    bucket, held, size, large = k, [], 0, False
                 held.append(blob.as_py())
-        if held and (out := emit(held)) is not None:
-            yield out
+                size += len(held[-1])
+                if hold is not None and size > (hold if not large else hold // 8):
+                    yield _deal_again(held, window)
+                    held, size, large = [], 0, True
+        yield from settle()
 
     return run
 
 
 def _range_batch(found: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.record_batch({"id": pa.array(found[0]), "crc": pa.array(found[1].astype(np.int64)), "start": pa.array(found[2]), "stop": pa.array(found[3])})
+    n = len(found[0])
+    return pa.record_batch({"id": pa.array(found[0]), "crc": pa.array(found[1].astype(np.int64)), "start": pa.array(found[2]), "stop": pa.array(found[3]), "bucket": pa.nulls(n, pa.int32()), "blob": pa.nulls(n, pa.binary())})
 
 
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -291,9 +365,17 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = total.get(0, 0) / min(2 * SHARE, 4 * buckets)
     hot = np.sort(np.array([r["key"] for r in rows.filter((F.col("kind") == 2) & (F.col("n") > F.lit(least))).select("key").collect()], np.int64).view(U64))
     rows.unpersist()
-    blobs = slim.mapInArrow(_send("id", "text", window, buckets, hot), _BLOBS)
-    dealt = blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(_judge_all(window), _RANGES)
+    parts = min(buckets, PARTS)
+    dealt = slim.mapInArrow(_send("id", "text", window, buckets, parts, hot), _BLOBS).repartition(parts, "bucket")
+    if parts < buckets:
+        dealt = dealt.mapInArrow(_cut_again, _BLOBS)
+    found = materialise(dealt.sortWithinPartitions("bucket").mapInArrow(_judge_all(window, HOLD), _FOUND), "ranges")
+    ranges = found.where("blob is null").select("id", "crc", "start", "stop")
+    late = found.where("blob is not null").select("bucket", F.lit(0).alias("kind"), "blob")
+    if late.isEmpty():
+        return ranges
+    late = late.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_judge_all(window, None), _FOUND)
+    return ranges.unionByName(late.select("id", "crc", "start", "stop"))
 
 
 def _squeeze(column: str, packed: str):

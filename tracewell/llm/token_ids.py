@@ -46,6 +46,8 @@ END_ID = 1
 BLOCK_BYTES = 6 << 20
 FILE_BYTES = 64 << 20
 RANGE_BYTES = 16 << 20
+#: Ranges at most; a larger one is spooled as several files.
+RANGES = 16_384
 BLOCK_TOKENS = 1 << 20
 REMEMBERED = 2_000_000
 MAGIC = b"TWIDS\x00\x00\x01"
@@ -309,7 +311,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, end: int | None = END_ID,
     """
     spark = docs.sparkSession
     size = input_bytes(docs)
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / RANGE_BYTES) if size < 1 << 55 else 1)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(RANGES, math.ceil(size / RANGE_BYTES)) if size < 1 << 55 else 1)
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(_LAST))).alias("id"), text.alias("text"), F.xxhash64(text).alias("tie"))
     bounds, times = _ranges(slim, n)
