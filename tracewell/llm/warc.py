@@ -44,12 +44,16 @@ def _clean(value: str) -> str:
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC record as a gzip member; with refers_to it is a revisit."""
+    """One WARC record as a gzip member; with refers_to it is a revisit.
+
+    The record's id is that of its page and payload, so rows that share a page id have ids of their
+    own unless their payloads are equal too.
+    """
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
     fields = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"),
+        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"),
         ("WARC-Date", _DATE),
         ("WARC-Page-ID", "" if page_id is None else str(page_id)),
         ("WARC-Payload-Digest", f"sha256:{digest}"),
@@ -59,7 +63,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     if url is not None:
         fields.insert(2, ("WARC-Target-URI", _clean(url)))
     if refers_to is not None:
-        fields += [("WARC-Profile", _PROFILE), ("WARC-Refers-To", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}')}>"), ("WARC-Refers-To-Page-ID", str(refers_to))]
+        fields += [("WARC-Profile", _PROFILE), ("WARC-Refers-To", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}:{digest}')}>"), ("WARC-Refers-To-Page-ID", str(refers_to))]
     head = b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + _CRLF
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
     return packer.compress(head + block + _CRLF + _CRLF) + packer.flush()
