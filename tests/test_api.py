@@ -28,3 +28,27 @@ def test_resolve_batch_and_stream_agree(spark, tmp_path):
     want = sorted(map(tuple, api.resolve(queries, "name", hops).collect()))
     assert sorted(map(tuple, spark.table("resolved").collect())) == want
     assert {r["chain"] for r in api.resolve(queries, "name", hops, include_chains=False).collect()} == {""}
+
+
+def test_options_batches_and_listings(spark):
+    with pytest.raises(TypeError, match="did you mean 'prefix'"):
+        api.DeltaOptions.of(prefx="a")
+    rows = spark.createDataFrame([("x", 2, "0.0.0"), ("x", 1, "1.2"), ("y", 1, "0.0.0")], "version string, at int, build string")
+    assert api.at_most(rows, 3).count() == 3
+    for bad in (rows, rows.limit(0)):
+        with pytest.raises(ValueError):
+            api.at_most(bad, 2)
+    assert {(r["version"], r["build"], r["reason"] is None) for r in api.build(rows).collect()} == {("x", "1.2", True), ("y", "0.0.0", False)}
+    files = spark.createDataFrame([("file:/c/maps/1.1/b", 1), ("file:/c/maps/1.1/a", 2), ("file:/c/jars/9/z", 3)], "path string, length long")
+    assert [(r["kind"], r["name"]) for r in api.cache_listing(files).collect()] == [("jars", "z"), ("maps", "a"), ("maps", "b")]
+    surface = spark.createDataFrame([("A", "method", "m", "()V"), ("A", "field", "f", "I"), ("A", "method", "a", "()V")], "owner string, kind string, name string, desc string")
+    assert [tuple(m) for m in api.members_of(surface).first()["members"]] == [("field", "f", "I"), ("method", "a", "()V"), ("method", "m", "()V")]
+
+
+def test_surface_of_decoded_classes(spark):
+    from tracewell.sources import archives
+
+    kind = "path string, name string, owner string, access int, major int, super string, interfaces array<string>, members array<struct<kind:string,name:string,desc:string,access:int>>, error string"
+    rows = [("p", "A.class", "A", 1, 65, "O", ["I"], [("method", "m", "()V", 1), ("field", "f", "I", 2)], None), ("p", "B.class", "B", 0, 65, "O", [], [("method", "m", "()V", 1)], None), ("p", "C.class", None, None, None, None, None, None, "bad magic")]
+    found, errors = archives.surface(spark.createDataFrame(rows, kind))
+    assert [(r["owner"], r["name"]) for r in found.collect()] == [("A", "m")] and [r["name"] for r in errors.collect()] == ["C.class"]

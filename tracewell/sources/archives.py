@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import visible_class, visible_member
+
 _ENTRY = "path string, name string, size long, method int, crc long, data binary, error string"
 _MEMBER = "struct<kind:string,name:string,desc:string,access:int>"
 
@@ -136,3 +138,14 @@ def classes(found: DataFrame) -> DataFrame:
     wanted = found.where(F.col("name").endswith(".class") & ~F.col("name").rlike("(^|/)(module|package)-info\\.class$"))
     schema = f"path string, name string, owner string, access int, major int, super string, interfaces array<string>, members array<{_MEMBER}>, error string"
     return wanted.select("path", "name", "data").mapInArrow(_decode, schema)
+
+
+def surface(decoded: DataFrame, public_only: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(members (owner, super, interfaces, kind, name, desc, access), errors (path, name, error)) of decoded classes.
+
+    public_only: visible classes and members alone.  A class without members has no rows.
+    """
+    good = decoded.where("error is null").select("owner", "super", "interfaces", F.col("access").alias("_a"), F.explode("members").alias("m"))
+    if public_only:
+        good = good.where(visible_class(F.col("_a")) & visible_member(F.col("m.access")))
+    return good.select("owner", "super", "interfaces", "m.kind", "m.name", "m.desc", "m.access"), decoded.where("error is not null").select("path", "name", "error")
