@@ -156,6 +156,66 @@ def test_rename_table(spark):
     assert out["p/Old"] == ("p/New", 1) and out["p/User"] == ("p/Uses", 2)  # the second round needs the first
 
 
+def brute_renames(old, new):
+    """The rounds of match_classes over Python sets."""
+    import re
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    simple, package = (lambda n: n.rsplit("/", 1)[-1]), (lambda n: n.rsplit("/", 1)[0] if "/" in n else "")
+    found = {o: (o, 0) for o in {r[0] for r in old} & {r[0] for r in new}}
+    for n in range(1, 11):
+        rename = lambda d: re.sub(r"L([^;]+);", lambda m: f"L{found.get(m[1], (m[1],))[0]};", d)
+        sides = [{}, {}]
+        for side, rows, taken in ((0, old, set(found)), (1, new, {t for t, _ in found.values()})):
+            for owner, kind, name, desc in rows:
+                if owner not in taken:
+                    sides[side].setdefault(owner, set()).add((kind, name, rename(desc) if side == 0 else desc))
+        pairs = []
+        for a, x in sides[0].items():
+            for b, y in sides[1].items():
+                jaccard = len(x & y) / len(x | y)
+                if jaccard >= 0.5:
+                    longer = max(len(simple(a)), len(simple(b)))
+                    pairs.append((a, b, (jaccard * (1.0 if package(a) == package(b) else 0.9), 1 - distance(simple(a), simple(b)) / longer)))
+        best = {}
+        for k in (0, 1):
+            for p in pairs:
+                best.setdefault((k, p[k]), []).append(p)
+        fresh = {}
+        for p in pairs:
+            if p[2][0] >= 0.5 and all(sum(q[2] >= p[2] for q in best[k, p[k]]) == 1 for k in (0, 1)):
+                fresh[p[0]] = (p[1], n)
+        if not fresh:
+            break
+        found |= fresh
+    return found
+
+
+def test_renames_to_a_fixpoint(spark):
+    import random
+
+    rng = random.Random(4)
+    owners = [f"{'pq'[k % 2]}/K{k}" for k in range(24)]
+    old = [(o, "method", f"m{rng.randrange(14)}", f"(L{rng.choice(owners)};)V" if rng.random() < 0.6 else "()V") for o in owners for _ in range(5)]
+    moved = {o: (o if k < 6 else o.replace("p/", "r/") if k % 5 == 0 else f"{o}x" if k % 3 else f"{o[:2]}N{k}") for k, o in enumerate(owners)}
+    new = []
+    for o, kind, name, desc in old:
+        for a in sorted(moved, key=len, reverse=True):
+            desc = desc.replace(f"L{a};", f"L#{moved[a]};")
+        if rng.random() > 0.06:
+            new.append((moved[o], kind, name, desc.replace("#", "")))
+    got = {r["from"]: (r["to"], r["round"]) for r in renames.match_classes(_members(spark, old), _members(spark, new)).collect()}
+    want = brute_renames(old, new)
+    assert got == want and max(n for _, n in want.values()) >= 2
+
+
 def test_member_matches_and_preferences(spark):
     classes = spark.createDataFrame([("a/A", "a/B", 0.9)], "from string, to string, score double")
     old = _members(spark, [("a/A", "method", "getFoo", "(La/A;)V"), ("a/A", "method", "stay", "()V")])
