@@ -61,8 +61,8 @@ SPLIT = 375_000
 #: Leading bits of a hash by which listed words are found.
 TOP = 20
 PARTS = 16_384
-#: Tokens that are cut by shard at once where a partition has several.
-CUT_TOKENS = 4_000_000
+#: Bytes of blobs that are cut by shard at once where a partition has several.
+CUT_BYTES = 8 << 20
 STEP = 24.0  # codes of a byte are steps of 1 / STEP in -log10
 _MASK = (1 << BITS) - 1
 DOCS, PLAIN, SPREAD, SUMS, COUNTS = range(5)  # kinds of blobs
@@ -493,7 +493,7 @@ def _cut_again(parts: int):
                     continue
                 held.setdefault((kind, part), []).append(blob)
                 size += len(blob)
-                if size > 2 * CUT_TOKENS:
+                if size > CUT_BYTES:
                     yield from (cut(k, v, p) for (k, p), v in held.items())
                     held, size = {}, 0
         yield from (cut(k, v, p) for (k, p), v in held.items())
