@@ -11,12 +11,11 @@ from public_tokenizers import PATTERN, path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, jaccard_join, ngram_lm, quality, token_counts, token_ids, warc
-from .scratch import new_path
+from . import bpe, chat, decontaminate, filter_audit, graph_search, jaccard_join, ngram_lm, quality, token_counts, token_ids, vector_codes, warc
+from .scratch import materialise, new_path
 from .substring_dedup import remove_repeats
 
 
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -119,6 +118,23 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = filter_audit.document_failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    index = materialise(filter_audit.bitmap_index(rows, "ABCDE", ["good", "toxic"]), "filter-bitmaps")
+    return filter_audit.audit(index, "ABCDE", ["good", "toxic"])
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    # two hex digits for each byte
+    return rows.select("vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def op13_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return graph_search.search(graph_search.build(vectors), vectors.where("vec_id % 100 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_lm_scoring": op2_lm_scoring,
@@ -130,6 +146,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_token_ids": op9_token_ids,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_graph_search": op13_graph_search,
 }
 
 #: A text column as its list of lower-cased 5-word shingles, in SQL.
@@ -139,7 +158,58 @@ _SHINGLES = r"""
   FROM (SELECT {id}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM {name})
 """
 
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The product codes in SQL: every part against every entry, round by round."""
+    near = """a{k} AS MATERIALIZED (SELECT id, part, min(struct_pack(d := d, e := e)) AS m FROM (
+      SELECT x.id, x.part, c.e, sum((x.x - c.x) * (x.x - c.x))::BIGINT AS d FROM x JOIN c{k} c USING (part, pos) GROUP BY x.id, x.part, c.e) GROUP BY id, part)"""
+    mean = """c{n} AS MATERIALIZED (SELECT c.part, c.e, c.pos, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN (
+      SELECT x.part, a.m.e AS e, x.pos, floor(sum(x.x) / count(*))::BIGINT AS x FROM x JOIN a{k} a USING (id, part) GROUP BY x.part, a.m.e, x.pos) m
+      ON c.part = m.part AND c.e = m.e AND c.pos = m.pos)"""
+    steps = ",\n".join(near.format(k=k) + (",\n" + mean.format(k=k, n=k + 1) if k < rounds else "") for k in range(rounds + 1))
+    return f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS id, vec_id, label, embedding FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+flat AS (SELECT id, unnest(embedding)::DOUBLE AS c, generate_subscripts(embedding, 1) - 1 AS p, CAST(floor(len(embedding) / {parts}) AS BIGINT) AS width FROM kept),
+x AS MATERIALIZED (SELECT id, CAST(floor(p / width) AS BIGINT) AS part, p % width AS pos, floor(4096 * c)::BIGINT AS x FROM flat),
+c0 AS (SELECT part, id AS e, pos, x FROM x WHERE id < {entries}),
+{steps},
+coded AS (SELECT id, string_agg(printf('%02x', m.e), '' ORDER BY part) AS code, sum(m.d)::BIGINT AS error FROM a{rounds} GROUP BY id),
+books AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, e, pos)) AS s FROM c{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT s FROM books) AS codebooks_sha256 FROM kept JOIN coded USING (id)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_vector_codes": _codes_sql(),
+    "op13_graph_search": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: c::DOUBLE) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+d AS (SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INTEGER AS rank FROM d)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op11_filter_audit": r"""
+WITH letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+m AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+x AS MATERIALIZED (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t), regexp_matches(t, '[#$%&*|]'),
+     w.doc_id > min(w.doc_id) OVER (PARTITION BY t)] AS fails FROM w LEFT JOIN m ON w.doc_id = m.doc_id),
+g AS MATERIALIZED (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM x GROUP BY part, fails),
+s AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders),
+p AS (SELECT filter_order, step, ascii(filter_order[step]) - 64 AS f, list_transform(range(1, step), lambda i: ascii(filter_order[i]) - 64) AS before FROM s),
+c AS (SELECT part, filter_order, step, f,
+    sum(CASE WHEN NOT fails[f] AND NOT list_bool_or(list_concat([false], list_transform(before, lambda b: fails[b]))) THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN fails[f] AND NOT list_bool_or(list_concat([false], list_transform(before, lambda b: fails[b]))) THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN fails[f] AND list_bool_or(list_concat([false], list_transform(before, lambda b: fails[b]))) THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN fails[f] AND len(list_filter(fails, lambda b: b)) = 1 THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN fails[f] AND NOT list_bool_or(list_concat([false], list_transform(before, lambda b: fails[b]))) THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN fails[f] AND NOT list_bool_or(list_concat([false], list_transform(before, lambda b: fails[b]))) THEN toxic ELSE 0 END) AS toxic_lost
+  FROM g, p GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM c""",
     "op3_decontamination": f"""
 WITH d AS (SELECT doc_id, unnest(s) AS g FROM ({_SHINGLES.format(id='doc_id', name='documents')})),
      b0 AS ({_SHINGLES.format(id='item_id', name='benchmark')}),
