@@ -42,7 +42,8 @@ ANSWER_BEAM = 256
 SHARD_ROWS, SHARD_BYTES, LEAST_ROWS = 1 << 17, 128 << 20, 8192
 #: Queries in a block, blocks that one copy of a shard answers, searches side by side.
 BLOCK, WAVE, SIDE = 1024, 256, 256
-_FAR = np.float32(np.inf)
+#: Most partitions of a shuffle; beyond that a partition has several shards, one after the other.
+PARTS = 16384
 
 
 class Graph:
@@ -254,7 +255,8 @@ def build(vectors: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "e
     most = max(1, min(shard_rows, SHARD_BYTES // max(8 * dim, 1)))
     shards = max(ceil(n / most), min(spark.sparkContext.defaultParallelism, ceil(n / LEAST_ROWS)), 1)
     placed = apart.withColumn("shard", F.pmod(F.xxhash64("hash"), F.lit(shards)).cast("int"))
-    placed = placed.repartition(min(shards, 16384), "shard").sortWithinPartitions("shard", "hash", "v")
+    parts = min(shards, PARTS)
+    placed = placed.repartitionById(parts, F.col("shard") % parts).sortWithinPartitions("shard", "hash", "v")
     built = placed.mapInArrow(_build(dim), "shard int, n int, dim int, vectors binary, edges binary, ids binary, counts binary")
     return Index(materialise(built, "graph-shards"), shards, k + 1)
 
@@ -372,7 +374,8 @@ def search(index: Index, queries: DataFrame, k: int = 10, beam: int = ANSWER_BEA
     each = blocks.withColumn("wave", F.pmod(F.xxhash64("block_ids"), F.lit(waves)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(index.count - 1))))
     copies = index.shards.withColumn("wave", F.explode(F.sequence(F.lit(0), F.lit(waves - 1))))
     met = copies.unionByName(each, allowMissingColumns=True).withColumn("turn", F.col("vectors").isNull())
-    met = met.repartition(min(index.count * waves, 16384), "shard", "wave").sortWithinPartitions("shard", "wave", "turn").drop("turn", "wave")
+    parts = min(index.count * waves, PARTS)
+    met = met.repartitionById(parts, ((F.col("shard").cast("long") * waves + F.col("wave")) % parts).cast("int")).sortWithinPartitions("shard", "wave", "turn").drop("turn", "wave")
     found = met.mapInArrow(_answer(k, beam), schema)
     nearest = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(nearest).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
