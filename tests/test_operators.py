@@ -98,13 +98,13 @@ def test_closure_has_no_depth_limit_and_keeps_the_first_path(spark):
 def test_members_across_versions(spark):
     old = spark.createDataFrame([("A", "method", "run", "(I)V"), ("A", "method", "run", "(J)V"), ("A", "field", "x", "I"), ("Base", "method", "up", "()V"), ("Base", "method", "two", "(I)V"), ("Base", "method", "two", "(J)V"), ("A", "method", "gone", "()V"), ("Base", "method", "moved", "()V")], "owner string, kind string, name string, desc string")
     classes = spark.createDataFrame([("A", "Base", []), ("Base", "java/lang/Object", [])], "owner string, super string, interfaces array<string>")
-    new = spark.createDataFrame([("A", "run", "(I)V"), ("A", "run", "(J)V"), ("A", "x", "I"), ("Base", "up", "()V"), ("A", "moved", "()V")], "owner string, name string, desc string")
+    new = _members(spark, [("A", "method", "run", "(I)V"), ("A", "method", "run", "(J)V"), ("A", "field", "x", "I"), ("Base", "method", "up", "()V"), ("A", "method", "moved", "()V"), ("Base", "method", "gone", "()V")])
     asked = [(1, "method", "A", "run", "(J)V", None), (2, "method", "A", "run", None, 1), (3, "method", "A", "run", None, 3), (4, "field", "A", "x", None, None), (5, "method", "A", "up", None, 0), (6, "method", "A", "two", None, 1), (7, "method", "A", "gone", None, None), (8, "method", "A", "none", None, None), (9, "method", "Q", "x", None, None)]
     q = spark.createDataFrame(asked, "qid int, kind string, owner string, name string, desc string, args int")
     got = {r["qid"]: (r["verdict"], r["to_owner"], r["reason"]) for r in members.bridge(q, old, classes, classes, new).collect()}
     assert got == {
         1: ("EXACT", "A", "declared"), 2: ("UNRESOLVED", None, "several overloads take that many arguments"), 3: ("UNRESOLVED", None, "no overload takes that many arguments"), 4: ("EXACT", "A", "declared"),
-        5: ("CANDIDATE", "Base", "inherited"), 6: ("UNRESOLVED", None, "several overloads take that many arguments"), 7: ("UNRESOLVED", None, "no member of that name"), 8: ("UNRESOLVED", None, "no member of that name"), 9: ("UNRESOLVED", None, "no member of that name"),
+        5: ("EXACT", "Base", "inherited"), 6: ("UNRESOLVED", None, "several overloads take that many arguments"), 7: ("CANDIDATE", "Base", "found on a supertype"), 8: ("UNRESOLVED", None, "no member of that name"), 9: ("UNRESOLVED", None, "no member of that name"),
     }
 
 
@@ -233,24 +233,64 @@ def test_member_matches_and_preferences(spark):
     assert [(r["from"], r["to"], round(r["score"], 3)) for r in renames.inner_agreement(inner, outer("o/X", "o/Z"), outer("o/Y", "o/W")).collect()] == [("o/X", "o/Y", 0.9)]
 
 
-CLASSES = [("E", "java/lang/Object", []), ("T", "java/lang/Object", []), ("M", "E", ["T"]), ("A", "java/lang/Object", []), ("V", "A", []), ("Mover", None, None)]
-MEMBERS = [("E", "level", "()LLevel;"), ("T", "getTarget", "()LLiving;"), ("M", "tick", "()V"), ("A", "add", "(DDD)LVec3;"), ("Mover", "move", "(I)V"), ("Mover", "move", "(II)V")]
+CLASSES = [("E", "java/lang/Object", []), ("T", "java/lang/Object", []), ("M", "E", ["T"]), ("A", "java/lang/Object", []), ("V", "A", []), ("Mover", None, None), ("B", None, None), ("C", "B", [])]
+MEMBERS = [("E", "method", "level", "()LLevel;"), ("T", "method", "getTarget", "()LLiving;"), ("M", "method", "tick", "()V"), ("A", "method", "add", "(DDD)LVec3;"), ("Mover", "method", "move", "(I)V"), ("Mover", "method", "move", "(II)V"),
+           # a field and an overload below what is asked for on the class above
+           ("B", "method", "run", "(J)V"), ("B", "method", "size", "()I"), ("C", "method", "run", "(I)V"), ("C", "field", "size", "I")]
 
 
 def _world(spark):
-    return spark.createDataFrame(CLASSES, "owner string, super string, interfaces array<string>"), spark.createDataFrame(MEMBERS, "owner string, name string, desc string")
+    return spark.createDataFrame(CLASSES, "owner string, super string, interfaces array<string>"), _members(spark, MEMBERS)
 
 
 def test_ground_members(spark):
-    queries = [(1, "M", "level", None, None), (2, "M", "getTarget", None, 0), (3, "Mover", "move", None, 2), (4, "Mover", "move", None, None), (5, "Mover", "move", None, 5), (6, "V", "add", "(I)V", None), (7, "Q", "x", None, None), (8, "M", "nope", None, None)]
-    q = spark.createDataFrame(queries, "qid int, owner string, name string, desc string, args int")
+    queries = [(1, "method", "M", "level", None, None, False), (2, "method", "M", "getTarget", None, 0, True), (3, "method", "Mover", "move", None, 2, None), (4, "method", "Mover", "move", None, None, False), (5, "method", "Mover", "move", None, 5, False),
+               (6, "method", "V", "add", "(I)V", None, False), (7, "method", "Q", "x", None, None, False), (8, "method", "M", "nope", None, None, False), (9, "method", "C", "run", "(J)V", None, False), (10, "method", "C", "size", "()I", None, True),
+               (11, "field", "C", "size", None, 3, False), (12, "field", "B", "size", None, None, False), (13, "method", None, "x", None, None, False)]
+    q = spark.createDataFrame(queries, "qid int, kind string, owner string, name string, desc string, args int, inherited boolean")
     got = {r["qid"]: (r["verdict"], r["to_owner"], r["reason"]) for r in ground.ground_members(q, *_world(spark)).collect()}
     assert got == {
-        1: ("EXACT", "E", "inherited"), 2: ("EXACT", "T", "inherited"), 3: ("EXACT", "Mover", "declared"), 4: ("UNRESOLVED", None, "several overloads"),
+        1: ("CANDIDATE", "E", "found on a supertype"), 2: ("EXACT", "T", "inherited"), 3: ("EXACT", "Mover", "declared"), 4: ("UNRESOLVED", None, "several overloads"),
         5: ("UNRESOLVED", None, "no overload with that many arguments"), 6: ("UNRESOLVED", None, "descriptor differs"), 7: ("UNRESOLVED", None, "owner is not in the snapshot"), 8: ("UNRESOLVED", None, "no member of that name"),
+        9: ("CANDIDATE", "B", "found on a supertype"), 10: ("EXACT", "B", "inherited"), 11: ("EXACT", "C", "declared"), 12: ("UNRESOLVED", None, "no member of that name"), 13: ("UNRESOLVED", None, "owner is not in the snapshot"),
     }
 
 
+def test_walks_stop_where_they_are_decided(spark):
+    """Brute force over random hierarchies with cycles, interfaces and a hub, with and without the owner itself."""
+    import random
+
+    rng = random.Random(7)
+    edges = [(k, o, p) for k in range(60) for o, p in enumerate(rng.sample(range(60), rng.randrange(3)) + ([0] if rng.random() < 0.3 else []))] + [(k, 0, k + 1) for k in range(60, 90)]
+    facts = {(rng.randrange(95), rng.choice("xy"), s): rng.randrange(9) for _ in range(60) for s in ("", "d1")}
+    facts |= {(n, k, ""): v for (n, k, s), v in facts.items() if s}
+    asks = [(r, k, s) for r in range(92) for k in "xyz" for s in ("", "d1", "d2")]
+    up = {}
+    for c, o, p in sorted(edges):
+        up.setdefault(c, []).append(p)
+    index = spark.createDataFrame([(*k, v) for k, v in facts.items()], "node int, key string, sel string, v int")
+    asked = spark.createDataFrame(asks, "root int, key string, sel string")
+    for own in (True, False):
+        want = {}
+        for root, key, sel in asks:
+            queue, seen, hit, near = [root], set(), None, None
+            while queue:
+                at = queue.pop(0)
+                if at in seen:
+                    continue
+                seen.add(at)
+                if own or at != root:
+                    near = at if near is None and (at, key, "") in facts else near
+                    hit = at if hit is None and (at, key, sel) in facts else hit
+                queue += up.get(at, [])
+            # what is beyond the hit is not looked at
+            want[root, key, sel] = hit, near
+        out = closure.first_along(asked, closure.parents(spark.createDataFrame(edges, "child int, ord int, parent int")), index, ["key"], own=own)
+        got = {(r["root"], r["key"], r["sel"]): (r["hit"] and r["hit"]["node"], r["near"] and r["near"]["node"]) for r in out.collect()}
+        assert got == want
+        assert all(r["hit"] is None or r["hit"]["v"] == facts[r["hit"]["node"], r["key"], r["sel"]] for r in out.collect())
+
+
 def test_verdict_ladder(spark):
     classes, members = _world(spark)
     classes = classes.select(F.concat(F.lit("g/"), "owner").alias("owner"), F.when(F.col("super").contains("/"), F.col("super")).otherwise(F.concat(F.lit("g/"), "super")).alias("super"), F.transform("interfaces", lambda x: F.concat(F.lit("g/"), x)).alias("interfaces"))

@@ -332,7 +332,8 @@ SELECT root, l_suppkey, arg_min(node, depth) AS node, min(depth) AS depth, CASE
 def inherited_lookup(spark, d):
     """For each part and supplier the nearest ancestor that the supplier has shipped."""
     facts = table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
-    hit = closure.first_hit(_closure(spark, d), facts, "l_partkey", ["l_suppkey"])
+    checkpointing(spark)
+    hit = closure.first_hit(_edges(spark, d), table(spark, d, "part").select("p_partkey"), facts, "l_partkey", ["l_suppkey"])
     own = F.col("depth") == 0
     return hit.select("root", "l_suppkey", "node", "depth", F.when(own, "EXACT").otherwise("CANDIDATE").alias("verdict"), F.when(own, 1.0).otherwise(0.9).alias("score"))
 
@@ -342,10 +343,12 @@ h AS (SELECT root, min(depth) AS depth FROM walk JOIN f ON node = l_partkey GROU
 SELECT root, node, depth, string_agg(l_returnflag, ',' ORDER BY l_returnflag) AS flags FROM h JOIN walk USING (root, depth) JOIN f ON node = l_partkey GROUP BY root, node, depth""")
 def name_only_ground(spark, d):
     """The nearest ancestor with any return flag, and all of its flags in order."""
+    checkpointing(spark)
     facts = table(spark, d, "lineitem").select(F.col("l_partkey").alias("node"), "l_returnflag").distinct()
-    listed = facts.groupBy("node").agg(F.array_join(F.array_sort(F.collect_list("l_returnflag")), ",").alias("flags"))
-    met = _closure(spark, d).join(listed, "node").groupBy("root").agg(F.min(F.struct("depth", "path", "node", "flags")).alias("h"))
-    return met.select("root", "h.node", "h.depth", "h.flags")
+    listed = facts.groupBy("node").agg(F.array_join(F.array_sort(F.collect_list("l_returnflag")), ",").alias("flags")).withColumn("sel", F.lit(""))
+    asks = table(spark, d, "part").select(F.col("p_partkey").alias("root"), F.lit("").alias("sel"))
+    met = closure.first_along(asks, closure.parents(_edges(spark, d)), listed.checkpoint(), []).where("hit is not null")
+    return met.select("root", "hit.node", "hit.depth", "hit.flags")
 
 
 @query(f"""{_WALK}, s AS (SELECT DISTINCT l_partkey, l_returnflag FROM lineitem), q AS (SELECT o_orderkey, (o_custkey * 7) % (SELECT max(p_partkey) + 50 FROM part) AS owner, CASE WHEN o_orderstatus = 'P' THEN NULL WHEN o_orderstatus = 'O' THEN 'N' ELSE 'R' END AS member FROM orders),
@@ -360,8 +363,10 @@ def verdict_ladder(spark, d):
     checks = table(spark, d, "orders").crossJoin(F.broadcast(parts)).select(  # one row
         "o_orderkey", "top", ((F.col("o_custkey") * 7) % (F.col("top") + 50)).alias("owner"), F.when(status == "P", None).when(status == "O", "N").otherwise("R").alias("member")
     )
-    facts = table(spark, d, "lineitem").select("l_partkey", "l_returnflag").distinct()
-    hit = closure.first_hit(_closure(spark, d), facts, "l_partkey", ["l_returnflag"]).select(F.col("root").alias("owner"), F.col("l_returnflag").alias("member"), "depth")
+    checkpointing(spark)
+    facts = table(spark, d, "lineitem").select(F.col("l_partkey").alias("node"), F.col("l_returnflag").alias("member")).distinct().withColumn("sel", F.lit(""))
+    asks = checks.where("member is not null").select(F.col("owner").alias("root"), "member").distinct().withColumn("sel", F.lit(""))
+    hit = closure.first_along(asks, closure.parents(_edges(spark, d)), facts.checkpoint(), ["member"]).select(F.col("root").alias("owner"), "member", F.col("hit.depth").alias("depth"))
     met = checks.join(hit, ["owner", "member"], "left")
     ladder = [(F.col("owner") == 0, "unparseable", "no owner"), (F.col("owner") > F.col("top"), "info", "outside the snapshot"), (F.col("member").isNull(), "present", "class only"),
               (F.col("depth") == 0, "present", ""), (F.col("depth") > 0, "present", "inherited")]

@@ -125,9 +125,11 @@ def official_members(spark, d):
 # -- grounding in a hierarchy ----------------------------------------------------------------
 
 _TREE = """WITH RECURSIVE walk AS (SELECT p_partkey AS root, p_partkey AS node, 0 AS depth FROM part UNION ALL SELECT root, node // 2, depth + 1 FROM walk WHERE node // 2 > 0),
-mem AS (SELECT DISTINCT l_partkey AS o, l_returnflag || l_linestatus AS name, l_linenumber % 4 AS na FROM lineitem)"""
+mem AS (SELECT DISTINCT l_partkey AS o, CASE WHEN l_linenumber % 5 = 0 THEN 'field' ELSE 'method' END AS kind, l_returnflag || l_linestatus AS name, CASE WHEN l_linenumber % 5 = 0 THEN 'I' ELSE '(' || repeat('I', l_linenumber % 4) || ')V' END AS d,
+  CASE WHEN l_linenumber % 5 = 0 THEN -1 ELSE l_linenumber % 4 END AS na FROM lineitem)"""
 _ASKED = """q AS (SELECT o_orderkey AS qid, (o_custkey * 7) % ((SELECT max(p_partkey) FROM part) + 20) AS owner, CASE o_orderkey % 4 WHEN 0 THEN 'AF' WHEN 1 THEN 'NO' WHEN 2 THEN 'RF' ELSE 'NONE' END AS name,
-  CASE WHEN o_custkey % 3 = 0 THEN o_orderkey % 4 END AS nd, CASE WHEN o_custkey % 3 = 1 THEN o_orderkey % 4 END AS args FROM orders)"""
+  CASE WHEN o_orderkey % 6 = 0 THEN 'field' ELSE 'method' END AS kind, CASE WHEN o_custkey % 3 = 0 THEN CASE WHEN o_orderkey % 6 = 0 THEN 'I' ELSE '(' || repeat('I', (o_custkey % 4)::INTEGER) || ')V' END END AS dq,
+  CASE WHEN o_custkey % 3 = 1 THEN o_custkey % 4 END AS args, o_custkey % 2 = 0 AS inherited FROM orders)"""
 
 
 def _tree_world(spark, d):
@@ -136,33 +138,39 @@ def _tree_world(spark, d):
     name = lambda c: F.concat(F.lit("t/P"), c.cast("string"))
     classes = table(spark, d, "part").select(name(p).alias("owner"), F.when(F.expr("p_partkey div 2") > 0, name(F.expr("p_partkey div 2"))).alias("super"), F.array().cast("array<string>").alias("interfaces"))
     params = lambda n: F.concat(F.lit("("), F.repeat(F.lit("I"), n.cast("int")), F.lit(")V"))
-    pool = table(spark, d, "lineitem").select(name(F.col("l_partkey")).alias("owner"), F.concat("l_returnflag", "l_linestatus").alias("name"), params(F.col("l_linenumber") % 4).alias("desc")).distinct()
+    own = F.col("l_linenumber") % 5 == 0
+    pool = table(spark, d, "lineitem").select(
+        name(F.col("l_partkey")).alias("owner"), F.when(own, "field").otherwise("method").alias("kind"), F.concat("l_returnflag", "l_linestatus").alias("name"), F.when(own, "I").otherwise(params(F.col("l_linenumber") % 4)).alias("desc")
+    ).distinct()
     top = table(spark, d, "part").agg(F.max(p).alias("top"))
     o, c = F.col("o_orderkey"), F.col("o_custkey")
     what = F.when(o % 4 == 0, "AF").when(o % 4 == 1, "NO").when(o % 4 == 2, "RF").otherwise("NONE")
     asked = table(spark, d, "orders").crossJoin(F.broadcast(top)).select(  # one row
-        o.alias("qid"), name((c * 7) % (F.col("top") + 20)).alias("owner"), what.alias("name"), F.when(c % 3 == 0, params(o % 4)).alias("desc"), F.when(c % 3 == 1, (o % 4).cast("int")).alias("args")
+        o.alias("qid"), F.when(o % 6 == 0, "field").otherwise("method").alias("kind"), name((c * 7) % (F.col("top") + 20)).alias("owner"), what.alias("name"),
+        F.when(c % 3 == 0, F.when(o % 6 == 0, "I").otherwise(params(c % 4))).alias("desc"), F.when(c % 3 == 1, (c % 4).cast("int")).alias("args"), (c % 2 == 0).alias("inherited"),
     )
     return asked, classes, pool
 
 
-@query(f"""{_TREE}, {_ASKED}, near AS (SELECT root, name, min(depth) AS depth FROM walk JOIN mem ON node = o GROUP BY root, name),
-j AS (SELECT q.*, p_partkey IS NOT NULL AS known, near.depth, w.node AS hit_at FROM q LEFT JOIN part ON owner = p_partkey LEFT JOIN near ON near.root = owner AND near.name = q.name LEFT JOIN walk w ON w.root = owner AND w.depth = near.depth),
-g AS (SELECT qid, known, depth, hit_at, nd, args, count(na) AS n, count(na) FILTER (CASE WHEN nd IS NOT NULL THEN na = nd WHEN args IS NOT NULL THEN na = args ELSE true END) AS k,
-  min(na) FILTER (CASE WHEN nd IS NOT NULL THEN na = nd WHEN args IS NOT NULL THEN na = args ELSE true END) AS m FROM j LEFT JOIN mem ON mem.o = hit_at AND mem.name = j.name GROUP BY qid, known, depth, hit_at, nd, args)
-SELECT qid, CASE WHEN k = 1 THEN 'EXACT' ELSE 'UNRESOLVED' END AS verdict, CASE WHEN k = 1 THEN 't/P' || hit_at END AS to_owner, CASE WHEN k = 1 THEN '(' || repeat('I', m::INTEGER) || ')V' END AS to_desc,
- CASE WHEN NOT known THEN 'owner is not in the snapshot' WHEN hit_at IS NULL THEN 'no member of that name' WHEN k = 1 THEN CASE WHEN depth > 0 THEN 'inherited' ELSE 'declared' END WHEN k > 1 THEN 'several overloads'
-   WHEN nd IS NOT NULL THEN 'descriptor differs' ELSE 'no overload with that many arguments' END AS reason FROM g""")
+@query(f"""{_TREE}, {_ASKED},
+h AS (SELECT qid, w.node, w.depth, m.d, row_number() OVER (PARTITION BY qid ORDER BY w.depth) AS k, count(*) OVER (PARTITION BY qid, w.depth) AS n FROM q JOIN walk w ON w.root = q.owner JOIN mem m ON m.o = w.node AND m.kind = q.kind AND m.name = q.name
+  WHERE CASE WHEN dq IS NOT NULL THEN m.d = dq WHEN args IS NOT NULL AND q.kind = 'method' THEN m.na = args ELSE true END),
+f AS (SELECT * FROM h WHERE k = 1), e AS (SELECT DISTINCT qid FROM q JOIN walk w ON w.root = q.owner JOIN mem m ON m.o = w.node AND m.kind = q.kind AND m.name = q.name),
+r AS (SELECT q.qid, CASE WHEN f.n = 1 AND (f.depth = 0 OR inherited) THEN 'EXACT' WHEN f.n = 1 THEN 'CANDIDATE' ELSE 'UNRESOLVED' END AS verdict, CASE WHEN f.n = 1 THEN 't/P' || f.node END AS to_owner, CASE WHEN f.n = 1 THEN f.d END AS to_desc,
+  CASE WHEN p_partkey IS NULL THEN 'owner is not in the snapshot' WHEN f.n = 1 AND f.depth = 0 THEN 'declared' WHEN f.n = 1 AND inherited THEN 'inherited' WHEN f.n = 1 THEN 'found on a supertype' WHEN f.n > 1 THEN 'several overloads'
+    WHEN e.qid IS NULL THEN 'no member of that name' WHEN dq IS NOT NULL THEN 'descriptor differs' ELSE 'no overload with that many arguments' END AS reason
+  FROM q LEFT JOIN part ON owner = p_partkey LEFT JOIN f ON f.qid = q.qid LEFT JOIN e ON e.qid = q.qid)
+SELECT qid, verdict, CASE verdict WHEN 'EXACT' THEN 1.0 WHEN 'CANDIDATE' THEN 0.9 END::DOUBLE AS score, to_owner, to_desc, reason FROM r""")
 def ground_members(spark, d):
-    """Members in a hierarchy: the nearest class with the name, there one overload or a reason."""
-    return ground.ground_members(*_tree_world(spark, d)).select("qid", "verdict", "to_owner", "to_desc", "reason")
+    """Members in a hierarchy by kind, name and descriptor or arguments: EXACT on the owner or if inherited before, CANDIDATE above."""
+    return ground.ground_members(*_tree_world(spark, d)).select("qid", "verdict", "score", "to_owner", "to_desc", "reason")
 
 
-@query(f"""{_TREE}, {_ASKED}, ex AS (SELECT root, name, na, min(depth) AS depth FROM walk JOIN mem ON node = o GROUP BY root, name, na), near AS (SELECT root, name, min(depth) AS depth FROM ex GROUP BY root, name),
-l AS (SELECT o, name, string_agg(DISTINCT '(' || repeat('I', na::INTEGER) || ')V', ', ' ORDER BY '(' || repeat('I', na::INTEGER) || ')V') AS descs FROM mem GROUP BY o, name),
+@query(f"""{_TREE}, {_ASKED}, ex AS (SELECT root, name, d, min(depth) AS depth FROM walk JOIN mem ON node = o GROUP BY root, name, d), near AS (SELECT root, name, min(depth) AS depth FROM ex GROUP BY root, name),
+l AS (SELECT o, name, string_agg(DISTINCT d, ', ' ORDER BY d) AS descs FROM mem GROUP BY o, name),
 j AS (SELECT q.*, p_partkey IS NOT NULL AS known, near.depth AS nd_near, wn.node AS near_at, ex.depth AS ex_depth, we.node AS ex_at, descs FROM q LEFT JOIN part ON owner = p_partkey LEFT JOIN near ON near.root = owner AND near.name = q.name
-  LEFT JOIN walk wn ON wn.root = owner AND wn.depth = near.depth LEFT JOIN ex ON ex.root = owner AND ex.name = q.name AND ex.na = q.nd LEFT JOIN walk we ON we.root = owner AND we.depth = ex.depth LEFT JOIN l ON l.o = wn.node AND l.name = q.name),
-k AS (SELECT *, CASE WHEN nd IS NULL THEN nd_near ELSE ex_depth END AS far, CASE WHEN nd IS NULL THEN near_at ELSE ex_at END AS hit_at FROM j)
+  LEFT JOIN walk wn ON wn.root = owner AND wn.depth = near.depth LEFT JOIN ex ON ex.root = owner AND ex.name = q.name AND ex.d = q.dq LEFT JOIN walk we ON we.root = owner AND we.depth = ex.depth LEFT JOIN l ON l.o = wn.node AND l.name = q.name),
+k AS (SELECT *, CASE WHEN dq IS NULL THEN nd_near ELSE ex_depth END AS far, CASE WHEN dq IS NULL THEN near_at ELSE ex_at END AS hit_at FROM j)
 SELECT qid AS "check", CASE WHEN NOT known THEN 'absent' WHEN far IS NOT NULL THEN 'present' ELSE 'absent' END AS status,
  CASE WHEN NOT known THEN 'class is not in the snapshot; it may have been renamed' WHEN far = 0 THEN '' WHEN far > 0 THEN 'inherited from t/P' || hit_at WHEN near_at IS NOT NULL THEN 'has ' || descs ELSE 'no such member' END AS note FROM k""")
 def check_targets(spark, d):
@@ -172,7 +180,7 @@ def check_targets(spark, d):
 
 
 @query(f"""{_TREE}, {_ASKED} SELECT s.status, count(x.owner) AS n FROM (VALUES ('present'), ('absent'), ('info'), ('unparseable')) s(status)
-LEFT JOIN (SELECT owner, CASE WHEN p_partkey IS NULL THEN 'absent' WHEN EXISTS (SELECT 1 FROM walk JOIN mem ON node = o WHERE root = owner AND mem.name = q.name AND (nd IS NULL OR na = nd)) THEN 'present' ELSE 'absent' END AS status
+LEFT JOIN (SELECT owner, CASE WHEN p_partkey IS NULL THEN 'absent' WHEN EXISTS (SELECT 1 FROM walk JOIN mem ON node = o WHERE root = owner AND mem.name = q.name AND (dq IS NULL OR d = dq)) THEN 'present' ELSE 'absent' END AS status
   FROM q LEFT JOIN part ON owner = p_partkey) x ON x.status = s.status GROUP BY s.status""")
 def target_tally(spark, d):
     """How many targets have each status, zeros included (A3)."""
