@@ -42,7 +42,7 @@ def windows(rows, size):
     return least
 
 
-@pytest.mark.parametrize("size, change", [(2, {}), (5, {"PARTS": 2, "BUCKET_BYTES": 2000}), (13, {}), (13, {"HOLD": 100}), (5, {"HOLD": 2000, "PARTS": 3, "BUCKET_BYTES": 500})])
+@pytest.mark.parametrize("size, change", [(2, {}), (5, {"PARTS": 2, "BUCKET_BYTES": 2000}), (13, {}), (13, {"HOLD": 100}), (5, {"HOLD": 2000, "PARTS": 3, "BUCKET_BYTES": 500}), (2, {"HOLD": 1}), (13, {"HOLD": 4000, "BUCKET_BYTES": 1 << 20})])
 def test_substring_dedup(docs, size, change, monkeypatch):
     from tracewell.llm import substring_dedup
 
@@ -61,6 +61,39 @@ def test_substring_dedup(docs, size, change, monkeypatch):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+BOUND = """
+import resource, sys, time
+import numpy as np, pyarrow as pa
+from tracewell.llm import substring_dedup as sd
+from tracewell.llm.block import Block
+rng = np.random.RandomState(3)
+words = np.array([f"w{i:x}" for i in range(60000)])
+blobs, size, n = [], 0, 0
+while size < float(sys.argv[1]) * sd.HOLD:
+    texts = pa.array([" ".join(words[rng.randint(0, 60000, 40000)]) for _ in range(8)])
+    batch = pa.record_batch({"id": pa.array(np.arange(n, n + 8)), "text": texts})
+    n += 8
+    for out in sd._send("id", "text", 13, 1, 1, np.zeros(0, np.uint64))([batch]):
+        blobs += [b for b, k in zip(out.column("blob").to_pylist(), out.column("kind").to_pylist()) if not k]
+    size = sum(map(sd._unpacked, blobs))
+before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+rows = pa.record_batch({"bucket": pa.array([0] * len(blobs), pa.int32()), "kind": pa.array([0] * len(blobs), pa.int32()), "blob": pa.array(blobs, pa.binary())})
+asks = sum(out.num_rows for out in sd._judge_all(13, sd.HOLD)([rows]))
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024, time.time() - began, asks)
+"""
+
+
+def test_substring_dedup_is_bounded(spark):
+    """Memory of a bucket at the bound, and of one three times as large, which is judged in pieces."""
+    import subprocess
+    import sys
+
+    for times in (0.8, 3):
+        mb, seconds, asks = subprocess.run([sys.executable, "-c", BOUND, str(times)], capture_output=True, text=True, check=True, timeout=300).stdout.split()
+        print(mb, seconds, asks)
+        assert float(mb) < 800 and float(seconds) < 60 * times and (int(asks) > 0) == (times > 1)
+
+
 def test_empty_tables(spark, docs, empty, tmp_path):
     assert remove_repeats(empty).count() == 0
     assert jaccard_join.classes(empty).count() == 0

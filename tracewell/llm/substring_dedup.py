@@ -19,8 +19,11 @@ the whole window, which is as exact.  The number of such minimisers is at most `
 which bounds what the driver sees.
 The number of buckets follows the size of the input; a bucket has about ``BUCKET_BYTES``.  There
 are at most ``PARTS`` partitions; beyond as many buckets a partition has several, which are cut
-apart and sorted after the shuffle.  A bucket that still grows beyond ``HOLD`` bytes is not held:
-its windows are dealt once more, by the hash of the whole window.
+apart and sorted after the shuffle.  A bucket that still grows beyond ``HOLD`` bytes, as they are once
+unpacked, is judged in pieces of that size.  A piece settles what repeats inside it and sends, for each of its
+windows, a fingerprint of 128 bits with the smallest document that has it there.  The least of these over all
+pieces, found with map-side combine, answers the documents that asked.  So no text moves a second time,
+and a window that is in every piece is one short row a piece.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,12 +50,12 @@ SHARE = 8192
 LEVEL = 9
 BLOCK_BYTES = 6 << 20
 BUCKET_BYTES = 10 << 20
-#: Partitions at most, bytes of blobs of a bucket that are held, and buckets of windows that are dealt once more.
-PARTS, HOLD, AGAIN = 16_384, 192 << 20, 1 << 20
+#: Partitions at most, and unpacked bytes that are judged at once, in some 17 times as much memory.
+PARTS, HOLD = 16_384, 32 << 20
 _LAST = np.iinfo(np.int64).max
 _BLOBS = "bucket int, kind int, blob binary"
 _RANGES = "id long, crc long, start int, stop int"
-_FOUND = _RANGES + ", bucket int, blob binary"
+_FOUND = _RANGES + ", h1 long, h2 long"
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -131,6 +135,11 @@ def _columns(arrays: list[np.ndarray], tail: bytes = b"") -> bytes:
     return zstandard.ZstdCompressor(level=LEVEL).compress(head + planes + tail)
 
 
+def _unpacked(blob: bytes) -> int:
+    """Bytes of a blob once unpacked, which its head tells."""
+    return zstandard.frame_content_size(blob)
+
+
 def _open(blob: bytes, kinds: list[type]) -> tuple[list[np.ndarray], np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n, at, out = int(np.frombuffer(raw, np.int64, 1)[0]), 8, []
@@ -235,38 +244,19 @@ def _cut_again(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.filter(pa.array(kind != 0))
         for k in np.flatnonzero(kind == 0).tolist():
             held.append(batch.column("blob")[k].as_py())
-            size += len(held[-1])
-        if size > HOLD // 8:
-            yield cut(held)
-            held, size = [], 0
+            size += _unpacked(held[-1])
+            if size > HOLD:
+                yield cut(held)
+                held, size = [], 0
     if held:
         yield cut(held)
 
 
-def _deal_again(blobs: list[bytes], window: int) -> pa.RecordBatch:
-    """The windows of some super-k-mers, each for the bucket of its own hash."""
-    parts = [_open(b, _RUN) for b in blobs]
-    ids, crc, place, count, size = (np.concatenate([p[0][k] for p in parts]) for k in range(5))
-    data = np.concatenate([p[1] for p in parts])
-    block = Block(pa.array([data.tobytes()], pa.large_binary()))
-    first = np.searchsorted(block.starts, np.cumsum(size.astype(np.int64)) - size)
-    run = np.repeat(np.arange(len(count)), count)
-    offset = np.arange(len(run)) - np.repeat(np.cumsum(count, dtype=np.int64) - count, count)
-    word = first[run] + offset
-    bucket = (Rolling(block.hashes()).of(word, word + window) % U64(AGAIN)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    edge = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)) if len(order) else []
-    lo, hi = block.starts[word], block.ends[word + window - 1] + 1  # a space follows each word
-    rows = []
-    for a, b in zip(edge, np.append(edge[1:], len(order)), strict=True) if len(edge) else ():
-        i = order[a:b]
-        rows.append((int(bucket[i[0]]), _columns([ids[run[i]], crc[run[i]], (place[run[i]] + offset[i]).astype(np.int32), np.ones(len(i), np.int32), (hi[i] - lo[i]).astype(np.int32)], _pieces(data, lo[i], hi[i]))))
-    none = pa.nulls(len(rows), pa.int64())
-    return pa.record_batch({"id": none, "crc": none, "start": none.cast(pa.int32()), "stop": none.cast(pa.int32()), "bucket": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
-
-
-def _judge(blobs: list[bytes], window: int) -> list[np.ndarray] | None:
-    """Ranges of the repeating windows of one bucket."""
+def _judge(blobs: list[bytes], window: int, ask: bool = False) -> tuple[list[np.ndarray] | None, list[np.ndarray] | None]:
+    """(ranges of the repeating windows of one bucket, with ``ask`` the windows that other pieces may repeat).
+
+    The latter are (id, crc, start, stop, h1, h2): the windows that no smaller document among these has.
+    """
     parts = [_open(b, _RUN) for b in blobs]
     ids, crc, place, count, size = (np.concatenate([p[0][k] for p in parts]) for k in range(5))
     data = np.concatenate([p[1] for p in parts])
@@ -286,8 +276,19 @@ def _judge(blobs: list[bytes], window: int) -> list[np.ndarray] | None:
     head = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
     later = ids[run[by]] > ids[run[head]]
     dup, of = by[later], head[later]
+    text = data.tobytes()
+
+    def asked(open_: np.ndarray) -> list[np.ndarray] | None:
+        if not ask:
+            return None
+        lo, hi = block.starts[word[open_]].tolist(), block.ends[word[open_] + window - 1].tolist()
+        view = memoryview(text)
+        h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[p:q]) for p, q in zip(lo, hi, strict=True)]), np.int64).reshape(-1, 2)
+        start = (place[run[open_]] + offset[open_]).astype(np.int32)
+        return [ids[run[open_]], crc[run[open_]], start, start + np.int32(window), h[:, 0], h[:, 1]]
+
     if not len(dup):
-        return None
+        return None, asked(by)
     back = np.argsort(dup)
     dup, of = dup[back], of[back]
     # stretches of consecutive windows of one run that repeat consecutive windows of another
@@ -295,12 +296,12 @@ def _judge(blobs: list[bytes], window: int) -> list[np.ndarray] | None:
     cut[1:] = (dup[1:] != dup[:-1] + 1) | (run[dup[1:]] != run[dup[:-1]]) | (of[1:] != of[:-1] + 1) | (run[of[1:]] != run[of[:-1]])
     a = np.flatnonzero(cut)
     length = np.diff(np.append(a, len(dup)))
-    text = data.tobytes()
     x0, x1 = block.starts[word[dup[a]]], block.ends[word[dup[a]] + length + window - 2]
     y0, y1 = block.starts[word[of[a]]], block.ends[word[of[a]] + length + window - 2]
     same = np.fromiter((text[p:q] == text[r:s] for p, q, r, s in zip(x0.tolist(), x1.tolist(), y0.tolist(), y1.tolist(), strict=True)), bool, len(a))
     start, stop, who = place[run[dup[a]]] + offset[dup[a]], place[run[dup[a]]] + offset[dup[a]] + length + window - 1, run[dup[a]]
     found = [ids[who][same], crc[who][same], start[same].astype(np.int32), stop[same].astype(np.int32)]
+    open_ = by[~later]
     if not same.all():  # two word sequences with one hash: these groups are settled by their bytes
         bad = np.unique(np.concatenate([value[np.searchsorted(value, value[later][back][i : i + k])] for i, k in zip(a[~same], length[~same], strict=True)]))
         least: dict[bytes, int] = {}
@@ -311,42 +312,46 @@ def _judge(blobs: list[bytes], window: int) -> list[np.ndarray] | None:
         pick = np.array([r for r, k in zip(rows, key, strict=True) if ids[run[r]] > least[k]], np.int64)
         more = [ids[run[pick]], crc[run[pick]], (place[run[pick]] + offset[pick]).astype(np.int32), (place[run[pick]] + offset[pick] + window).astype(np.int32)]
         found = [np.concatenate(x) for x in zip(found, more, strict=True)]
-    return found
+        open_ = np.union1d(open_, rows)  # all of them ask, by their bytes
+    return found, asked(open_)
 
 
-def _judge_all(window: int, hold: int | None):
-    """Ranges of repeating windows; blobs that come sorted by bucket, of a bucket beyond ``hold`` its windows instead."""
+def _judge_all(window: int, hold: int):
+    """Ranges of repeating windows; blobs come sorted by bucket, and a bucket beyond ``hold`` is judged in pieces that ask."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, held, size, large = None, [], 0, False
+        bucket, held, size, several = None, [], 0, False
 
-        def settle() -> Iterator[pa.RecordBatch]:
-            if held and large:
-                yield _deal_again(held, window)
-            elif held and (found := _judge(held, window)) is not None:
-                yield _range_batch(found)
+        def settle(ask: bool) -> Iterator[pa.RecordBatch]:
+            if held:
+                for rows in _judge(held, window, ask):
+                    if rows is not None:
+                        yield _found_batch(rows)
 
         for batch in batches:
             for k, kind, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if kind:
-                    yield _range_batch(_open(blob.as_py(), _RANGE)[0])
+                    yield _found_batch(_open(blob.as_py(), _RANGE)[0])
                     continue
+                blob = blob.as_py()
                 if k != bucket:
-                    yield from settle()
-                    bucket, held, size, large = k, [], 0, False
-                held.append(blob.as_py())
-                size += len(held[-1])
-                if hold is not None and size > (hold if not large else hold // 8):
-                    yield _deal_again(held, window)
-                    held, size, large = [], 0, True
-        yield from settle()
+                    yield from settle(several)
+                    bucket, held, size, several = k, [], 0, False
+                elif held and size + _unpacked(blob) > hold:
+                    yield from settle(True)
+                    held, size, several = [], 0, True
+                held.append(blob)
+                size += _unpacked(blob)
+        yield from settle(several)
 
     return run
 
 
-def _range_batch(found: list[np.ndarray]) -> pa.RecordBatch:
+def _found_batch(found: list[np.ndarray]) -> pa.RecordBatch:
+    """A range, or a window that asks, for each row."""
     n = len(found[0])
-    return pa.record_batch({"id": pa.array(found[0]), "crc": pa.array(found[1].astype(np.int64)), "start": pa.array(found[2]), "stop": pa.array(found[3]), "bucket": pa.nulls(n, pa.int32()), "blob": pa.nulls(n, pa.binary())})
+    h1, h2 = (pa.array(x) for x in found[4:]) if len(found) > 4 else (pa.nulls(n, pa.int64()),) * 2
+    return pa.record_batch({"id": pa.array(found[0]), "crc": pa.array(found[1].astype(np.int64)), "start": pa.array(found[2]), "stop": pa.array(found[3]), "h1": h1, "h2": h2})
 
 
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -370,11 +375,12 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if parts < buckets:
         dealt = dealt.mapInArrow(_cut_again, _BLOBS)
     found = materialise(dealt.sortWithinPartitions("bucket").mapInArrow(_judge_all(window, HOLD), _FOUND), "ranges")
-    ranges = found.where("blob is null").select("id", "crc", "start", "stop")
-    late = found.where("blob is not null").select("bucket", F.lit(0).alias("kind"), "blob")
-    if late.isEmpty():
+    ranges, asks = (found.where(f"h1 is {x}null") for x in ("", "not "))
+    ranges = ranges.select("id", "crc", "start", "stop")
+    if asks.isEmpty():
         return ranges
-    late = late.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_judge_all(window, None), _FOUND)
+    least = asks.groupBy("h1", "h2").agg(F.min("id").alias("least"))
+    late = asks.join(least, ["h1", "h2"]).where("id > least")
     return ranges.unionByName(late.select("id", "crc", "start", "stop"))
 
 
