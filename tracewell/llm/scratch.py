@@ -1,12 +1,11 @@
 """Shared scratch space: tables that executors and driver can all read.
 
 The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only where that
-setting is absent (tests on one machine) a temporary folder is made and set.
+setting is absent and the master is local (tests on one machine) a temporary folder is made and set.
 """
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -17,6 +16,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set; it must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tracewell-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -31,17 +32,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Spark's own setting: what an execution shuffled is deleted when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
     A lost executor then costs a re-read of a file and no recomputation.  What the job
-    shuffled is no longer needed; collecting garbage lets Spark's cleaner delete it.
+    shuffled is no longer needed, and Spark deletes it as the job ends.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path, compression="zstd")
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path, compression="zstd")
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
