@@ -61,6 +61,27 @@ def test_substring_dedup(docs, size, change, monkeypatch):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("ask", [False, True])
+def test_windows_with_one_hash_are_told_apart(ask, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from tracewell.llm import substring_dedup as sd
+
+    texts = [t or "" for _, t in ROWS] * 2
+    batch = pa.record_batch({"id": pa.array(np.arange(len(texts)) // 2), "text": pa.array(texts)})
+    blobs = [b for out in sd._send("id", "text", 3, 1, 1, np.zeros(0, np.uint64))([batch]) for b, k in zip(out.column("blob").to_pylist(), out.column("kind").to_pylist()) if not k]
+    want = sd._judge(blobs, 3, ask)
+    real = sd.Rolling.of
+    monkeypatch.setattr(sd.Rolling, "of", lambda self, a, b: real(self, a, b) % np.uint64(5))
+    got = sd._judge(blobs, 3, ask)
+    covered = lambda rows: {(i, c, k) for i, c, a, b in zip(*(x.tolist() for x in rows[:4])) for k in range(a, b)}
+    assert covered(got[0]) == covered(want[0]) and len(covered(want[0])) > 50
+    if ask:
+        fingerprints = lambda rows: set(zip(*(x.tolist() for x in rows)))
+        assert fingerprints(want[1]) <= fingerprints(got[1])
+
+
 BOUND = """
 import resource, sys, time
 import numpy as np, pyarrow as pa

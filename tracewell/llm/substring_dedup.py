@@ -50,8 +50,8 @@ SHARE = 8192
 LEVEL = 9
 BLOCK_BYTES = 6 << 20
 BUCKET_BYTES = 10 << 20
-#: Partitions at most, and unpacked bytes that are judged at once, in some 17 times as much memory.
-PARTS, HOLD = 16_384, 32 << 20
+#: Partitions at most, and unpacked bytes that are judged at once, in some seven times as much memory.
+PARTS, HOLD = 16_384, 64 << 20
 _LAST = np.iinfo(np.int64).max
 _BLOBS = "bucket int, kind int, blob binary"
 _RANGES = "id long, crc long, start int, stop int"
@@ -259,36 +259,47 @@ def _judge(blobs: list[bytes], window: int, ask: bool = False) -> tuple[list[np.
     """
     parts = [_open(b, _RUN) for b in blobs]
     ids, crc, place, count, size = (np.concatenate([p[0][k] for p in parts]) for k in range(5))
-    data = np.concatenate([p[1] for p in parts])
-    base = np.concatenate(([0], np.cumsum(size.astype(np.int64))))[:-1]
-    block = Block(pa.array([data.tobytes()], pa.large_binary()))
-    first_word = np.searchsorted(block.starts, base)
-    order = np.argsort(ids, kind="stable")
-    n = count[order].astype(np.int64)
-    run = np.repeat(order, n)
-    offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    word = first_word[run] + offset
-    value = Rolling(block.hashes()).of(word, word + window)
-    by = np.argsort(value, kind="stable")  # among equal hashes the smallest document is first
-    value = value[by]
+    text = b"".join([p[1].tobytes() for p in parts])
+    del parts
+    block = Block(pa.Array.from_buffers(pa.large_binary(), 1, [None, pa.py_buffer(np.array([0, len(text)], np.int64)), pa.py_buffer(text)]))
+    del block.doc
+    starts, ends = block.starts, block.ends
+    roll = Rolling(block.hashes())
+    first_word = np.searchsorted(starts, np.concatenate(([0], np.cumsum(size, dtype=np.int64)))[:-1]).astype(np.int32)
+    order = np.argsort(ids, kind="stable").astype(np.int32)
+    n = count[order]
+    run = np.repeat(order, n)  # of each window, and the word it starts with
+    word = np.arange(len(run), dtype=np.int32) - np.repeat(np.cumsum(n, dtype=np.int32) - n, n) + first_word[run]
+    value = np.empty(len(run), U64)
+    for k in range(0, len(run), 1 << 20):
+        value[k : k + (1 << 20)] = roll.of(word[k : k + (1 << 20)], word[k : k + (1 << 20)] + window)
+    del roll
+    by = np.argsort(value, kind="stable").astype(np.int32)  # among equal hashes the smallest document is first
     new = np.ones(len(by), bool)
-    new[1:] = value[1:] != value[:-1]
-    head = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
+    for k in range(1, len(by), 1 << 20):
+        v = value[by[k - 1 : k + (1 << 20)]]
+        new[k : k + len(v) - 1] = v[1:] != v[:-1]
+    head = by[np.maximum.accumulate(np.where(new, np.arange(len(by), dtype=np.int32), np.int32(0)))] if len(by) else by
+    del new
     later = ids[run[by]] > ids[run[head]]
-    dup, of = by[later], head[later]
-    text = data.tobytes()
+    dup, of, open_ = by[later], head[later], by[~later]
+    del by, head, later
+    from_ = lambda w: place[run[w]] + (word[w] - first_word[run[w]])  # noqa: E731  the window's place in its document
 
-    def asked(open_: np.ndarray) -> list[np.ndarray] | None:
+    def asked() -> list[np.ndarray] | None:
         if not ask:
             return None
-        lo, hi = block.starts[word[open_]].tolist(), block.ends[word[open_] + window - 1].tolist()
+        h = np.empty((len(open_), 2), np.int64)
         view = memoryview(text)
-        h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[p:q]) for p, q in zip(lo, hi, strict=True)]), np.int64).reshape(-1, 2)
-        start = (place[run[open_]] + offset[open_]).astype(np.int32)
+        for k in range(0, len(open_), 1 << 16):
+            w = word[open_[k : k + (1 << 16)]]
+            lo, hi = starts[w].tolist(), ends[w + window - 1].tolist()
+            h[k : k + len(w)] = np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[p:q]) for p, q in zip(lo, hi, strict=True)]), np.int64).reshape(-1, 2)
+        start = from_(open_).astype(np.int32)
         return [ids[run[open_]], crc[run[open_]], start, start + np.int32(window), h[:, 0], h[:, 1]]
 
     if not len(dup):
-        return None, asked(by)
+        return None, asked()
     back = np.argsort(dup)
     dup, of = dup[back], of[back]
     # stretches of consecutive windows of one run that repeat consecutive windows of another
@@ -296,24 +307,26 @@ def _judge(blobs: list[bytes], window: int, ask: bool = False) -> tuple[list[np.
     cut[1:] = (dup[1:] != dup[:-1] + 1) | (run[dup[1:]] != run[dup[:-1]]) | (of[1:] != of[:-1] + 1) | (run[of[1:]] != run[of[:-1]])
     a = np.flatnonzero(cut)
     length = np.diff(np.append(a, len(dup)))
-    x0, x1 = block.starts[word[dup[a]]], block.ends[word[dup[a]] + length + window - 2]
-    y0, y1 = block.starts[word[of[a]]], block.ends[word[of[a]] + length + window - 2]
-    same = np.fromiter((text[p:q] == text[r:s] for p, q, r, s in zip(x0.tolist(), x1.tolist(), y0.tolist(), y1.tolist(), strict=True)), bool, len(a))
-    start, stop, who = place[run[dup[a]]] + offset[dup[a]], place[run[dup[a]]] + offset[dup[a]] + length + window - 1, run[dup[a]]
-    found = [ids[who][same], crc[who][same], start[same].astype(np.int32), stop[same].astype(np.int32)]
-    open_ = by[~later]
+    same = np.empty(len(a), bool)
+    for k in range(0, len(a), 1 << 16):
+        c, more = a[k : k + (1 << 16)], length[k : k + (1 << 16)] + window - 2
+        x, y = word[dup[c]], word[of[c]]
+        edges = (starts[x].tolist(), ends[x + more].tolist(), starts[y].tolist(), ends[y + more].tolist())
+        same[k : k + len(c)] = [text[p:q] == text[r:s] for p, q, r, s in zip(*edges, strict=True)]
+    who, start = run[dup[a]], from_(dup[a])
+    found = [ids[who][same], crc[who][same], start[same].astype(np.int32), (start + length + window - 1)[same].astype(np.int32)]
     if not same.all():  # two word sequences with one hash: these groups are settled by their bytes
-        bad = np.unique(np.concatenate([value[np.searchsorted(value, value[later][back][i : i + k])] for i, k in zip(a[~same], length[~same], strict=True)]))
+        bad = np.unique(np.concatenate([value[dup[i : i + k]] for i, k in zip(a[~same], length[~same], strict=True)]))
         least: dict[bytes, int] = {}
-        rows = np.sort(by[np.isin(value, bad)])
-        key = [text[block.starts[word[r]] : block.ends[word[r] + window - 1]] for r in rows]
+        rows = np.flatnonzero(np.isin(value, bad)).astype(np.int32)
+        key = [text[starts[word[r]] : ends[word[r] + window - 1]] for r in rows]
         for r, k in zip(rows, key, strict=True):
             least[k] = min(least.get(k, _LAST), int(ids[run[r]]))
         pick = np.array([r for r, k in zip(rows, key, strict=True) if ids[run[r]] > least[k]], np.int64)
-        more = [ids[run[pick]], crc[run[pick]], (place[run[pick]] + offset[pick]).astype(np.int32), (place[run[pick]] + offset[pick] + window).astype(np.int32)]
-        found = [np.concatenate(x) for x in zip(found, more, strict=True)]
+        start = from_(pick).astype(np.int32)
+        found = [np.concatenate(x) for x in zip(found, [ids[run[pick]], crc[run[pick]], start, start + np.int32(window)], strict=True)]
         open_ = np.union1d(open_, rows)  # all of them ask, by their bytes
-    return found, asked(open_)
+    return found, asked()
 
 
 def _judge_all(window: int, hold: int):
