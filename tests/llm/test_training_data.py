@@ -68,9 +68,9 @@ def test_windows_with_one_hash_are_told_apart(ask, monkeypatch):
 
     from tracewell.llm import substring_dedup as sd
 
-    texts = [t or "" for _, t in ROWS] * 2
-    batch = pa.record_batch({"id": pa.array(np.arange(len(texts)) // 2), "text": pa.array(texts)})
-    blobs = [b for out in sd._send("id", "text", 3, 1, 1, np.zeros(0, np.uint64))([batch]) for b, k in zip(out.column("blob").to_pylist(), out.column("kind").to_pylist()) if not k]
+    texts = [t or "" for _, t in ROWS]
+    batches = [pa.record_batch({"id": pa.array(np.arange(len(texts)) * 2 + k), "text": pa.array(texts)}) for k in (0, 1)]
+    blobs = [b for x in batches for out in sd._send("id", "text", 3, 1, 1, np.zeros(0, np.uint64))([x]) for b, k in zip(out.column("blob").to_pylist(), out.column("kind").to_pylist()) if not k]
     want = sd._judge(blobs, 3, ask)
     real = sd.Rolling.of
     monkeypatch.setattr(sd.Rolling, "of", lambda self, a, b: real(self, a, b) % np.uint64(5))
