@@ -309,3 +309,50 @@ def test_capped_lists_and_rollups(spark):
     sites = report.decisions(delta, ["list"], "x").where("list = 'a'").first()
     assert sites["n"] == 60 and sites["sites"].endswith("9 (+50 more)")
     assert {tuple(r) for r in report.verdict_summary(spark.createDataFrame([("c", "EXACT"), ("c", "UNRESOLVED")], "kind string, verdict string"), "kind").collect()} == {("(all)", 2, 1, 0, 1), ("c", 2, 1, 0, 1)}
+
+
+def test_resolution_in_one_piece(spark):
+    from tracewell.operators import resolve
+
+    df = spark.createDataFrame
+    cls = "owner string, super string, interfaces array<string>"
+    w = resolve.World(
+        named=df([("mod/Player", "c10"), ("mod/Food", "c11"), ("mod/Living", "c12"), ("mod/Gone", "c13"), ("mod/Half", "c14"), ("mod/Renamed", "c15"), ("mod/Stale", "c16"), ("mod/NoMid", None)], "named string, mid string"),
+        between=df([("c10", "aa"), ("c11", "bb"), ("c12", "cc"), ("c13", "dd"), ("c15", "ee"), ("c16", "ff")], "mid string, obf string"),
+        official=df([("aa", "real/Player"), ("bb", "real/Food"), ("cc", "real/Living"), ("ee", "real/Renamed"), ("ff", "real/Stale"), ("hh", "real/Mover"), ("ii", "real/Child"), ("jj", "real/Parent")], "obf string, source string"),
+        named_members=df([("c10", "method", "getFood", "()Lc11;", "m1"), ("c10", "method", "setLevel", "(I)V", "m2"), ("c10", "method", "setLevel", "(J)V", "m3"), ("c12", "method", "getHealth", "()F", "m9"), ("c10", "method", "old", "()V", "m4"), ("c15", "method", "keep", "()V", "m5"), ("c10", "field", "lost", "I", "f1"), ("c16", "method", "x", "()V", "m6"), ("c10", "method", "up", "()V", "m7")], "owner string, kind string, name string, desc string, mid string"),
+        between_members=df([("c10", "method", "m1", 0, "a", "()Lbb;"), ("c10", "method", "m2", 1, "b", "(I)V"), ("c10", "method", "m3", 2, "c", "(J)V"), ("c12", "method", "m9", 0, "h", "()F"), ("c10", "method", "m4", 3, "d", "()V"), ("c15", "method", "m5", 0, "e", "()V"), ("c10", "field", "f1", 4, "g", "I"), ("c16", "method", "m6", 0, "k", "()V"), ("c10", "method", "m7", 5, "u", "()V")], "owner string, kind string, mid string, ord int, obf string, desc_obf string"),
+        official_members=df([("aa", "method", "a", "()Lbb;", "getFood", "()Lreal/Food;"), ("aa", "method", "b", "(I)V", "setLevel", "(I)V"), ("aa", "method", "c", "(J)V", "setLevel", "(J)V"), ("cc", "method", "h", "()F", "getHealth", "()F"), ("aa", "method", "d", "()V", "old", "()V"), ("ee", "method", "e", "()V", "keep", "()V"), ("aa", "field", "g", "I", "lost", "I"), ("ff", "method", "k", "()V", "x", "()V"), ("aa", "method", "u", "()V", "up", "()V"),
+                              ("hh", "method", "m", "(I)V", "move", "(I)V"), ("hh", "method", "m", "(II)V", "move", "(II)V"), ("jj", "method", "p", "(I)V", "process", "(I)V"), ("jj", "method", "p", "(II)V", "process", "(II)V")], "owner string, kind string, obf string, desc_obf string, source string, desc string"),
+        old_classes=df([("aa", "cc", []), ("bb", "java/lang/Object", []), ("cc", "java/lang/Object", []), ("ii", "jj", [])], cls),
+        classes=df([("real/Player", "real/Living", []), ("real/Food", None, []), ("real/Living", None, []), ("real/New", None, []), ("real/Mover", None, []), ("real/Child", "real/Parent", []), ("real/Parent", None, [])], cls),
+        members=df([("real/Player", "method", "getFood", "()Lreal/Food;"), ("real/Player", "method", "setLevel", "(I)V"), ("real/Player", "method", "setLevel", "(J)V"), ("real/Living", "method", "getHealth", "()F"), ("real/Living", "method", "newer", "(I)V"), ("real/New", "method", "keep", "()V"), ("real/New", "method", "kept", "()V"), ("real/Living", "method", "up", "()V"),
+                    ("real/Mover", "method", "move", "(I)V"), ("real/Mover", "method", "move", "(II)V"), ("real/Parent", "method", "process", "(II)V")], "owner string, kind string, name string, desc string"),
+        class_renames=df([("real/Renamed", "real/New", 0.8, "derived"), ("real/Stale", "real/Nowhere", 0.7, "derived")], "from string, to string, score double, provenance string"),
+        member_renames=df([("real/Player", "method", "old", "()V", "newer", 0.6, "derived"), ("real/Renamed", "method", "keep", None, "kept", 0.9, "oracle:x"), ("real/Player", "field", "lost", "I", "nowhere", 0.6, "derived")], "owner string, kind string, from string, desc string, to string, score double, provenance string"),
+        owned="mod/",
+    )
+    asked = [
+        (1, "named", "class", "mod/Player", None, None, None), (2, "named", "method", "mod/Player", "getFood", None, None), (3, "named", "method", "mod/Player", "setLevel", None, None), (4, "named", "method", "mod/Player", "setLevel", None, 1),
+        (5, "named", "method", "mod/Player", "getHealth", None, None), (6, "named", "class", "mod/DoesNotExist", None, None, None), (7, "named", "method", "mod/Player", "noSuch", None, None), (8, "source", "method", "real/Player", "getFood", None, None),
+        (9, "named", "method", "mod/Player", "setLevel", "(J)V", None), (10, "named", "method", "mod/Player", "getFood", "()Lmod/Food;", None), (11, "named", "class", "mod/Gone", None, None, None), (12, "named", "class", "mod/Half", None, None, None), (13, "named", "class", "mod/Renamed", None, None, None),
+        (14, "named", "class", "mod/Stale", None, None, None), (15, "named", "method", "mod/Player", "old", None, None), (16, "named", "method", "mod/Renamed", "keep", None, None), (17, "named", "field", "mod/Player", "lost", None, None), (18, "named", "method", "mod/Stale", "x", None, None),
+        (19, "source", "method", "real/Mover", "move", None, 2), (20, "source", "method", "real/Mover", "move", None, None), (21, "source", "method", "real/Mover", "move", None, 5), (22, "source", "method", "real/Child", "process", None, 2), (23, "source", "method", "real/Child", "process", None, 7),
+        (24, "named", "method", "mod/Player", None, None, None), (25, "named", "class", "mod/NoMid", None, None, None), (26, "source", "class", "no/Such", None, None, None), (27, "named", "method", "mod/Player", "up", None, None), (28, "named", "method", None, "x", None, None),
+    ]
+    out = {r["qid"]: r for r in resolve.resolve(df(asked, "qid int, ns string, kind string, owner string, name string, desc string, args int"), w).collect()}
+    assert len(out) == len(asked)
+    to = lambda k: out[k]["to"] and tuple(x for x in out[k]["to"] if x)
+    best = lambda k: [(c["owner"], c["name"], c["desc"], c["score"], c["evidence"]) for c in out[k]["candidates"]]
+    exact = {1: ("real/Player",), 2: ("real/Player", "getFood", "()Lreal/Food;"), 5: ("real/Living", "getHealth", "()F"), 8: ("real/Player", "getFood", "()Lreal/Food;"), 9: ("real/Player", "setLevel", "(J)V"), 10: ("real/Player", "getFood", "()Lreal/Food;"), 19: ("real/Mover", "move", "(II)V"), 22: ("real/Parent", "process", "(II)V")}
+    assert {k: to(k) for k, r in out.items() if r["verdict"] == "EXACT"} == exact
+    assert {k: best(k) for k, r in out.items() if r["verdict"] == "CANDIDATE"} == {
+        13: [("real/New", None, None, 0.8, "class renamed")], 15: [("real/Living", "newer", "(I)V", 0.6, "member renamed, descriptor changed")],
+        16: [("real/New", "kept", "()V", 0.9, "member renamed"), ("real/New", "keep", "()V", 0.8, "owner renamed")], 27: [("real/Living", "up", "()V", 0.9, "found on a supertype")],
+    }
+    assert {k: r["reason"] for k, r in out.items() if r["verdict"] == "UNRESOLVED"} == {
+        3: "several overloads", 4: "several overloads", 6: "class is not among the named ones", 7: "no member of that name", 11: "official class is missing", 12: "intermediary class is missing", 14: "class is not in the new version",
+        17: "member is not in the new version", 18: "member is not in the new version", 20: "several overloads", 21: "no overload takes that many arguments", 23: "no ancestor has that descriptor or number of arguments", 24: "no name", 25: "class has no intermediary name", 26: "class is not in the old version", 28: "class is not among the named ones",
+    }
+    assert out[14]["rejected"] == ["class real/Nowhere"] and out[17]["rejected"] == ["member nowhere"] and out[18]["rejected"] == ["class real/Nowhere"]
+    assert out[5]["chain"] == ["named: mod/Player > c10", "intermediary: c10 > aa", "official: aa > real/Player", "old hierarchy: declared on cc", "named member > m9 by single", "intermediary member > h", "official member > getHealth()F by name and descriptor"]
