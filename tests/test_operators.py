@@ -356,3 +356,41 @@ def test_resolution_in_one_piece(spark):
     }
     assert out[14]["rejected"] == ["class real/Nowhere"] and out[17]["rejected"] == ["member nowhere"] and out[18]["rejected"] == ["class real/Nowhere"]
     assert out[5]["chain"] == ["named: mod/Player > c10", "intermediary: c10 > aa", "official: aa > real/Player", "old hierarchy: declared on cc", "named member > m9 by single", "intermediary member > h", "official member > getHealth()F by name and descriptor"]
+
+
+def test_class_candidates_equal_the_pairwise_rule(spark):
+    """Random snapshots with many copies against all pairs; and copies on both sides make linear rows."""
+    import random
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(11)
+    name = lambda side: f"{rng.choice(['p', 'q', 'r/s'])}/{''.join(rng.choice('ab') for _ in range(rng.randrange(1, 6)))}{side}"
+    shapes = [{("method", f"m{k}", "()V") for k in rng.sample(range(9), rng.randrange(2, 5))} for _ in range(6)]
+    sides = [{name(s): rng.choice(shapes) for _ in range(45)} for s in "xy"]
+    sides[0]["p/keep"] = sides[1]["p/keep"] = shapes[0]
+    simple, package = (lambda n: n.rsplit("/", 1)[-1]), (lambda n: n.rsplit("/", 1)[0])
+    scores = {}
+    for a, x in sides[0].items():
+        for b, y in sides[1].items():
+            score = len(x & y) / len(x | y) * (1.0 if package(a) == package(b) else 0.85)
+            if "p/keep" not in (a, b) and score > 0.5:
+                s, t = simple(a), simple(b)
+                suffix = next((k for k in range(min(len(s), len(t))) if s[-1 - k] != t[-1 - k]), min(len(s), len(t)))
+                scores[a, b] = (score, suffix, 1 - distance(s, t) / max(len(s), len(t)))
+    best = lambda k, n: sorted((v, p) for p, v in scores.items() if p[k] == n)[-2:]
+    sole = lambda k, n: (lambda t: t[-1][1] if t and (len(t) == 1 or t[0][0] != t[1][0]) else None)(best(k, n))
+    want = {(a, b) for a, b in scores if sole(0, a) == (a, b) == sole(1, b)}
+    flat = lambda side: _members(spark, [(o, *m) for o, ms in side.items() for m in ms])
+    got = {(r["from"], r["to"]) for r in renames.class_candidates(flat(sides[0]), flat(sides[1])).collect()}
+    assert got == want and want
+    # 3000 copies on either side, each with a partner of its own name
+    copies = [spark.range(3000).select(F.concat(F.lit(f"p/{s}"), F.format_string("%04d", "id")).alias("owner"), F.lit("method").alias("kind"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("name"), F.lit("()V").alias("desc")) for s in "OP"]
+    out = renames.class_candidates(*copies)
+    assert out.count() == 3000 and out.where("substr(from, 4) <> substr(to, 4)").count() == 0

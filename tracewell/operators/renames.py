@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.grammar import edit_similarity, fixed
 from . import similarity
+from .store import stored
 
 SAME_PACKAGE = 1.0
 OTHER_PACKAGE = 0.9
@@ -40,22 +41,75 @@ def canonical_desc(members: DataFrame, mapping: DataFrame) -> DataFrame:
     return members.drop("_new").join(whole, "desc").withColumn("desc", F.col("_new")).drop("_new")
 
 
+def _best_groups(pairs: DataFrame, mine: DataFrame, theirs: DataFrame, near: float, far: float, threshold: float) -> DataFrame:
+    """For each (set, package) of one side the groups of the other side with the best score: (set, pkg, other, same, score, overlap, jaccard).
+
+    ``pairs(set, other, overlap, jaccard)``; ``mine`` and ``theirs`` are (set, pkg, name, owner).  A group is the owners
+    of a set that are in the package (same), or those that are not.
+    """
+    groups = theirs.groupBy(F.col("set").alias("other"), "pkg").agg(F.count("*").alias("n"))
+    all_ = groups.groupBy("other").agg(F.sum("n").alias("all"))
+    met = mine.select("set", "pkg").distinct().join(pairs, "set").join(all_, "other").join(groups, ["other", "pkg"], "left")
+    inside = F.coalesce("n", F.lit(0))
+    ways = F.array_compact(F.array(F.when(inside > 0, F.struct(F.lit(True).alias("same"), (F.col("jaccard") * near).alias("score"))), F.when(F.col("all") > inside, F.struct(F.lit(False).alias("same"), (F.col("jaccard") * far).alias("score")))))
+    rows = met.select("set", "pkg", "other", "overlap", "jaccard", F.explode(ways).alias("w")).select("set", "pkg", "other", "overlap", "jaccard", "w.*").where(F.col("score") > threshold)
+    best = rows.groupBy("set", "pkg").agg(F.max("score").alias("_s"))
+    return rows.join(best, ["set", "pkg"]).where("score = _s").drop("_s")
+
+
+def _suffixes(side: DataFrame) -> DataFrame:
+    """``side`` with a row for each suffix of the name, the empty one too."""
+    return side.withColumn("k", F.explode(F.sequence(F.lit(0), F.length("name")))).withColumn("suffix", F.expr("right(name, k)"))
+
+
+def _only_best(best: DataFrame, mine: DataFrame, theirs: DataFrame) -> DataFrame:
+    """(owner, partner, score, overlap, jaccard) where one partner alone is best by score, common suffix and edit similarity.
+
+    Suffixes are counted, not compared: for each suffix there is a count of the owners of a set that end in it,
+    and of those in each package.  The longest suffix of a name that a best group has says which partners are
+    left, and only these are looked at one by one.
+    """
+    index = _suffixes(theirs)
+    inside = index.groupBy(F.col("set").alias("other"), "pkg", "suffix").agg(F.count("*").alias("n_in"))
+    all_ = index.groupBy(F.col("set").alias("other"), "suffix").agg(F.count("*").alias("n_all"))
+    asked = _suffixes(mine).join(best, ["set", "pkg"])
+    met = asked.join(all_, ["other", "suffix"]).join(inside, ["other", "pkg", "suffix"], "left")
+    n = F.when(F.col("same"), F.coalesce("n_in", F.lit(0))).otherwise(F.col("n_all") - F.coalesce("n_in", F.lit(0)))
+    met = met.withColumn("n", n).where("n > 0")
+    longest = met.groupBy("owner").agg(F.max("k").alias("k"))
+    ties = met.join(longest, ["owner", "k"]).select("owner", "name", "pkg", "other", "same", "suffix", "score", "overlap", "jaccard")
+    partner = index.select(F.col("set").alias("other"), "suffix", F.col("pkg").alias("_pkg"), F.col("name").alias("_name"), F.col("owner").alias("partner"))
+    pairs = ties.join(partner, ["other", "suffix"]).where(F.col("same") == (F.col("pkg") == F.col("_pkg")))
+    pairs = pairs.withColumn("edit", edit_similarity(F.col("name"), F.col("_name")))
+    top = F.max_by(F.struct("partner", "score", "overlap", "jaccard"), "edit")
+    # best and how many have it, in one pass: the second largest of two sorted aggregates would need the pairs again
+    g = pairs.groupBy("owner").agg(F.max("edit").alias("_e"), top.alias("b"))
+    ties_at_top = pairs.join(g.select("owner", "_e"), "owner").where("edit = _e").groupBy("owner").agg(F.count("*").alias("n")).where("n = 1")
+    return g.join(ties_at_top, "owner", "left_semi").select("owner", "b.*")
+
+
 def class_candidates(old: DataFrame, new: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Rows (from, to, score, overlap, jaccard, evidence) of classes that one snapshot has and the other lacks.
 
     Members (owner, kind, name, desc) are compared as sets; the similarity counts 0.85 times across
     packages and must exceed ``threshold``.  A pair is named if each side is the only best of the
     other by score, then length of the common suffix, then edit similarity of the simple names.
+
+    Classes with equal sets are never paired with each other: scores are those of distinct sets and packages, and
+    suffixes are looked up by their text, so n copies on either side cost n times the length of their names, plus the
+    partners that share the longest suffix.
     """
     gone, fresh = (a.join(b.select("owner").distinct(), "owner", "left_anti") for a, b in ((old, new), (new, old)))
     tokens = lambda df: df.select(F.col("owner").alias("id"), F.concat_ws(" ", "kind", "name", "desc").alias("token")).distinct()
-    pairs = similarity.jaccard_pairs(tokens(gone), tokens(fresh), threshold=threshold)
-    same = S.package_of(F.col("l")) == S.package_of(F.col("r"))
-    a, b = S.simple_name(F.col("l")), S.simple_name(F.col("r"))
-    scored = pairs.withColumns({"score": F.col("jaccard") * F.when(same, 1.0).otherwise(0.85), "suffix": S.common_suffix(a, b), "edit": edit_similarity(a, b)}).where(F.col("score") > threshold)
-    best = similarity.strict_mutual_best(scored, "l", "r", ["score", "suffix", "edit"])
+    pairs, members = similarity.set_pairs(tokens(gone), tokens(fresh), threshold=threshold)
+    pairs, members = stored(pairs), stored(members.select("s", "set", F.col("k").alias("owner"), S.package_of(F.col("k")).alias("pkg"), S.simple_name(F.col("k")).alias("name")))
+    a, b = (members.where(F.col("s") == k).drop("s") for k in (0, 1))
+    forth = _best_groups(pairs.withColumnsRenamed({"a": "set", "b": "other"}), a, b, 1.0, 0.85, threshold)
+    back = _best_groups(pairs.withColumnsRenamed({"b": "set", "a": "other"}), b, a, 1.0, 0.85, threshold)
+    l, r = _only_best(forth, a, b), _only_best(back, b, a)
+    best = l.join(r.select(F.col("partner").alias("owner"), F.col("owner").alias("partner")), ["owner", "partner"])
     evidence = F.concat(F.lit("shares "), F.col("overlap").cast("string"), F.lit(" members, similarity "), fixed(F.col("jaccard")))
-    return best.select(F.col("l").alias("from"), F.col("r").alias("to"), S.round_half_up(F.col("score"), 2).alias("score"), "overlap", "jaccard", evidence.alias("evidence"))
+    return best.select(F.col("owner").alias("from"), F.col("partner").alias("to"), S.round_half_up(F.col("score"), 2).alias("score"), "overlap", "jaccard", evidence.alias("evidence"))
 
 
 def merge_asserted_members(asserted: DataFrame, classes: DataFrame, derived: DataFrame, target: DataFrame) -> DataFrame:
