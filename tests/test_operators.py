@@ -76,6 +76,74 @@ def test_spans(spark):
     assert spark.range(1).select(spans.splice(F.lit("aaa bbb ccc"), ops)).first()[0] == "AAAA bbb C"
 
 
+@pytest.mark.parametrize("hot", [1 << 20, 40, 3])
+def test_running_values_of_a_hot_key(spark, hot):
+    """One key with most of the rows, nulls among keys and values, against a loop."""
+    import random
+
+    from tracewell.operators import running
+
+    rng = random.Random(hot)
+    rows = [(i, rng.choice(["a"] * 8 + ["b", None]), rng.choice([None, *range(9)])) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, g string, v int").repartition(5)
+    for inclusive in (True, False):
+        for order, step in (([F.col("id")], 1), ([F.desc("id")], -1)):
+            values = {"m": ("max", F.col("v")), "s": ("sum", F.col("v")), "l": ("last", F.col("v")), "w": ("last", F.struct("v"))}
+            got = {r["id"]: (r["m"], r["s"], r["l"], r["w"] and (r["w"]["v"],)) for r in running.running(df, "g", order, values, inclusive, hot).collect()}
+            want, seen = {}, {}
+            for i, g, v in rows[::step]:
+                old = seen.get(g, [])
+                now = [*old, v]
+                have = [x for x in (now if inclusive else old) if x is not None]
+                last = now if inclusive else old
+                want[i] = (max(have, default=None), sum(have) if have else None, have[-1] if have else None, (last[-1],) if last else None)
+                seen[g] = now
+            assert got == want
+    tokens = [(i, "k", i * 3 % 17, rng.choice([-1, 0, 1])) for i in range(120)]
+    out = spans.token_positions(spark.createDataFrame(tokens, "i int, g string, at int, step int"), "g", ["i"], "at", lambda now, last: last.isNull() | (now < last), F.col("step"), hot=hot)
+    assert [(r["begins"], r["depth"]) for r in out.orderBy("i").collect()] == [(k == 0 or t[2] < tokens[k - 1][2], sum(x[3] for x in tokens[: k + 1])) for k, t in enumerate(tokens)]
+    pieces = [(i, "f", (a := rng.randrange(500)), a + rng.randrange(1, 6)) for i in range(80)]
+    flags = {r["i"] for r in spans.overlap_flags(spark.createDataFrame(pieces, "i int, f string, a int, b int"), "f", "a", "b", "i", hot=hot).where("overlaps").collect()}
+    assert flags == {x[0] for x in pieces if any(x[0] != y[0] and x[2] < y[3] and y[2] < x[3] for y in pieces)}
+    free = {r["p"] for r in spans.uncovered(spark.createDataFrame([(p, "f") for p in range(510)], "p int, f string"), spark.createDataFrame(pieces, "i int, f string, a int, b int"), "f", "p", "a", "b", hot=hot).collect()}
+    assert free == {p for p in range(510) if not any(x[2] <= p < x[3] for x in pieces)}
+
+
+@pytest.mark.parametrize("hot", [1 << 20, 2])
+def test_lines_of_offsets(spark, hot):
+    from tracewell.operators import running
+
+    texts = {1: "one\ntwo\n\nfour", 2: "", 3: "\n\n", 4: None, 5: "é\r\nx"}
+    docs = spark.createDataFrame(list(texts.items()), "d int, t string")
+    points = [(d, p) for d, t in texts.items() for p in range(-1, len(t or "") + 2)] + [(None, 3), (1, None), (9, 0)]
+    out = running.asof(spark.createDataFrame(points, "d int, p long"), running.line_starts(docs, "d", "t", hot), "d", "p", "start", "line", hot)
+    want = [(d, p, None if d is None or p is None or p < 0 or texts.get(d) is None else texts[d][:p].count("\n") + 1) for d, p in points]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("most", [0, 1, 2, 3])
+def test_edit_pairs_lose_none(spark, most):
+    import random
+
+    from tracewell.operators import edit
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(most)
+    sides = [sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(0, 12))) for _ in range(90)}) for _ in range(2)]
+    frames = [spark.createDataFrame([(x,) for x in s] + [(None,), (s[0],)], "name string") for s in sides]
+    got = {tuple(r) for r in edit.edit_pairs(*frames, most=most).collect()}
+    assert got == {(a, b, d) for a in sides[0] for b in sides[1] if (d := distance(a, b)) <= most}
+    near = {r["l"]: (r["dist"], r["suggestion"]) for r in edit.suggestions(*frames, most=most).collect()}
+    assert near == {a: b for a in sides[0] if (b := min((distance(a, x), x) for x in sides[1]))[0] <= most and b[0] < len(b[1])}
+
+
 def test_closure_has_no_depth_limit_and_keeps_the_first_path(spark):
     edges = [(k, 0, k + 1) for k in range(150)] + [(0, 1, 2), (3, 1, 5), (4, 1, 5), (150, 0, 0)]
     out = closure.ordered_closure(spark.createDataFrame(edges, "child int, ord int, parent int"), spark.createDataFrame([(0,), (149,)], "n int"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .running import running
+
 
 @dataclass(frozen=True)
 class Hop:
@@ -55,7 +57,9 @@ def verdict(reason: Column, grounded: Column | None = None) -> Column:
     return F.when(ok, "EXACT").otherwise("UNRESOLVED")
 
 
-def carry_forward(df: DataFrame, partition: str, order: str, column: str, when: Column, name: str) -> DataFrame:
-    """The last value of ``column`` where ``when`` held, up to and including each row."""
-    w = Window.partitionBy(partition).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.last(F.when(when, F.col(column)), ignorenulls=True).over(w))
+def carry_forward(df: DataFrame, partition: str, order: str, column: str, when: Column, name: str, hot: int | None = None) -> DataFrame:
+    """The last value of ``column`` where ``when`` held, up to and including each row.
+
+    Nulls are passed over.  A partition with more than ``hot`` rows is split (see running).
+    """
+    return running(df, partition, [F.col(order)], {name: ("last", F.when(when, F.col(column)))}, hot=hot)

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import chain, closure, diff, disambiguate, ground, renames, report, similarity, spans
+from ..operators import chain, closure, diff, disambiguate, edit, ground, renames, report, running, similarity, spans
 from .session import checkpointing, registry, table
 
 QUERIES, ORACLE_SQL, query = registry()
@@ -463,12 +463,14 @@ def apply_summary(spark, d):
 
 # -- spans and text --------------------------------------------------------------------------
 
-@query("SELECT doc_id, n_chars // 2 AS at, length(left(text, (n_chars // 2)::INTEGER)) - length(replace(left(text, (n_chars // 2)::INTEGER), chr(10), '')) + 1 AS line FROM documents")
+@query("""WITH p AS (SELECT doc_id, text, unnest(range(0, length(text) + 1, 97)) AS p FROM documents)
+SELECT doc_id, p AS "at", length(left(text, p)) - length(replace(left(text, p), chr(10), '')) + 1 AS line FROM p""")
 def asof_line(spark, d):
-    """The line of an offset: the last line start not beyond it."""
-    at = F.expr("cast(n_chars div 2 as int)")
-    head = F.left("text", at)
-    return table(spark, d, "documents").select("doc_id", F.expr("n_chars div 2").alias("at"), (F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("line"))
+    """The lines of many offsets of every text: the last line start not beyond each."""
+    checkpointing(spark)
+    docs = table(spark, d, "documents").select("doc_id", "text").where("text is not null")
+    points = docs.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.length("text").cast("long"), F.lit(97).cast("long"))).alias("at"))
+    return running.asof(points, running.line_starts(docs, "doc_id", "text"), "doc_id", "at", "start", "line")
 
 
 @query("""SELECT event_id, coalesce(ts < max(e) OVER (PARTITION BY user_id ORDER BY ts, e, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false)
@@ -476,6 +478,7 @@ def asof_line(spark, d):
 FROM (SELECT *, ts + to_microseconds(CAST(floor(value * 60000000) AS BIGINT)) AS e FROM events)""")
 def span_overlap(spark, d):
     """Events, as spans of value minutes, that overlap another of their user."""
+    checkpointing(spark)
     return spans.overlap_flags(_event_spans(spark, d), "user_id", "ts", "e", "event_id").select("event_id", "overlaps")
 
 
@@ -488,6 +491,7 @@ def _event_spans(spark, d):
 SELECT event_id FROM events v WHERE event_type = 'error' AND NOT EXISTS (SELECT 1 FROM s WHERE s.user_id = v.user_id AND s.ts <= v.ts AND s.e > v.ts)""")
 def coverage_anti(spark, d):
     """Errors inside no click span of their user."""
+    checkpointing(spark)
     e = _event_spans(spark, d)
     return spans.uncovered(e.where("event_type = 'error'").select("event_id", "user_id", "ts"), e.where("event_type = 'click'"), "user_id", "ts", "ts", "e").select("event_id")
 
@@ -511,6 +515,7 @@ def usage_binding(spark, d):
 @query("""SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS asked FROM conversations""")
 def carry_forward(spark, d):
     """The last user text carried to each turn."""
+    checkpointing(spark)
     return chain.carry_forward(table(spark, d, "conversations"), "conv_id", "turn", "text", F.col("role") == "user", "asked").select("conv_id", "turn", "role", "asked")
 
 
@@ -564,12 +569,10 @@ def namespace_probe(spark, d):
     return hits.withColumn("decision", how)
 
 
-@query("""WITH t(typo) AS (VALUES ('red bolt'), ('blu nut'), ('gren'), ('bolt'), ('steel')), c AS (SELECT DISTINCT p_name FROM part),
-x AS (SELECT typo, p_name, levenshtein(typo, p_name) AS dist FROM t, c)
-SELECT typo, arg_min(p_name, (dist, p_name)) AS suggestion, min(dist)::INTEGER AS dist FROM x WHERE dist <= 2 AND dist < length(p_name) GROUP BY typo""")
+@query("""WITH a AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark)), b AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM conversations)),
+x AS (SELECT a.w AS l, b.w AS suggestion, levenshtein(a.w, b.w) AS dist, row_number() OVER (PARTITION BY a.w ORDER BY levenshtein(a.w, b.w), b.w) AS k FROM a, b WHERE abs(length(a.w) - length(b.w)) <= 2 AND levenshtein(a.w, b.w) <= 2)
+SELECT l, suggestion, dist::INTEGER AS dist FROM x WHERE k = 1 AND dist < length(suggestion)""")
 def suggest_nearest(spark, d):
-    """The nearest name within distance two (T16, X-s7)."""
-    typos = F.array(*[F.lit(t) for t in ("red bolt", "blu nut", "gren", "bolt", "steel")])
-    x = table(spark, d, "part").select("p_name").distinct().withColumn("typo", F.explode(typos)).withColumn("dist", F.levenshtein("typo", "p_name"))
-    best = x.where((F.col("dist") <= 2) & (F.col("dist") < F.length("p_name"))).groupBy("typo").agg(F.min(F.struct("dist", "p_name")).alias("x"))
-    return best.select("typo", F.col("x.p_name").alias("suggestion"), "x.dist")
+    """For every word of the benchmark the nearest word of the conversations within two edits (T16, X-s7)."""
+    words = lambda t: table(spark, d, t).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"))).alias("name"))
+    return edit.suggestions(words("benchmark"), words("conversations"))
