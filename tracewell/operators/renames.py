@@ -128,31 +128,44 @@ def merge_asserted_members(asserted: DataFrame, classes: DataFrame, derived: Dat
 
 
 def match_classes(old: DataFrame, new: DataFrame, max_rounds: int = 10) -> DataFrame:
-    """Rows (from, to, score, round) from members (owner, kind, name, desc) of two snapshots.
+    """Rows (from, to, score, round) from members (owner, kind, name, desc) of two snapshots.
 
     Names on both sides are anchors (round 0, score 1).  Each round compares the classes that
     are left by the Jaccard similarity of their members, descriptors rewritten by the table so
     far, times 0.9 across packages; a pair enters the table if it is the strict mutual best by
     (score, name similarity) and reaches 0.5.  It ends when a round adds nothing.  Similarity
-    alone never makes an entry more than a candidate.  Lineage is cut each round with
-    checkpoint() into the shared folder.
+    alone never makes an entry more than a candidate.
+
+    The first round compares all; a later one only the old classes with a descriptor that names a class
+    matched in the round before, as no other similarity has changed.  Scored pairs are kept from round to
+    round, without those of matched classes.  Tables of a round are written to the shared folder.
     """
     was, now = old.select(F.col("owner").alias("from")).distinct(), new.select(F.col("owner").alias("to")).distinct()
-    anchors = was.join(now, F.col("from") == F.col("to")).select("from", "to", F.lit(1.0).alias("score"), F.lit(0).alias("round"))
-    found = anchors.checkpoint()
+    found = stored(was.join(now, F.col("from") == F.col("to")).select("from", "to", F.lit(1.0).alias("score"), F.lit(0).alias("round")))
+    left = stored(old.join(found.select(F.col("from").alias("owner")), "owner", "left_anti").select("owner", "kind", "name", "desc"))
+    right = stored(new.join(found.select(F.col("to").alias("owner")), "owner", "left_anti").select("owner", "kind", "name", "desc"))
+    names = F.filter(F.regexp_extract_all("desc", F.lit(r"L([^;]+);")), lambda x: x != "")
+    refs = stored(left.select("owner", F.explode(names).alias("from")).distinct())
     token = F.concat_ws(" ", "kind", "name", "desc")
+    tokens = lambda df: df.select(F.col("owner").alias("id"), token.alias("token")).distinct()
+    package = F.when(S.package_of(F.col("l")) == S.package_of(F.col("r")), SAME_PACKAGE).otherwise(OTHER_PACKAGE)
+    pairs, changed = None, left
     for n in range(1, max_rounds + 1):
-        left = canonical_desc(old.join(found.select(F.col("from").alias("owner")), "owner", "left_anti"), found)
-        right = new.join(found.select(F.col("to").alias("owner")), "owner", "left_anti")
-        tokens = lambda df: df.select(F.col("owner").alias("id"), token.alias("token")).distinct()
-        pairs = similarity.jaccard_pairs(tokens(left), tokens(right), threshold=THRESHOLD)
-        package = F.when(S.package_of(F.col("l")) == S.package_of(F.col("r")), SAME_PACKAGE).otherwise(OTHER_PACKAGE)
-        scored = pairs.withColumn("score", F.col("jaccard") * package).withColumn("sim", S.name_similarity(S.simple_name(F.col("l")), S.simple_name(F.col("r"))))
-        best = similarity.strict_mutual_best(scored, "l", "r", ["score", "sim"]).where(F.col("score") >= THRESHOLD)
-        fresh = best.select(F.col("l").alias("from"), F.col("r").alias("to"), S.round_half_up(F.col("score"), 3).alias("score"), F.lit(n).alias("round")).checkpoint()
+        fresh_pairs = similarity.jaccard_pairs(tokens(canonical_desc(changed, found)), tokens(right), threshold=THRESHOLD)
+        fresh_pairs = fresh_pairs.withColumn("score", F.col("jaccard") * package).withColumn("sim", S.name_similarity(S.simple_name(F.col("l")), S.simple_name(F.col("r")))).select("l", "r", "score", "sim")
+        if pairs is not None:
+            kept = pairs.join(changed.select(F.col("owner").alias("l")).distinct(), "l", "left_anti")
+            fresh_pairs = kept.unionByName(fresh_pairs)
+        pairs = stored(fresh_pairs)
+        best = similarity.strict_mutual_best(pairs, "l", "r", ["score", "sim"]).where(F.col("score") >= THRESHOLD)
+        fresh = stored(best.select(F.col("l").alias("from"), F.col("r").alias("to"), S.round_half_up(F.col("score"), 3).alias("score"), F.lit(n).alias("round")))
         if fresh.isEmpty():
             break
-        found = found.unionByName(fresh).checkpoint()
+        found = found.unionByName(fresh)
+        gone, taken = fresh.select(F.col("from").alias("owner")), fresh.select(F.col("to").alias("owner"))
+        left, right = left.join(gone, "owner", "left_anti"), right.join(taken, "owner", "left_anti")
+        pairs = pairs.join(gone.withColumnRenamed("owner", "l"), "l", "left_anti").join(taken.withColumnRenamed("owner", "r"), "r", "left_anti")
+        changed = stored(left.join(refs.join(fresh.select("from"), "from", "left_semi").select("owner").distinct(), "owner", "left_semi"))
     return found
 
 

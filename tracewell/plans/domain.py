@@ -462,16 +462,42 @@ def descriptor_rules(spark, d):
     return table(spark, d, "part").select("p_partkey", S.arity(pick).alias("n"), G.valid_method_desc(pick).alias("valid"))
 
 
+def _rounds_sql(rounds: int = 4) -> str:
+    """The rounds of the class matching, one after the other."""
+    one = """p{n} AS (SELECT a.owner AS l, b.owner AS r, count(*) AS o FROM (SELECT DISTINCT l.owner, l.kind, l.name, coalesce(m.t, l.ref) AS ref FROM old l LEFT JOIN m{k} m ON m.f = l.ref WHERE l.owner NOT IN (SELECT f FROM m{k})) a
+  JOIN new b ON a.name = b.name AND a.kind = b.kind AND a.ref = b.ref WHERE b.owner NOT IN (SELECT t FROM m{k}) GROUP BY a.owner, b.owner),
+s{n} AS (SELECT l, r, o / (x.n + y.n - o)::DOUBLE * CASE WHEN split_part(l, '/', 1) = split_part(r, '/', 1) THEN 1.0 ELSE 0.9 END::DOUBLE AS score, o / (x.n + y.n - o)::DOUBLE AS jac,
+  1.0 - levenshtein(split_part(l, '/', 2), split_part(r, '/', 2)) / greatest(length(split_part(l, '/', 2)), length(split_part(r, '/', 2)))::DOUBLE AS sim FROM p{n} JOIN cl x ON x.owner = l JOIN cr y ON y.owner = r),
+b{n} AS (SELECT *, rank() OVER (PARTITION BY l ORDER BY score DESC, sim DESC) AS ra, rank() OVER (PARTITION BY r ORDER BY score DESC, sim DESC) AS rb FROM s{n} WHERE jac >= 0.5),
+t{n} AS (SELECT *, count(*) FILTER (ra = 1) OVER (PARTITION BY l) AS ka, count(*) FILTER (rb = 1) OVER (PARTITION BY r) AS kb FROM b{n}),
+f{n} AS (SELECT l AS f, r AS t, floor(score * 1000 + 0.5) / 1000 AS score, {n} AS round FROM t{n} WHERE ra = 1 AND rb = 1 AND ka = 1 AND kb = 1 AND score >= 0.5),
+m{n} AS (SELECT * FROM m{k} UNION ALL SELECT * FROM f{n})"""
+    side = """SELECT DISTINCT CASE WHEN k < 10 THEN 'g/K' || k ELSE CASE WHEN k % 4 = 0 THEN '{other}/' ELSE 'g/' END || '{s}' || k END AS owner, CASE WHEN p_size % 2 = 0 THEN 'method' ELSE 'field' END AS kind, p_brand || '_' || p_size || '_' || p_partkey AS name,
+    CASE WHEN k < 25 THEN 'g/K' || (p_size % 10) WHEN k < 33 THEN CASE WHEN (k - 15) % 4 = 0 THEN '{other}/' ELSE 'g/' END || '{s}' || (k - 15) ELSE CASE WHEN (k - 8) % 4 = 0 THEN '{other}/' ELSE 'g/' END || '{s}' || (k - 8) END AS ref
+    FROM (SELECT *, p_partkey % 40 AS k FROM part){where}"""
+    steps = ",\n".join(one.format(n=n, k=n - 1) for n in range(1, rounds + 1))
+    return f"""WITH old AS MATERIALIZED ({side.format(s='O', other='g', where='')}),
+new AS MATERIALIZED ({side.format(s='N', other='h', where=' WHERE p_size % 11 <> 0')}),
+cl AS (SELECT owner, count(*) AS n FROM old GROUP BY owner), cr AS (SELECT owner, count(*) AS n FROM new GROUP BY owner),
+m0 AS (SELECT owner AS f, owner AS t, 1.0::DOUBLE AS score, 0 AS round FROM cl WHERE owner IN (SELECT owner FROM cr)),
+{steps}
+SELECT f AS "from", t AS "to", score::DOUBLE AS score, round::INTEGER AS round FROM m{rounds}"""
+
+
+@query(_rounds_sql())
 def class_renames(spark, d):
-    """Class renames of two snapshots to a fixpoint (X1); its rounds are a loop, which SQL has not."""
+    """Class renames of two snapshots to a fixpoint: anchors, classes that name only them, and two layers above."""
     checkpointing(spark)
-    p = table(spark, d, "part").select("p_partkey", "p_brand", "p_size")
-    k = F.col("p_partkey") % 40
-    side = lambda old: p.select(
-        F.concat(F.lit("g/"), F.lit("O") if old else F.lit("N"), k.cast("string")).alias("owner"), F.lit("method").alias("kind"), F.concat(F.col("p_brand"), F.lit("_"), F.col("p_size").cast("string")).alias("name"),
-        F.concat(F.lit("(Lg/O" if old else "(Lg/N"), ((F.col("p_partkey") * 3) % 40).cast("string"), F.lit(";)V")).alias("desc"),
-    ).distinct()
-    return renames.match_classes(side(True), side(False))
-
-
-QUERIES["class_renames"] = class_renames
+    p = table(spark, d, "part").select("p_partkey", "p_brand", "p_size", (F.col("p_partkey") % 40).alias("k"))
+    k = F.col("k")
+
+    def side(s, other):
+        own = lambda c: F.concat(F.when(c % 4 == 0, other).otherwise("g/"), F.lit(s), c.cast("string"))
+        anchor = lambda c: F.concat(F.lit("g/K"), c.cast("string"))
+        ref = F.when(k < 25, anchor(F.col("p_size") % 10)).when(k < 33, own(k - 15)).otherwise(own(k - 8))
+        return p.select(
+            F.when(k < 10, anchor(k)).otherwise(own(k)).alias("owner"), F.when(F.col("p_size") % 2 == 0, "method").otherwise("field").alias("kind"), F.concat_ws("_", "p_brand", F.col("p_size").cast("string"), F.col("p_partkey").cast("string")).alias("name"),
+            F.concat(F.lit("(L"), ref, F.lit(";)V")).alias("desc"), "p_size",
+        )
+
+    return renames.match_classes(side("O", "g/").drop("p_size"), side("N", "h/").where("p_size % 11 <> 0").drop("p_size"))
