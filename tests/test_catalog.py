@@ -5,7 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tracewell.plans import bridge, catalog, domain
+from tracewell.plans import bridge, catalog, domain, reports
 
 DATA = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -23,7 +23,7 @@ def rows(values):
     return sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in values), key=str)
 
 
-QUERIES, ORACLE_SQL = catalog.QUERIES | domain.QUERIES | bridge.QUERIES, catalog.ORACLE_SQL | domain.ORACLE_SQL | bridge.ORACLE_SQL
+QUERIES, ORACLE_SQL = catalog.QUERIES | domain.QUERIES | bridge.QUERIES | reports.QUERIES, catalog.ORACLE_SQL | domain.ORACLE_SQL | bridge.ORACLE_SQL | reports.ORACLE_SQL
 
 
 @pytest.mark.parametrize("name", list(ORACLE_SQL))

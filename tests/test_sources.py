@@ -20,6 +20,15 @@ def test_tiny(spark, tmp_path):
     assert errors.count() == 1
 
 
+def test_escaped_names_of_tiny_files(spark, tmp_path):
+    body = "\\tescaped-names\\nc\\taa\\tmod/A\\\\tB\\\\\\\\n\\n\\tm\\t()V\\ta\\tx\\\\0y\\\\q\\n".encode().decode("unicode_escape")
+    (tmp_path / "a.tiny").write_text("tiny\t2\t0\tofficial\tnamed\n" + body)
+    (tmp_path / "b.tiny").write_text("tiny\t2\t0\tofficial\tnamed\n" + body.partition("\n")[2])
+    classes, members, errors = mappings.tiny_v2(mappings.lines(spark, str(tmp_path), "*.tiny"))
+    names = lambda df, k: sorted(r["names"][k] for r in df.collect())
+    assert names(classes, 1) == ["mod/A\tB\\n", "mod/A\\tB\\\\n"] and names(members, 1) == ["x\0yq", "x\\0y\\q"] and errors.count() == 0
+
+
 def test_proguard(spark, tmp_path):
     (tmp_path / "m.txt").write_bytes(PROGUARD.encode())
     classes, members = mappings.proguard(mappings.lines(spark, str(tmp_path)))

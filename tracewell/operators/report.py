@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,7 +29,10 @@ def decisions(df: DataFrame, by: Sequence[str], item: str, shown: int = 10) -> D
     listed = top.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x.cast("string")), ", ").alias("_s"))
     counts = df.groupBy(*by).agg(F.count("*").alias("n"), F.min(item).alias("first"))
     more = F.when(F.col("n") > shown, F.concat(F.lit(" (+"), (F.col("n") - shown).cast("string"), F.lit(" more)"))).otherwise("")
-    return counts.join(listed, list(by)).select(*by, "n", "first", F.concat("_s", more).alias("sites"))
+    # a null is a value of a group like any other
+    listed = listed.withColumnsRenamed({c: f"_{k}" for k, c in enumerate(by)})
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{k}")) for k, c in enumerate(by)])
+    return counts.join(listed, same).select(*by, "n", "first", F.concat("_s", more).alias("sites"))
 
 
 def annotate(findings: DataFrame, fixes: DataFrame, reasons: DataFrame, key: str, exact: Column) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.grammar import unescape_tiny
 from ..operators.renames import canonical_desc
 
 # Descriptors of the primitive types.
@@ -27,12 +28,15 @@ def tiny_v2(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(classes, members, errors) of tiny v2 files.
 
     classes(file, class_at, names), members(file, class_at, at, kind, desc, names); an empty
-    name is null.  A file without the header is an error row and gives nothing else.
+    name is null.  A file with the property ``escaped-names`` has its names unescaped from there on.  A file
+    without the header is an error row and gives nothing else.
     """
     cells = F.split("line", "\t", -1)
     head = rows.where("at = 0").select("file", (F.slice(cells, 1, 3) == F.array(F.lit("tiny"), F.lit("2"), F.lit("0"))).alias("ok"))
     good = rows.join(head.where("ok"), "file", "left_semi")
-    names = lambda skip: F.transform(F.slice(cells, skip + 1, F.greatest(F.size(cells) - skip, F.lit(0))), lambda x: F.when(x != "", x))
+    escapes = good.where((F.col("at") > 0) & F.col("line").rlike("^\t?escaped-names(\t|$)")).groupBy("file").agg(F.min("at").alias("_from"))
+    good = good.join(escapes, "file", "left").withColumn("_esc", F.coalesce(F.col("at") > F.col("_from"), F.lit(False)))
+    names = lambda skip: F.transform(F.slice(cells, skip + 1, F.greatest(F.size(cells) - skip, F.lit(0))), lambda x: F.when(x != "", F.when(F.col("_esc"), unescape_tiny(x)).otherwise(x)))
     marked = _owner(good.where("at > 0"), F.col("line").startswith("c\t"))
     classes = marked.where(F.col("line").startswith("c\t")).select("file", "class_at", names(1).alias("names"))
     member = F.regexp_extract("line", "^\t([mf])\t", 1)
