@@ -61,3 +61,9 @@ def capped(delta: DataFrame, order: Sequence[str], cap: int) -> DataFrame:
 def churn(keys: DataFrame, group: str, n: int) -> DataFrame:
     """The groups with the most rows, ties by name."""
     return keys.groupBy(group).agg(F.count("*").alias("n")).orderBy(F.desc("n"), group).limit(n)
+
+
+def desc_frequency(old: DataFrame, new: DataFrame, desc: str = "desc") -> DataFrame:
+    """Rows (desc, n_old, n_both): how often a descriptor occurs among the members of the old side, and of both."""
+    both = old.select(F.col(desc).alias("desc"), F.lit(1).alias("_o")).unionByName(new.select(F.col(desc).alias("desc"), F.lit(0).alias("_o")))
+    return both.groupBy("desc").agg(F.sum("_o").alias("n_old"), F.count("*").alias("n_both"))

@@ -201,6 +201,27 @@ def match_members(old: DataFrame, new: DataFrame, classes: DataFrame, target: Da
     return best.withColumn("score", S.round_half_up(raw, 3)).where(raw >= THRESHOLD).select(*key, "from", "to", "score")
 
 
+#: Fixed values of the pairing: a descriptor is common beyond the first, says nothing beyond the second.
+COMMON, USELESS = 20, 100
+
+
+def pair_members(removed: DataFrame, added: DataFrame, frequency: DataFrame, block: tuple[str, ...] = ("owner", "desc")) -> DataFrame:
+    """Rows (block .., old_name, new_name, score): the sole removed member of a block with the sole added one.
+
+    ``frequency(desc, f)``: how often a descriptor occurs; a common one scores 0.5 instead of 0.8, one that
+    occurs too often gives no pair.
+    """
+    sole = lambda df, name: df.groupBy(*block).agg(F.count("*").alias("n"), F.min("name").alias(name)).where("n = 1").drop("n")
+    met = sole(removed, "old_name").join(sole(added, "new_name"), list(block)).join(frequency, "desc").where(F.col("f") <= USELESS)
+    return met.select(*block, "old_name", "new_name", F.when(F.col("f") > COMMON, 0.5).otherwise(0.8).alias("score"))
+
+
+def best_of(entries: DataFrame, by: list[str], score: str, key: str) -> DataFrame:
+    """The entry with the highest score for each target, ties by the least key."""
+    best = entries.groupBy(*by).agg(F.min(F.struct((-F.col(score)).alias("o"), key, score)).alias("x"))
+    return best.select(*by, f"x.{key}", F.col(f"x.{score}").alias("score"))
+
+
 def merge_asserted(derived: DataFrame, asserted: DataFrame, old_names: DataFrame, new_names: DataFrame) -> DataFrame:
     """Derived and asserted class renames in one table, agreement noted on both.
 

@@ -41,6 +41,29 @@ def annotate(findings: DataFrame, fixes: DataFrame, reasons: DataFrame, key: str
     return out.withColumn("withheld", F.when(F.col("fix").isNull() & exact, F.col("reason"))).drop("reason")
 
 
+def apply_summary(findings: DataFrame, by: str) -> DataFrame:
+    """Rows (by, total, applied, left_for_review) of annotated findings; the last two add up to the first."""
+    return findings.groupBy(by).agg(F.count("*").alias("total"), F.count("fix").alias("applied"), F.count_if(F.col("fix").isNull()).alias("left_for_review"))
+
+
+def withheld_by_file(findings: DataFrame, file: str, line: str) -> DataFrame:
+    """Rows (file, items) of annotated findings that were withheld: structs (line, reason) in that order, no line as 0."""
+    item = F.struct(F.coalesce(line, F.lit(0)).alias("line"), F.col("withheld").alias("reason"))
+    kept = findings.where("withheld is not null")
+    return kept.groupBy(F.coalesce(file, F.lit("")).alias("file")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+
+
+def newest(builds: DataFrame, by: str, at: str, key: str) -> DataFrame:
+    """Rows (by, key, at): the latest build of each, ties by the least key."""
+    best = builds.groupBy(by).agg(F.max(at).alias(at), F.max(F.struct(at, (-F.col(key)).alias("k"))).alias("x"))
+    return best.select(by, (-F.col("x.k")).alias(key), at)
+
+
+def plan_rules(edits: DataFrame) -> DataFrame:
+    """Rows (rule, n) of the edits that are certain; rules without any are left out (A4)."""
+    return edits.where("level = 'EXACT'").groupBy("rule").agg(F.count("*").alias("n"))
+
+
 def first_wins(parts: Sequence[DataFrame], key: str) -> DataFrame:
     """Union of sources where the earlier source wins a key; an aggregation, not a window."""
     ranked = None

@@ -130,8 +130,7 @@ def delta_summary(spark, d):
 @query(f'WITH {_SURFACE} SELECT "desc", count(*) FILTER (snap = \'A\') AS n_old, count(*) AS n_both FROM surface GROUP BY "desc"')
 def desc_frequency(spark, d):
     """How often each descriptor occurs, in one snapshot and in both."""
-    both = surface(spark, d, "A").withColumn("old", F.lit(1)).unionByName(surface(spark, d, "B").withColumn("old", F.lit(0)))
-    return both.groupBy("desc").agg(F.sum("old").alias("n_old"), F.count("*").alias("n_both"))
+    return diff.desc_frequency(surface(spark, d, "A"), surface(spark, d, "B"))
 
 
 @query(f"""WITH {_DIFF}, p AS (SELECT *, row_number() OVER (PARTITION BY list ORDER BY owner, name, "desc") AS pos, count(*) OVER (PARTITION BY list) AS total FROM delta)
@@ -210,10 +209,7 @@ SELECT owner, "desc", old_name, new_name, CASE WHEN f > 20 THEN 0.5 ELSE 0.8 END
 def member_pairing(spark, d):
     """The sole removed and the sole added member of an (owner, descriptor) block."""
     delta = member_diff(spark, d)
-    old, new = delta.where("list = 'removed'"), delta.where("list = 'added'")
-    sole = lambda df, name: df.groupBy("owner", "desc").agg(F.count("*").alias("n"), F.min("name").alias(name)).where("n = 1").drop("n")
-    met = sole(old, "old_name").join(sole(new, "new_name"), ["owner", "desc"]).join(_frequency(spark, d), "desc").where("f <= 100")
-    return met.select("owner", "desc", "old_name", "new_name", F.when(F.col("f") > 20, 0.5).otherwise(0.8).alias("score"))
+    return renames.pair_members(delta.where("list = 'removed'"), delta.where("list = 'added'"), _frequency(spark, d))
 
 
 @query(f"""WITH {_BLOCKS}, x AS (SELECT owner, "desc", rem.name AS old_name, adds.name AS new_name,
@@ -395,8 +391,7 @@ def wildcard_ground(spark, d):
 @query("""SELECT c_nationkey, c_mktsegment, arg_min(c_custkey, (-c_acctbal, c_custkey)) AS c_custkey, max(c_acctbal) AS score FROM customer GROUP BY ALL""")
 def dedupe_candidates(spark, d):
     """The best candidate per target, ties by key."""
-    best = table(spark, d, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.min(F.struct((-F.col("c_acctbal")).alias("o"), "c_custkey", "c_acctbal")).alias("x"))
-    return best.select("c_nationkey", "c_mktsegment", "x.c_custkey", F.col("x.c_acctbal").alias("score"))
+    return renames.best_of(table(spark, d, "customer"), ["c_nationkey", "c_mktsegment"], "c_acctbal", "c_custkey")
 
 
 @query("""SELECT c_nationkey, segment, c_custkey, score FROM (SELECT c_nationkey, c_mktsegment AS segment, c_custkey, c_acctbal AS score,
@@ -411,8 +406,7 @@ def preference_first(spark, d):
 @query("SELECT o_custkey, arg_min(o_orderkey, (-epoch_us(o_orderdate), o_orderkey)) AS o_orderkey, max(o_orderdate) AS o_orderdate FROM orders GROUP BY o_custkey")
 def newest_build(spark, d):
     """The latest order of each customer, ties by key."""
-    best = table(spark, d, "orders").groupBy("o_custkey").agg(F.max("o_orderdate").alias("o_orderdate"), F.max(F.struct("o_orderdate", (-F.col("o_orderkey")).alias("k"))).alias("x"))
-    return best.select("o_custkey", (-F.col("x.k")).alias("o_orderkey"), "o_orderdate")
+    return report.newest(table(spark, d, "orders"), "o_custkey", "o_orderdate", "o_orderkey")
 
 
 @query("""SELECT id, arg_min(name, source) AS name, min(source)::INTEGER AS source FROM (SELECT c_custkey AS id, c_name AS name, 0 AS source FROM customer
@@ -458,7 +452,17 @@ SELECT o_orderpriority, count(*) AS total, count(*) FILTER (applied) AS applied,
 def apply_summary(spark, d):
     """Applied and left add up to the total."""
     out = apply_annotate(spark, d).join(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey")
-    return out.groupBy("o_orderpriority").agg(F.count("*").alias("total"), F.count("fix").alias("applied"), F.count_if(F.col("fix").isNull()).alias("left_for_review"))
+    return report.apply_summary(out, "o_orderpriority")
+
+
+@query("""WITH r AS (SELECT o_orderkey, o_orderpriority AS file, o_custkey % 10 AS line FROM orders WHERE o_orderstatus = 'F' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A')),
+w AS (SELECT r.*, 'returned by ' || min(l_suppkey) AS reason FROM r JOIN lineitem ON l_orderkey = o_orderkey AND l_returnflag = 'R' GROUP BY r.o_orderkey, file, line)
+SELECT file, string_agg(line || ':' || reason, ' ' ORDER BY line, reason) AS items FROM w GROUP BY file""")
+def withheld_reasons(spark, d):
+    """Why exact findings of each file were not applied."""
+    where = table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("file"), (F.col("o_custkey") % 10).alias("line"))
+    rows = report.withheld_by_file(apply_annotate(spark, d).join(where, "o_orderkey"), "file", "line")
+    return rows.select("file", F.array_join(F.transform("items", lambda x: F.concat(x["line"].cast("string"), F.lit(":"), x["reason"])), " ").alias("items"))
 
 
 # -- spans and text --------------------------------------------------------------------------

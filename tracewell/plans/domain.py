@@ -19,21 +19,25 @@ QUERIES, ORACLE_SQL, query = registry()
 
 # -- descriptors and members -----------------------------------------------------------------
 
-@query("""SELECT p_partkey, CASE WHEN p_size % 7 = 0 OR p_partkey % 5 >= 3 THEN NULL ELSE '(Lm/B' || (p_partkey % 5) || ';[[Lx/C' || (p_size % 3) || ';)V' END AS translated FROM part""")
+@query("""WITH m AS (SELECT DISTINCT p_brand AS f, 'm/' || reverse(p_brand) AS t FROM part WHERE p_size > 47), x AS (SELECT p_partkey, p_type, p_size, p_brand, t FROM part LEFT JOIN m ON f = p_brand)
+SELECT p_partkey, CASE WHEN p_size % 7 = 0 OR t IS NULL THEN NULL ELSE '(L' || t || ';[[Lx/' || p_type || ';' || repeat('I', p_size % 3) || ')L' || t || ';' END AS translated FROM x""")
 def descriptor_translate(spark, d):
     """Descriptors in other names, null where a class of ours has none or the text is broken (X-s4)."""
-    k, n = F.col("p_partkey") % 5, F.col("p_size") % 3
-    desc = F.when(F.col("p_size") % 7 == 0, F.concat(F.lit("(Ls/B"), k.cast("string"))).otherwise(F.format_string("(Ls/B%d;[[Lx/C%d;)V", k, n))
-    names = spark.range(3).select(F.format_string("s/B%d", "id").alias("from"), F.format_string("m/B%d", "id").alias("to"))
-    parts = table(spark, d, "part").select("p_partkey", "p_size").withColumn("desc", desc)
+    part = table(spark, d, "part")
+    brand, type_, size = F.col("p_brand"), F.col("p_type"), F.col("p_size")
+    whole = F.concat(F.lit("(Ls/"), brand, F.lit(";[[Lx/"), type_, F.lit(";"), F.repeat(F.lit("I"), size % 3), F.lit(")Ls/"), brand, F.lit(";"))
+    names = part.where("p_size > 47").select(F.concat(F.lit("s/"), brand).alias("from"), F.concat(F.lit("m/"), F.reverse(brand)).alias("to")).distinct()
+    parts = part.select("p_partkey", F.when(size % 7 == 0, F.concat(F.lit("(Ls/"), brand)).otherwise(whole).alias("desc"))
     return members.translate_desc(parts, names, "s/").select("p_partkey", "translated")
 
 
-@query("""SELECT p_partkey, '(L' || CASE WHEN p_partkey % 4 < 2 THEN 'new/T' ELSE 'old/T' END || (p_partkey % 4) || ';ILq/U;)Lold/T' || '9;' AS "desc" FROM part""")
+@query("""WITH m AS (SELECT DISTINCT p_brand AS f, 'new/' || lower(p_brand) AS t FROM part WHERE p_size > 47)
+SELECT p_partkey, '(L' || coalesce(t, p_brand) || ';IL' || p_type || ';)[L' || coalesce(t, p_brand) || ';' AS "desc" FROM part LEFT JOIN m ON f = p_brand""")
 def canonical_descriptors(spark, d):
     """Class names inside descriptors renamed where there is an entry (X-s5)."""
-    names = spark.range(2).select(F.format_string("old/T%d", "id").alias("from"), F.format_string("new/T%d", "id").alias("to"))
-    parts = table(spark, d, "part").select("p_partkey", F.format_string("(Lold/T%d;ILq/U;)Lold/T9;", F.col("p_partkey") % 4).alias("desc"))
+    part = table(spark, d, "part")
+    names = part.where("p_size > 47").select(F.col("p_brand").alias("from"), F.concat(F.lit("new/"), F.lower("p_brand")).alias("to")).distinct()
+    parts = part.select("p_partkey", F.concat(F.lit("(L"), "p_brand", F.lit(";IL"), "p_type", F.lit(";)[L"), "p_brand", F.lit(";")).alias("desc"))
     return renames.canonical_desc(parts, names).select("p_partkey", "desc")
 
 
@@ -352,7 +356,7 @@ def plan_summary(spark, d):
 @query("""SELECT l_linenumber AS rule, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY l_linenumber""")
 def plan_rules(spark, d):
     """Certain edits by rule, rules without any left out (A4)."""
-    return table(spark, d, "lineitem").where("l_returnflag = 'A'").groupBy(F.col("l_linenumber").alias("rule")).agg(F.count("*").alias("n"))
+    return report.plan_rules(table(spark, d, "lineitem").select(F.when(F.col("l_returnflag") == "A", "EXACT").otherwise("REVIEW").alias("level"), F.col("l_linenumber").alias("rule")))
 
 
 @query("""SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY coalesce(event_type, ''), epoch_us(ts), CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END, event_id)::INTEGER AS pos FROM events""")
@@ -388,23 +392,24 @@ def delta_markdown(spark, d):
 
 # -- grammars --------------------------------------------------------------------------------
 
-_SELECTORS = """x AS (SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'La/B;m' || p_size || '(I[La/C;)V' WHEN 1 THEN 'La.b.C;f:I' WHEN 2 THEN 'tick*' WHEN 3 THEN 'La/B;' WHEN 4 THEN 'm(La/B)V' WHEN 5 THEN ' m ( I ) V {2}' WHEN 6 THEN 'f:V' ELSE '9bad' END AS raw FROM part)"""
+_PARTS = """x AS (SELECT p_partkey, p_size % 3 > 0 AS owned, p_size % 5 = 0 AS typed, p_size % 7 = 0 AS again, p_size % 11 = 0 AS broken, p_size % 13 = 0 AS starred,
+  'a/' || split_part(p_name, ' ', 1) AS o, split_part(p_name, ' ', 2) || p_size AS m, 'L' || lower(p_type) || ';' AS t, (p_partkey % 4)::INTEGER AS k FROM part)"""
 
 
-def _selectors(spark, d):
-    k = F.col("p_partkey") % 8
-    raw = F.concat(F.lit("La/B;m"), F.col("p_size").cast("string"), F.lit("(I[La/C;)V"))
-    for n, text in enumerate(["La.b.C;f:I", "tick*", "La/B;", "m(La/B)V", " m ( I ) V {2}", "f:V", "9bad"], 1):
-        raw = F.when(k == n, text).otherwise(raw)
-    return table(spark, d, "part").select("p_partkey", raw.alias("raw"))
-
-
-@query(f"""WITH {_SELECTORS} SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'method' WHEN 1 THEN 'field' WHEN 5 THEN 'method' ELSE 'unknown' END AS kind, CASE p_partkey % 8 WHEN 0 THEN 'a/B' WHEN 1 THEN 'a/b/C' END AS owner,
- CASE p_partkey % 8 WHEN 0 THEN substr(raw, 6, strpos(raw, '(') - 6) WHEN 1 THEN 'f' WHEN 2 THEN 'tick*' WHEN 5 THEN 'm' END AS name, CASE p_partkey % 8 WHEN 0 THEN '(I[La/C;)V' WHEN 1 THEN 'I' WHEN 5 THEN '(I)V' END AS "desc",
- CASE p_partkey % 8 WHEN 3 THEN 'owner without a member' WHEN 4 THEN 'bad method descriptor' WHEN 6 THEN 'bad field type' WHEN 7 THEN 'bad member name' END AS error, CASE WHEN p_partkey % 8 = 5 THEN '{{2}}' END AS quantifier, p_partkey % 8 = 2 AS wildcard FROM x""")
+@query(f"""WITH {_PARTS} SELECT p_partkey, CASE WHEN broken OR starred THEN 'unknown' WHEN typed THEN 'field' ELSE 'method' END AS kind, CASE WHEN NOT broken AND owned THEN o END AS owner, CASE WHEN broken THEN NULL WHEN starred THEN left(m, 2) || '*' ELSE m END AS name,
+  CASE WHEN broken OR starred THEN NULL WHEN typed THEN t ELSE '(' || repeat(t, k) || 'I)V' END AS "desc", CASE WHEN broken THEN CASE WHEN typed THEN 'bad field type' ELSE 'bad method descriptor' END END AS error,
+  CASE WHEN again THEN '{{' || k || '}}' END AS quantifier, starred AND NOT broken AS wildcard FROM x""")
 def selectors(spark, d):
-    """Selectors of members, with quantifiers and wildcards (X-s20, X-s21, X-s22)."""
-    return _selectors(spark, d).withColumn("s", G.method_spec(F.col("raw"))).select("p_partkey", "s.info.*", "s.quantifier", "s.wildcard")
+    """Selectors of members made of names and types of parts: owners, descriptors, quantifiers, wildcards and broken ends (X-s20, X-s21, X-s22)."""
+    size, k = F.col("p_size"), (F.col("p_partkey") % 4).cast("int")
+    first, second = (F.split_part(F.col("p_name"), F.lit(" "), F.lit(i)) for i in (1, 2))
+    type_ = F.concat(F.lit("L"), F.lower("p_type"), F.lit(";"))
+    name, starred, broken, typed = F.concat(second, size.cast("string")), size % 13 == 0, size % 11 == 0, size % 5 == 0
+    tail = F.when(typed, F.concat(F.lit(":"), F.when(broken, F.substr(type_, F.lit(1), F.length(type_) - 1)).otherwise(type_))).otherwise(F.concat(F.lit("("), F.repeat(type_, k), F.lit("I)"), F.when(broken, "Q").otherwise("V")))
+    raw = F.concat(
+        F.when(size % 3 > 0, F.concat(F.lit("La/"), first, F.lit(";"))).otherwise(""), F.when(starred & ~broken, F.concat(F.left(name, F.lit(2)), F.lit("*"))).otherwise(F.concat(name, tail)), F.when(size % 7 == 0, F.concat(F.lit(" {"), k.cast("string"), F.lit("}"))).otherwise(""),
+    )
+    return table(spark, d, "part").select("p_partkey", G.method_spec(raw).alias("s")).select("p_partkey", "s.info.*", "s.quantifier", "s.wildcard")
 
 
 @query(r"""WITH x AS (SELECT p_partkey, 'get' || p_brand AS a, 'invoke_' || p_brand AS b, 'a.b' || p_partkey || '.Outer.In' || p_size AS c, 'o/X$In$D' || p_size AS e, p_name || '|' || p_type || chr(10) || '`x`' AS f, 'a\nb\\' || p_size || '\q' AS g, '../' || p_name AS h FROM part)
@@ -454,12 +459,13 @@ def text_rules(spark, d):
     return table(spark, d, "nation").select("n_name", G.loc_text(n, F.when(r % 2 == 0, r)).alias("loc"), G.fixed(n / 8.0, 3).alias("fixed"), G.is_constant_like(F.col("n_name")).alias("constant"), G.is_class_like(F.col("n_name")).alias("class_like"), G.edit_similarity(F.col("n_name"), F.lit("BRAZIL")).alias("edit"))
 
 
-@query("""WITH x AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN '(La/B' WHEN 1 THEN '(I' WHEN 2 THEN '(ILa;[[J)V' WHEN 3 THEN 'I' WHEN 4 THEN '()V' ELSE '([La/L;D)La;' END AS "desc" FROM part)
-SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN -1 WHEN 1 THEN 1 WHEN 2 THEN 3 WHEN 3 THEN -1 WHEN 4 THEN 0 ELSE 2 END::BIGINT AS n, p_partkey % 6 IN (2, 4, 5) AS valid FROM x""")
+@query("""SELECT o_orderkey, count(l_orderkey)::BIGINT AS n, o_custkey % 5 > 0 AS valid FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey""")
 def descriptor_rules(spark, d):
-    """Argument counts of broken descriptors too, and which are well formed (X-s6, X-s22)."""
-    pick = F.element_at(F.array(*[F.lit(x) for x in ("(La/B", "(I", "(ILa;[[J)V", "I", "()V", "([La/L;D)La;")]), (F.col("p_partkey") % 6 + 1).cast("int"))
-    return table(spark, d, "part").select("p_partkey", S.arity(pick).alias("n"), G.valid_method_desc(pick).alias("valid"))
+    """Argument counts and validity of descriptors with an argument for each line of an order, some without a return type (X-s6, X-s22)."""
+    code = F.when(F.col("l_returnflag") == "A", "I").when(F.col("l_returnflag") == "N", "[[J").otherwise(F.concat(F.lit("Lx/S"), F.col("l_suppkey").cast("string"), F.lit(";")))
+    args = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", code.alias("c")))), lambda x: x["c"]), "").alias("args"))
+    desc = F.concat(F.lit("("), "args", F.when(F.col("o_custkey") % 5 == 0, ")").otherwise(")V"))
+    return table(spark, d, "orders").join(args, "o_orderkey").select("o_orderkey", S.arity(desc).alias("n"), G.valid_method_desc(desc).alias("valid"))
 
 
 def _rounds_sql(rounds: int = 4) -> str:
