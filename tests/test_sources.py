@@ -78,3 +78,30 @@ def test_archives_and_classes(spark, tmp_path):
     assert archives.pinned(files, pins).first()["reason"] is None
     assert archives.pinned(files, pins.withColumn("sha1", F.lit("0"))).first()["reason"] == "hash differs"
     assert archives.catalog(spark, str(tmp_path)).count() == 2
+
+
+def test_archive_entries_and_what_is_wrong_with_them(spark):
+    def archive(*rows, comment=b""):
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w") as z:
+            z.comment = comment
+            for name, data, kind in rows:
+                z.writestr(zipfile.ZipInfo(name), data, kind)
+        return buffer.getvalue()
+
+    big = bytes(range(256)) * 60000
+    good = archive(("a.txt", b"hello", zipfile.ZIP_STORED), ("d/", b"", zipfile.ZIP_STORED), ("big.bin", big, zipfile.ZIP_DEFLATED), ("é.txt", b"", zipfile.ZIP_DEFLATED), ("META-INF/x", b"no", zipfile.ZIP_STORED), comment=b"PK\x05 or so")
+    twice = archive(("n", b"first", zipfile.ZIP_STORED), ("n", b"second", zipfile.ZIP_DEFLATED))
+    at = good.rfind(b"PK\x01\x02", 0, good.rfind(b"big.bin"))  # the directory entry of big.bin
+    wrong_crc = good[: at + 16] + b"\x00\x00\x00\x00" + good[at + 20 :]
+    wrong_size = good[: at + 24] + b"\x07\x00\x00\x00" + good[at + 28 :]
+    wrong_method = good[: at + 10] + b"\x0c\x00" + good[at + 12 :]
+    cases = {"good": good, "twice": twice, "crc": wrong_crc, "size": wrong_size, "method": wrong_method, "none": b"nothing", "null": None, "empty": archive(), "cut": good[:40] + good[at - 50 :]}
+    files = spark.createDataFrame([(k, v if v is None else bytearray(v)) for k, v in cases.items()], "path string, content binary")
+    out = {(r["path"], r["name"]): (r["data"] and bytes(r["data"]), r["error"]) for r in archives.entries(files).collect()}
+    fine = {("a.txt"): b"hello", "big.bin": big, "é.txt": b""}
+    for path in ("good", "crc"):  # check sums are not compared
+        assert {n: (out[path, n][0] or b"", out[path, n][1]) for p, n in out if p == path} == {n: (d, None) for n, d in fine.items()}
+    assert out["twice", "n"] == (b"second", None) and not any(p == "empty" for p, _ in out)
+    assert out["size", "big.bin"][1] == "size differs" and out["method", "big.bin"][1] == "compression method 12" and out["size", "a.txt"] == (b"hello", None)
+    assert out["none", None][1] == out["null", None][1] == "no central directory" and all(e is not None for (p, _), (_, e) in out.items() if p == "cut")

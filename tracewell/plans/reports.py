@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..operators import ground, merge
+from ..sources import archives
 from .domain import _ASKED, _TREE, _tree_world
 from .session import checkpointing, registry, table
 
@@ -86,6 +88,29 @@ def target_grounding(spark, d):
     return ground.ground_targets(checks, classes, pool).select("check", "verdict", "matches", F.size("candidates").cast("long").alias("shown"), F.concat(best["owner"], F.lit("#"), best["name"], best["desc"]).alias("first"), best["score"].alias("score"), "reason")
 
 
+def _zipped(batches):
+    """An archive of every batch of (name, data, stored)."""
+    import io
+    import zipfile
+
+    for batch in batches:
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w") as z:
+            for name, data, stored in zip(*(c.to_pylist() for c in batch.columns)):
+                z.writestr(zipfile.ZipInfo(name), data, zipfile.ZIP_STORED if stored else zipfile.ZIP_DEFLATED)
+        if batch.num_rows:
+            yield pa.record_batch({"path": pa.array([batch.column(0)[0].as_py()]), "content": pa.array([buffer.getvalue()], pa.binary())})
+
+
+@query("""SELECT 'p/' || page_id || '.html' AS name, octet_length(encode(coalesce(html, '')))::BIGINT AS size, CASE WHEN page_id % 3 = 0 THEN 0 ELSE 8 END::INTEGER AS method, sha256(coalesce(html, '')) AS digest FROM pages""")
+def archive_entries(spark, d):
+    """Pages written to zip archives, read back by their central directories and inflated by size."""
+    page = F.col("page_id")
+    rows = table(spark, d, "pages").select(F.concat(F.lit("p/"), page.cast("string"), F.lit(".html")).alias("name"), F.coalesce("html", F.lit("")).cast("binary").alias("data"), (page % 3 == 0).alias("stored"))
+    files = rows.mapInArrow(_zipped, "path string, content binary")
+    return archives.entries(files).select("name", "size", "method", F.sha2("data", 256).alias("digest"))
+
+
 @query("""WITH x AS (SELECT o_custkey % 37 AS n0, o_orderkey % 29 AS a, o_orderkey % 31 AS b, o_orderkey FROM orders), y AS (SELECT o_orderkey, n0 AS n, least(a, n0) AS a, least(b, n0) AS b FROM x)
 SELECT o_orderkey, CASE WHEN n >= 3 AND b >= 0.25 * n AND b > a THEN 'source' ELSE 'named' END AS namespace, n >= 3 AND b >= 0.25 * n AND b > a AS autodetected,
 CASE WHEN n = 0 THEN NULL WHEN n >= 3 AND b >= 0.25 * n AND b > a THEN 'detected source: ' || b || '/' || n || ' names against ' || a || '/' || n || ' under named' WHEN a >= 0.25 * n AND a >= 4 * greatest(b, 1) THEN NULL

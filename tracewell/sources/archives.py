@@ -5,9 +5,8 @@ Spark lists and reads the files; a small helper decodes one archive or class ins
 
 from __future__ import annotations
 
-import io
 import struct
-import zipfile
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -36,32 +35,118 @@ def pinned(files: DataFrame, pins: DataFrame) -> DataFrame:
     return met.select("path", reason.alias("reason"), F.when(reason.isNull(), F.col("content")).alias("content"))
 
 
-def _unzip(suffix: str, skip: tuple[str, ...]):
+# Fixed values of the zip format: signatures, and the fields that are read at their places behind one.
+END, CENTRAL, LOCAL = b"PK\x05\x06", b"PK\x01\x02", b"PK\x03\x04"
+END_FIELDS, CENTRAL_FIELDS, LOCAL_FIELDS = "<10xHII", "<8xHH4xIIIHHH8xI", "<26xHH"
+STORED, DEFLATED = 0, 8
+#: Compressed bytes that one task inflates, and bytes of a batch.
+DEALT, BATCH = 4 << 20, 8 << 20
+_PACKED = "path string, name string, size long, method int, crc long, bin int, packed binary, error string"
+
+
+def central_directory(raw: memoryview) -> list[tuple[str, int, int, int, int, int, int]]:
+    """(name, flags, method, crc, packed size, size, offset of the local header) of each entry; the last of a name counts.
+
+    Raises ValueError where there is no directory, where it is cut off, or where it is one of the 64-bit kind.
+    """
+    at = bytes(raw[-65557:]).rfind(END)
+    if at < 0 or len(raw) < 22:
+        raise ValueError("no central directory")
+    at += max(0, len(raw) - 65557)
+    if at + struct.calcsize(END_FIELDS) > len(raw):
+        raise ValueError("the end of the central directory is cut off")
+    count, _, start = struct.unpack_from(END_FIELDS, raw, at)
+    if count == 0xFFFF or start == 0xFFFFFFFF:
+        raise ValueError("a 64-bit archive")
+    found = {}
+    for _ in range(count):
+        if raw[start : start + 4] != CENTRAL or start + 46 > len(raw):
+            raise ValueError("broken central directory")
+        flags, method, crc, packed, size, names, extra, comment, offset = struct.unpack_from(CENTRAL_FIELDS, raw, start)
+        name = bytes(raw[start + 46 : start + 46 + names]).decode("utf-8" if flags & 0x800 else "cp437", "replace")
+        found[name] = (name, flags, method, crc, packed, size, offset)
+        start += 46 + names + extra + comment
+    return list(found.values())
+
+
+def _packed(suffix: str, skip: tuple[str, ...]):
+    """Entries as they stand in the archive, with a number for each DEALT bytes of it."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        size = 0
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                rows = []
+                raw = memoryview(content.as_buffer()).cast("B") if content.is_valid else memoryview(b"")
+                total = 0
                 try:
-                    with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
-                        last = {i.filename: i for i in z.infolist()}  # of repeated names the last one counts
-                        for name, i in last.items():
-                            if not name.endswith(suffix) or name.startswith(skip) or i.is_dir():
-                                continue
-                            try:
-                                rows.append((path, name, i.file_size, i.compress_type, i.CRC, z.read(i), None))
-                            except (zipfile.BadZipFile, NotImplementedError, OSError) as e:
-                                rows.append((path, name, i.file_size, i.compress_type, i.CRC, None, str(e)))
-                except zipfile.BadZipFile as e:
-                    rows.append((path, None, None, None, None, None, str(e)))
-                kinds = (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.string())
-                yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["path", "name", "size", "method", "crc", "data", "error"])
+                    listed = central_directory(raw)
+                except ValueError as e:
+                    rows.append((path, None, None, None, None, 0, None, str(e)))
+                    continue
+                for name, flags, method, crc, packed, whole, offset in listed:
+                    if not name.endswith(suffix) or name.startswith(skip) or name.endswith("/"):
+                        continue
+                    head = raw[offset : offset + 30]
+                    error = "encrypted" if flags & 1 else "no local header" if len(head) < 30 or head[:4] != LOCAL else None
+                    data = None
+                    if error is None:
+                        begin = offset + 30 + sum(struct.unpack_from(LOCAL_FIELDS, head))
+                        data = bytes(raw[begin : begin + packed])
+                        error = "cut off" if len(data) < packed else None
+                    rows.append((path, name, whole, method, crc, total // DEALT, data if error is None else None, error))
+                    total += packed
+                    size += packed
+                    if size >= BATCH:
+                        yield _rows(rows, _PACKED)
+                        rows, size = [], 0
+        if rows:
+            yield _rows(rows, _PACKED)
 
     return run
 
 
+def _inflate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries with their bytes; as they were found, those of another size are errors, check sums are not compared."""
+    rows: list[tuple] = []
+    size = 0
+    for batch in batches:
+        for path, name, whole, method, crc, packed, error in zip(*(batch.column(c) for c in ("path", "name", "size", "method", "crc", "packed", "error")), strict=True):
+            data, why = None, error.as_py()
+            if why is None:
+                data = packed.as_py()
+                if method.as_py() == DEFLATED:
+                    try:
+                        data = zlib.decompressobj(-15).decompress(data, whole.as_py() + 1)
+                    except zlib.error as e:
+                        data, why = None, str(e)
+                elif method.as_py() != STORED:
+                    data, why = None, f"compression method {method.as_py()}"
+                if data is not None and len(data) != whole.as_py():
+                    data, why = None, "size differs"
+            rows.append((path.as_py(), name.as_py(), whole.as_py(), method.as_py(), crc.as_py(), data, why))
+            size += len(data or b"")
+            if size >= BATCH:
+                yield _rows(rows, _ENTRY)
+                rows, size = [], 0
+    if rows:
+        yield _rows(rows, _ENTRY)
+
+
+def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.record_batch([pa.array([r[k] for r in rows], kinds[kind]) for k, (_, kind) in enumerate(fields)], [name for name, _ in fields])
+
+
 def entries(files: DataFrame, suffix: str = "", skip: tuple[str, ...] = ("META-INF/",)) -> DataFrame:
-    """Entries of zip archives given as ``files(path, content)``; broken ones are error rows."""
-    return files.select("path", "content").mapInArrow(_unzip(suffix, skip), _ENTRY)
+    """Entries of zip archives given as ``files(path, content)``; broken archives and entries are error rows.
+
+    One pass cuts archives at their central directory, without inflating anything; entries are then dealt by their
+    compressed size, so that a large archive is inflated by many tasks.
+    """
+    cut = files.select("path", "content").mapInArrow(_packed(suffix, skip), _PACKED)
+    return cut.repartition("path", "bin").mapInArrow(_inflate, _ENTRY)
 
 
 def parse_class(data: bytes) -> dict:
