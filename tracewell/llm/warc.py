@@ -233,11 +233,11 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """
     digest = F.sha2(F.col("html"), 256)
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("html"))
-    keyed = slim.withColumn("digest", digest)
-    long = keyed.where((F.length("html") >= REVISIT_BYTES) & F.col("page_id").isNotNull())
-    repeated = long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    refers = F.when((F.length("html") >= REVISIT_BYTES) & (F.col("page_id") > F.col("first")), F.col("first"))
-    rows = keyed.join(repeated, "digest", "left").select("page_id", "url", "html", "digest", refers.alias("refers_to"))
+    # who refers to whom is found without payloads; these then meet it by page, so that no digest gathers them
+    short = slim.where((F.length("html") >= REVISIT_BYTES) & F.col("page_id").isNotNull()).select("page_id", digest.alias("digest"))
+    repeated = short.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    revisits = short.join(repeated, "digest").where("page_id > first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
+    rows = slim.withColumn("digest", digest).join(materialise(revisits, "revisits"), ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
     return materialise(rows.mapInArrow(_write(folder), "file string, records long"), "warc-files")
 
 
