@@ -38,9 +38,10 @@ def running(df: DataFrame, by: str, order: Sequence[Column], values: dict[str, t
     end = 0 if inclusive else -1
     plain = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     with_plain = lambda rows: rows.withColumns({n: _over(k, v, plain) for n, (k, v) in values.items()})
-    large = stored(df.groupBy(F.col(by).alias("_k")).agg(F.count("*").alias("_n")).where(F.col("_n") > hot).select("_k"))
+    large = df.groupBy(F.col(by).alias("_k")).agg(F.count("*").alias("_n")).where(F.col("_n") > hot).select("_k")
     if large.isEmpty():
         return with_plain(df)
+    large = stored(large)
     same = F.col(by).eqNullSafe(F.col("_k"))
     # a file of the range is a part of the key; written, so that its number stays what it is
     parts = df.join(large, same, "left_semi").repartitionByRange(F.col(by), *order).withColumn("_part", F.spark_partition_id())
