@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,13 +101,16 @@ def as_json(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.withColumn("json", F.to_json(F.struct(*keys), {"ignoreNullFields": "true"}))
 
 
-def delta_markdown(delta: DataFrame, hot: int = 10, shown: int = 80) -> DataFrame:
+def delta_markdown(delta: DataFrame, hot: int = 10, shown: int = 80, renames: DataFrame | None = None, named: int = 60, prefixes: Sequence[str] = ()) -> DataFrame:
     """Rows (section, pos, line) of a report on ``delta(list, owner, name, desc, new_desc)``.
 
-    summary: the length of each list; churn: the packages that lost most; changed: the first
-    descriptor changes, and how many more there are.  Lists are cut by rank, which Spark
-    bounds before it sorts.
+    summary: the length of each list; churn: the packages that lost most; renames: the first of ``renames(from, to,
+    score)``; changed and removed: the first descriptor changes and removed members; where a list is longer, how
+    many more there are.  With ``prefixes`` only owners that begin with one count.  Lists are cut by rank, which
+    Spark bounds before it sorts.
     """
+    if prefixes:
+        delta = delta.where(reduce(or_, [F.col("owner").startswith(p) for p in prefixes]))
     dotted = lambda c: F.translate(c, "/", ".")
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
     lists = tally(delta, "list", ["added", "removed", "descChanged"])
@@ -118,5 +121,16 @@ def delta_markdown(delta: DataFrame, hot: int = 10, shown: int = 80) -> DataFram
     changes = delta.where("list = 'descChanged'")
     first = changes.orderBy("owner", "name", "desc").limit(shown).withColumn("pos", F.row_number().over(order.orderBy("owner", "name", "desc")))
     changed = first.select(F.lit("changed").alias("section"), "pos", text("- `", dotted(F.col("owner")), "#", F.col("name"), "` was `", F.col("desc"), "` now `", F.col("new_desc"), "`").alias("line"))
-    more = changes.agg((F.count("*") - shown).alias("k")).where("k > 0").select(F.lit("changed").alias("section"), F.lit(shown + 1).alias("pos"), text("- and ", F.col("k"), " more").alias("line"))
-    return summary.unionByName(churn).unionByName(changed).unionByName(more)
+
+    def more(rows: DataFrame, section: str, cap: int) -> DataFrame:
+        return rows.agg((F.count("*") - cap).alias("k")).where("k > 0").select(F.lit(section).alias("section"), F.lit(cap + 1).alias("pos"), text("- and ", F.col("k"), " more").alias("line"))
+
+    gone = delta.where("list = 'removed'")
+    top = gone.orderBy("owner", "name", "desc").limit(shown).withColumn("pos", F.row_number().over(order.orderBy("owner", "name", "desc")))
+    removed = top.select(F.lit("removed").alias("section"), "pos", text("- `", dotted(F.col("owner")), "#", F.col("name"), F.col("desc"), "`").alias("line"))
+    out = summary.unionByName(churn).unionByName(changed).unionByName(more(changes, "changed", shown)).unionByName(removed).unionByName(more(gone, "removed", shown))
+    if renames is not None:
+        best = renames.orderBy("from", "to").limit(named).withColumn("pos", F.row_number().over(order.orderBy("from", "to")))
+        lines = best.select(F.lit("renames").alias("section"), "pos", text("| `", dotted(F.col("from")), "` | `", dotted(F.col("to")), "` | ", F.col("score"), " |").alias("line"))
+        out = out.unionByName(lines).unionByName(more(renames, "renames", named))
+    return out

@@ -379,7 +379,11 @@ c AS (SELECT *, row_number() OVER (ORDER BY owner, s_suppkey) AS k FROM x WHERE
 SELECT 'summary' AS section, row_number() OVER (ORDER BY l.list)::INTEGER AS pos, '| ' || l.list || ' | ' || count(x.list) || ' |' AS line FROM (VALUES ('added'), ('removed'), ('descChanged')) l(list) LEFT JOIN x ON x.list = l.list GROUP BY l.list
 UNION ALL SELECT 'churn', row_number() OVER (ORDER BY n DESC, pkg)::INTEGER, '- `' || pkg || '` - ' || n || ' removed' FROM h QUALIFY row_number() OVER (ORDER BY n DESC, pkg) <= 3
 UNION ALL SELECT 'changed', k::INTEGER, '- `' || replace(owner, '/', '.') || '#m` was `()V` now `(I)V`' FROM c WHERE k <= 5
-UNION ALL SELECT 'changed', 6, '- and ' || (count(*) - 5) || ' more' FROM c HAVING count(*) > 5""")
+UNION ALL SELECT 'changed', 6, '- and ' || (count(*) - 5) || ' more' FROM c HAVING count(*) > 5
+UNION ALL SELECT 'removed', k::INTEGER, '- `' || replace(owner, '/', '.') || '#m()V`' FROM (SELECT *, row_number() OVER (ORDER BY owner) AS k FROM x WHERE list = 'removed') WHERE k <= 5
+UNION ALL SELECT 'removed', 6, '- and ' || (count(*) - 5) || ' more' FROM x WHERE list = 'removed' HAVING count(*) > 5
+UNION ALL SELECT 'renames', k::INTEGER, '| `r.' || n_name || '` | `s.' || n_name || '` | ' || n_regionkey || ' |' FROM (SELECT *, row_number() OVER (ORDER BY n_name) AS k FROM nation) WHERE k <= 4
+UNION ALL SELECT 'renames', 5, '- and ' || (count(*) - 4) || ' more' FROM nation HAVING count(*) > 4""")
 def delta_markdown(spark, d):
     """The lines of a delta report, capped, with what was left out."""
     n = F.col("s_nationkey")
@@ -387,7 +391,8 @@ def delta_markdown(spark, d):
         F.when(n < 8, "added").when(n < 20, "removed").otherwise("descChanged").alias("list"), F.concat(F.lit("p"), (n % 4).cast("string"), F.lit("/K"), F.col("s_suppkey").cast("string")).alias("owner"), F.lit("m").alias("name"), F.lit("()V").alias("desc"),
         F.when(n >= 20, "(I)V").alias("new_desc"),
     )
-    return report.delta_markdown(rows, hot=3, shown=5)
+    renamed = table(spark, d, "nation").select(F.concat(F.lit("r/"), "n_name").alias("from"), F.concat(F.lit("s/"), "n_name").alias("to"), F.col("n_regionkey").alias("score"))
+    return report.delta_markdown(rows, hot=3, shown=5, renames=renamed, named=4, prefixes=["p"])
 
 
 # -- grammars --------------------------------------------------------------------------------

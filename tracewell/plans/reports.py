@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..operators import ground, merge
+from ..operators import flatten, ground, merge
 from ..sources import archives
 from .domain import _ASKED, _TREE, _tree_world
 from .session import checkpointing, registry, table
@@ -88,6 +88,34 @@ def target_grounding(spark, d):
     return ground.ground_targets(checks, classes, pool).select("check", "verdict", "matches", F.size("candidates").cast("long").alias("shown"), F.concat(best["owner"], F.lit("#"), best["name"], best["desc"]).alias("first"), best["score"].alias("score"), "reason")
 
 
+@query("""WITH l AS (SELECT 'f' || l_orderkey AS file, l_linenumber AS line, l_returnflag AS flag, l_partkey AS p, l_suppkey AS s FROM lineitem)
+SELECT file, line, CASE WHEN p % 7 > 0 THEN 'class' ELSE 'unparseable' END AS surface, CASE WHEN p % 7 > 0 THEN 'a/P' || p END AS owner, NULL AS name, NULL AS "desc", CASE WHEN p % 7 = 0 THEN 'class is not resolved' END AS note FROM l WHERE flag = 'A'
+UNION ALL SELECT file, line, 'method-spec', NULL, 'm' || line, '(I)V', 'owner is the target' || CASE WHEN s % 2 = 0 THEN '; descriptor is the handler''s' ELSE '' END FROM l WHERE flag = 'N'
+UNION ALL SELECT file, line, 'unparseable', NULL, NULL, NULL, CASE WHEN s % 2 = 0 THEN 'Overwrite' ELSE 'Inject' END || ': bad method descriptor' FROM l WHERE flag = 'N' AND p % 3 = 0
+UNION ALL SELECT file, line + 100, 'at-invoke', 'a/P' || p, 'call', '()V', NULL FROM l WHERE flag = 'N' AND s % 4 = 0
+UNION ALL SELECT file, line + 100, 'unparseable', NULL, 'bare', NULL, 'the kind of the point is open' FROM l WHERE flag = 'N' AND s % 4 = 1
+UNION ALL SELECT file, line, CASE WHEN s % 3 = 0 THEN 'shadow' WHEN s % 3 = 1 THEN 'accessor' ELSE 'invoker' END, NULL, 'x' || line, NULL, 'owner is the target' || CASE WHEN s % 5 = 0 THEN '; guessed' ELSE '' END FROM l WHERE flag = 'R' AND p % 5 > 0""")
+def flattened_checks(spark, d):
+    """Nested scans of every order as one table of checks."""
+    line, p, s, flag = (F.col(f"l_{c}") for c in ("linenumber", "partkey", "suppkey", "returnflag"))
+    text = lambda a, b: F.concat(F.lit(a), b.cast("string"))
+    specs = F.array_compact(F.array(F.concat(text("m", line), F.lit("(I)V")), F.when(p % 3 == 0, "bad(Q)V")))
+    at = F.struct((line + 100).alias("line"), F.when(s % 4 == 0, "INVOKE").when(s % 4 == 1, "CUSTOM").otherwise("HEAD").alias("value"), F.when(s % 4 == 0, F.concat(text("La/P", p), F.lit(";call()V"))).when(s % 4 == 1, "bare").alias("target"))
+    kind = F.when(s % 3 == 0, "Shadow").when(s % 3 == 1, "Accessor").otherwise("Invoker")
+    rows = table(spark, d, "lineitem").groupBy(text("f", F.col("l_orderkey")).alias("file")).agg(
+        F.collect_list(F.when(flag == "A", F.struct(line.alias("line"), F.when(p % 7 > 0, text("a/P", p)).alias("name"), F.lit(None).cast("string").alias("note")))).alias("targets"),
+        F.collect_list(F.when(flag == "N", F.struct(line.alias("line"), F.when(s % 2 == 0, "Overwrite").otherwise("Inject").alias("annotation"), specs.alias("specs"), F.array(at).alias("ats")))).alias("injectors"),
+        F.collect_list(F.when(flag == "R", F.struct(line.alias("line"), kind.alias("annotation"), F.when(p % 5 > 0, text("x", line)).alias("implied"), F.when(s % 5 == 0, "guessed").alias("note")))).alias("shadows"),
+    )
+    return flatten.target_checks(rows).drop("raw")
+
+
+@query("""SELECT page_id, url, list_has_any(string_split(regexp_replace(url, '/[^/]*$', ''), '/'), ['shop', 'blog', 'p', 'wiki']) AND contains(url, '/') AS skipped FROM pages""")
+def skipped_paths(spark, d):
+    """Paths below folders that a walk leaves out."""
+    return table(spark, d, "pages").select("page_id", "url", flatten.skipped(F.col("url"), ["shop", "blog", "p", "wiki"]).alias("skipped"))
+
+
 def _zipped(batches):
     """An archive of every batch of (name, data, stored)."""
     import io
