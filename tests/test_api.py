@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tracewell import api
 from tracewell.operators.chain import Hop
@@ -52,3 +53,16 @@ def test_surface_of_decoded_classes(spark):
     rows = [("p", "A.class", "A", 1, 65, "O", ["I"], [("method", "m", "()V", 1), ("field", "f", "I", 2)], None), ("p", "B.class", "B", 0, 65, "O", [], [("method", "m", "()V", 1)], None), ("p", "C.class", None, None, None, None, None, None, "bad magic")]
     found, errors = archives.surface(spark.createDataFrame(rows, kind))
     assert [(r["owner"], r["name"]) for r in found.collect()] == [("A", "m")] and [r["name"] for r in errors.collect()] == ["C.class"]
+
+
+def test_era_hints_and_skipped_folders(spark):
+    from tracewell import api
+    from tracewell.operators import flatten
+
+    rows = [("1", "2", "pre", "pre"), ("3", "4", "post", "post"), ("1", "4", "unknown", "post"), ("4", "1", "post", "pre")]
+    df = spark.createDataFrame(rows, "a string, b string, ea string, eb string")
+    hints = [r[0] for r in df.select(api.era_hint(F.col("a"), F.col("b"), F.col("ea"), F.col("eb"), F.lit("no"))).collect()]
+    assert hints == ["no; from 2 to 1 may be what was meant", "3 and 4 have the same names; compare them with delta instead", "no", "no; from 1 to 4 may be what was meant"]
+    paths = {"a/build/X.java": True, "build": False, "a\\out\\b\\X.java": True, "builds/X.java": False, "a/X/target": False, "": False}
+    got = spark.createDataFrame([(p,) for p in paths], "p string").select("p", flatten.skipped(F.col("p")).alias("s")).collect()
+    assert {r["p"]: r["s"] for r in got} == paths
