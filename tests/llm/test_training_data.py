@@ -313,7 +313,6 @@ def test_lm_scores_are_a_function_of_the_documents(spark, monkeypatch, partition
     monkeypatch.setattr(ngram_lm, "SPLIT", split)
     monkeypatch.setattr(ngram_lm, "PARTS", parts)
     monkeypatch.setattr(ngram_lm, "SHARD_TOKENS", shard_tokens)
-    monkeypatch.setattr(ngram_lm, "PER_BYTE", 1.0)
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
     try:

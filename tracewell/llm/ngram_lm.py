@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from .block import U64, Block, give_back, mix, slices
 from .elias_fano import EliasFano
-from .scratch import input_bytes, materialise, new_path
+from .scratch import materialise, new_path
 
 BLOCK_BYTES = 4 << 20
 BITS = 21
@@ -54,8 +54,8 @@ BITS = 21
 LISTED = (1 << 20) - 8
 START, END, FIRST, RARE = 0, 1, 2, 1 << 20
 START_HASH, END_HASH = np.int64(0x0123456789ABCDEF), np.int64(0x2E3779B97F4A7C15)
-#: Tokens that a shard should have, and about how many a byte of stored input makes.
-SHARD_TOKENS, PER_BYTE = 1_500_000, 0.28
+#: Tokens that a shard should have.
+SHARD_TOKENS = 1_500_000
 #: Training tokens of a middle word beyond which it is dealt over several shards.
 SPLIT = 375_000
 #: Leading bits of a hash by which listed words are found.
@@ -756,9 +756,10 @@ def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _prepare(docs: DataFrame, id_col: str, text_col: str, limit: int, folder: str | None) -> Model:
     spark = docs.sparkSession
     words = word_counts(_slim(docs, id_col, text_col))
-    shuffles, size = int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs)
-    shards = max(shuffles, math.ceil(size * PER_BYTE / SHARD_TOKENS)) if size < 1 << 55 else shuffles
-    return Model(folder or new_path(spark, "ngram-trie"), shards, spark.sparkContext.broadcast(vocabulary(words, limit)), words)
+    vocab = vocabulary(words, limit)
+    # nine tenths of the tokens are learned from, all are asked about
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(vocab.tokens / 0.9 / SHARD_TOKENS))
+    return Model(folder or new_path(spark, "ngram-trie"), shards, spark.sparkContext.broadcast(vocab), words)
 
 
 def _scores(model: Model, docs: DataFrame, id_col: str, text_col: str, learn: bool, ask: bool, keep: bool = True) -> DataFrame:
