@@ -55,7 +55,7 @@ LISTED = (1 << 20) - 8
 START, END, FIRST, RARE = 0, 1, 2, 1 << 20
 START_HASH, END_HASH = np.int64(0x0123456789ABCDEF), np.int64(0x2E3779B97F4A7C15)
 #: Tokens that a shard should have.
-SHARD_TOKENS = 1_500_000
+SHARD_TOKENS = 1_200_000
 #: Training tokens of a middle word beyond which it is dealt over several shards.
 SPLIT = 375_000
 #: Leading bits of a hash by which listed words are found.
