@@ -115,6 +115,41 @@ def test_substring_dedup_is_bounded(spark):
         assert float(mb) < most and float(seconds) < 60 * times and (int(asks) > 0) == (times > 1)
 
 
+def test_substring_dedup_holds_little_beside_its_block(monkeypatch):
+    """What numpy and bytes take at once for a block that is dealt out and a bucket that is judged, and the rows handed on at once."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tracewell.llm import substring_dedup as sd
+
+    rng = np.random.RandomState(5)
+    words = np.array([f"w{i:x}" for i in range(60000)])
+    texts = pa.array([" ".join(words[rng.randint(0, 60000, 400)]) for _ in range(2200)])
+    batch = pa.record_batch({"id": pa.array(np.arange(len(texts))), "text": texts})
+
+    def peak(work):
+        tracemalloc.start()
+        try:
+            out = work()
+            return out, tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    send = sd._send("id", "text", 13, 1, 1, np.zeros(0, np.uint64))
+    _, most = peak(lambda: list(send([batch])))
+    assert most < 20 * texts.nbytes  # 27 before
+    blobs = [b for k in range(0, len(texts), 100) for out in send([batch.slice(k, 100)]) for b in out.column("blob").to_pylist()]
+    unpacked = sum(map(sd._unpacked, blobs))
+    (_, asked), most = peak(lambda: sd._judge(blobs, 13))
+    assert asked is None and most < 5.5 * unpacked  # 7.6 before
+    monkeypatch.setattr(sd, "FOUND_ROWS", 1000)
+    rows = pa.record_batch({"bucket": pa.array([0] * len(blobs), pa.int32()), "kind": pa.array([0] * len(blobs), pa.int32()), "blob": pa.array(blobs, pa.binary())})
+    sizes = [x.num_rows for x in sd._judge_all(13, unpacked // 3)([rows])]
+    assert max(sizes) == 1000 and sum(sizes) > 100_000
+
+
 def test_empty_tables(spark, docs, empty, tmp_path):
     assert remove_repeats(empty).count() == 0
     assert jaccard_join.classes(empty).count() == 0

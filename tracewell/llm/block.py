@@ -99,17 +99,18 @@ class Block:
             length = np.diff(np.append(at, hi - lo))
             position = np.arange(hi - lo) - np.repeat(at, length)
             value = _VALUE[self.data[lo:hi]] * powers(_BASE, int(length.max()))[position]
-            out[a:b] = np.add.reduceat(value, at)
+            out[a:b] = mix(np.add.reduceat(value, at))
             a = b
-        return mix(out)
+        return out
 
     def joined(self) -> tuple[np.ndarray, np.ndarray]:
         """The words, a space after each, and where each begins (one more entry at the end)."""
         length = self.ends - self.starts
         at = np.concatenate(([0], np.cumsum(length + 1)))
         out = np.full(at[-1], 32, np.uint8)
-        keep = self.data[~_WS[self.data]]
-        out[np.arange(len(keep)) + np.repeat(np.arange(self.n_words), length)] = keep
+        word = np.ones(at[-1], bool)
+        word[at[1:] - 1] = False
+        out[word] = self.data[~_WS[self.data]]
         return out, at
 
     def document(self, k: int) -> bytes:
@@ -121,11 +122,18 @@ class Rolling:
 
     def __init__(self, words: np.ndarray):
         n = len(words) + 1
-        self.sums = np.concatenate((np.zeros(1, U64), np.cumsum(words * powers(_STEP, n)[: n - 1], dtype=U64)))
+        self.sums = np.zeros(n, U64)
+        np.cumsum(words * powers(_STEP, n)[: n - 1], dtype=U64, out=self.sums[1:])
         self.back = powers(_STEP_INVERSE, n)
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def of(self, start: np.ndarray, end: np.ndarray, chunk: int = 1 << 16) -> np.ndarray:
+        """Hashes of the words from each start to its end, in chunks so that only the result has its length."""
         start, end = np.asarray(start), np.asarray(end)
+        if start.ndim and len(start) > chunk:
+            out = np.empty(len(start), U64)
+            for k in range(0, len(start), chunk):
+                out[k : k + chunk] = self.of(start[k : k + chunk], end[k : k + chunk])
+            return out
         return mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(U64))
 
 
@@ -176,7 +184,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int) -> Iterato
             a = b
     if held:
         yield together(held)
-    held = []
+    held, batch, offsets = [], None, None
     give_back()
 
 

@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .block import U64, Block, Rolling, extended, free_names, mix, slices
+from .block import U64, Block, Rolling, extended, free_names, give_back, mix, slices
 from .scratch import materialise
 
 WINDOW = 13
@@ -50,8 +50,10 @@ SHARE = 8192
 LEVEL = 9
 BLOCK_BYTES = 6 << 20
 BUCKET_BYTES = 10 << 20
-#: Partitions at most, and unpacked bytes that are judged at once, in some seven times as much memory.
+#: Partitions at most, and unpacked bytes that are judged at once, in some four times as much memory.
 PARTS, HOLD = 16_384, 64 << 20
+#: Rows that a judging task hands on at once, as the executor has them outside its heap.
+FOUND_ROWS = 1 << 18
 _LAST = np.iinfo(np.int64).max
 _BLOBS = "bucket int, kind int, blob binary"
 _RANGES = "id long, crc long, start int, stop int"
@@ -83,11 +85,11 @@ class _Runs:
             self.start = self.count = np.zeros(0, np.int64)
             self.key = np.zeros(0, U64)
             return
-        at = np.arange(block.n_words - m + 1)
-        least = _sliding_min(self.roll.of(at, at + m), window - m + 1)
-        start = np.arange(n)
-        valid = start + window <= block.first[1:][block.doc[:n]]
-        start, key = start[valid], least[valid]
+        at = np.arange(block.n_words - m + 1, dtype=np.int32)
+        least = _sliding_min(self.roll.of(at, at + np.int32(m)), window - m + 1)
+        valid = at[:n] + np.int32(window) <= block.first[1:].astype(np.int32)[block.doc[:n]]
+        start, key = at[:n][valid], least[valid]
+        del at, least, valid
         if not len(start):
             self.start, self.count, self.key = start, start, key
             return
@@ -111,18 +113,22 @@ def _survey(column: str, window: int):
     such key is missed.
     """
 
+    def frequent(batch: pa.RecordBatch) -> pa.RecordBatch:
+        block = Block(batch.column(column))
+        runs = _Runs(block, window, None)
+        keys, counts = np.unique(runs.key, return_counts=True)
+        keep = counts * 2 * SHARE > len(runs.key)
+        packed = int((block.ends - block.starts).sum() + block.n_words) if block.n_words else 0
+        return pa.record_batch({
+            "kind": pa.array(np.concatenate(([0, 1], np.full(keep.sum(), 2))).astype(np.int32)),
+            "key": pa.array(np.concatenate(([0, 0], keys[keep].view(np.int64))).astype(np.int64)),
+            "n": pa.array(np.concatenate(([len(runs.key), packed], counts[keep])).astype(np.int64)),
+        })
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, column, BLOCK_BYTES):
-            block = Block(batch.column(column))
-            runs = _Runs(block, window, None)
-            keys, counts = np.unique(runs.key, return_counts=True)
-            keep = counts * 2 * SHARE > len(runs.key)
-            packed = int((block.ends - block.starts).sum() + block.n_words) if block.n_words else 0
-            yield pa.record_batch({
-                "kind": pa.array(np.concatenate(([0, 1], np.full(keep.sum(), 2))).astype(np.int32)),
-                "key": pa.array(np.concatenate(([0, 0], keys[keep].view(np.int64))).astype(np.int64)),
-                "n": pa.array(np.concatenate(([len(runs.key), packed], counts[keep])).astype(np.int64)),
-            })
+            yield frequent(batch)
+            del batch
 
     return run
 
@@ -176,42 +182,52 @@ def _local(runs: _Runs, block: Block, ids: np.ndarray, text: bytes, at: np.ndarr
 def _send(id_column: str, column: str, window: int, buckets: int, parts: int, hot: np.ndarray):
     """Blobs: kind 0 holds super-k-mers for a bucket, kind 1 ranges already known to go."""
 
+    def dealt(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        block = Block(batch.column(column))
+        runs = _Runs(block, window, hot)
+        if not len(runs.start):
+            return None
+        ids = pc.fill_null(batch.column(id_column).cast(pa.int64()), _LAST).to_numpy(zero_copy_only=False)
+        crc = np.array([zlib.crc32(block.document(k)) for k in range(block.n_docs)], np.uint32)
+        joined, at = block.joined()
+        text = joined.tobytes()
+        stop = runs.start + runs.count + window - 1
+        doc = block.doc[runs.start]
+        place = (runs.start - block.first[doc]).astype(np.int32)
+        send, settled = _local(runs, block, ids, text, at)
+        del joined, block
+        runs.roll = None
+        out: tuple[list, list, list] = ([], [], [])
+        if len(settled):
+            out[0].append(int(crc[0]) % parts)
+            out[1].append(1)
+            out[2].append(_columns([ids[doc[settled]], crc[doc[settled]], place[settled], (place[settled] + runs.count[settled] + window - 1).astype(np.int32)]))
+        bucket = (mix(runs.key[send]) % U64(buckets)).astype(np.int64)
+        part = bucket % parts
+        order = np.lexsort((bucket, part)) if parts < buckets else np.argsort(part, kind="stable")
+        send, bucket, part = send[order], bucket[order], part[order]
+        cut = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        for a, b in zip(cut, np.append(cut[1:], len(send)), strict=True):
+            if a == b:
+                continue
+            pick = send[a:b]
+            lo, hi = at[runs.start[pick]], at[stop[pick]]
+            columns = [ids[doc[pick]], crc[doc[pick]], place[pick], runs.count[pick].astype(np.int32), (hi - lo).astype(np.int32)]
+            if parts < buckets:
+                columns.append(bucket[a:b].astype(np.int32))
+            out[0].append(int(part[a]))
+            out[1].append(0)
+            out[2].append(_columns(columns, b"".join([text[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)])))
+        return pa.record_batch({"bucket": pa.array(out[0], pa.int32()), "kind": pa.array(out[1], pa.int32()), "blob": pa.array(out[2], pa.binary())})
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, column, BLOCK_BYTES):
-            block = Block(batch.column(column))
-            runs = _Runs(block, window, hot)
-            if not len(runs.start):
-                continue
-            ids = pc.fill_null(batch.column(id_column).cast(pa.int64()), _LAST).to_numpy(zero_copy_only=False)
-            crc = np.array([zlib.crc32(block.document(k)) for k in range(block.n_docs)], np.uint32)
-            joined, at = block.joined()
-            text = joined.tobytes()
-            stop = runs.start + runs.count + window - 1
-            doc = block.doc[runs.start]
-            place = (runs.start - block.first[doc]).astype(np.int32)
-            send, settled = _local(runs, block, ids, text, at)
-            out: tuple[list, list, list] = ([], [], [])
-            if len(settled):
-                out[0].append(int(crc[0]) % parts)
-                out[1].append(1)
-                out[2].append(_columns([ids[doc[settled]], crc[doc[settled]], place[settled], (place[settled] + runs.count[settled] + window - 1).astype(np.int32)]))
-            bucket = (mix(runs.key[send]) % U64(buckets)).astype(np.int64)
-            part = bucket % parts
-            order = np.lexsort((bucket, part)) if parts < buckets else np.argsort(part, kind="stable")
-            send, bucket, part = send[order], bucket[order], part[order]
-            cut = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-            for a, b in zip(cut, np.append(cut[1:], len(send)), strict=True):
-                if a == b:
-                    continue
-                pick = send[a:b]
-                lo, hi = at[runs.start[pick]], at[stop[pick]]
-                columns = [ids[doc[pick]], crc[doc[pick]], place[pick], runs.count[pick].astype(np.int32), (hi - lo).astype(np.int32)]
-                if parts < buckets:
-                    columns.append(bucket[a:b].astype(np.int32))
-                out[0].append(int(part[a]))
-                out[1].append(0)
-                out[2].append(_columns(columns, b"".join([text[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)])))
-            yield pa.record_batch({"bucket": pa.array(out[0], pa.int32()), "kind": pa.array(out[1], pa.int32()), "blob": pa.array(out[2], pa.binary())})
+            out = dealt(batch)
+            del batch
+            give_back()  # the executor has little beside its heap, and a block leaves much behind
+            if out is not None:
+                yield out
+            del out
 
     return run
 
@@ -257,23 +273,34 @@ def _judge(blobs: list[bytes], window: int, ask: bool = False) -> tuple[list[np.
 
     The latter are (id, crc, start, stop, h1, h2): the windows that no smaller document among these has.
     """
-    parts = [_open(b, _RUN) for b in blobs]
-    ids, crc, place, count, size = (np.concatenate([p[0][k] for p in parts]) for k in range(5))
-    text = b"".join([p[1].tobytes() for p in parts])
-    del parts
-    block = Block(pa.Array.from_buffers(pa.large_binary(), 1, [None, pa.py_buffer(np.array([0, len(text)], np.int64)), pa.py_buffer(text)]))
-    del block.doc
-    starts, ends = block.starts, block.ends
-    roll = Rolling(block.hashes())
-    first_word = np.searchsorted(starts, np.concatenate(([0], np.cumsum(size, dtype=np.int64)))[:-1]).astype(np.int32)
+    # words and hashes are made blob by blob, so that only what is kept of them has the length of the bucket
+    parts, texts, words, values = [], [], [], []
+    size = n_words = 0
+    for blob in blobs:
+        (ids, crc, place, count, length), data = _open(blob, _RUN)
+        texts.append(data.tobytes())
+        del data
+        block = Block(pa.Array.from_buffers(pa.large_binary(), 1, [None, pa.py_buffer(np.array([0, len(texts[-1])], np.int64)), pa.py_buffer(texts[-1])]))
+        first_word = np.searchsorted(block.starts, np.cumsum(length, dtype=np.int64) - length)
+        roll = Rolling(block.hashes())
+        word = np.arange(count.sum()) + np.repeat(first_word - (np.cumsum(count) - count), count)
+        values.append(roll.of(word, word + window))
+        words.append(block.starts.astype(np.int32) if size + len(texts[-1]) < 1 << 31 else block.starts)
+        words[-1] += size
+        parts.append((ids, crc, place, count, (first_word + n_words).astype(np.int32)))
+        size, n_words = size + len(texts[-1]), n_words + block.n_words
+    del block, roll, word
+    ids, crc, place, count, first_word = (np.concatenate([p[k] for p in parts]) for k in range(5))
+    words.append(np.array([size], words[-1].dtype))
+    text, starts, value = b"".join(texts), np.concatenate(words), np.concatenate(values)
+    del parts, texts, words, values
+    ends = lambda w: starts[w + 1] - 1  # noqa: E731  one space follows each word
     order = np.argsort(ids, kind="stable").astype(np.int32)
     n = count[order]
     run = np.repeat(order, n)  # of each window, and the word it starts with
-    word = np.arange(len(run), dtype=np.int32) - np.repeat(np.cumsum(n, dtype=np.int32) - n, n) + first_word[run]
-    value = np.empty(len(run), U64)
-    for k in range(0, len(run), 1 << 20):
-        value[k : k + (1 << 20)] = roll.of(word[k : k + (1 << 20)], word[k : k + (1 << 20)] + window)
-    del roll
+    word = np.arange(len(run), dtype=np.int32) - np.repeat(np.cumsum(n, dtype=np.int32) - n, n)
+    value = value[word + (np.cumsum(count, dtype=np.int32) - count)[run]]
+    word += first_word[run]
     by = np.argsort(value, kind="stable").astype(np.int32)  # among equal hashes the smallest document is first
     new = np.ones(len(by), bool)
     for k in range(1, len(by), 1 << 20):
@@ -293,7 +320,7 @@ def _judge(blobs: list[bytes], window: int, ask: bool = False) -> tuple[list[np.
         view = memoryview(text)
         for k in range(0, len(open_), 1 << 16):
             w = word[open_[k : k + (1 << 16)]]
-            lo, hi = starts[w].tolist(), ends[w + window - 1].tolist()
+            lo, hi = starts[w].tolist(), ends(w + window - 1).tolist()
             h[k : k + len(w)] = np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[p:q]) for p, q in zip(lo, hi, strict=True)]), np.int64).reshape(-1, 2)
         start = from_(open_).astype(np.int32)
         return [ids[run[open_]], crc[run[open_]], start, start + np.int32(window), h[:, 0], h[:, 1]]
@@ -311,7 +338,7 @@ def _judge(blobs: list[bytes], window: int, ask: bool = False) -> tuple[list[np.
     for k in range(0, len(a), 1 << 16):
         c, more = a[k : k + (1 << 16)], length[k : k + (1 << 16)] + window - 2
         x, y = word[dup[c]], word[of[c]]
-        edges = (starts[x].tolist(), ends[x + more].tolist(), starts[y].tolist(), ends[y + more].tolist())
+        edges = (starts[x].tolist(), ends(x + more).tolist(), starts[y].tolist(), ends(y + more).tolist())
         same[k : k + len(c)] = [text[p:q] == text[r:s] for p, q, r, s in zip(*edges, strict=True)]
     who, start = run[dup[a]], from_(dup[a])
     found = [ids[who][same], crc[who][same], start[same].astype(np.int32), (start + length + window - 1)[same].astype(np.int32)]
@@ -319,7 +346,7 @@ def _judge(blobs: list[bytes], window: int, ask: bool = False) -> tuple[list[np.
         bad = np.unique(np.concatenate([value[dup[i : i + k]] for i, k in zip(a[~same], length[~same], strict=True)]))
         least: dict[bytes, int] = {}
         rows = np.flatnonzero(np.isin(value, bad)).astype(np.int32)
-        key = [text[starts[word[r]] : ends[word[r] + window - 1]] for r in rows]
+        key = [text[starts[word[r]] : ends(word[r] + window - 1)] for r in rows]
         for r, k in zip(rows, key, strict=True):
             least[k] = min(least.get(k, _LAST), int(ids[run[r]]))
         pick = np.array([r for r, k in zip(rows, key, strict=True) if ids[run[r]] > least[k]], np.int64)
@@ -338,8 +365,10 @@ def _judge_all(window: int, hold: int):
         def settle(ask: bool) -> Iterator[pa.RecordBatch]:
             if held:
                 for rows in _judge(held, window, ask):
-                    if rows is not None:
-                        yield _found_batch(rows)
+                    for k in range(0, len(rows[0]) if rows is not None else 0, FOUND_ROWS):
+                        yield _found_batch([x[k : k + FOUND_ROWS] for x in rows])
+                    rows = None
+                give_back()
 
         for batch in batches:
             for k, kind, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
