@@ -62,6 +62,46 @@ def test_elias_fano(seed):
     assert (ef.values() == values).all()
 
 
+@pytest.fixture
+def selects(monkeypatch):
+    """How many selects each call made."""
+    made, select = [], EliasFano._select
+    monkeypatch.setattr(EliasFano, "_select", lambda self, k, *more: made.append(len(k)) or select(self, k, *more))
+    return made
+
+
+def test_close_questions_need_no_select_each(selects):
+    rng = np.random.default_rng(7)
+    values = np.unique(rng.integers(0, 10**12, 20_000))
+    n, ef = len(values), EliasFano.of(values, 10**12 + 9)
+    for a, b in ((0, 1), (0, 3000), (5003, 9001), (n - 4000, n), (n - 1, n)):
+        x = rng.permutation(np.concatenate((values[a:b] - (values[a:b] > 0), values[a:b], values[a:b] + 1)))
+        at = np.searchsorted(values, x)
+        assert (ef.successor(x) == at).all()
+        assert (ef.find(x) == np.where(values[np.minimum(at, n - 1)] == x, at, -1)).all()
+        i = rng.permutation(np.arange(a, b))
+        assert (ef.get(i) == values[i]).all()
+    beyond = np.arange(values[-1] + 1, values[-1] + 4)
+    assert (ef.successor(beyond) == n).all() and (ef.find(beyond) == -1).all()
+    assert sum(selects) < 200
+    assert len(ef.values(5, 5)) == 0 and (ef.values(5, 99) == values[5:99]).all()
+    far = values[::100]
+    assert (ef.find(far) == np.arange(0, n, 100)).all() and (ef.get(np.arange(0, n, 100)) == far).all()
+    assert sum(selects) > 2 * len(far)
+
+
+def test_trigrams_in_order_are_scored_without_a_select_each(selects):
+    rng = np.random.default_rng(3)
+    key = np.unique(rng.integers(0, 40, 30_000) << 42 | rng.integers(4, 60, 30_000) << 21 | rng.integers(1, 60, 30_000))
+    middle, first, last = key >> 42, key >> 21 & ngram_lm._MASK, key & ngram_lm._MASK
+    log1 = np.full(len(key), -2.0)
+    trie = ngram_lm.Trie.build(middle, first, last, rng.integers(1, 5, len(key)), log1, key[:0])
+    whole = trie.score(middle, first, last, log1)
+    selects.clear()
+    parts = [trie.score(*(x[a : a + 1000] for x in (middle, first, last, log1))) for a in range(0, len(key), 1000)]
+    assert (np.concatenate(parts) == whole).all() and sum(selects) < len(key) / 10
+
+
 def test_trie_is_a_distribution_and_opens_from_a_file(tmp_path):
     rng = np.random.default_rng(0)
     key = np.unique(rng.integers(0, 4, 300) << 42 | rng.integers(4, 9, 300) << 21 | rng.integers(1, 12, 300))

@@ -13,6 +13,9 @@ _POP = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 #: Position of the k-th one of each byte, from the least bit.
 _SELECT = np.array([[([i for i in range(8) if b >> i & 1] + [0] * 8)[k] for k in range(8)] for b in range(256)], np.uint8)
 
+#: Values to a question up to which the values between the questions are decoded in one pass.
+RUN = 4
+
 
 class EliasFano:
     def __init__(self, n: int, width: int, low: np.ndarray, high: np.ndarray):
@@ -66,22 +69,33 @@ class EliasFano:
     def get(self, i: np.ndarray) -> np.ndarray:
         """The values at positions ``i``."""
         i = np.asarray(i, np.int64)
-        return (self._select(i, self.ones, 0) - i << self.width) | self._low(i)
-
-    def values(self) -> np.ndarray:
-        """All values, by one pass over the bits."""
-        top = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n] - np.arange(self.n)
-        low = [self._low(np.arange(a, min(self.n, a + (1 << 16)))) for a in range(0, self.n, 1 << 16)]
-        return top << self.width | np.concatenate([np.zeros(0, np.int64), *low])
+        if len(i):
+            a, b = int(i.min()), int(i.max()) + 1
+            if b - a <= RUN * len(i):
+                return self.values(a, b)[i - a]
+        return self._at(i)
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """Position of the first value that is not below each ``x``; ``x`` must be in the universe.
+    def _at(self, i: np.ndarray) -> np.ndarray:
+        return (self._select(i, self.ones, 0) - i << self.width) | self._low(i)
 
-        As many questions as there are values or more are answered from one pass over the level.
-        """
-        x = np.asarray(x, np.int64)
-        if len(x) >= self.n:
-            return np.searchsorted(self.values(), x)
+    def values(self, a: int = 0, b: int | None = None) -> np.ndarray:
+        """The values at positions from ``a`` to before ``b``, by one pass over their bits."""
+        b = self.n if b is None else b
+        if a >= b:
+            return np.zeros(0, np.int64)
+        first, last = self._select(np.array([a, b - 1]), self.ones, 0).tolist()
+        byte = first >> 3
+        bits = np.unpackbits(self.high[byte : (last >> 3) + 1], bitorder="little")
+        out = np.flatnonzero(bits[first & 7 : last + 1 - 8 * byte])
+        out += first - np.arange(a, b)
+        out <<= self.width
+        for k in range(a, b, 1 << 16):
+            end = min(b, k + (1 << 16))
+            out[k - a : end - a] |= self._low(np.arange(k, end))
+        return out
+
+    def _search(self, x: np.ndarray) -> np.ndarray:
+        """``successor`` in place, by select."""
         top = x >> self.width
         hi = self._select(top, self.zeros, 255) - top
         lo = np.where(top > 0, self._select(np.maximum(top - 1, 0), self.zeros, 255) - (top - 1), 0)
@@ -93,15 +107,37 @@ class EliasFano:
             hi[open_[~below]] = mid[~below]
         return lo
 
+    def _run(self, x: np.ndarray) -> tuple[int, np.ndarray] | None:
+        """(first position, values) of the run of values that the questions ``x`` lie in; None where it is long for so few."""
+        if len(x) >= self.n:
+            return 0, self.values()
+        a, b = self._search(np.array([x.min(), x.max()])).tolist()
+        b = min(b + 1, self.n)
+        return (a, self.values(a, b)) if b - a <= RUN * len(x) else None
+
+    def successor(self, x: np.ndarray) -> np.ndarray:
+        """Position of the first value that is not below each ``x``; ``x`` must be in the universe.
+
+        Questions that lie close are answered from one pass over the values between the least and the largest.
+        """
+        x = np.asarray(x, np.int64)
+        if not len(x):
+            return x
+        run = self._run(x)
+        return self._search(x) if run is None else run[0] + np.searchsorted(run[1], x)
+
     def find(self, x: np.ndarray) -> np.ndarray:
         """Position of each ``x``, -1 where it is not a value."""
         x = np.asarray(x, np.int64)
         if not self.n or not len(x):
             return np.full(len(x), -1)
-        if len(x) >= self.n:
-            values = self.values()
-            inside = np.minimum(np.searchsorted(values, x), self.n - 1)
-            return np.where(values[inside] == x, inside, -1)
-        at = self.successor(x)
+        run = self._run(x)
+        if run is not None:
+            a, values = run
+            if not len(values):  # all are beyond the last value
+                return np.full(len(x), -1)
+            inside = np.minimum(np.searchsorted(values, x), len(values) - 1)
+            return np.where(values[inside] == x, a + inside, -1)
+        at = self._search(x)
         inside = np.minimum(at, self.n - 1)
-        return np.where((at < self.n) & (self.get(inside) == x), at, -1)
+        return np.where((at < self.n) & (self._at(inside) == x), at, -1)
