@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tracewell.llm import bpe, decontaminate, jaccard_join, quality
 from tracewell.llm.queries import PATTERN, ranks, table
-from tracewell.llm.scratch import materialise
+from tracewell.llm.scratch import materialise, small_batches
 from tracewell.llm.substring_dedup import cut_repeats
 
 ORACLE_SQL = None
@@ -28,6 +28,7 @@ ORACLE_SQL = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the trees keep."""
+    small_batches(spark)
     return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 

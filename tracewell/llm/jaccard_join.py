@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from .block import U64, Block, free_names, mix, shingles, slices, together
 from .components import components
-from .scratch import input_bytes, materialise
+from .scratch import input_bytes, materialise, small_batches, tasks
 
 SIZE = 5
 BLOCK_BYTES = 6 << 20
@@ -560,13 +560,15 @@ def _reached(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     crc: of the lower-cased text; a null id is the largest one; root: a node of the row's class.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     slim = slim.withColumn("crc", F.crc32(_lower("text").cast("binary")))
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = input_bytes(docs)
     buckets = max(shuffles, math.ceil(size * PER_BYTE / BUCKET_SIGNATURES)) if size < 1 << 55 else shuffles
     parts = min(buckets, PARTS)
-    dealt = slim.select("doc_id", "text").mapInArrow(_send("doc_id", "text", buckets, parts, BITS), "bucket int, docs int, blob binary").repartition(parts, "bucket")
+    dealt = slim.select("doc_id", "text").mapInArrow(_send("doc_id", "text", buckets, parts, BITS), "bucket int, docs int, blob binary")
+    dealt = dealt.repartitionById(tasks(parts, buckets, spark.sparkContext.defaultParallelism), F.col("bucket"))  # by number: a hash leaves tasks empty and fills others
     if parts < buckets:
         dealt = dealt.mapInArrow(_cut_again(buckets, parts), dealt.schema)
     hold = HOLD
