@@ -104,6 +104,49 @@ print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024, tim
 """
 
 
+def test_substring_dedup_deals_partitions_evenly_and_writes_few_files(spark, monkeypatch):
+    """Hashed numbers left a third of the tasks empty and gave others up to five partitions; each task wrote a file."""
+    import random
+
+    from tracewell.llm import scratch
+    from tracewell.llm import substring_dedup as sd
+
+    found, keep = [], sd.materialise
+    monkeypatch.setattr(sd, "materialise", lambda df, name: found.append((df, keep(df, name))) or found[-1][1])
+    monkeypatch.setattr(sd, "BUCKET_BYTES", 2000)
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{rng.randrange(10**9)}" for _ in range(100))) for i in range(40)]
+    rows += [(i + 100, t) for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    n = {r["doc_id"]: r["n_removed"] for r in sd.remove_repeats(docs).collect()}
+    assert n == {i: 100 * (i >= 100) for i, _ in rows}
+    buckets = -(-3 * sum(len(t) + 1 for _, t in rows) // 2000)
+    (judged, written), tasks = found[0], scratch.tasks(buckets, buckets, 4)
+    assert tasks == -(-buckets // scratch.TOGETHER) and judged.rdd.getNumPartitions() == tasks
+    assert len(written.inputFiles()) == tasks  # none is empty
+    assert [scratch.tasks(*x) for x in ((50, 50, 6), (5, 5, 6), (211, 211, 6), (16384, 20000, 6))] == [13, 5, 53, 16384]
+
+
+def test_batches_for_python_are_bounded_by_bytes(spark):
+    import pyarrow as pa
+
+    from tracewell.llm import scratch
+
+    sizes = lambda: [r["b"] for r in docs.mapInArrow(lambda batches: (pa.record_batch({"b": [b.nbytes]}) for b in batches), "b long").collect()]
+    docs = spark.range(0, 4000, 1, 1).selectExpr("id doc_id", "repeat(cast(id % 10 as string), 8000) text")
+    before = spark.conf.get(scratch.BATCH, None)
+    try:
+        spark.conf.unset(scratch.BATCH)
+        remove_repeats(docs.limit(0))
+        got = sizes()
+        assert len(got) > 1 and max(got) <= scratch.BATCH_BYTES + 10_000 and sum(got) >= 32_000_000
+        spark.conf.set(scratch.BATCH, "1000000")  # a bound of the session's own stays
+        scratch.small_batches(spark)
+        assert max(sizes()) < 1_010_000
+    finally:
+        spark.conf.unset(scratch.BATCH) if before is None else spark.conf.set(scratch.BATCH, before)
+
+
 def test_substring_dedup_is_bounded(spark):
     """Memory of a bucket at the bound, and of one three times as large, which is judged in pieces."""
     import subprocess

@@ -19,7 +19,8 @@ the whole window, which is as exact.  The number of such minimisers is at most `
 which bounds what the driver sees.
 The number of buckets follows the size of the input; a bucket has about ``BUCKET_BYTES``.  There
 are at most ``PARTS`` partitions; beyond as many buckets a partition has several, which are cut
-apart and sorted after the shuffle.  A bucket that still grows beyond ``HOLD`` bytes, as they are once
+apart and sorted after the shuffle.  Partitions go to tasks by number, not by hash, so that a task has ``TOGETHER``
+of them, sorted, and judges one after the other; batches for Python are bounded by bytes (``small_batches``).  A bucket that still grows beyond ``HOLD`` bytes, as they are once
 unpacked, is judged in pieces of that size.  A piece settles what repeats inside it and sends, for each of its
 windows, a fingerprint of 128 bits with the smallest document that has it there.  The least of these over all
 pieces, found with map-side combine, answers the documents that asked.  So no text moves a second time,
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .block import U64, Block, Rolling, extended, free_names, give_back, mix, slices
-from .scratch import materialise
+from .scratch import materialise, small_batches, tasks
 
 WINDOW = 13
 MINIMISER = 3
@@ -403,6 +404,7 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     as the largest possible one.  Ranges of a document may overlap.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     survey = slim.select("text").mapInArrow(_survey("text", window), "kind int, key long, n long")
     rows = survey.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.count("*").alias("blocks"))
@@ -413,7 +415,8 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hot = np.sort(np.array([r["key"] for r in rows.filter((F.col("kind") == 2) & (F.col("n") > F.lit(least))).select("key").collect()], np.int64).view(U64))
     rows.unpersist()
     parts = min(buckets, PARTS)
-    dealt = slim.mapInArrow(_send("id", "text", window, buckets, parts, hot), _BLOBS).repartition(parts, "bucket")
+    dealt = slim.mapInArrow(_send("id", "text", window, buckets, parts, hot), _BLOBS)
+    dealt = dealt.repartitionById(tasks(parts, buckets, spark.sparkContext.defaultParallelism), F.col("bucket"))
     if parts < buckets:
         dealt = dealt.mapInArrow(_cut_again, _BLOBS)
     found = materialise(dealt.sortWithinPartitions("bucket").mapInArrow(_judge_all(window, HOLD), _FOUND), "ranges")
