@@ -193,6 +193,28 @@ def test_substring_dedup_holds_little_beside_its_block(monkeypatch):
     assert max(sizes) == 1000 and sum(sizes) > 100_000
 
 
+def test_jaccard_sets_are_made_a_part_of_a_block_at_a_time():
+    """What numpy and bytes take at once for a block of six million bytes whose signatures are sent."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.RandomState(5)
+    words = np.array([f"w{i:x}" for i in range(60000)])
+    texts = pa.array([" ".join(words[rng.randint(0, 60000, 400)]) for _ in range(2600)])
+    batch = pa.record_batch({"id": pa.array(np.arange(len(texts))), "text": texts})
+    send = jaccard_join._send("id", "text", 50, 50)
+    list(send([batch.slice(0, 9)]))
+    tracemalloc.start()
+    try:
+        rows = sum(out.num_rows for out in send([batch]))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 51 and most < 15 * texts.nbytes  # 24 before, 10 after
+
+
 def test_empty_tables(spark, docs, empty, tmp_path):
     assert remove_repeats(empty).count() == 0
     assert jaccard_join.classes(empty).count() == 0
@@ -322,6 +344,24 @@ def test_jaccard_groups_in_pieces(spark, monkeypatch, change):
     assert sorted(got, key=str) == sorted(brute_classes(jaccard_rows()), key=str)
 
 
+@pytest.mark.parametrize("most", [1, 3000])
+def test_jaccard_parts_of_a_block_make_no_difference(monkeypatch, most):
+    import pyarrow as pa
+
+    batch = pa.record_batch({"id": pa.array([r[0] for r in jaccard_rows()], pa.int64()), "text": pa.array([r[1] for r in jaccard_rows()])})
+
+    def sent():
+        (out,) = jaccard_join._send("id", "text", 7, 7)([batch])
+        rows = list(zip(*(c.to_pylist() for c in out.columns), strict=True))
+        entries = [(k, sorted(zip(*(x.tolist() for x in jaccard_join._entries([blob])), strict=True))) for k, kind, blob in rows if kind == 0]
+        return entries, [r for r in rows if r[1] not in (0, jaccard_join._PIECES)], sum(r[1] == jaccard_join._PIECES for r in rows)
+
+    whole = sent()
+    assert whole[2] == 1 and sum(len(e) for _, e in whole[0]) > 1000
+    monkeypatch.setattr(jaccard_join, "PART_BYTES", most)
+    assert sent() == whole
+
+
 @pytest.mark.parametrize("change", [{"BITS": 4, "LOCAL": 3}])
 def test_jaccard_fingerprints_that_clash(spark, monkeypatch, change):
     for name, value in change.items():

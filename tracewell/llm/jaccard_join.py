@@ -51,7 +51,8 @@ from .components import components
 from .scratch import input_bytes, materialise, small_batches, tasks
 
 SIZE = 5
-BLOCK_BYTES = 6 << 20
+#: Bytes of text whose blobs leave together, and those of them whose sets are made at once, or one longer document.
+BLOCK_BYTES, PART_BYTES = 6 << 20, 1 << 20
 #: Signatures in a bucket, about how many a byte of stored input makes, and how many partitions there are at most.
 BUCKET_SIGNATURES, PER_BYTE, PARTS = 1_000_000, 0.2, 16_384
 #: Nodes of a block that share a signature from which on they leave as a piece, and bytes of a bucket that are held.
@@ -187,41 +188,66 @@ def _entries(blobs: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(sigs), np.concatenate(nodes)
 
 
+def _signed(texts: pa.Array, bits: int, most: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """([node, size, CRC-32, mark] of a block's documents, their sketches, signatures of its sets in order, their nodes).
+
+    Equal sets are signed once.  Sets are made from ``most`` bytes of the text at a time, so what
+    is held for the whole block is its results alone.
+    """
+    docs, drawn, seen, sigs, members = [], [], np.zeros(0, U64), [], []
+    for part in slices([pa.record_batch({"text": texts})], "text", most):
+        block = Block(part.column("text"), lower=True)
+        doc, value, size = sets(block)
+        node, mark = nodes_of(doc, value, block.n_docs) >> (64 - bits), checks_of(doc, value, block.n_docs)
+        crc = np.array([zlib.crc32(block.document(k)) for k in range(block.n_docs)], np.int64)
+        docs.append((node, size.astype(np.int64), crc, mark))
+        drawn.append(sketches(doc, value, size))
+        key = mix(node.view(U64)) + mark.view(U64)
+        one = np.zeros(block.n_docs, bool)
+        one[np.unique(key, return_index=True)[1]] = True
+        one &= ~np.isin(key, seen)
+        seen = np.concatenate((seen, key[one]))
+        pick = one[doc]
+        owner, sig = signatures(doc[pick], value[pick], np.where(one, size, 0))
+        sigs.append(sig)
+        members.append(node[owner])
+    sig, member = np.concatenate(sigs), np.concatenate(members)
+    order = np.argsort(sig)
+    return [np.concatenate(x) for x in zip(*docs, strict=True)], np.concatenate(drawn), sig[order], member[order]
+
+
+def _blobs(ids: np.ndarray, texts: pa.Array, buckets: int, parts: int, bits: int, local: int, most: int) -> pa.RecordBatch:
+    """Blobs of one block for the buckets, one partition after another, and one of its documents."""
+    docs, drawn, sig, member = _signed(texts, bits, most)
+    to = int(mix(docs[0][:1].view(U64))[0] % U64(parts))
+    out = ([to], [len(ids)], [np.concatenate((ids, *docs, drawn)).tobytes()])
+    start, count = _runs(sig)
+    often = count >= local
+    hot = np.repeat(often, count)
+    if often.any():
+        out[0].append(to)
+        out[1].append(_PIECES)
+        out[2].append(np.concatenate(([often.sum()], sig[start[often]].view(np.int64), count[often], member[hot])).astype(np.int64).tobytes())
+    marks = sig[start[often]]
+    sig, member = sig[~hot], member[~hot]
+    for kind, s, m in ((_ENTRIES, sig, member), (_MARKS, marks, None)):
+        part = ((s % U64(buckets)) % U64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        for a, n in zip(*_runs(part[order]), strict=True):
+            i = order[a : a + n]
+            out[0].append(int(part[i[0]]))
+            out[1].append(kind)
+            out[2].append(s[i].tobytes() if m is None else _pack_entries(s[i], m[i]))
+    return pa.record_batch({"bucket": pa.array(out[0], pa.int32()), "docs": pa.array(out[1], pa.int32()), "blob": pa.array(out[2], pa.binary())})
+
+
 def _send(id_column: str, column: str, buckets: int, parts: int, bits: int = 64):
-    """Blobs for the buckets, one partition after another, and one of the documents of a block."""
+    """The blobs of each block of a task."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, column, BLOCK_BYTES):
-            block = Block(batch.column(column), lower=True)
-            doc, value, size = sets(block)
-            node = nodes_of(doc, value, block.n_docs) >> (64 - bits)
             ids = pc.fill_null(batch.column(id_column).cast(pa.int64()), _LAST).to_numpy(zero_copy_only=False)
-            crc = np.array([zlib.crc32(block.document(k)) for k in range(block.n_docs)], np.int64)
-            mark = checks_of(doc, value, block.n_docs)
-            to = int(mix(node[:1].view(U64))[0] % U64(parts))
-            out = ([to], [block.n_docs], [np.concatenate((ids, node, size.astype(np.int64), crc, mark, sketches(doc, value, size))).tobytes()])
-            one = np.zeros(block.n_docs, bool)  # equal sets once
-            one[np.unique(mix(node.view(U64)) + mark.view(U64), return_index=True)[1]] = True
-            pick = one[doc]
-            owner, sig = signatures(doc[pick], value[pick], np.where(one, size, 0))
-            order = np.argsort(sig)
-            sig, member = sig[order], node[owner[order]]
-            start, count = _runs(sig)
-            often = count >= LOCAL
-            hot = np.repeat(often, count)
-            if often.any():
-                out[0].append(to)
-                out[1].append(_PIECES)
-                out[2].append(np.concatenate(([often.sum()], sig[start[often]].view(np.int64), count[often], member[hot])).astype(np.int64).tobytes())
-            for kind, s, m in ((_ENTRIES, sig[~hot], member[~hot]), (_MARKS, sig[start[often]], None)):
-                part = ((s % U64(buckets)) % U64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                s, part = s[order], part[order]
-                for a, n in zip(*_runs(part), strict=True):
-                    out[0].append(int(part[a]))
-                    out[1].append(kind)
-                    out[2].append(s[a : a + n].tobytes() if m is None else _pack_entries(s[a : a + n], m[order[a : a + n]]))
-            yield pa.record_batch({"bucket": pa.array(out[0], pa.int32()), "docs": pa.array(out[1], pa.int32()), "blob": pa.array(out[2], pa.binary())})
+            yield _blobs(ids, batch.column(column), buckets, parts, bits, LOCAL, PART_BYTES)
 
     return run
 
@@ -647,7 +673,7 @@ def _exact_sets(bits: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in slices(batches, "text", BLOCK_BYTES):
+        for batch in slices(batches, "text", PART_BYTES):
             block = Block(batch.column("text"), lower=True)
             doc, value, size = sets(block)
             asked, printed, mark = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("node", "print", "mark"))
