@@ -67,6 +67,23 @@ def test_jaccard_pairs_miss_nothing(spark):
     assert sorted(map(tuple, similarity.best_pairs(*copies).select("l", "r", "overlap", "jaccard").collect())) == sorted(map(tuple, want.select("l", "r", "overlap", "jaccard").collect()))
 
 
+def test_sets_meet_only_where_they_can_reach_the_threshold(spark):
+    """A line that every set has, beside one of its own, brings no two of them together; repeats count once."""
+    hot = lambda s: spark.range(60).select("id", F.explode(F.array(F.lit("all"), F.lit("all"), F.concat(F.lit(s), F.col("id").cast("string")))).alias("token"))
+    other = lambda s: spark.range(60).select("id", F.concat(F.lit(s), F.col("id").cast("string")).alias("token"))
+    left = hot("l").unionByName(other("r")).unionByName(spark.createDataFrame([(100, "all")], "id long, token string"))
+    right = hot("r").unionByName(other("q")).unionByName(spark.createDataFrame([(100, "all")], "id long, token string"))
+    met, made = [], similarity._meetings
+    try:
+        similarity._meetings = lambda each, threshold: met.append(made(each, threshold)) or met[-1]
+        got = sorted(map(tuple, similarity.jaccard_pairs(left, right, threshold=0.5).select("l", "r", "overlap", "jaccard").collect()))
+    finally:
+        similarity._meetings = made
+    # {all, l_i, r_i} and {all, r_i, q_i}: two of four
+    assert got == [(i, i, 2, 0.5) for i in range(60)] + [(100, 100, 1, 1.0)]
+    assert met[0].count() < 200
+
+
 def test_spans(spark):
     s = spark.createDataFrame([(1, "u", 0, 5), (2, "u", 5, 6), (3, "u", 4, 5), (4, "v", 0, 9), (5, "v", 1, 2), (6, "v", 20, 21)], "id int, g string, a int, b int")
     assert {r["id"] for r in spans.overlap_flags(s, "g", "a", "b", "id").where("overlaps").collect()} == {1, 3, 4, 5}

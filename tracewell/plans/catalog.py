@@ -163,10 +163,10 @@ best AS (SELECT p.* FROM pairs p JOIN lb USING (l) JOIN rb USING (r) JOIN lt USI
 
 
 def line_tokens(spark, d):
-    """Distinct lower-cased lines of each document, and the parity of its source."""
+    """Lower-cased lines of each document, repeats included, and the parity of its source."""
     docs = table(spark, d, "documents")
     lines = docs.select("doc_id", (F.substr("source", F.lit(4)).cast("int") % 2).alias("side"), F.explode(F.split(F.lower("text"), "\n", -1)).alias("token"))
-    return lines.where(F.length("token") > 0).distinct()
+    return lines.where(F.length("token") > 0)
 
 
 @query(f"WITH {_TOKENS} SELECT l, r, overlap, jaccard FROM pairs")
@@ -176,6 +176,7 @@ def jaccard_pairs(spark, d):
 
 
 def _sides(spark, d):
+    checkpointing(spark)
     tokens = line_tokens(spark, d)
     return tuple(tokens.where(F.col("side") == k).select(F.col("doc_id").alias("id"), "token") for k in (0, 1))
 
