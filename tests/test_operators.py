@@ -84,6 +84,16 @@ def test_sets_meet_only_where_they_can_reach_the_threshold(spark):
     assert met[0].count() < 200
 
 
+def test_copies_are_expanded_in_lots(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "LOT", 3)
+    rows = lambda n, sets: spark.createDataFrame([(100 * k + c, t) for k, ts in enumerate(sets) for c in range(n) for t in ts], "id int, token string")
+    sets = [["a", "b"], ["a"], ["a", "b", "c"], ["x"]]
+    for n, m in ((7, 2), (2, 7), (3, 3)):
+        got = sorted(map(tuple, similarity.jaccard_pairs(rows(n, sets), rows(m, sets)).select("l", "r", "overlap", "jaccard").collect()))
+        each = [(j, k, len({*x} & {*y}), len({*x} & {*y}) / len({*x} | {*y})) for j, x in enumerate(sets) for k, y in enumerate(sets)]
+        assert got == sorted((100 * j + a, 100 * k + b, o, s) for j, k, o, s in each if s >= 0.5 for a in range(n) for b in range(m))
+
+
 def test_spans(spark):
     s = spark.createDataFrame([(1, "u", 0, 5), (2, "u", 5, 6), (3, "u", 4, 5), (4, "v", 0, 9), (5, "v", 1, 2), (6, "v", 20, 21)], "id int, g string, a int, b int")
     assert {r["id"] for r in spans.overlap_flags(s, "g", "a", "b", "id").where("overlaps").collect()} == {1, 3, 4, 5}
