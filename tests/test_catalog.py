@@ -5,6 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from tracewell.operators import similarity
 from tracewell.plans import bridge, catalog, domain, reports
 
 DATA = Path("/root/testdata/sf0.001")
@@ -36,6 +37,12 @@ def test_query_agrees_with_sql(spark, con, name):
     assert rows(map(tuple, df.select(*columns).collect())) == rows(con.sql(f"select {quoted} from found").fetchall())
 
 
+@pytest.mark.parametrize("name", ["ambiguous_refused"])
+def test_ties_and_rounds_need_no_pairs_of_copies(spark, con, name, monkeypatch):
+    monkeypatch.setattr(similarity, "jaccard_pairs", None)
+    test_query_agrees_with_sql(spark, con, name)
+
+
 def test_entry_module(spark):
     import __spark_entry__ as entry
 

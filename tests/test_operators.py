@@ -94,6 +94,17 @@ def test_copies_are_expanded_in_lots(spark, monkeypatch):
         assert got == sorted((100 * j + a, 100 * k + b, o, s) for j, k, o, s in each if s >= 0.5 for a in range(n) for b in range(m))
 
 
+def test_refused_owners_equal_refused_pairs(spark):
+    import random
+
+    rng = random.Random(4)
+    side = lambda: spark.createDataFrame([(k, t) for k in range(60) for t in {rng.choice("abcdef") for _ in range(rng.randrange(1, 4))}], "id int, token string")
+    left, right = side(), side()
+    want = similarity.refused(similarity.jaccard_pairs(left, right), "l", "jaccard").select("l", "best", "ties", "reason")
+    got = similarity.refused_owners(left, right).select("l", "best", "ties", "reason")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count()
+
+
 def test_spans(spark):
     s = spark.createDataFrame([(1, "u", 0, 5), (2, "u", 5, 6), (3, "u", 4, 5), (4, "v", 0, 9), (5, "v", 1, 2), (6, "v", 20, 21)], "id int, g string, a int, b int")
     assert {r["id"] for r in spans.overlap_flags(s, "g", "a", "b", "id").where("overlaps").collect()} == {1, 3, 4, 5}

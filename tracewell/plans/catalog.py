@@ -190,7 +190,7 @@ def mutual_best(spark, d):
 @query(f"WITH {_TOKENS}, {_BEST} SELECT l, m AS best, k AS ties, 'tied for the best score' AS reason FROM lb JOIN lt USING (l) WHERE k > 1")
 def ambiguous_refused(spark, d):
     """Left sides whose best score is tied."""
-    return similarity.refused(jaccard_pairs(spark, d), "l", "jaccard")
+    return similarity.refused_owners(*_sides(spark, d))
 
 
 _FREQ = 'freq AS (SELECT "desc", count(*) AS f FROM surface WHERE snap = \'A\' GROUP BY "desc")'
