@@ -37,7 +37,7 @@ def test_query_agrees_with_sql(spark, con, name):
     assert rows(map(tuple, df.select(*columns).collect())) == rows(con.sql(f"select {quoted} from found").fetchall())
 
 
-@pytest.mark.parametrize("name", ["ambiguous_refused"])
+@pytest.mark.parametrize("name", ["ambiguous_refused", "fixpoint_rounds"])
 def test_ties_and_rounds_need_no_pairs_of_copies(spark, con, name, monkeypatch):
     monkeypatch.setattr(similarity, "jaccard_pairs", None)
     test_query_agrees_with_sql(spark, con, name)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import chain, closure, diff, disambiguate, edit, ground, renames, report, running, similarity, spans
+from ..operators.store import stored
 from .session import checkpointing, registry, table
 
 QUERIES, ORACLE_SQL, query = registry()
@@ -295,8 +296,11 @@ def fixpoint_rounds(spark, d):
     docs = table(spark, d, "documents").select("doc_id", (F.substr("source", F.lit(4)).cast("int") % 2).alias("side"), F.md5(F.lower("text").cast("binary")).alias("h"))
     per = docs.groupBy("h").agg(*[f(F.when(F.col("side") == k, F.col("doc_id"))).alias(n) for k, n, f in ((0, "l", F.min), (1, "r", F.min), (0, "nl", F.count), (1, "nr", F.count))])
     one = per.where("nl = 1 and nr = 1").select("l", "r")
-    rest = jaccard_pairs(spark, d).join(one.select("l"), "l", "left_anti").join(one.select("r"), "r", "left_anti")
-    two = similarity.strict_mutual_best(rest, "l", "r", ["jaccard"]).select("l", "r")
+    left, right = _sides(spark, d)
+    one = stored(one)
+    # lines are hashed before they move
+    rest = lambda side, c: side.select("id", F.md5(F.col("token").cast("binary")).alias("token")).join(one.select(F.col(c).alias("id")), "id", "left_anti")
+    two = similarity.best_pairs(rest(left, "l"), rest(right, "r")).select("l", "r")
     return one.withColumn("round", F.lit(1)).unionByName(two.withColumn("round", F.lit(2)))
 
 
