@@ -500,3 +500,14 @@ def test_class_candidates_equal_the_pairwise_rule(spark):
     copies = [spark.range(3000).select(F.concat(F.lit(f"p/{s}"), F.format_string("%04d", "id")).alias("owner"), F.lit("method").alias("kind"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("name"), F.lit("()V").alias("desc")) for s in "OP"]
     out = renames.class_candidates(*copies)
     assert out.count() == 3000 and out.where("substr(from, 4) <> substr(to, 4)").count() == 0
+
+
+def test_class_candidates_go_on_with_pairs_that_can_be_named(spark, monkeypatch):
+    """Pairs at the threshold are not named, so neither they nor their owners are taken further."""
+    tables = []
+    monkeypatch.setattr(renames, "stored", lambda df: tables.append(df) or df)
+    shape = lambda s, own: spark.range(30).select(F.concat(F.lit(f"p/{s}"), F.col("id").cast("string")).alias("owner"), F.lit("field").alias("kind"), F.explode(F.array(F.lit("a"), *([F.concat(F.lit(s), F.col("id").cast("string"))] if own else []))).alias("name"), F.lit("I").alias("desc"))
+    twins = lambda s: spark.createDataFrame([(f"q/{s}", "field", "z", "I")], "owner string, kind string, name string, desc string")
+    out = renames.class_candidates(shape("O", True).unionByName(twins("O")), shape("P", False).unionByName(twins("P")))
+    assert [(r["from"], r["to"]) for r in out.collect()] == [("q/O", "q/P")]
+    assert [t.count() for t in tables] == [1, 2]
