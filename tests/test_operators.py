@@ -46,6 +46,28 @@ def test_closure_order_and_cycles(spark):
     assert [tuple(r)[:3] for r in out.where("root = 'q'").collect()] == [("q", "q", 0)]
 
 
+def test_first_hits_are_made_inside_blocks(spark, monkeypatch):
+    """A random hierarchy with cycles against the walk itself; nothing moves once roots and facts have met."""
+    import random
+
+    rng = random.Random(8)
+    monkeypatch.setattr(closure, "BLOCK_ROOTS", 4)
+    monkeypatch.setattr(closure, "BLOCK_ROWS", 30)
+    edges = [(c, o, p) for c in range(60) for o, p in enumerate(rng.sample(range(60), rng.randrange(0, 3)))]
+    facts = [(rng.randrange(70), rng.choice(["u", "v", None]), rng.randrange(3)) for _ in range(50)]
+    frame = spark.createDataFrame(edges, "child int, ord int, parent int")
+    roots = spark.createDataFrame([(n,) for n in [*range(0, 65, 2), None]], "root int")
+    out = closure.first_hit(frame, roots, spark.createDataFrame(facts + facts[:9], "n int, a string, b int"), "n", ["a", "b"])
+    want = {}
+    for r in closure.ordered_closure(frame, roots).orderBy("root", "depth", "path").collect():
+        for a, b in {(a, b) for n, a, b in facts if n == r["node"]}:
+            want.setdefault((r["root"], a, b), (r["node"], r["depth"]))
+    assert out.columns == ["root", "a", "b", "node", "depth"]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(str((*k, *v)) for k, v in want.items()) and want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("FlatMapCoGroupsInArrow") and "Aggregate" not in plan.split("\n")[0]
+
+
 def test_ties_are_refused(spark):
     pairs = spark.createDataFrame([(1, 10, 0.9), (1, 11, 0.9), (2, 12, 0.8), (3, 12, 0.7), (4, 13, 0.6)], "l int, r int, s double")
     assert sorted((r["l"], r["r"]) for r in similarity.strict_mutual_best(pairs, "l", "r", ["s"]).collect()) == [(2, 12), (4, 13)]

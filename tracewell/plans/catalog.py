@@ -332,7 +332,7 @@ SELECT root, l_suppkey, arg_min(node, depth) AS node, min(depth) AS depth, CASE
   CASE WHEN min(depth) = 0 THEN 1.0 ELSE 0.9 END::DOUBLE AS score FROM walk JOIN f ON node = l_partkey GROUP BY root, l_suppkey""")
 def inherited_lookup(spark, d):
     """For each part and supplier the nearest ancestor that the supplier has shipped."""
-    facts = table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    facts = table(spark, d, "lineitem").select("l_partkey", "l_suppkey")
     checkpointing(spark)
     hit = closure.first_hit(_edges(spark, d), table(spark, d, "part").select("p_partkey"), facts, "l_partkey", ["l_suppkey"])
     own = F.col("depth") == 0
