@@ -5,7 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tracewell.operators import similarity
+from tracewell.operators import lookup, similarity
 from tracewell.plans import bridge, catalog, domain, reports
 
 DATA = Path("/root/testdata/sf0.001")
@@ -43,6 +43,21 @@ def test_ties_and_rounds_need_no_pairs_of_copies(spark, con, name, monkeypatch):
     test_query_agrees_with_sql(spark, con, name)
 
 
+def test_resolution_makes_each_index_once(spark, con, monkeypatch):
+    """Four indexes: two ways into the old version, the official one between, and the new version's for both of its walks; lookups sum up nothing."""
+    made, index, plans, looked_up = [], lookup.member_index, [], lookup.looked_up
+    monkeypatch.setattr(lookup, "member_index", lambda *a: made.append(a) or index(*a))
+
+    def spied(queries, index, *rest):
+        out = looked_up(queries.localCheckpoint(), index.localCheckpoint(), *rest)
+        plans.append(out._jdf.queryExecution().optimizedPlan().toString())
+        return out
+
+    monkeypatch.setattr(lookup, "looked_up", spied)
+    test_query_agrees_with_sql(spark, con, "resolve_symbols")
+    assert len(made) == 4 and plans and not any("Aggregate" in p for p in plans)
+
+
 def test_entry_module(spark):
     import __spark_entry__ as entry
 
